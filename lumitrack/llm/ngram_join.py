@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from lumitrack.llm.common import cut, small_enough, stored
 
 #: Counters of the sketch, sent around in so many chunks.
-COUNTERS, CHUNKS = 1 << 22, 64
+COUNTERS, CHUNKS = 1 << 22, 16
+#: Counters that tell which prefix n-grams may occur twice.
+TWICE = 1 << 26
 MEMO = 500_000
 #: Parts of the histogram that the suffix filter compares.
 PARTS = 32
@@ -102,7 +104,7 @@ def _profile(docs: DataFrame, measure: Measure) -> DataFrame:
             for s in sets:
                 counts[_counter(s)] += 1  # a set's n-grams that share a counter count once: any order will do
             yield _rows(batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * len(sets), [None] * len(sets))
-        chunks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
+        chunks = _packed(counts)
         none = [None] * len(chunks)
         yield _rows(pa.array(none, pa.int64()), none, none, [c[0] for c in chunks], [c[1] for c in chunks])
 
@@ -113,31 +115,42 @@ def _rows(key: pa.Array, n: list, node: list, chunk: list, counts: list) -> pa.R
     return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], names=["_key", "_n", "_node", "_chunk", "_counts"])
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up by chunk, and each count put on a scale of 256 steps. Its size is fixed."""
+def _added(parts: DataFrame, dtype, n: int, shown) -> np.ndarray:
+    """The tasks' counters (_chunk, _counts) added up by chunk, each task reading on, and put through ``shown``. Of fixed size."""
 
     def add(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in them:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), np.uint32)
+                part = np.frombuffer(zlib.decompress(counts), dtype)
                 total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
-        steps = [np.minimum(8 * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["_chunk", "_steps"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([shown(c).tobytes() for c in total.values()], pa.binary())], names=["_chunk", "_shown"])
+
+    found = parts.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk").mapInArrow(add, "_chunk int, _shown binary")
+    out = [shown(np.zeros(n // CHUNKS, np.uint64))] * CHUNKS
+    for r in found.toLocalIterator():
+        out[r["_chunk"]] = np.frombuffer(bytes(r["_shown"]), np.uint8)
+    return np.concatenate(out)
+
 
-    parts = profile.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk")
-    steps = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
-    for r in parts.mapInArrow(add, "_chunk int, _steps binary").collect():
-        steps[r["_chunk"]] = np.frombuffer(bytes(r["_steps"]), np.uint8)
-    return steps.reshape(-1)
+def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
+    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
+
+
+def _sketch(profile: DataFrame) -> np.ndarray:
+    """How frequent the n-grams of each counter are, on a scale of 256 steps."""
+    return _added(profile, np.uint32, COUNTERS, lambda c: np.minimum(8 * np.log2(1.0 + c), 255).astype(np.uint8))
+
+
+PREFIX = "_gram long, _node long, _n int, _at int, _chunk int, _counts binary"
 
 
 def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame:
-    """(_gram, _node, _n, _at): the rare-first prefix of each set, once for all copies that a task sees."""
+    """(_gram, _node, _n, _at): the rare-first prefix of each set, once for all copies that a task sees; and counters of the n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(steps)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, order, seen = _Words(), shared.value, set()
+        memo, order, seen, counts = _Words(), shared.value, set(), np.zeros(TWICE, np.uint8)
         for batch in them:
             grams, nodes, sizes, places = [], [], [], []
             for text in batch.column(0).to_pylist():
@@ -155,9 +168,42 @@ def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame
                 sizes.append(np.full(p, len(s), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nodes, sizes, places))], names=["_gram", "_node", "_n", "_at"])
+                them_all = np.concatenate(grams)
+                at, many = np.unique(_twice(them_all), return_counts=True)
+                counts[at] = np.minimum(counts[at] + np.minimum(many, 2), 2)
+                n = len(them_all)
+                yield _prefix_rows(them_all.view(np.int64), *map(np.concatenate, (nodes, sizes, places)), [None] * n, [None] * n)
+        chunks = _packed(counts)
+        none = [None] * len(chunks)
+        yield _prefix_rows(none, none, none, none, [c[0] for c in chunks], [c[1] for c in chunks])
+
+    return docs.select("text").mapInArrow(batches, PREFIX)
+
 
-    return docs.select("text").mapInArrow(batches, "_gram long, _node long, _n int, _at int")
+def _prefix_rows(gram, node, n, at, chunk, counts) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((gram, node, n, at, chunk, counts), kinds, strict=True)], names=["_gram", "_node", "_n", "_at", "_chunk", "_counts"])
+
+
+def _twice(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(TWICE - 1)).astype(np.int64)
+
+
+def _met_twice(prefixes: DataFrame) -> DataFrame:
+    """Prefix rows without most of those whose n-gram no other set has: their counter stayed at one.
+
+    The counters are of fixed size. Where a corpus overfills them, more rows pass, and the join that follows drops them.
+    """
+    bits = np.packbits(_added(prefixes, np.uint8, TWICE, lambda c: (c >= 2).astype(np.uint8)).astype(bool))
+    shared = prefixes.sparkSession.sparkContext.broadcast(bits)
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = shared.value
+        for batch in them:
+            at = _twice(batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return prefixes.filter("_gram is not null").select("_gram", "_node", "_n", "_at").mapInArrow(batches, "_gram long, _node long, _n int, _at int")
 
 
 def _may_be_alike(measure: Measure, a: str, b: str):
@@ -169,7 +215,7 @@ def _may_be_alike(measure: Measure, a: str, b: str):
 
 def _sets(docs: DataFrame, keys: DataFrame, measure: Measure) -> DataFrame:
     """(_node, _grams) of the documents whose _key is in ``keys``."""
-    few = keys.select("_key")
+    few = cut(keys.select("_key").distinct())
     found = docs.join(F.broadcast(few) if small_enough(few, KEYS_SENT) else few, "_key", "left_semi")
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +224,8 @@ def _sets(docs: DataFrame, keys: DataFrame, measure: Measure) -> DataFrame:
             sets = [ngrams(t, measure.n, memo) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_node", "_grams"])
 
-    return stored(found.select("text").mapInArrow(batches, "_node long, _grams binary").dropDuplicates(["_node"]), "sets")
+    sets = stored(found.select("text").mapInArrow(batches, "_node long, _grams binary"), "sets")
+    return sets if sets.count() == few.count() else stored(sets.dropDuplicates(["_node"]), "sets")  # repeated rows have one key
 
 
 CUTS = (np.arange(1, PARTS, dtype=np.float64) * 2.0**64 / PARTS).astype(np.uint64)
@@ -239,11 +286,17 @@ class Join:
         self.measure = measure
         self.docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
         self.profile = stored(_profile(self.docs, measure), "profile")
-        nodes = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
+        self.keys = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
         rows = stored(_prefixes(self.docs, measure, _sketch(self.profile)), "prefixes")
+        rows = stored(_met_twice(rows), "candidates")
         ends = rows.groupBy("_gram").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_gram")
         self.rows = stored(rows.join(ends, "_gram").distinct(), "shared")
-        self.keys = nodes.join(self.rows.select("_node").distinct(), "_node")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are alike. Only the sets of nodes in them are made."""
+        pairs = cut(pairs)
+        wanted = pairs.select(F.col("_a").alias("_node")).union(pairs.select("_b")).distinct()
+        return cut(_compared(pairs, _sets(self.docs, self.keys.join(wanted, "_node"), self.measure), self.measure))
 
     def pairs(self, rows: DataFrame, differ: str | None = None) -> DataFrame:
         """Candidates among ``rows``, each once; with ``differ``, only those that differ in that column."""
@@ -263,8 +316,7 @@ class Join:
 def links(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """Every pair of different sets that are alike, once: (_a, _b), as node numbers. See ``nodes`` for the members."""
     j = Join(docs, measure)
-    pairs = cut(j.pairs(j.rows))
-    return _compared(pairs, _sets(j.docs, j.keys, measure), measure)
+    return j.compared(j.pairs(j.rows))
 
 
 def nodes(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -286,11 +338,10 @@ def _residual(rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
 def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """Per document: doc_id, n_shingles (its set's size), component_id (the least doc_id that links lead to), and _key."""
     j = Join(docs, measure)
-    sets = _sets(j.docs, j.keys, measure)
-    found = cut(_compared(cut(j.stars(j.rows)), sets, measure))
+    found = j.compared(j.stars(j.rows))
     classes = connected(found)
     rest = cut(_residual(j.rows, classes, measure))
-    more = cut(_compared(cut(j.pairs(rest, "_class")), sets, measure))
+    more = j.compared(j.pairs(rest, "_class"))
     if not more.isEmpty():
         classes = connected(found.union(more))
     members = j.docs.select("doc_id", "_key").groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_copies"))
