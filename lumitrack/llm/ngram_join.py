@@ -36,9 +36,9 @@ from lumitrack.llm.common import cut, small_enough, stored
 
 #: Counters of the sketch, sent around in so many chunks.
 COUNTERS, CHUNKS = 1 << 22, 16
-#: Counters that tell which prefix n-grams may occur twice.
-TWICE = 1 << 26
-MEMO = 500_000
+#: Steps of the sketch's scale for each doubling; n-grams from step HOT and eight times the median are spread over SALTS.
+STEPS, HOT, SALTS = 8, 96, 64
+MEMO = 200_000
 #: Parts of the histogram that the suffix filter compares.
 PARTS = 32
 #: Up to so many row keys (8 bytes each) are sent to all tasks instead of being joined.
@@ -115,44 +115,39 @@ def _rows(key: pa.Array, n: list, node: list, chunk: list, counts: list) -> pa.R
     return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], names=["_key", "_n", "_node", "_chunk", "_counts"])
 
 
-def _added(parts: DataFrame, dtype, n: int, shown) -> np.ndarray:
-    """The tasks' counters (_chunk, _counts) added up by chunk, each task reading on, and put through ``shown``. Of fixed size."""
+def _sketch(profile: DataFrame) -> np.ndarray:
+    """The tasks' counters (_chunk, _counts) added up by chunk, on a scale of 256 steps: how frequent a counter's n-grams are."""
 
     def add(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in them:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), dtype)
+                part = np.frombuffer(zlib.decompress(counts), np.uint32)
                 total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([shown(c).tobytes() for c in total.values()], pa.binary())], names=["_chunk", "_shown"])
-
-    found = parts.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk").mapInArrow(add, "_chunk int, _shown binary")
-    out = [shown(np.zeros(n // CHUNKS, np.uint64))] * CHUNKS
-    for r in found.toLocalIterator():
-        out[r["_chunk"]] = np.frombuffer(bytes(r["_shown"]), np.uint8)
-    return np.concatenate(out)
-
-
-def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
-
+        steps = [np.minimum(STEPS * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["_chunk", "_steps"])
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """How frequent the n-grams of each counter are, on a scale of 256 steps."""
-    return _added(profile, np.uint32, COUNTERS, lambda c: np.minimum(8 * np.log2(1.0 + c), 255).astype(np.uint8))
+    parts = profile.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk")
+    steps = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
+    for r in parts.mapInArrow(add, "_chunk int, _steps binary").collect():  # COUNTERS bytes
+        steps[r["_chunk"]] = np.frombuffer(bytes(r["_steps"]), np.uint8)
+    return steps.reshape(-1)
 
 
-PREFIX = "_gram long, _node long, _n int, _at int, _chunk int, _counts binary"
+PREFIX = "_gram long, _node long, _n int, _at int"
 
 
 def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame:
-    """(_gram, _node, _n, _at): the rare-first prefix of each set, once for all copies that a task sees; and counters of the n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(steps)
+    """(_gram, _node, _n, _at, _salt): the rare-first prefix of each set, once for all copies that a task sees.
+
+    _salt is 0 but for n-grams that many sets have, whose rows it spreads.
+    """
+    shared, hot = docs.sparkSession.sparkContext.broadcast(steps), max(int(np.median(steps)) + 3 * STEPS, HOT)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, order, seen, counts = _Words(), shared.value, set(), np.zeros(TWICE, np.uint8)
+        memo, order, seen = _Words(), shared.value, set()
         for batch in them:
-            grams, nodes, sizes, places = [], [], [], []
+            columns = [[], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 s = ngrams(text, measure.n, memo)
                 node = node_of(s)
@@ -161,49 +156,49 @@ def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame
                 if len(seen) >= MEMO:
                     seen.clear()
                 seen.add(node)
-                p = measure.prefix(len(s))
-                first = np.lexsort((s, order[_counter(s)]))[:p]
-                grams.append(s[first])
-                nodes.append(np.full(p, node, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-            if grams:
-                them_all = np.concatenate(grams)
-                at, many = np.unique(_twice(them_all), return_counts=True)
-                counts[at] = np.minimum(counts[at] + np.minimum(many, 2), 2)
-                n = len(them_all)
-                yield _prefix_rows(them_all.view(np.int64), *map(np.concatenate, (nodes, sizes, places)), [None] * n, [None] * n)
-        chunks = _packed(counts)
-        none = [None] * len(chunks)
-        yield _prefix_rows(none, none, none, none, [c[0] for c in chunks], [c[1] for c in chunks])
-
-    return docs.select("text").mapInArrow(batches, PREFIX)
-
-
-def _prefix_rows(gram, node, n, at, chunk, counts) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((gram, node, n, at, chunk, counts), kinds, strict=True)], names=["_gram", "_node", "_n", "_at", "_chunk", "_counts"])
+                p, step = measure.prefix(len(s)), order[_counter(s)]
+                first = np.lexsort((s, step))[:p]
+                made = (s[first], np.full(p, node, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(step[first] >= hot, 1 + node % SALTS, 0).astype(np.int32))
+                for c, x in zip(columns, made, strict=True):
+                    c.append(x)
+            if columns[0]:
+                gram, *rest = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, rest)], names=["_gram", "_node", "_n", "_at", "_salt"])
 
+    return docs.select("text").mapInArrow(batches, f"{PREFIX}, _salt int")
 
-def _twice(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64(TWICE - 1)).astype(np.int64)
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Prefix rows, each once, without those whose n-gram no other set has.
 
-def _met_twice(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows without most of those whose n-gram no other set has: their counter stayed at one.
-
-    The counters are of fixed size. Where a corpus overfills them, more rows pass, and the join that follows drops them.
+    One shuffle and sort; a task reads on through its rows and holds back the last one. Rows of a salted n-gram all stay.
     """
-    bits = np.packbits(_added(prefixes, np.uint8, TWICE, lambda c: (c >= 2).astype(np.uint8)).astype(bool))
-    shared = prefixes.sparkSession.sparkContext.broadcast(bits)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = shared.value
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]  # the last row, and whether its n-gram came before
+        met = False
         for batch in them:
-            at = _twice(batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            rows = [r[new] for r in rows]
+            same = rows[0][1:] == rows[0][:-1]
+            keep = rows[4] > 0
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[:1] |= met
+            out, keep_last = [r[:-1][keep[:-1]] for r in rows[:4]], bool(keep[-1])
+            held, met = [r[-1:] for r in rows], keep_last and bool(rows[4][-1] == 0)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["_gram", "_node", "_n", "_at"])
+        if len(held[0]) and (met or held[4][0] > 0):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, held[:4])), names=["_gram", "_node", "_n", "_at"])
+
+    return prefixes.repartition("_gram", "_salt").sortWithinPartitions("_gram", "_node").mapInArrow(batches, PREFIX)
+
 
-    return prefixes.filter("_gram is not null").select("_gram", "_node", "_n", "_at").mapInArrow(batches, "_gram long, _node long, _n int, _at int")
+def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
+    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
 
 
 def _may_be_alike(measure: Measure, a: str, b: str):
@@ -287,10 +282,7 @@ class Join:
         self.docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
         self.profile = stored(_profile(self.docs, measure), "profile")
         self.keys = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
-        rows = stored(_prefixes(self.docs, measure, _sketch(self.profile)), "prefixes")
-        rows = stored(_met_twice(rows), "candidates")
-        ends = rows.groupBy("_gram").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).filter("_low <> _high").select("_gram")
-        self.rows = stored(rows.join(ends, "_gram").distinct(), "shared")
+        self.rows = stored(_shared(_prefixes(self.docs, measure, _sketch(self.profile))), "shared")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are alike. Only the sets of nodes in them are made."""
