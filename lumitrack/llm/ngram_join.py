@@ -43,6 +43,8 @@ MEMO = 200_000
 PARTS = 32
 #: Up to so many row keys (8 bytes each) are sent to all tasks instead of being joined.
 KEYS_SENT = 1_000_000
+#: Up to so many bytes of sets are sent to all tasks.
+BYTES_SENT = 32_000_000
 ROUNDS = 40
 
 
@@ -208,19 +210,26 @@ def _may_be_alike(measure: Measure, a: str, b: str):
     return (100 * F.least(an, bn) >= measure.percent * F.greatest(an, bn)) & (F.least(an - aa, bn - ba) >= least)
 
 
-def _sets(docs: DataFrame, keys: DataFrame, measure: Measure) -> DataFrame:
-    """(_node, _grams) of the documents whose _key is in ``keys``."""
-    few = cut(keys.select("_key").distinct())
-    found = docs.join(F.broadcast(few) if small_enough(few, KEYS_SENT) else few, "_key", "left_semi")
+def _with_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` joined with the rows of ``keys`` on _key; their text isn't shuffled where the keys are few."""
+    return docs.join(F.broadcast(keys) if small_enough(keys, KEYS_SENT) else keys, "_key")
+
+
+def _sets(docs: DataFrame, keys: DataFrame, measure: Measure, carry: str) -> DataFrame:
+    """(carry, _grams) for each row of ``keys`` (_key, carry) and document with that key: its set as bytes."""
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
+        memo, last, made = _Words(), None, b""
         for batch in them:
-            sets = [ngrams(t, measure.n, memo) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_node", "_grams"])
+            out = []
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != last:  # the rows of a document follow one another
+                    last, made = key, ngrams(text, measure.n, memo).tobytes()
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[carry, "_grams"])
 
-    sets = stored(found.select("text").mapInArrow(batches, "_node long, _grams binary"), "sets")
-    return sets if sets.count() == few.count() else stored(sets.dropDuplicates(["_node"]), "sets")  # repeated rows have one key
+    kind = keys.schema[carry].dataType.simpleString()
+    return _with_keys(docs, keys).select(carry, "_key", "text").mapInArrow(batches, f"{carry} {kind}, _grams binary")
 
 
 CUTS = (np.arange(1, PARTS, dtype=np.float64) * 2.0**64 / PARTS).astype(np.uint64)
@@ -235,10 +244,8 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (_a, _b) whose sets are alike."""
-    x = pairs.join(sets.select(F.col("_node").alias("_a"), F.col("_grams").alias("_ga")), "_a")
-    x = x.join(sets.select(F.col("_node").alias("_b"), F.col("_grams").alias("_gb")), "_b").select("_a", "_b", "_ga", "_gb")
+def _verified(sides: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs (_a, _b) of rows (_a, _b, _grams, _others) whose sets are alike."""
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
@@ -246,7 +253,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["_a", "_b"])
 
-    return x.mapInArrow(batches, "_a long, _b long")
+    return sides.select("_a", "_b", "_grams", "_others").mapInArrow(batches, "_a long, _b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -285,10 +292,17 @@ class Join:
         self.rows = stored(_shared(_prefixes(self.docs, measure, _sketch(self.profile))), "shared")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are alike. Only the sets of nodes in them are made."""
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("_a").alias("_node")).union(pairs.select("_b")).distinct()
-        return cut(_compared(pairs, _sets(self.docs, self.keys.join(wanted, "_node"), self.measure), self.measure))
+        """Those of the pairs that are alike. Only the sets of nodes in them are made: one side's where its text is read,
+        for each pair, and the other's once, to be joined."""
+        pairs, keys = cut(pairs), self.keys
+        others = cut(pairs.select(F.col("_b").alias("_node")).distinct().join(keys, "_node").select("_key", F.col("_node").alias("_b")))
+        theirs = stored(_sets(self.docs, others, self.measure, "_b").withColumnRenamed("_grams", "_others"), "sets")
+        if theirs.count() > others.count():  # repeated rows have one key
+            theirs = stored(theirs.dropDuplicates(["_b"]), "sets")
+        asked = cut(pairs.join(keys, pairs["_a"] == keys["_node"]).select("_key", F.struct("_a", "_b").alias("_pair")))
+        ours = _sets(self.docs, asked, self.measure, "_pair").select("_pair._a", "_pair._b", "_grams")
+        few = (theirs.agg(F.sum(F.octet_length("_others").cast("long"))).first()[0] or 0) <= BYTES_SENT
+        return cut(_verified(ours.join(F.broadcast(theirs) if few else theirs, "_b"), self.measure).distinct())
 
     def pairs(self, rows: DataFrame, differ: str | None = None) -> DataFrame:
         """Candidates among ``rows``, each once; with ``differ``, only those that differ in that column."""
