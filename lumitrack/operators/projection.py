@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumitrack.functions.geo import added, bearing_degrees, cross, dot, local_axes, point, scaled, to_geographic, to_xyz, turned, unit
+from lumitrack.functions.geo import added, bearing_degrees, cross, dot, local_axes, point, scaled, to_geographic, to_xyz, unit
 
 
 def field_of_view(focal: Column, sensor: Column) -> Column:
@@ -13,36 +13,44 @@ def field_of_view(focal: Column, sensor: Column) -> Column:
     return F.degrees(F.lit(2.0) * F.atan(sensor / (F.lit(2.0) * focal)))
 
 
-def camera_axes(lat: Column, lon: Column, yaw: Column, pitch: Column, roll: Column, heading: Column | None = None) -> Column:
-    """struct(right, up, back): unit axes of a camera at a place.
+def ahead_of(lat: Column, lon: Column, velocity: Column | None = None) -> Column:
+    """The horizontal unit vector that pitch tips towards: north, or a velocity made tangent (north if that vanishes)."""
+    axes = local_axes(lat, lon)
+    if velocity is None:
+        return axes["north"]
+    flat = added(velocity, scaled(axes["up"], -dot(velocity, axes["up"])))
+    return F.when(F.sqrt(dot(flat, flat)) < 1e-6, axes["north"]).otherwise(unit(flat))
+
 
-    It looks down, tipped by pitch towards north (or the heading, a velocity made tangent; north if that vanishes), then
-    turned about the vertical by yaw and about its own view by roll. Where up is along the view, east stands in.
+def with_rays(pixels: DataFrame, out: str = "_ray") -> DataFrame:
+    """``pixels`` with the unit direction through each pixel's centre.
+
+    pixels: px, py (from below), width, height, fov_x (degrees across the width), yaw, pitch, roll, and the unit vectors
+    _up, _ahead and _east. The camera looks down, tipped by pitch towards _ahead, then turned about _up by yaw and about
+    its own view by roll. All turns are worked out in the frame (up, ahead, side), where they are plane rotations; looking
+    straight down, east stands for the image's upward direction.
     """
-    axes = local_axes(lat, lon)
-    ahead = axes["north"]
-    if heading is not None:
-        flat = added(heading, scaled(axes["up"], -dot(heading, axes["up"])))
-        ahead = F.when(F.sqrt(dot(flat, flat)) < 1e-6, axes["north"]).otherwise(unit(flat))
-    tip = F.radians(pitch)
-    view = added(scaled(scaled(axes["up"], F.lit(-1.0)), F.cos(tip)), scaled(ahead, F.sin(tip)))
-    view = unit(turned(view, axes["up"], yaw))
-    above = added(ahead, scaled(view, -dot(ahead, view)))
-    above = F.when(F.sqrt(dot(above, above)) < 1e-6, axes["east"]).otherwise(above)
-    above = unit(turned(above, axes["up"], yaw)) if heading is None else unit(above)
-    right = unit(cross(view, above))
-    upward = cross(right, view)
-    right, upward = turned(right, view, roll), turned(upward, view, roll)
-    return F.struct(right.alias("right"), upward.alias("up"), scaled(view, F.lit(-1.0)).alias("back"))
-
-
-def ray(px: Column, py: Column, width: Column, height: Column, fov_x: Column, axes: Column) -> Column:
-    """The unit direction through a pixel's centre; ``fov_x`` in degrees across the width."""
-    u = (px + F.lit(0.5)) / width * F.lit(2.0) - F.lit(1.0)
-    v = F.lit(1.0) - (py + F.lit(0.5)) / height * F.lit(2.0)
-    t = F.tan(F.radians(fov_x) / F.lit(2.0))
-    x, y = u * t, v * t / (width / height)
-    return unit(added(added(scaled(axes["right"], x), scaled(axes["up"], y)), scaled(axes["back"], F.lit(-1.0))))
+    side = cross(F.col("_ahead"), F.col("_up"))
+    x = pixels.withColumn("_side", side).withColumns({
+        "_c": F.cos(F.radians("pitch")), "_s": F.sin(F.radians("pitch")), "_cy": F.cos(F.radians("yaw")), "_sy": F.sin(F.radians("yaw")), "_cr": F.cos(F.radians("roll")), "_sr": F.sin(F.radians("roll")),
+        "_half": F.tan(F.radians("fov_x") / F.lit(2.0)), "_ea": dot(F.col("_east"), F.col("_ahead")), "_es": dot(F.col("_east"), F.col("_side")),
+    })
+    across = ((F.col("px") + 0.5) / F.col("width") * 2.0 - 1.0) * F.col("_half")
+    upwards = ((F.col("py") + 0.5) / F.col("height") * 2.0 - 1.0) * F.col("_half") / (F.col("width") / F.col("height"))
+    x = x.withColumns({"_x": across, "_y": upwards})
+    # what the image's upward and rightward directions count for, once rolled
+    x = x.withColumns({"_a": F.col("_y") * F.col("_cr") - F.col("_x") * F.col("_sr"), "_b": F.col("_x") * F.col("_cr") + F.col("_y") * F.col("_sr")})
+    down, sign = F.abs("_s") < 1e-6, F.signum("_s")
+    x = x.withColumns({
+        "_du": F.when(down, -F.col("_c")).otherwise(F.col("_a") * sign * F.col("_s") - F.col("_c")),
+        "_da": F.when(down, F.col("_a") * F.col("_ea") - F.col("_b") * F.col("_es")).otherwise(F.col("_s") + F.col("_a") * sign * F.col("_c")),
+        "_ds": F.when(down, F.col("_a") * F.col("_es") + F.col("_b") * F.col("_ea")).otherwise(F.col("_b") * sign),
+    })
+    x = x.withColumns({"_fa": F.col("_da") * F.col("_cy") + F.col("_ds") * F.col("_sy"), "_fs": F.col("_ds") * F.col("_cy") - F.col("_da") * F.col("_sy")})
+    x = x.withColumn("_long", F.sqrt(F.col("_du") * F.col("_du") + F.col("_fa") * F.col("_fa") + F.col("_fs") * F.col("_fs")))
+    mixed = lambda c: (F.col("_du") * F.col("_up")[c] + F.col("_fa") * F.col("_ahead")[c] + F.col("_fs") * F.col("_side")[c]) / F.col("_long")
+    x = x.withColumn(out, point(mixed("x"), mixed("y"), mixed("z")))
+    return x.drop("_side", "_c", "_s", "_cy", "_sy", "_cr", "_sr", "_half", "_ea", "_es", "_x", "_y", "_a", "_b", "_du", "_da", "_ds", "_fa", "_fs", "_long")
 
 
 def on_sphere(origin: Column, direction: Column, radius: float) -> Column:
@@ -55,14 +63,19 @@ def on_sphere(origin: Column, direction: Column, radius: float) -> Column:
 def projected(pixels: DataFrame, radius: float = 10.0, heading: bool = False) -> DataFrame:
     """``pixels`` with lat and lon on the ground, null where a ray misses.
 
-    pixels: px, py, width, height, fov_x, cam_lat, cam_lon, cam_alt_km, yaw, pitch, roll (and hx, hy, hz with heading). The
-    steps are kept in columns, so that each is worked out once a row.
+    pixels: px, py (from below), width, height, fov_x, cam_lat, cam_lon, cam_alt_km, yaw, pitch, roll (and hx, hy, hz with
+    heading). The steps are kept in columns, so that each is worked out once a row.
     """
-    ahead = point(F.col("hx"), F.col("hy"), F.col("hz")) if heading else None
-    x = pixels.withColumn("_axes", camera_axes(*(F.col(c) for c in ("cam_lat", "cam_lon", "yaw", "pitch", "roll")), heading=ahead))
-    x = x.withColumns({"_o": to_xyz(F.col("cam_lat"), F.col("cam_lon"), F.col("cam_alt_km"), radius), "_d": ray(*(F.col(c) for c in ("px", "py", "width", "height", "fov_x", "_axes")))})
-    x = x.withColumn("_hit", on_sphere(F.col("_o"), F.col("_d"), radius)).withColumn("_geo", F.when(F.col("_hit").isNotNull(), to_geographic(F.col("_hit"), radius)))
-    return x.withColumns({"lat": F.col("_geo.lat"), "lon": F.col("_geo.lon")}).drop("_axes", "_o", "_d", "_hit", "_geo")
+    at = (F.col("cam_lat"), F.col("cam_lon"))
+    velocity = point(F.col("hx"), F.col("hy"), F.col("hz")) if heading else None
+    axes = local_axes(*at)
+    x = pixels.withColumns({"_up": axes["up"], "_east": axes["east"], "_ahead": ahead_of(*at, velocity), "_o": to_xyz(*at, F.col("cam_alt_km"), radius)})
+    x = with_rays(x, "_d")
+    x = x.withColumns({"_od": dot(F.col("_o"), F.col("_d")), "_oo": dot(F.col("_o"), F.col("_o")) - F.lit(radius * radius)})
+    x = x.withColumn("_in", F.col("_od") * F.col("_od") - F.col("_oo")).withColumn("_t", F.when(F.col("_in") >= 0, -F.col("_od") - F.sqrt("_in")))
+    x = x.withColumns({f"_h{c}": F.col("_o")[c] + F.col("_d")[c] * F.col("_t") for c in "xyz"})
+    hit = to_geographic(point(F.col("_hx"), F.col("_hy"), F.col("_hz")), radius)
+    return x.withColumns({"lat": hit["lat"], "lon": hit["lon"]}).drop("_up", "_east", "_ahead", "_o", "_d", "_od", "_oo", "_in", "_t", "_hx", "_hy", "_hz")
 
 
 def control_points(projected_pixels: DataFrame, source: str = "real") -> DataFrame:

@@ -166,10 +166,19 @@ def track_qc(spark, sf_dir):
     return qc.withColumns(rounded | {"can_impute": yes("can_impute")})
 
 
-@query(f"""with {OBS}, t as (select track_key, any_value(sourceX) sx, any_value(-sourceY) sy, count(mapX) n from obs group by 1), rich as (select * from t where n >= 20),
-b as (select min(sx) x0, max(sx) x1, min(sy) y0, max(sy) y1 from rich),
-aims as (select unnest(['top_left', 'top_right', 'centre', 'bottom_left', 'bottom_right']) target, unnest([x0 + 0.15e0 * (x1 - x0), x0 + 0.85e0 * (x1 - x0), x0 + 0.5e0 * (x1 - x0), x0 + 0.15e0 * (x1 - x0), x0 + 0.85e0 * (x1 - x0)]) x, unnest([y0 + 0.15e0 * (y1 - y0), y0 + 0.15e0 * (y1 - y0), y0 + 0.5e0 * (y1 - y0), y0 + 0.85e0 * (y1 - y0), y0 + 0.85e0 * (y1 - y0)]) y from b)
-select target, track_key from (select target, track_key, row_number() over (partition by target order by (sx - x) * (sx - x) + (sy - y) * (sy - y), track_key) k from aims, rich) where k = 1""")
+def _diagnostic_sql():
+    aims = (("top_left", 0.15, 0.15), ("top_right", 0.85, 0.15), ("centre", 0.5, 0.5), ("bottom_left", 0.15, 0.85), ("bottom_right", 0.85, 0.85))
+    picks, before = [], []
+    for i, (name, u, v) in enumerate(aims):
+        free = "".join(f" and track_key not in (select track_key from pick{j})" for j in before)
+        d = f"(sx - (x0 + {u}e0 * (x1 - x0))) * (sx - (x0 + {u}e0 * (x1 - x0))) + (sy - (y0 + {v}e0 * (y1 - y0))) * (sy - (y0 + {v}e0 * (y1 - y0)))"
+        picks.append(f"pick{i} as (select '{name}' target, track_key from rich, b where true{free} order by {d}, track_key limit 1)")
+        before.append(i)
+    union = " union all ".join(f"select * from pick{i}" for i in range(5))
+    return f"with {OBS}, t as (select track_key, any_value(sourceX) sx, any_value(-sourceY) sy, count(mapX) n from obs group by 1), rich as (select * from t where n >= 20), b as (select min(sx) x0, max(sx) x1, min(sy) y0, max(sy) y1 from rich), {', '.join(picks)} {union}"
+
+
+@query(_diagnostic_sql())
 def diagnostic_tracks(spark, sf_dir):
     each = observations(spark, sf_dir).groupBy("track_key").agg(F.first("sourceX").alias("sx"), (-F.first("sourceY")).alias("sy"), F.count("mapX").alias("n_observed"))
     return tracks.diagnostic_tracks(each, 20)
@@ -483,40 +492,36 @@ def _projected(spark, sf_dir, heading):
 
 
 def _projection_sql(heading):
+    """The same by vectors: axes built by cross products and turned by Rodrigues' formula."""
     dot = lambda a, b: f"({a}x * {b}x + {a}y * {b}y + {a}z * {b}z)"
-    cross = lambda a, b, o: f"{a}y * {b}z - {a}z * {b}y {o}x, {a}z * {b}x - {a}x * {b}z {o}y, {a}x * {b}y - {a}y * {b}x {o}z"
+    crossed = lambda a, b: (f"{a}y * {b}z - {a}z * {b}y", f"{a}z * {b}x - {a}x * {b}z", f"{a}x * {b}y - {a}y * {b}x")
+    cross = lambda a, b, o: ", ".join(f"{v} {o}{c}" for c, v in zip("xyz", crossed(a, b), strict=True))
     combine = lambda o, *terms: ", ".join(" + ".join(f"({k}) * {v}{c}" for k, v in terms) + f" {o}{c}" for c in "xyz")
     unit = lambda a, o: ", ".join(f"{a}{c} / sqrt({dot(a, a)}) {o}{c}" for c in "xyz")
-    turn = lambda v, axis, angle, o: ", ".join(f"{v}{c} * cos(radians({angle})) + ({cr}) * sin(radians({angle})) + {axis}{c} * {dot(axis, v)} * (1 - cos(radians({angle}))) {o}{c}" for c, cr in zip("xyz", (f"{axis}y * {v}z - {axis}z * {v}y", f"{axis}z * {v}x - {axis}x * {v}z", f"{axis}x * {v}y - {axis}y * {v}x"), strict=True))
+    turn = lambda v, k, angle, o: ", ".join(f"{v}{c} * cos(radians({angle})) + ({r}) * sin(radians({angle})) + {k}{c} * {dot(k, v)} * (1 - cos(radians({angle}))) {o}{c}" for c, r in zip("xyz", crossed(k, v), strict=True))
     steps = [
-        "n as (select n_nationkey, n_nationkey * 5e0 - 60e0 la, n_nationkey * 14e0 - 170e0 lo, 400e0 + n_nationkey alt, n_nationkey * 11e0 - 130e0 yaw, n_nationkey + 20e0 pitch, n_nationkey - 12e0 roll, px::double px, py::double py, 0.3e0 hx, -0.5e0 hy, 0.8e0 hz from nation, range(0, 601, 100) a(px), range(0, 401, 100) b(py))",
-        "a1 as (select *, -sin(radians(lo)) ex, cos(radians(lo)) ey, 0e0 ez, -sin(radians(la)) * cos(radians(lo)) nx, -sin(radians(la)) * sin(radians(lo)) ny, cos(radians(la)) nz, cos(radians(la)) * cos(radians(lo)) ux, cos(radians(la)) * sin(radians(lo)) uy, sin(radians(la)) uz from n)",
+        "n as (select n_nationkey, n_nationkey * 5e0 - 60e0 la, n_nationkey * 14e0 - 170e0 lo, 400e0 + n_nationkey alt, n_nationkey * 11e0 - 130e0 yaw, n_nationkey + 20e0 pitch, n_nationkey - 12e0 roll, px::double px, py::double py, 0.3e0 vel_x, -0.5e0 vel_y, 0.8e0 vel_z from nation, range(0, 601, 100) a(px), range(0, 401, 100) b(py))",
+        "s1 as (select *, -sin(radians(la)) * cos(radians(lo)) nor_x, -sin(radians(la)) * sin(radians(lo)) nor_y, cos(radians(la)) nor_z, cos(radians(la)) * cos(radians(lo)) up_x, cos(radians(la)) * sin(radians(lo)) up_y, sin(radians(la)) up_z from n)",
     ]
     if heading:
-        steps += [f"a2 as (select *, {combine('q', ('1', 'h'), ('-' + dot('h', 'u'), 'u'))} from a1)", f"a3 as (select *, {unit('q', 'd')} from a2)"]
+        steps += [f"s2 as (select *, {combine('tan_', ('1', 'vel_'), ('-' + dot('vel_', 'up_'), 'up_'))} from s1)", f"s3 as (select *, {unit('tan_', 'ah_')} from s2)"]
     else:
-        steps += ["a3 as (select *, nx dx, ny dy, nz dz from a1)"]
+        steps += ["s3 as (select *, nor_x ah_x, nor_y ah_y, nor_z ah_z from s1)"]
     steps += [
-        f"a4 as (select *, {combine('w', ('-cos(radians(pitch))', 'u'), ('sin(radians(pitch))', 'd'))} from a3)",
-        f"a5 as (select *, {turn('w', 'u', 'yaw', 't')} from a4)",
-        f"a6 as (select *, {unit('t', 'v')} from a5)",
-        f"a7 as (select *, {combine('b', ('1', 'd'), ('-' + dot('d', 'v'), 'v'))} from a6)",
+        f"s4 as (select *, {combine('view0_', ('-cos(radians(pitch))', 'up_'), ('sin(radians(pitch))', 'ah_'))} from s3)",
+        f"s5 as (select *, {combine('over_', ('1', 'up_'), ('-' + dot('up_', 'view0_'), 'view0_'))} from s4)",
+        f"s6 as (select *, {unit('over_', 'top0_')} from s5)",
+        f"s7 as (select *, {cross('view0_', 'top0_', 'right0_')} from s6)",
+        f"s8 as (select *, {turn('view0_', 'up_', 'yaw', 'view_')}, {turn('top0_', 'up_', 'yaw', 'top1_')}, {turn('right0_', 'up_', 'yaw', 'right1_')} from s7)",
+        f"s9 as (select *, {combine('top_', ('cos(radians(roll))', 'top1_'), ('sin(radians(roll))', 'right1_'))}, {combine('right_', ('-sin(radians(roll))', 'top1_'), ('cos(radians(roll))', 'right1_'))} from s8)",
+        "t1 as (select *, ((px + 0.5e0) / 600 * 2 - 1) * tan(radians(50e0) / 2) sx, ((py + 0.5e0) / 400 * 2 - 1) * tan(radians(50e0) / 2) / (600e0 / 400e0) sy from s9)",
+        f"t2 as (select *, {combine('out_', ('sx', 'right_'), ('sy', 'top_'), ('1', 'view_'))} from t1)",
+        f"t3 as (select *, {unit('out_', 'ray_')}, (10e0 + alt * 10e0 / 6371e0) * up_x eye_x, (10e0 + alt * 10e0 / 6371e0) * up_y eye_y, (10e0 + alt * 10e0 / 6371e0) * up_z eye_z from t2)",
+        f"t4 as (select *, {dot('eye_', 'ray_')} half_b, {dot('eye_', 'eye_')} - 100e0 cc from t3)",
+        "t5 as (select *, case when half_b * half_b - cc >= 0 then -half_b - sqrt(half_b * half_b - cc) end far from t4)",
+        f"t6 as (select *, {combine('hit_', ('1', 'eye_'), ('far', 'ray_'))} from t5)",
     ]
-    steps += [f"a8 as (select *, {turn('b', 'u', 'yaw', 'c')} from a7)"] if not heading else ["a8 as (select *, bx cx, by_ cy, bz cz from (select * rename (by as by_) from a7))"]
-    steps += [
-        f"a9 as (select *, {unit('c', 'g')} from a8)",
-        f"b1 as (select *, {cross('v', 'g', 'i')} from a9)",
-        f"b2 as (select *, {unit('i', 'r')} from b1)",
-        f"b3 as (select *, {cross('r', 'v', 'k')} from b2)",
-        f"b4 as (select *, {turn('r', 'v', 'roll', 'rr')}, {turn('k', 'v', 'roll', 'kk')} from b3)",
-        "b5 as (select *, ((px + 0.5e0) / 600 * 2 - 1) * tan(radians(50e0) / 2) sx, (1 - (py + 0.5e0) / 400 * 2) * tan(radians(50e0) / 2) / (600e0 / 400e0) sy from b4)",
-        f"b6 as (select *, {combine('e_', ('sx', 'rr'), ('sy', 'kk'), ('1', 'v'))} from b5)",
-        f"b7 as (select *, {unit('e_', 'f')}, (10e0 + alt * 10e0 / 6371e0) * ux ox, (10e0 + alt * 10e0 / 6371e0) * uy oy, (10e0 + alt * 10e0 / 6371e0) * uz oz from b6)",
-        f"b8 as (select *, {dot('o', 'f')} bb, {dot('o', 'o')} - 100e0 cc from b7)",
-        "b9 as (select *, case when bb * bb - cc >= 0 then -bb - sqrt(bb * bb - cc) end tt from b8)",
-        f"c1 as (select *, {combine('p_', ('1', 'o'), ('tt', 'f'))} from b9)",
-    ]
-    return f"with {', '.join(steps)} select n_nationkey, px, py, {sf_fixed('degrees(asin(p_z / sqrt(p_x * p_x + p_y * p_y + p_z * p_z)))', 5)} lat, {sf_fixed('degrees(atan2(p_y, p_x))', 5)} lon from c1"
+    return f"with {', '.join(steps)} select n_nationkey, px, py, {sf_fixed('degrees(asin(hit_z / sqrt(hit_x * hit_x + hit_y * hit_y + hit_z * hit_z)))', 5)} lat, {sf_fixed('degrees(atan2(hit_y, hit_x))', 5)} lon from t6"
 
 
 @query(_projection_sql(False))
@@ -524,7 +529,7 @@ def ray_projection_north(spark, sf_dir):
     return _projected(spark, sf_dir, False)
 
 
-@query(_projection_sql(True).replace("bx cx, by_ cy, bz cz from (select * rename (by as by_) from a7)", 'bx cx, "by" cy, bz cz from (select * from a7)').replace(" by,", ' "by",'))
+@query(_projection_sql(True))
 def ray_projection_forward(spark, sf_dir):
     return _projected(spark, sf_dir, True)
 
