@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = plain.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 10 * ranges)).first()[0]
     cuts = F.array(*(F.lit(c).cast("long") for c in sorted({*(cuts or []), 0})))
-    keyed = plain.withColumns({"_range": F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))), F.lit(-1)), "_tie": F.xxhash64("text")})
+    keyed = plain.withColumns({"_range": F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))), "_tie": F.xxhash64("text")})
     # the first document of each range, by keys alone; then their texts, a row a range
     low = F.struct((-F.col("doc_id")).alias("less"), "_tie", "doc_id")
     ends = keyed.groupBy("_range").agg(F.min(low).alias("k")).select("_range", "k.doc_id", "k._tie").collect()

@@ -2,8 +2,8 @@
 
 Small transducers rewrite a text (look-alike letters, zero-width characters, spelled digits, "at" and "dot" in words or
 brackets) and remember for each written character which source characters it stands for. Detectors run on the source
-and on the rewritten text; spans found in the latter are mapped back to source positions and added where they overlap
-no span of the same kind that the source shows plainly.
+and on the rewritten text; spans found in the latter are mapped back to source positions and added unless they lie
+within a span of the same kind that the source shows plainly.
 
 Null texts count as empty and have no spans. Texts are read whole, in time linear in their length: no detector
 backtracks over a run twice. Repeated rows are each reported. An empty table gives an empty result; only ``doc_id`` and
@@ -13,6 +13,7 @@ backtracks over a run twice. Repeated rows are each reported. An empty table giv
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -171,24 +172,22 @@ def personal_data(text: str | None) -> tuple[list[tuple[int, int, int]], list[tu
     for k, a, b in base:
         taken.setdefault(k, []).append((a, b))
     for k, a, b in disguised(text):
-        if not overlaps(taken.get(k, []), a, b):
+        if not holds(taken.get(k, []), a, b):
             added.append((k, a, b))
     return base, added
 
 
-def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether one of the sorted, disjoint ``spans`` overlaps start to end."""
-    from bisect import bisect_left
-
-    i = bisect_left(spans, (end,))
-    return i > 0 and spans[i - 1][1] > start
+def holds(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the sorted, disjoint ``spans`` holds start to end."""
+    i = bisect_right(spans, (start, float("inf")))
+    return i > 0 and spans[i - 1][1] >= end
 
 
 def masked(text: str, mask: str = "<{}>") -> str:
     """``text`` with every span, plain or disguised, replaced by its kind."""
     base, added = personal_data(text)
     out, at = [], 0
-    for a, b, k in sorted((a, b, k) for k, a, b in base + added):
+    for a, b, k in sorted(((a, b, k) for k, a, b in base + added), key=lambda s: (s[0], -s[1], s[2])):
         if a >= at:
             out += [text[at:a], mask.format(KINDS[k])]
             at = b

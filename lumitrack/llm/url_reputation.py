@@ -40,14 +40,14 @@ def path_of(url: Column) -> Column:
 
 def suffix_of(host: Column) -> Column:
     """The public suffix of a host without its port."""
-    name = F.rtrim(F.lit("."), F.regexp_replace(host, r":\d*$", ""))
+    name = F.rtrim(F.regexp_replace(host, r":\d*$", ""), F.lit("."))
     two = F.substring_index(name, ".", -2)
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     """The registered domain: the suffix and one label more."""
-    name = F.rtrim(F.lit("."), F.regexp_replace(host, r":\d*$", ""))
+    name = F.rtrim(F.regexp_replace(host, r":\d*$", ""), F.lit("."))
     two = F.substring_index(name, ".", -2)
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
