@@ -279,7 +279,7 @@ def frame_id_variants(spark, sf_dir):
     return name_view(spark, sf_dir).select("path", "event_id", *(v.alias(k) for k, v in ids.items()))
 
 
-@query("""select event_id, strftime(ts, '%Y-%m-%dT%H-%M-%S-') || lpad((epoch_ms(ts) % 1000)::varchar, 3, '0') as stamp, epoch_ms(ts) millis from events""")
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H-%M-%S-') || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0') as stamp, epoch_us(ts) // 1000 millis from events""")
 def render_name_time(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     zero = F.lit(0.0)
