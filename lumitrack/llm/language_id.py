@@ -6,8 +6,8 @@ backing off from ``LONGEST`` characters to one, and by a uniform chance where ev
 score is the posterior of its best language under its words, each counted as often as it occurs.
 
 Training takes at most about ``SAMPLE`` documents of each language, picked by a hash (all, where there are fewer), and
-keeps the ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams; so the model's size, which is broadcast,
-doesn't grow with the corpus. Prediction reads every text whole.
+keeps the most frequent words and n-grams, ``WORDS`` and ``GRAMS`` at most (of those equally frequent, all or none); so
+the model's size, which is broadcast, doesn't grow with the corpus. Prediction reads every text whole.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does everything if nothing was learnt. Documents
 with a null language aren't learnt from. Ties go to the language that sorts first. Repeated rows are each predicted. An
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lumitrack.llm.common import cut
+
 SAMPLE = 4_000
 WORDS, GRAMS = 100_000, 60_000
 LANGUAGES = 1_000
@@ -55,18 +57,26 @@ class Model:
     """Log chances: words and n-grams map to a row of ``table``, which has a column per language."""
 
     def __init__(self, languages: list[str], words: dict[str, dict[int, int]], grams: dict[str, dict[int, int]]):
+        """From counts by the language's number."""
+        tables = [np.array([[by.get(j, 0) for j in range(len(languages))] for by in counts.values()]) for counts in (words, grams)]
+        self._set(languages, (list(words), list(grams)), tables)
+
+    @classmethod
+    def counted(cls, languages: list[str], words: pa.Table, grams: pa.Table) -> Model:
+        """From the columns word and counts, which has a number per language; Arrow keeps them small on the driver."""
+        model = cls.__new__(cls)
+        tables = [t["counts"].combine_chunks().flatten().to_numpy() for t in (words, grams)]
+        model._set(languages, [t["word"].to_pylist() for t in (words, grams)], tables)
+        return model
+
+    def _set(self, languages: list[str], names, tables) -> None:
         self.languages = languages
-        self.words, word_table = self._logs(words)
-        self.grams, self.gram_table = self._logs(grams)
-        self.rows = [r.tolist() for r in word_table]
-
-    def _logs(self, counts: dict[str, dict[int, int]]) -> tuple[dict[str, int], np.ndarray]:
-        table = np.zeros((len(counts), len(self.languages)))
-        for i, by in enumerate(counts.values()):
-            for language, n in by.items():
-                table[i, language] = n
-        totals = table.sum(axis=0) + 0.5 * (len(counts) + 1)
-        return {x: i for i, x in enumerate(counts)}, np.log((table + 0.5) / totals)
+        (self.words, self.word_table), (self.grams, self.gram_table) = map(self._logs, names, tables)
+
+    def _logs(self, names: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        table = counts.reshape(len(names), len(self.languages)).astype(float)
+        totals = table.sum(axis=0) + 0.5 * (len(names) + 1)
+        return {x: i for i, x in enumerate(names)}, np.log((table + 0.5) / totals)
 
     def unseen(self, word: str) -> list[float]:
         """The mean, over the word's places, of the longest known n-gram that starts there."""
@@ -84,7 +94,7 @@ class Model:
 def predictor(model: Model):
     """A function from a text to (language, score)."""
     columns, memo = len(model.languages), {}
-    known, rows = model.words, np.array(model.rows).reshape(len(model.rows), columns)
+    known, rows = model.words, model.word_table
 
     def predict(text: str | None) -> tuple[str, float]:
         counts = words_of(text) if text else None
@@ -147,16 +157,21 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, wo
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.string()), pa.array(by.values(), pa.int64())], names=["lang", "word", "n"])
 
     schema = "lang string, word string, n long"
-    by_word = drawn.mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    code = {x: i for i, x in enumerate(languages)}
-
-    def top(rows: DataFrame, limit: int) -> dict[str, dict[int, int]]:
-        every = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
-        kept = every.orderBy(F.desc("n"), "word").limit(limit).collect()
-        return {r["word"]: {code[x["lang"]]: x["n"] for x in r["by"]} for r in kept}
+    by_word = cut(drawn.mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+    def top(rows: DataFrame, limit: int) -> pa.Table:
+        by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # one entry a language
+        every = cut(rows.groupBy("word").agg(F.sum("n").alias("n"), by.alias("by")))
+        least, kept = float("inf"), 0
+        for r in every.groupBy("n").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("n")).collect():  # the sample bounds how many numbers there are
+            if (kept := kept + r["many"]) > limit:
+                break
+            least = r["n"]
+        counts = F.array(*(F.coalesce(F.col("by")[language], F.lit(0)) for language in languages)).cast("array<bigint>")
+        return every.filter(F.col("n") >= least).select("word", counts.alias("counts")).toArrow()
 
     by_gram = by_word.mapInArrow(split, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model(languages, top(by_word, words), top(by_gram, grams))
+    return Model.counted(languages, top(by_word, words), top(by_gram, grams))
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
