@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumitrack.llm.common import cut, small_enough, stored
+from lumitrack.llm.common import cut, small_batches, small_enough, stored
 
 #: Counters of the sketch, sent around in so many chunks.
 COUNTERS, CHUNKS = 1 << 22, 16
@@ -287,13 +287,18 @@ class Join:
     def __init__(self, docs: DataFrame, measure: Measure):
         self.measure = measure
         self.docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
-        self.profile = stored(_profile(self.docs, measure), "profile")
-        self.keys = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
-        self.rows = stored(_shared(_prefixes(self.docs, measure, _sketch(self.profile))), "shared")
+        with small_batches(docs.sparkSession):
+            self.profile = stored(_profile(self.docs, measure), "profile")
+            self.keys = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
+            self.rows = stored(_shared(_prefixes(self.docs, measure, _sketch(self.profile))), "shared")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are alike. Only the sets of nodes in them are made: one side's where its text is read,
         for each pair, and the other's once, to be joined."""
+        with small_batches(self.docs.sparkSession):
+            return self._compared(pairs)
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
         pairs, keys = cut(pairs), self.keys
         others = cut(pairs.select(F.col("_b").alias("_node")).distinct().join(keys, "_node").select("_key", F.col("_node").alias("_b")))
         theirs = stored(_sets(self.docs, others, self.measure, "_b").withColumnRenamed("_grams", "_others"), "sets")
