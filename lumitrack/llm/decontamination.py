@@ -3,13 +3,14 @@
 Texts become sequences of word hashes (lower-cased runs of letters and digits). Fixed masks each look at six of eight to
 eleven successive words and ignore the rest; a mask's hash of a benchmark place equals that of a training place where the
 six words agree, whatever stands between. Places that agree give a diagonal (item, shift), along which all words are then
-compared: a word that agrees counts 1, a substituted one -2, and the best stretch is the overlap. A document is
-contaminated by an item if its overlap holds at least ``MATCHES`` agreeing words, or four fifths of a shorter item.
+compared. A document is contaminated by an item if at least ``MATCHES`` words, or four fifths of a shorter item, agree
+within the overlap, which is the best stretch (a word that agrees counts 1, a substituted one -2) or, where that holds too
+few, all that is aligned: from the first to the last agreeing word of the item, or of ``REACH`` words of a longer one.
 
 The benchmark's seeds are sent to all tasks if they are at most ``SEEDS_SENT``; beyond that, training seeds that pass a
 bitmap of fixed size join them by hash. Both ways give the same rows. No text is shuffled.
 
-Null and empty texts, and items of fewer than eight words, match nothing. Texts are compared whole. Items that repeat are
+Null and empty texts, and items of fewer than eight words, match nothing; what no mask sees is not found. Texts are compared whole. Items that repeat are
 each reported; repeated documents too. Empty tables give empty results. Other columns are carried along or ignored.
 """
 
@@ -29,6 +30,8 @@ MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4
 LEAST_WORDS = 8
 MATCHES, SHARE = 13, 0.8
 SUBSTITUTED = -2
+#: Agreeing words outside a stretch count together over so many words; on longer diagonals common words agree by chance.
+REACH = 64
 SEEDS_SENT = 4_000_000
 BITMAP = 1 << 24
 
@@ -54,14 +57,23 @@ def seeds(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """The best stretch where word i of the item lies at i + shift of the document: (agreeing words, start, end) in the document."""
+    """The overlap where word i of the item lies at i + shift of the document: (agreeing words, start, end) in the document."""
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[low:high] == doc[low + shift : high + shift]
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, SUBSTITUTED))])
     least = np.minimum.accumulate(score)
     end = int(np.argmax(score - least))
     start = int(np.flatnonzero(score[: end + 1] == least[end])[-1])
-    return int(same[start:end].sum()), low + shift + start, low + shift + end
+    n = int(same[start:end].sum())
+    if n < needed(len(item)):
+        agreed = np.concatenate([[0], np.cumsum(same)])
+        reach = min(REACH, len(same))
+        within = agreed[reach:] - agreed[: len(agreed) - reach]
+        first = int(np.argmax(within))
+        at = first + np.flatnonzero(same[first : first + reach])
+        if len(at) > n:
+            n, start, end = len(at), int(at[0]), int(at[-1]) + 1
+    return n, low + shift + start, low + shift + end
 
 
 def needed(n_words: int) -> int:

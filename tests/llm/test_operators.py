@@ -201,6 +201,35 @@ def test_masks_see_past_substitutions():
         assert any(not {p + k for k in mask} & set(subs) for mask in decontamination.MASKS for p in range(13 - mask[-1]))
 
 
+@pytest.mark.parametrize("n", range(13, 21))
+def test_any_two_substitutions_are_found(n):
+    from itertools import combinations
+
+    import numpy as np
+
+    item = np.arange(n)
+    known = decontamination.Benchmark([1], [item])
+    cases = list(combinations(range(n), 2))
+    doc = np.arange(1000, 1000 + n + 8)
+    docs = np.tile(doc, (len(cases), 1))
+    docs[:, 5 : 5 + n] = item
+    for row, subs in zip(docs, cases, strict=True):
+        row[[5 + s for s in subs]] = -1
+    found = known.overlaps(docs.ravel(), np.arange(len(cases) + 1) * len(doc))
+    assert [f[0] for f in found] == list(range(len(cases)))
+    assert all(decontamination.needed(n) <= f[2] <= n - 2 and 5 <= f[3] < f[4] <= 5 + n for f in found)
+
+
+def test_substitutions_near_both_edges(spark):
+    words = [f"w{i}" for i in range(15)]
+    changed = [w if i not in (1, 13) else "x" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "a b " + " ".join(changed) + " c")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    for sent in (0, decontamination.SEEDS_SENT):
+        assert [tuple(r) for r in decontamination.overlaps(docs, items, sent).collect()] == [(1, 7, 13, 2, 17, 15)]
+    assert decontamination.decontaminated(docs, items).count() == 0
+
+
 # --- 5
 
 
