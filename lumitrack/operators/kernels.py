@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,17 +62,23 @@ def _solve(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["frame_index", "_x", "_y", "_c"])
 
 
-def structural_likeness(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> float:
-    """The mean structural similarity of two images over side x side windows."""
+def likeness_map(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> np.ndarray:
+    """The structural similarity of two images in each side x side window; none if the images are smaller."""
     a, b = a.astype(float), b.astype(float)
     if min(a.shape) < side:
-        return float("nan")
+        return np.zeros((0, 0))
     view = lambda m: np.lib.stride_tricks.sliding_window_view(m, (side, side)).mean(axis=(2, 3))
     fair = side * side / (side * side - 1.0)
     ma, mb = view(a), view(b)
     va, vb, cab = fair * (view(a * a) - ma * ma), fair * (view(b * b) - mb * mb), fair * (view(a * b) - ma * mb)
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    return float((((2 * ma * mb + c1) * (2 * cab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return ((2 * ma * mb + c1) * (2 * cab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
+
+
+def structural_likeness(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> float:
+    """The mean structural similarity of two images over side x side windows."""
+    found = likeness_map(a, b, side, span)
+    return float(found.mean()) if found.size else float("nan")
 
 
 def masked_likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -148,6 +154,85 @@ def tile_flow(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(flows, f"image {pairs.schema['image'].dataType.simpleString()}, row int, col int, dx double, dy double")
 
 
+#: Rows of an image that one tile answers for.
+TILE = 512
+#: Rows beyond these that a flow tile sees: five rounds of reach 7 at three levels are 280, the rest is for displacements.
+#: Both are multiples of 4, so that a tile is halved at the same rows as the whole image.
+MARGIN = 304
+
+
+def _in_tiles(pixels: DataFrame, first, last) -> DataFrame:
+    """A row per tile (image, _tile): row0, height, width, a, b; each pixel lies in the tiles from ``first`` to ``last``."""
+    dealt = pixels.withColumn("_tile", F.explode(F.sequence(first, last)))
+    packed = dealt.groupBy("image", "_tile").agg(F.array_sort(F.collect_list(F.struct("row", "col", "a", "b"))).alias("_p"))
+    corner, end = F.col("_p")[0], F.element_at("_p", -1)
+    size = ((end["row"] - corner["row"] + 1).alias("height"), (end["col"] - corner["col"] + 1).alias("width"))
+    return packed.select("image", "_tile", corner["row"].alias("row0"), *size, F.transform("_p", lambda p: p["a"]).alias("a"), F.transform("_p", lambda p: p["b"]).alias("b"))
+
+
+def _tile_of(row, tile: int):
+    return F.floor(row / F.lit(float(tile))).cast("int")
+
+
+def _boxes(pixels: DataFrame) -> DataFrame:
+    """Per image the box of ``masked_likeness``: the percentile from counts of whole values, without gathering pixels."""
+    whole = pixels.groupBy("image", F.floor("a").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min("a").alias("_least"), F.max("a").alias("_most"))
+    up, group = Window.partitionBy("image").orderBy("_v"), Window.partitionBy("image")
+    ranked = whole.withColumns({"_end": F.sum("_n").over(up), "_at": F.lit(0.15) * (F.sum("_n").over(group) - 1)})
+    holds = lambda k: (F.col("_end") - F.col("_n") <= k) & (k < F.col("_end"))
+    lower, upper = holds(F.floor("_at")), holds(F.ceil("_at"))
+    low = ranked.groupBy("image").agg(
+        F.max(F.when(lower, F.col("_v"))).alias("_v0"), F.max(F.when(upper, F.col("_v"))).alias("_v1"),
+        F.max(F.when(lower, F.col("_most"))).alias("_x0"), F.max(F.when(upper, F.col("_least"))).alias("_x1"), F.max(F.col("_at") - F.floor("_at")).alias("_part"),
+    )
+    between = F.floor(F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_part"))
+    darkest = low.select("image", F.greatest(F.lit(3), F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between)).alias("_dark"))
+    lit = F.col("a") > F.col("_dark")
+    ends = lambda c, f, part: f(F.when(lit, F.col(c)) if part else F.col(c))
+    enough = F.avg(lit.cast("double")) >= 0.05
+    box = [F.when(enough, ends(c, f, True)).otherwise(ends(c, f, False)).alias(n) for n, c, f in (("_row0", "row", F.min), ("_row1", "row", F.max), ("_col0", "col", F.min), ("_col1", "col", F.max))]
+    return pixels.join(darkest, "image").groupBy("image").agg(*box)
+
+
+def image_likeness(pixels: DataFrame, side: int = 7, tile: int = TILE) -> DataFrame:
+    """(image, likeness) of whole images of any height, from pixels (image, row, col, a, b): ``masked_likeness`` by tiles.
+
+    Tiles overlap by side - 1 rows, so each window lies in just one tile that answers for its first row; the images' sums
+    and counts of windows give the same mean.
+    """
+    boxed = pixels.join(_boxes(pixels), "image").filter("row between _row0 and _row1 and col between _col0 and _col1").select("image", "row", "col", "a", "b")
+    tiles = _in_tiles(boxed, F.greatest(F.lit(0), _tile_of(F.col("row") - (side - 1), tile)), _tile_of(F.col("row"), tile))
+
+    def score(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in them:
+            found = [likeness_map(_tile(a, h, w), _tile(b, h, w), side)[: max(0, (k + 1) * tile - r)] for a, b, h, w, k, r in zip(x["a"], x["b"], x["height"], x["width"], x["_tile"], x["row0"], strict=True)]
+            yield x[["image"]].assign(total=[float(f.sum()) for f in found], n=[f.size for f in found])
+
+    scored = tiles.mapInPandas(score, f"image {pixels.schema['image'].dataType.simpleString()}, total double, n long")
+    return scored.groupBy("image").agg(F.when(F.sum("n") > 0, F.sum("total") / F.sum("n")).otherwise(F.lit(float("nan"))).alias("likeness"))
+
+
+def image_flow(pixels: DataFrame, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
+    """(image, row, col, dx, dy) of every pixel of whole images of any height, from pixels (image, row, col, a, b).
+
+    A tile also sees ``margin`` rows on either side, which are more than ``dense_flow`` reaches, so its own rows have the
+    flow of the whole image (but for displacements beyond the margin).
+    """
+    last = pixels.groupBy("image").agg(_tile_of(F.max("row"), tile).alias("_last"))
+    row = F.col("row")
+    tiles = _in_tiles(pixels.join(last, "image"), F.greatest(F.lit(0), _tile_of(row - margin, tile)), F.least("_last", _tile_of(row + margin, tile)))
+
+    def flows(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in them:
+            for image, a, b, h, w, k, r in zip(x["image"], x["a"], x["b"], x["height"], x["width"], x["_tile"], x["row0"], strict=True):
+                f = dense_flow(_tile(a, h, w), _tile(b, h, w))
+                rows, cols = np.mgrid[:h, :w]
+                own = (rows + r) // tile == k
+                yield pd.DataFrame({"image": image, "row": (rows + r)[own], "col": cols[own], "dx": f[..., 0][own], "dy": f[..., 1][own]})
+
+    return tiles.mapInPandas(flows, f"image {pixels.schema['image'].dataType.simpleString()}, row int, col int, dx double, dy double")
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """The corners of the convex hull of (n, 2) points, counter-clockwise."""
     p = np.unique(points, axis=0)

@@ -717,20 +717,18 @@ def tps_warp(spark, sf_dir):
     return out.select("frame_index", "x", "y", fixed(F.col("u"), 3).alias("u"), fixed(F.col("v"), 3).alias("v"))
 
 
-def _tiles(spark, sf_dir):
-    t = raster(spark, sf_dir).filter("row < 48").groupBy("image").agg(F.array_sort(F.collect_list(F.struct("row", "col", "value"))).alias("p"), (F.max("row") + 1).alias("height"))
-    one = t.select("image", "height", F.lit(64).alias("width"), F.transform("p", lambda p: p["value"]).alias("a"))
-    return one.withColumn("b", F.transform("a", lambda v: v * 0.9 + 5.0))
+def _image_pairs(spark, sf_dir):
+    return raster(spark, sf_dir).select("image", "row", "col", F.col("value").alias("a"), (F.col("value") * 0.9 + 5.0).alias("b"))
 
 
 @query()
 def tile_likeness(spark, sf_dir):
-    return kernels.tile_likeness(_tiles(spark, sf_dir)).select("image", fixed(F.col("likeness"), 5).alias("likeness"))
+    return kernels.image_likeness(_image_pairs(spark, sf_dir)).select("image", fixed(F.col("likeness"), 5).alias("likeness"))
 
 
 @query()
 def tile_flow(spark, sf_dir):
-    f = kernels.tile_flow(_tiles(spark, sf_dir))
+    f = kernels.image_flow(_image_pairs(spark, sf_dir))
     return f.select("image", "row", "col", fixed(F.col("dx"), 4).alias("dx"), fixed(F.col("dy"), 4).alias("dy"))
 
 

@@ -248,3 +248,39 @@ def test_files_by_preference(spark):
     files = spark.createDataFrame([("a.png",), ("a.JPG",), ("b.tif",)], "file_name string")
     got = points.first_existing(spark.createDataFrame([("a",), ("b",), ("c",)], "base string"), files, [".JPG", ".png", ".tif"])
     assert {r.base: r.file_name for r in got.collect()} == {"a": "a.JPG", "b": "b.tif", "c": None}
+
+
+def pixels_of(spark, a, b, image=1):
+    import pandas as pd
+
+    rows, cols = np.mgrid[: a.shape[0], : a.shape[1]]
+    return spark.createDataFrame(pd.DataFrame({"image": image, "row": rows.ravel().astype("int32"), "col": cols.ravel().astype("int32"), "a": a.ravel(), "b": b.ravel()}))
+
+
+def test_tiles_are_of_whole_images(spark):
+    rng = np.random.default_rng(4)
+    for shape, dark in (((61, 9), 0), ((61, 9), 30), ((5, 9), 0), ((40, 12), 38)):
+        a = rng.random(shape) * 255
+        a[:dark] = 0
+        b = a * 0.9 + rng.random(shape) * 20
+        got = kernels.image_likeness(pixels_of(spark, a, b), tile=16).first().likeness
+        assert got == pytest.approx(kernels.masked_likeness(a, b), nan_ok=True)
+    a = rng.random((900, 16)) * 255
+    for _ in range(3):
+        a = kernels._smoothed(a, 3)
+    b = kernels.sampled(a, *np.meshgrid(np.arange(16.0) + 0.2, np.arange(900.0) + 0.3))
+    want, got = kernels.dense_flow(a, b), kernels.image_flow(pixels_of(spark, a, b), tile=128).toPandas()
+    assert len(got) == a.size and not got.duplicated(["row", "col"]).any()
+    assert np.allclose(got[["dx", "dy"]], want[got["row"], got["col"]], atol=1e-6)
+
+
+def test_tile_queries_see_every_row(spark):
+    from lumitrack import queries
+    from lumitrack.surrogates import raster
+
+    sf = "/root/testdata/sf0.001"
+    assert queries.QUERIES["tile_flow"](spark, sf).count() == raster(spark, sf).count()
+    p = raster(spark, sf).filter("image = 3").orderBy("row", "col").toPandas()
+    a = p["value"].to_numpy().reshape(-1, 64)
+    got = queries.QUERIES["tile_likeness"](spark, sf).filter("image = 3").first().likeness
+    assert got == pytest.approx(kernels.masked_likeness(a, a * 0.9 + 5.0), abs=2e-5)
