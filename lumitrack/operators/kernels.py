@@ -20,11 +20,14 @@ def _radial(d2: np.ndarray) -> np.ndarray:
 def spline(x: np.ndarray, y: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Coefficients of the thin-plate spline through ``values`` (n, k) at (x, y): n weights and an affine part."""
     n = len(x)
-    a = np.zeros((n + 3, n + 3))
+    a, plane = np.zeros((n + 3, n + 3)), np.stack([np.ones(n), x, y], axis=1)
     a[:n, :n] = _radial((x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2)
-    a[:n, n:] = np.stack([np.ones(n), x, y], axis=1)
+    a[:n, n:] = plane
     a[n:, :n] = a[:n, n:].T
-    return np.linalg.lstsq(a, np.concatenate([values, np.zeros((3, values.shape[1]))]), rcond=None)[0]
+    right = np.concatenate([values, np.zeros((3, values.shape[1]))])
+    if len(np.unique(plane, axis=0)) == n and np.linalg.matrix_rank(plane - [0, x.mean(), y.mean()]) == 3:
+        return np.linalg.solve(a, right)
+    return np.linalg.lstsq(a, right, rcond=None)[0]
 
 
 def spline_at(coefficients: np.ndarray, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
@@ -32,27 +35,69 @@ def spline_at(coefficients: np.ndarray, x: np.ndarray, y: np.ndarray, px: np.nda
     return np.concatenate([basis, np.stack([np.ones(len(px)), px, py], axis=1)], axis=1) @ coefficients
 
 
-def warped(points: DataFrame, targets: DataFrame, least: int = 6) -> DataFrame:
-    """targets (frame_index, x, y) with (u, v): a thin-plate spline per frame through its control points (x, y) to (u, v).
+#: A frame of at most so many control points has a spline through all of them; one of more has NODES x NODES radial
+#: functions fitted to all of them.
+POINTS_SOLVED = 2000
+NODES = 8
+FITTED = NODES * NODES + 3
 
-    A frame's control points, a few hundred, go to each of its targets' batches as one array; frames with fewer than
-    ``least`` give no rows. Targets of one frame may lie in any number of tasks.
+
+def warped(points: DataFrame, targets: DataFrame, least: int = 6, solved_to: int = POINTS_SOLVED) -> DataFrame:
+    """targets (frame_index, x, y) with (u, v): a thin-plate spline per frame by all its control points (x, y) to (u, v).
+
+    Up to ``solved_to`` control points are one array, and the spline goes through each. Larger frames are never gathered:
+    radial functions at the nodes of a fixed grid over the frame, and a plane, are fitted to all points by least squares,
+    whose normal equations are sums. Frames with fewer than ``least`` give no rows. Targets of one frame may lie in any
+    number of tasks.
     """
-    known = points.groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v"))).alias("_points")).filter(F.size("_points") >= least)
-    solved = known.mapInPandas(_solve, "frame_index int, _x array<double>, _y array<double>, _c array<double>")
+    points = points.select(F.col("frame_index").cast("int"), *(F.col(c).cast("double") for c in "xyuv"))
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    frames = points.groupBy("frame_index").agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.when(wide > 0, wide).otherwise(1.0).alias("_wide"))
+    sized = points.join(frames.filter(F.col("_n") >= least), "frame_index")
+    known = sized.filter(F.col("_n") <= solved_to).groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v"))).alias("_points"))
+    kinds = "frame_index int, _x array<double>, _y array<double>, _c array<double>"
+    through = known.mapInPandas(_solve, kinds).withColumns({"_x0": F.lit(0.0), "_y0": F.lit(0.0), "_wide": F.lit(1.0)})
+    unit = sized.filter(F.col("_n") > solved_to).select("frame_index", ((F.col("x") - F.col("_x0")) / F.col("_wide")).alias("x"), ((F.col("y") - F.col("_y0")) / F.col("_wide")).alias("y"), "u", "v")
+    sums = unit.mapInPandas(_normal, "frame_index int, _at int, _sum double").groupBy("frame_index", "_at").agg(F.sum("_sum").alias("_sum"))
+    packed = sums.groupBy("frame_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_sum"))), lambda s: s["_sum"]).alias("_sums"))
+    fitted = packed.mapInPandas(_fit_nodes, kinds).join(frames.drop("_n"), "frame_index")
+    solved = through.unionByName(fitted)
 
     def at(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in them:
             for _, g in batch.groupby("frame_index", sort=False):
                 x, y = np.array(g["_x"].iloc[0]), np.array(g["_y"].iloc[0])
                 c = np.array(g["_c"].iloc[0]).reshape(len(x) + 3, 2)
-                uv = spline_at(c, x, y, g["x"].to_numpy(float), g["y"].to_numpy(float))
+                px, py = ((g[a].to_numpy(float) - g[f"_{a}0"].iloc[0]) / g["_wide"].iloc[0] for a in "xy")
+                uv = spline_at(c, x, y, px, py)
                 yield g[["frame_index", "x", "y"]].assign(u=uv[:, 0], v=uv[:, 1])
 
     wanted = targets.select(F.col("frame_index").cast("int"), F.col("x").cast("double"), F.col("y").cast("double"))
     return wanted.join(solved, "frame_index").mapInPandas(at, "frame_index int, x double, y double, u double, v double")
 
 
+def _nodes() -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.meshgrid(np.linspace(0, 1, NODES), np.linspace(0, 1, NODES))
+    return x.ravel(), y.ravel()
+
+
+def _normal(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch's part of the frames' normal equations, by place."""
+    for batch in them:
+        for frame, g in batch.groupby("frame_index", sort=False):
+            d = spline_at(np.eye(FITTED), *_nodes(), g["x"].to_numpy(float), g["y"].to_numpy(float))
+            both = np.concatenate([(d.T @ d).ravel(), (d.T @ g[["u", "v"]].to_numpy(float)).ravel()])
+            yield pd.DataFrame({"frame_index": frame, "_at": np.arange(len(both)), "_sum": both})
+
+
+def _fit_nodes(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    x, y = _nodes()
+    for batch in them:
+        sums = [np.array(s) for s in batch["_sums"]]
+        c = [np.linalg.lstsq(s[: FITTED**2].reshape(FITTED, FITTED), s[FITTED**2 :].reshape(FITTED, 2), rcond=1e-13)[0] for s in sums]
+        yield batch[["frame_index"]].assign(_x=[x.tolist()] * len(c), _y=[y.tolist()] * len(c), _c=[m.ravel().tolist() for m in c])
+
+
 def _solve(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in them:
         rows = []

@@ -709,9 +709,9 @@ def simplex_search(spark, sf_dir):
 
 @query()
 def tps_warp(spark, sf_dir):
-    """A spline per frame through its control points, at the nodes of a grid."""
-    o = observations(spark, sf_dir).filter("mapX is not null and frame_index % 10 = frame_index % 10").groupBy("frame_index", "sourceX", "sourceY").agg(F.min("mapX").alias("u"), F.min("mapY").alias("v"))
-    ground = o.filter("sourceY > -1900").select(F.col("frame_index"), (F.col("sourceX") / 1000).alias("x"), (F.col("sourceY") / 1000).alias("y"), "u", "v")
+    """A spline per frame by all its control points, at the nodes of a grid."""
+    o = observations(spark, sf_dir).filter("mapX is not null").groupBy("frame_index", "sourceX", "sourceY").agg(F.min("mapX").alias("u"), F.min("mapY").alias("v"))
+    ground = o.select(F.col("frame_index"), (F.col("sourceX") / 1000).alias("x"), (F.col("sourceY") / 1000).alias("y"), "u", "v")
     grid = spark.range(5).select((F.col("id") * 0.5).alias("x")).crossJoin(spark.range(4).select((F.col("id") * -0.4).alias("y")))
     out = kernels.warped(ground, frames(spark, sf_dir).crossJoin(grid))
     return out.select("frame_index", "x", "y", fixed(F.col("u"), 3).alias("u"), fixed(F.col("v"), 3).alias("v"))

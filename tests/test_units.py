@@ -284,3 +284,28 @@ def test_tile_queries_see_every_row(spark):
     a = p["value"].to_numpy().reshape(-1, 64)
     got = queries.QUERIES["tile_likeness"](spark, sf).filter("image = 3").first().likeness
     assert got == pytest.approx(kernels.masked_likeness(a, a * 0.9 + 5.0), abs=2e-5)
+
+
+def test_warp_uses_all_control_points(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.random(400) * 3, rng.random(400) * -8
+    u, v = np.sin(x) + y, np.cos(y / 3) * x
+    points = spark.createDataFrame([(1, *map(float, p)) for p in zip(x, y, u, v)], "frame_index int, x double, y double, u double, v double").repartition(3)
+    targets = spark.createDataFrame([(1, 1.5, -7.0), (1, 0.5, -1.0), (1, 2.0, -4.0), (2, 0.0, 0.0)], "frame_index int, x double, y double")
+    for most, off in ((400, 0.02), (399, 0.05)):
+        got = kernels.warped(points, targets, solved_to=most).collect()
+        assert len(got) == 3 and all(abs(r.u - (math.sin(r.x) + r.y)) < off and abs(r.v - math.cos(r.y / 3) * r.x) < off for r in got)
+
+
+def test_warp_query_fits_tracks_of_all_source_rows(spark, tmp_path):
+    from datetime import timedelta
+
+    from lumitrack import queries
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i % 20), i, "view", float(i * i % 97)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    seen = {}
+    for n in (165, 400):  # 165 tracks have a sourceY above -1900
+        events.filter(f"user_id < {n}").write.parquet(str(tmp_path / f"{n}/events.parquet"))
+        seen[n] = [tuple(r) for r in queries.QUERIES["tps_warp"](spark, str(tmp_path / str(n))).orderBy("x", "y").collect()]
+    assert len(seen[165]) == len(seen[400]) == 20 and seen[165] != seen[400]
