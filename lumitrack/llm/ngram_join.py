@@ -347,7 +347,8 @@ def _residual(rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
 
 
 def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """Per document: doc_id, n_shingles (its set's size), component_id (the least doc_id that links lead to), and _key."""
+    """Per document: doc_id, n_shingles (its set's size), component_id (the least doc_id that links lead to), _class (the
+    class of its node; null without words), _key and _copies."""
     j = Join(docs, measure)
     found = j.compared(j.stars(j.rows))
     classes = connected(found)
@@ -360,15 +361,19 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     each = cut(members.join(sized, "_key"))
     least = each.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("_least")).join(classes, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
     named = least.groupBy("_class").agg(F.min("_least").alias("component_id"))
-    by_node = least.select("_node", "_class").join(named, "_class").select("_node", "component_id")
+    by_node = least.select("_node", "_class").join(named, "_class").select("_node", "_class", "component_id")
     out = each.join(by_node, "_node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("_n").cast("long").alias("n_shingles"), "component_id", "_key", "_copies")
+    return out.select("doc_id", F.col("_n").cast("long").alias("n_shingles"), "component_id", "_class", "_key", "_copies")
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """``docs``, with their columns: of each class the document of the least id; of its repeated rows, one."""
+    """``docs``, with their columns: of each class the document of the least id; of its repeated rows, one.
+
+    Classes are of nodes, since ids may be null or repeated; a document without words is a class of its own.
+    """
     first = F.min(F.struct("doc_id", "_key", "_copies")).alias("k")
-    keep = cut(components(docs, measure).groupBy("component_id").agg(first).select("k._key", "k._copies"))
+    own = F.when(F.col("_class").isNull(), F.col("_key"))
+    keep = cut(components(docs, measure).groupBy("_class", own.alias("_own")).agg(first).select("k._key", "k._copies"))
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     kept = keyed.join(F.broadcast(keep) if small_enough(keep, KEYS_SENT) else keep, "_key", "left_semi")
     if not keep.filter("_copies > 1").isEmpty():

@@ -485,6 +485,16 @@ def test_join_of_odd_rows(docs, rows, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == groups
 
 
+def test_one_of_each_without_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (None, None), (None, ""), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = multiset(ngram_join.one_of_each(docs, ngram_join.Measure(5, 80)).collect())
+    near = [k for k in got if k[1] and k[1].startswith("a0")]
+    assert len(near) == 1 and max(got.values()) == 1
+    assert {k for k in got if k not in near} == {rows[i] for i in (2, 3, 4, 5, 6, 7)}
+
+
 def test_connected(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
