@@ -49,10 +49,10 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-#: A spelled number: at least SPELLED_RUN digit words in a row, perhaps with figures between and "plus" before.
+#: A spelled number: at least SPELLED_RUN digit words, perhaps with figures between and "plus" before.
 SPELLED_RUN = 4
-SPELLED_NUMBER = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:{DIGIT}[\s,-]+){{{SPELLED_RUN - 1},}}{DIGIT}(?![^\W_])")
-DIGIT_OR_REST = re.compile(rf"(?i){DIGIT}(?![^\W_])|plus[\s-]+|[\s,-]+")
+SPELLED_NUMBER = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+(?:[0-9]+[\s,-]+)*+)?{DIGIT}(?![^\W_])(?:[\s,-]+(?:[0-9]+[\s,-]+)*+{DIGIT}(?![^\W_]))*+")
+DIGIT_OR_REST = re.compile(rf"(?i){DIGIT}(?![^\W_])|[0-9]+|plus[\s-]+|[\s,-]+")
 #: "at" and "dot": in brackets anywhere between word characters; bare words only where both stand in one address.
 AT, DOT = r"(?:at|arroba|chez|@)", r"(?:dot|punkt|punto|point|\.)"
 OPEN, SHUT = r"[\(\[\{<]\s{0,3}", r"\s{0,3}[\)\]\}>]"
@@ -60,8 +60,15 @@ BRACKETED_AT = rf"\s{{0,3}}{OPEN}{AT}{SHUT}\s{{0,3}}"
 BRACKETED_DOT = rf"\s{{0,3}}{OPEN}{DOT}{SHUT}\s{{0,3}}"
 NAME = r"[A-Za-z0-9-]{1,63}"
 ANY_DOT = rf"(?:{BRACKETED_DOT}|\s{{1,3}}dot\s{{1,3}}|\.)"
-DISGUISED = re.compile(rf"(?i)(?P<at>{BRACKETED_AT}|\s{{1,3}}at\s{{1,3}}|@)(?P<domain>{NAME}(?:{ANY_DOT}{NAME}){{1,6}})(?![A-Za-z0-9-])")
+ANY_AT = rf"(?:{BRACKETED_AT}|\s{{1,3}}at\s{{1,3}}|@)"
+#: What follows "at" is no domain if it is itself the local part of an address.
+DISGUISED = re.compile(rf"(?i)(?P<at>{ANY_AT})(?P<domain>{NAME}(?:{ANY_DOT}{NAME}(?![A-Za-z0-9-]))++)(?!{ANY_AT}{NAME}{ANY_DOT}{NAME})")
 DOTS = re.compile(rf"(?i){BRACKETED_DOT}|\s{{1,3}}dot\s{{1,3}}")
+#: A disguised dot at the end of what precedes a part of a local part; no longer than DOT_LENGTH.
+DOT_BEFORE = re.compile(rf"(?:{DOTS.pattern[4:]})\Z", re.IGNORECASE)
+DOT_LENGTH = 20
+#: Four groups of figures with dots of any form between.
+DISGUISED_IP = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:{ANY_DOT}[0-9]++){{3}}")
 #: What a text must hold for the rewritten one to differ: one of these characters, or words that ``spells`` finds.
 ODD = re.compile(rf"[{re.escape(''.join(LOOK_ALIKES))}{INVISIBLE}\(\[\{{<]")
 #: ASCII punctuation becomes a space.
@@ -72,7 +79,7 @@ SPELLED_BYTES = frozenset(x for w in SPELLED for x in (w.encode(), w.upper().enc
 def spells(text: str) -> bool:
     """Whether ``text`` may hold a bare "dot" or a spelled number."""
     words = text.encode("utf-8", "surrogatepass").lower().translate(APART).split()
-    return b"dot" in words or b"\1" * SPELLED_RUN in bytes(map(SPELLED_BYTES.__contains__, words))
+    return b"dot" in words or b"\1" * SPELLED_RUN in bytes(x in SPELLED_BYTES for x in words if not x.isdigit())
 
 
 def luhn(digits: str) -> bool:
@@ -133,32 +140,54 @@ def look_alikes(w: Written) -> None:
 def spelled_digits(w: Written) -> None:
     edits = []
     for m in SPELLED_NUMBER.finditer(w.text):
-        said = "".join("+" if x.lower().startswith("plus") else SPELLED.get(x.lower(), "") for x in DIGIT_OR_REST.findall(m[0]))
-        edits.append((*m.span(), said))
+        parts = DIGIT_OR_REST.findall(m[0])
+        if sum(x.lower() in SPELLED for x in parts) >= SPELLED_RUN:
+            said = "".join("+" if x.lower().startswith("plus") else x if x[0] in "0123456789" else SPELLED.get(x.lower(), "") for x in parts)
+            edits.append((*m.span(), said))
     w.rewrite(edits)
 
 
+def _dots_before(text: str, at: int, floor: int) -> list[tuple[int, int, str]]:
+    """The disguised dots in the local part that ends at ``at`` and begins at ``floor`` or after it."""
+    dots = []
+    while True:
+        while at > floor and text[at - 1] in LOCAL_CHARS:
+            at -= 1
+        m = DOT_BEFORE.search(text, max(floor, at - DOT_LENGTH), at)
+        if not m or m.start() <= floor or text[m.start() - 1] not in LOCAL_CHARS:
+            return dots[::-1]
+        dots.append((*m.span(), "."))
+        at = m.start()
+
+
 def at_and_dot(w: Written) -> None:
-    edits = []
+    edits, floor = [], 0
     for m in DISGUISED.finditer(w.text):
+        low, floor = floor, m.end()
         dots = [(d.start(), d.end(), ".") for d in DOTS.finditer(w.text, m.start("domain"), m.end("domain"))]
-        bare = w.text[m.start("at") : m.end("at")].strip().lower() == "at"
-        if not dots and (bare or m["at"] == "@"):
-            continue
         if m.start() == 0 or w.text[m.start() - 1] not in LOCAL_CHARS:
             continue
+        before = _dots_before(w.text, m.start(), low)
+        bare = w.text[m.start("at") : m.end("at")].strip().lower() == "at"
+        if not dots and not before and (bare or m["at"] == "@"):
+            continue
+        edits += before
         if m["at"] != "@":
             edits.append((m.start("at"), m.end("at"), "@"))
         edits += dots
     w.rewrite(edits)
 
 
+def dotted_figures(w: Written) -> None:
+    w.rewrite([(d.start(), d.end(), ".") for m in DISGUISED_IP.finditer(w.text) for d in DOTS.finditer(w.text, *m.span())])
+
+
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Source spans of what only the rewritten text shows."""
     if not ODD.search(text) and not spells(text):
         return []
     w = Written(text)
-    for transducer in (look_alikes, spelled_digits, at_and_dot):
+    for transducer in (look_alikes, spelled_digits, at_and_dot, dotted_figures):
         transducer(w)
     return [(k, w.source[a][0], w.source[b - 1][1]) for k, a, b in detect(w.text)]
 

@@ -417,6 +417,21 @@ def test_pii(spark, docs, rows, nothing):
     assert pii.op9(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("kind", "said"),
+    [
+        ("email", "john dot smith at example dot com"), ("email", "john [dot] smith [at] example [dot] com"), ("email", "j (dot) r.r dot t(at)mail.example(dot)org"),
+        ("email", "x at " + " dot ".join("abcdefghijk")), ("ip", "192[.]168[.]0[.]1"), ("ip", "192 dot 168 dot 0 dot 1"), ("ip", "10.0 (dot) 0.7"),
+        ("phone", "plus four four two zero 7 one two three 4 five six 7"), ("phone", "plus 4 four 2 zero 7 one 2 three 4 five 6 seven"),
+    ],
+)
+def test_whole_disguised_forms(kind, said):
+    for before, after in (("", ""), ("é 😀: ", "; ok"), ("reach me at ", "") if kind == "email" else ("at ", "!")):
+        base, added = pii.personal_data(before + said + after)
+        assert not base and added == [(pii.KINDS.index(kind), len(before), len(before) + len(said))]
+    assert pii.masked(f"({said})") == f"(<{kind}>)"
+
+
 # --- 10
 
 
