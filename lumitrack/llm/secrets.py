@@ -86,8 +86,8 @@ def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = F.struct("start", "end")
 
     def nearest(these: Column) -> tuple[Column, Column]:
-        at = F.when(these, part)
-        return F.last(at, ignorenulls=True).over(earlier), F.first(at, ignorenulls=True).over(later)
+        # a part may lie inside an earlier one that ends later
+        return F.max(F.when(these, F.struct("end", "start"))).over(earlier), F.first(F.when(these, part), ignorenulls=True).over(later)
 
     found = placed.withColumns(dict(zip(("s0", "s1", "o0", "o1"), (*nearest(is_secret), *nearest(is_other)), strict=True)))
 

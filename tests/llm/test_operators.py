@@ -265,6 +265,12 @@ def test_secrets(spark, docs, rows, nothing):
     assert secrets.op5(nothing).count() == 0
 
 
+def test_nearest_secret_is_the_one_that_ends_last(spark):
+    text = "token=zz" + "-" * 20 + "0123456789abcdef" * 2 + "-" * 540 + " client_id=abc"
+    spans = secrets.op5(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert f"identifier:{text.index('client_id')}:{len(text)}" in spans.split(",")
+
+
 # --- 6
 
 
