@@ -1,22 +1,30 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Texts become sets of hashed word n-grams; equal sets are one node. A fixed-size counting sketch over all sets orders the
-n-grams from rare to frequent. Two sets alike enough share one of the first n - ceil(t n) + 1 n-grams of each, so only
-such prefixes are joined. A pair is a candidate where it passes the length filter and, at a shared n-gram, the positional
-one; it is compared once, after a suffix filter on a histogram of both sets.
+Texts become sets of hashed word n-grams; equal sets are one node. A counting sketch over all sets orders the n-grams
+from rare to frequent. Two sets alike enough share one of the first n - ceil(t n) + 1 n-grams of each, so only such
+prefixes are joined. A pair is a candidate where it passes the length filter and, at a shared n-gram, the positional one.
+The suffix filter compares histograms of the two sets' hashes, a sixty-fourth of the sets' size, so whole sets are made
+and joined only for pairs that pass it; each such pair is compared once.
 
 ``links`` lists every pair of nodes alike. ``components`` gives the classes that the links connect without listing all
 pairs of a large group: first each node meets, for one of its n-grams, the node that has it earliest (a star: as many
 pairs as nodes); the links found are merged; then only pairs from different classes are left, and are all compared. A
 pair left out lies in one class already, so the classes are those of all links.
 
-Scale: n-grams never leave their task but for prefixes (about 1 - t of them). Hot n-grams are summed on the map side and
-their rows joined, where adaptive execution splits them. Set hashes are 64 bits for n-grams and nodes: two different
-texts of a billion are taken for one with a chance of about 3 %.
+Scale: n-grams never leave their task but for prefixes (about 1 - t of them). The sketch has a counter for each sixteenth
+of a document up to a bound, so what stands out as frequent is what at least about one of ``COUNTERS[1]`` n-grams of the
+corpus is; rarer ones are in the order of their hashes. Rows of a hot n-gram are summed on the map side, and dealt to
+blocks of bounded size where pairs of them are left. Texts are shuffled only where more than ``KEYS_SENT`` of them have
+to be compared. Tables in between lie in the shared folder and are removed at the end.
+
+A document's key and a node have 128 bits each; of a node 64 are used, and nodes that agree in these (about ten pairs of
+2 * 10^10) take the other 64. n-grams have 64 bits: within a pair of sets of 10,000, two differ yet agree with a chance
+of 10^-11.
 
 Null and wordless texts have the empty set and are linked with nothing, each a class of its own. Texts with fewer words
 than n are one n-gram. Repeated rows and copies are one node and all returned. Ties are broken by id. A null id is the
-largest. An empty table gives an empty result. Columns are read by name; helper columns start with ``_``.
+largest. An empty table gives an empty result. Only doc_id and text are read; other columns, whatever their names, come
+back as they were.
 """
 
 from __future__ import annotations
@@ -31,21 +39,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lumitrack.llm.common import cut, small_batches, small_enough, stored
+from lumitrack.llm.common import Scratch, fresh, small_batches, small_enough, stored
 
-#: Counters of the sketch, sent around in so many chunks.
-COUNTERS, CHUNKS = 1 << 22, 16
+#: Counters of the sketch, at least and at most, for each document, and in how many chunks they are sent around.
+COUNTERS, COUNTERS_EACH, CHUNKS = (1 << 22, 1 << 26), 16, 16
 #: Steps of the sketch's scale for each doubling; n-grams from step HOT and eight times the median are spread over SALTS.
 STEPS, HOT, SALTS = 8, 96, 64
-MEMO = 200_000
-#: Parts of the histogram that the suffix filter compares.
-PARTS = 32
-#: Up to so many row keys (8 bytes each) are sent to all tasks instead of being joined.
+MEMO = 100_000
+#: n-grams for each part of the histogram that the suffix filter compares, and its parts at most.
+PART, PARTS = 16, 4096
+#: Up to so many row keys (16 bytes each) are sent to all tasks instead of being joined.
 KEYS_SENT = 1_000_000
-#: Up to so many bytes of sets are sent to all tasks.
-BYTES_SENT = 32_000_000
-ROUNDS = 40
+#: Rows of one n-gram that meet each other in one place; more are dealt to blocks.
+BLOCK = 2_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +66,10 @@ class Measure:
     def prefix(self, size: int) -> int:
         return size - -(-self.percent * size // 100) + 1
 
+    def shared(self, a: int, b: int) -> int:
+        """The least intersection of sets of these sizes that are alike."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
 
 class _Words(dict):
     """Word to hash, worked out when first asked for."""
@@ -85,39 +97,75 @@ def ngrams(text: str | None, n: int, memo: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def node_of(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set: the node's number and what stands in for it where two nodes have one number."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def histogram(grams: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each of 2^k equal parts, k by the set's size."""
+    bits = min(max(len(grams) // PART, 1), PARTS).bit_length() - 1
+    if not bits:
+        return np.array([len(grams)], np.uint16 if len(grams) < 1 << 16 else np.uint32)
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
+
+
+def histograms_allow(a: np.ndarray, b: np.ndarray, measure: Measure) -> bool:
+    """The suffix filter: whether sets with these histograms can be alike. No pair alike is lost."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    parts = min(len(a), len(b))
+    a, b = a.reshape(parts, -1).sum(axis=1), b.reshape(parts, -1).sum(axis=1)
+    return int(np.minimum(a, b).sum()) >= measure.shared(int(a.sum()), int(b.sum()))
+
 
+def _histogram_bytes(grams: np.ndarray) -> bytes:
+    h = histogram(grams)
+    return bytes([h.itemsize]) + h.tobytes()
 
-def _counter(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
+def _histogram_of(them: bytes) -> np.ndarray:
+    return np.frombuffer(them, np.uint16 if them[0] == 2 else np.uint32, offset=1)
 
-PROFILE = "_key long, _n int, _node long, _chunk int, _counts binary"
 
+def _counter(grams: np.ndarray, counters: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - counters.bit_length() + 1)).astype(np.int64)
 
-def _profile(docs: DataFrame, measure: Measure) -> DataFrame:
-    """A row per document (_key, _n, _node), and per task the rows (_chunk, _counts) of its part of the sketch."""
+
+def _profile(docs: DataFrame, measure: Measure, counters: int) -> DataFrame:
+    """A row per document (doc_id, _k1, _k2, _n, _node, _more, _hist), and per task the rows (_chunk, _counts) of its part of the sketch."""
+    long, binary = LongType(), BinaryType()
+    kinds = (("_k1", long), ("_k2", long), ("_n", IntegerType()), ("_node", long), ("_more", long), ("_hist", binary), ("_chunk", IntegerType()), ("_counts", binary))
+    schema = StructType([docs.schema["doc_id"], *(StructField(c, t) for c, t in kinds)])
+    names, types = [f.name for f in schema.fields], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = _Words(), np.zeros(COUNTERS, np.uint32)
+        memo, counts, id_type = _Words(), np.zeros(counters, np.uint32), None
         for batch in them:
-            sets = [ngrams(t, measure.n, memo) for t in batch.column(1).to_pylist()]
-            for s in sets:
-                counts[_counter(s)] += 1  # a set's n-grams that share a counter count once: any order will do
-            yield _rows(batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * len(sets), [None] * len(sets))
-        chunks = _packed(counts)
-        none = [None] * len(chunks)
-        yield _rows(pa.array(none, pa.int64()), none, none, [c[0] for c in chunks], [c[1] for c in chunks])
+            id_type, sizes, nodes, hists = batch.column(0).type, [], [], []
+            for text in batch.column(3).to_pylist():
+                s = ngrams(text, measure.n, memo)
+                counts[_counter(s, counters)] += 1  # a set's n-grams that share a counter count once: any order will do
+                sizes.append(len(s))
+                nodes.append(node_of(s))
+                hists.append(_histogram_bytes(s))
+            made = (sizes, [n[0] for n in nodes], [n[1] for n in nodes], hists)
+            columns = [*batch.columns[:3], *(pa.array(c, t) for c, t in zip(made, types[2:6], strict=True)), *(pa.nulls(len(sizes), t) for t in types[6:])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if id_type is not None:
+            chunks = _packed(counts)
+            none = [pa.nulls(len(chunks), t) for t in (id_type, *types[:6])]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], names=names)
 
-    return docs.select("_key", "text").mapInArrow(batches, PROFILE)
+    return docs.select("doc_id", "_k1", "_k2", "text").mapInArrow(batches, schema)
 
 
-def _rows(key: pa.Array, n: list, node: list, chunk: list, counts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], names=["_key", "_n", "_node", "_chunk", "_counts"])
+def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
+    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
+def _sketch(profile: DataFrame, counters: int) -> np.ndarray:
     """The tasks' counters (_chunk, _counts) added up by chunk, on a scale of 256 steps: how frequent a counter's n-grams are."""
 
     def add(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +178,8 @@ def _sketch(profile: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["_chunk", "_steps"])
 
     parts = profile.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk")
-    steps = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
-    for r in parts.mapInArrow(add, "_chunk int, _steps binary").collect():  # COUNTERS bytes
+    steps = np.zeros((CHUNKS, counters // CHUNKS), np.uint8)
+    for r in parts.mapInArrow(add, "_chunk int, _steps binary").collect():  # ``counters`` bytes, COUNTERS[1] at most
         steps[r["_chunk"]] = np.frombuffer(bytes(r["_steps"]), np.uint8)
     return steps.reshape(-1)
 
@@ -139,7 +187,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 PREFIX = "_gram long, _node long, _n int, _at int"
 
 
-def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray, clashes: frozenset[int]) -> DataFrame:
     """(_gram, _node, _n, _at, _salt): the rare-first prefix of each set, once for all copies that a task sees.
 
     _salt is 0 but for n-grams that many sets have, whose rows it spreads.
@@ -152,13 +200,14 @@ def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray) -> DataFrame
             columns = [[], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 s = ngrams(text, measure.n, memo)
-                node = node_of(s)
+                node, more = node_of(s)
+                node = more if node in clashes else node
                 if not len(s) or node in seen:
                     continue
                 if len(seen) >= MEMO:
                     seen.clear()
                 seen.add(node)
-                p, step = measure.prefix(len(s)), order[_counter(s)]
+                p, step = measure.prefix(len(s)), order[_counter(s, len(order))]
                 first = np.lexsort((s, step))[:p]
                 made = (s[first], np.full(p, node, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(step[first] >= hot, 1 + node % SALTS, 0).astype(np.int32))
                 for c, x in zip(columns, made, strict=True):
@@ -199,10 +248,6 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("_gram", "_salt").sortWithinPartitions("_gram", "_node").mapInArrow(batches, PREFIX)
 
 
-def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
-
-
 def _may_be_alike(measure: Measure, a: str, b: str):
     """The length and the positional filter for two prefix rows that share their n-gram."""
     an, bn, aa, ba = (F.col(f"{t}.{c}") for c in ("_n", "_at") for t in (a, b))
@@ -210,57 +255,49 @@ def _may_be_alike(measure: Measure, a: str, b: str):
     return (100 * F.least(an, bn) >= measure.percent * F.greatest(an, bn)) & (F.least(an - aa, bn - ba) >= least)
 
 
-def _with_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` joined with the rows of ``keys`` on _key; their text isn't shuffled where the keys are few."""
-    return docs.join(F.broadcast(keys) if small_enough(keys, KEYS_SENT) else keys, "_key")
+def _sets(docs: DataFrame, asked: DataFrame, measure: Measure) -> DataFrame:
+    """(_a, _b, _grams) for each row of ``asked`` (_k1, _k2, _a, _b) and document with that key: its set as bytes.
 
-
-def _sets(docs: DataFrame, keys: DataFrame, measure: Measure, carry: str) -> DataFrame:
-    """(carry, _grams) for each row of ``keys`` (_key, carry) and document with that key: its set as bytes."""
+    A task makes a row once, however often the document is repeated. Texts aren't shuffled where few are asked for.
+    """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last, made = _Words(), None, b""
+        memo, done = _Words(), set()
         for batch in them:
-            out = []
-            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != last:  # the rows of a document follow one another
-                    last, made = key, ngrams(text, measure.n, memo).tobytes()
+            last, made, keep, out = None, b"", [], []
+            for i, (k1, k2, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if (row := (k1, k2, a, b)) in done:
+                    continue
+                done.add(row)
+                if (k1, k2) != last:  # the rows of a document follow one another
+                    last, made = (k1, k2), ngrams(batch.column(4)[i].as_py(), measure.n, memo).tobytes()
+                keep.append(i)
                 out.append(made)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[carry, "_grams"])
-
-    kind = keys.schema[carry].dataType.simpleString()
-    return _with_keys(docs, keys).select(carry, "_key", "text").mapInArrow(batches, f"{carry} {kind}, _grams binary")
-
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], names=["_a", "_b", "_grams"])
 
-CUTS = (np.arange(1, PARTS, dtype=np.float64) * 2.0**64 / PARTS).astype(np.uint64)
+    keys = F.broadcast(asked) if small_enough(asked, KEYS_SENT) else asked
+    return docs.join(keys, ["_k1", "_k2"]).select("_k1", "_k2", "_a", "_b", "text").mapInArrow(batches, "_a long, _b long, _grams binary")
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are alike enough; the suffix filter goes first."""
-    least = -(-percent * (len(a) + len(b)) // (100 + percent))
-    parts = [np.diff(np.concatenate([[0], np.searchsorted(s, CUTS), [len(s)]])) for s in (a, b)]
-    if np.abs(parts[0] - parts[1]).sum() > len(a) + len(b) - 2 * least:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least
-
-
-def _verified(sides: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (_a, _b) of rows (_a, _b, _grams, _others) whose sets are alike."""
+def _pairs_where(sides: DataFrame, test) -> DataFrame:
+    """(_a, _b) of the rows (_a, _b, left, right) whose two binary values pass ``test``."""
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            keep = [alike(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), measure.percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([test(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["_a", "_b"])
 
-    return sides.select("_a", "_b", "_grams", "_others").mapInArrow(batches, "_a long, _b long")
+    return sides.mapInArrow(batches, "_a long, _b long")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(_node, _class) of the nodes in ``edges`` (_a, _b): the least node that each is connected with.
 
-    Large and small stars in turn (a published algorithm), each step a join and a sum, until nothing changes.
+    Large and small stars in turn (a published algorithm), each step a join and a sum, until nothing changes; the number
+    of steps grows with the logarithm of the largest class.
     """
+
     def hung(pairs: DataFrame, to_larger: bool) -> DataFrame:
         least = pairs.groupBy("_a").agg(F.min("_b").alias("_m")).withColumn("_m", F.least("_a", "_m"))
         both = pairs.join(least, "_a")
@@ -268,53 +305,78 @@ def connected(edges: DataFrame) -> DataFrame:
             return both.filter("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
         return both.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).union(least.select("_a", F.col("_m").alias("_b")))
 
-    now, mark = cut(edges.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).filter("_a <> _b").distinct()), None
-    for _ in range(ROUNDS):
+    now, mark = scratch.stored(edges.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).filter("_a <> _b").distinct(), "edges"), None
+    while True:
         large = hung(now.union(now.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))), True).filter("_a <> _b").distinct()
-        now = cut(hung(large, False).filter("_a <> _b").distinct())
+        now = scratch.stored(hung(large, False).filter("_a <> _b").distinct(), "edges")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError(f"no end after {ROUNDS} rounds")
-    return cut(now.select(F.col("_a").alias("_node"), F.col("_b").alias("_class")).union(now.select("_b", "_b")).distinct())
+    return scratch.stored(now.select(F.col("_a").alias("_node"), F.col("_b").alias("_class")).union(now.select("_b", "_b")).distinct(), "classes")
 
 
 class Join:
-    """The parts that ``links`` and ``components`` share."""
-
-    def __init__(self, docs: DataFrame, measure: Measure):
-        self.measure = measure
-        self.docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
+    """The parts that ``links`` and ``components`` share. ``profile`` has a row per document, ``nodes`` one per node."""
+
+    def __init__(self, docs: DataFrame, measure: Measure, scratch: Scratch):
+        self.measure, self.scratch = measure, scratch
+        self.docs = keyed(docs.select("doc_id", "text"))
+        counters = COUNTERS[0]
+        while counters < min(COUNTERS[1], COUNTERS_EACH * docs.count()):
+            counters *= 2
         with small_batches(docs.sparkSession):
-            self.profile = stored(_profile(self.docs, measure), "profile")
-            self.keys = self.profile.filter("_node is not null and _n > 0").groupBy("_node").agg(F.min("_key").alias("_key"))
-            self.rows = stored(_shared(_prefixes(self.docs, measure, _sketch(self.profile))), "shared")
+            profile = scratch.stored(_profile(self.docs, measure, counters), "profile")
+            each = profile.filter("_chunk is null")
+            halves = each.groupBy("_node").agg(F.min("_more").alias("low"), F.max("_more").alias("high"))
+            clashes = frozenset(r["_node"] for r in halves.filter("low <> high").select("_node").collect())  # of m nodes about m^2 / 2^65
+            if clashes:
+                each = each.withColumn("_node", F.when(F.col("_node").isin(*clashes), F.col("_more")).otherwise(F.col("_node")))
+            self.profile = each.drop("_more", "_chunk", "_counts")
+            one = self.profile.filter("_n > 0").groupBy("_node").agg(F.min(F.struct("_k1", "_k2", "_hist")).alias("d"))
+            self.nodes = scratch.stored(one.select("_node", "d.*"), "nodes")
+            self.rows = scratch.stored(_shared(_prefixes(self.docs, measure, _sketch(profile, counters), clashes)), "shared")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are alike. Only the sets of nodes in them are made: one side's where its text is read,
-        for each pair, and the other's once, to be joined."""
+        """Those of the pairs that are alike: by the suffix filter first; then the sets of what is left are made in one
+        pass over the texts, one for each pair and one for each node on its other side, and joined."""
         with small_batches(self.docs.sparkSession):
             return self._compared(pairs)
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
-        pairs, keys = cut(pairs), self.keys
-        others = cut(pairs.select(F.col("_b").alias("_node")).distinct().join(keys, "_node").select("_key", F.col("_node").alias("_b")))
-        theirs = stored(_sets(self.docs, others, self.measure, "_b").withColumnRenamed("_grams", "_others"), "sets")
-        if theirs.count() > others.count():  # repeated rows have one key
-            theirs = stored(theirs.dropDuplicates(["_b"]), "sets")
-        asked = cut(pairs.join(keys, pairs["_a"] == keys["_node"]).select("_key", F.struct("_a", "_b").alias("_pair")))
-        ours = _sets(self.docs, asked, self.measure, "_pair").select("_pair._a", "_pair._b", "_grams")
-        few = (theirs.agg(F.sum(F.octet_length("_others").cast("long"))).first()[0] or 0) <= BYTES_SENT
-        return cut(_verified(ours.join(F.broadcast(theirs) if few else theirs, "_b"), self.measure).distinct())
+        measure, nodes, stored = self.measure, self.nodes, self.scratch.stored
+        hists = [nodes.select(F.col("_node").alias(c), F.col("_hist").alias(f"_h{c}")) for c in ("_a", "_b")]
+        sides = pairs.join(hists[0], "_a").join(hists[1], "_b").select("_a", "_b", "_h_a", "_h_b")
+        left = stored(_pairs_where(sides, lambda a, b: histograms_allow(_histogram_of(a), _histogram_of(b), measure)), "candidates")
+        asked = left.select("_a", "_b", F.col("_a").alias("_node")).union(left.select(F.lit(None).cast("long"), "_b", "_b").distinct())
+        sets = stored(_sets(self.docs, stored(asked.join(nodes, "_node").select("_k1", "_k2", "_a", "_b"), "asked"), measure), "sets")
+        ours, theirs = sets.filter("_a is not null"), sets.filter("_a is null").select("_b", F.col("_grams").alias("_others"))
+        if theirs.count() > left.select("_b").distinct().count():  # a repeated row that several tasks saw
+            theirs = theirs.dropDuplicates(["_b"])
+
+        def alike(a, b) -> bool:
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            return len(np.intersect1d(a, b, assume_unique=True)) >= measure.shared(len(a), len(b))
+
+        return stored(_pairs_where(ours.join(theirs, "_b").select("_a", "_b", "_grams", "_others"), alike).distinct(), "links")
 
     def pairs(self, rows: DataFrame, differ: str | None = None) -> DataFrame:
-        """Candidates among ``rows``, each once; with ``differ``, only those that differ in that column."""
-        where = (F.col("a._gram") == F.col("b._gram")) & (F.col("a._node") < F.col("b._node")) & _may_be_alike(self.measure, "a", "b")
+        """Candidates among ``rows``, each once; with ``differ``, only those that differ in that column.
+
+        The rows of an n-gram that more than BLOCK have are dealt to blocks, and meet by pairs of blocks.
+        """
+        many = rows.groupBy("_gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_of")).filter("_of > 1")
+        of = F.coalesce("_of", F.lit(1))
+        dealt = rows.join(many, "_gram", "left").withColumns({"_in": F.pmod(F.xxhash64("_node", "_gram"), of).cast("int"), "_of": of})
+        dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+        dealt = dealt.withColumns({"_low": F.least("_in", "_with"), "_high": F.greatest("_in", "_with")})
+        where = _may_be_alike(self.measure, "a", "b") & (F.col("a._node") < F.col("b._node"))
+        for c in ("_gram", "_low", "_high"):
+            where &= F.col(f"a.{c}") == F.col(f"b.{c}")
+        where &= (F.least("a._in", "b._in") == F.col("a._low")) & (F.greatest("a._in", "b._in") == F.col("a._high"))
         if differ:
             where &= F.col(f"a.{differ}") != F.col(f"b.{differ}")
-        return rows.alias("a").join(rows.alias("b"), where).select(F.col("a._node").alias("_a"), F.col("b._node").alias("_b")).distinct()
+        return dealt.alias("a").join(dealt.alias("b"), where).select(F.col("a._node").alias("_a"), F.col("b._node").alias("_b")).distinct()
 
     def stars(self, rows: DataFrame) -> DataFrame:
         """One pair a node at most: with the node that has one of its n-grams earliest, of these the one most often met."""
@@ -324,16 +386,22 @@ class Join:
         return counted.groupBy("_a").agg(F.max(F.struct("_times", "_b")).alias("m")).select("_a", F.col("m._b").alias("_b"))
 
 
+def keyed(docs: DataFrame, names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
+    """``docs`` with a key of 128 bits of doc_id and text, in two columns."""
+    return docs.withColumns({names[0]: F.xxhash64("doc_id", "text"), names[1]: F.xxhash64(F.lit(1), "text", "doc_id")})
+
+
 def links(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """Every pair of different sets that are alike, once: (_a, _b), as node numbers. See ``nodes`` for the members."""
-    j = Join(docs, measure)
-    return j.compared(j.pairs(j.rows))
+    with Scratch(docs.sparkSession) as scratch:
+        j = Join(docs, measure, scratch)
+        return stored(j.compared(j.pairs(j.rows)), "links")
 
 
 def nodes(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """doc_id and _node of each document that has words."""
-    keyed = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
-    return _profile(keyed, measure).filter("_n > 0").join(keyed.select("doc_id", "_key").distinct(), "_key").select("doc_id", "_node")
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(Join(docs, measure, scratch).profile.filter("_n > 0").select("doc_id", "_node"), "nodes")
 
 
 def _residual(rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
@@ -348,22 +416,20 @@ def _residual(rows: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
 
 def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """Per document: doc_id, n_shingles (its set's size), component_id (the least doc_id that links lead to), _class (the
-    class of its node; null without words), _key and _copies."""
-    j = Join(docs, measure)
-    found = j.compared(j.stars(j.rows))
-    classes = connected(found)
-    rest = cut(_residual(j.rows, classes, measure))
-    more = j.compared(j.pairs(rest, "_class"))
-    if not more.isEmpty():
-        classes = connected(found.union(more))
-    members = j.docs.select("doc_id", "_key").groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_copies"))
-    sized = j.profile.filter("_node is not null").select("_key", "_n", F.when(F.col("_n") > 0, F.col("_node")).alias("_node")).distinct()
-    each = cut(members.join(sized, "_key"))
-    least = each.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("_least")).join(classes, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
-    named = least.groupBy("_class").agg(F.min("_least").alias("component_id"))
-    by_node = least.select("_node", "_class").join(named, "_class").select("_node", "_class", "component_id")
-    out = each.join(by_node, "_node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("_n").cast("long").alias("n_shingles"), "component_id", "_class", "_key", "_copies")
+    class of its node; null without words), its key _k1 and _k2, and _copies, the number of rows with this key."""
+    with Scratch(docs.sparkSession) as scratch:
+        j = Join(docs, measure, scratch)
+        found = j.compared(j.stars(j.rows))
+        classes = connected(found, scratch)
+        more = j.compared(j.pairs(scratch.stored(_residual(j.rows, classes, measure), "residual"), "_class"))
+        if not more.isEmpty():
+            classes = connected(found.union(more), scratch)
+        each = j.profile.withColumn("_node", F.when(F.col("_n") > 0, F.col("_node"))).groupBy("doc_id", "_k1", "_k2", "_n", "_node").agg(F.count(F.lit(1)).alias("_copies"))
+        least = each.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("_least")).join(classes, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
+        named = least.groupBy("_class").agg(F.min("_least").alias("component_id"))
+        by_node = least.select("_node", "_class").join(named, "_class").select("_node", "_class", "component_id")
+        out = each.join(by_node, "_node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        return stored(out.select("doc_id", F.col("_n").cast("long").alias("n_shingles"), "component_id", "_class", "_k1", "_k2", "_copies"), "components")
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -371,13 +437,14 @@ def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
 
     Classes are of nodes, since ids may be null or repeated; a document without words is a class of its own.
     """
-    first = F.min(F.struct("doc_id", "_key", "_copies")).alias("k")
-    own = F.when(F.col("_class").isNull(), F.col("_key"))
-    keep = cut(components(docs, measure).groupBy("_class", own.alias("_own")).agg(first).select("k._key", "k._copies"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    kept = keyed.join(F.broadcast(keep) if small_enough(keep, KEYS_SENT) else keep, "_key", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2", "_copies")).alias("k")
+    own = [F.when(F.col("_class").isNull(), F.col(k)).alias(f"_own{k}") for k in ("_k1", "_k2")]
+    k1, k2 = fresh(docs, "_k1", "_k2")
+    found = components(docs, measure).groupBy("_class", *own).agg(first)
+    keep = stored(found.select(F.col("k._k1").alias(k1), F.col("k._k2").alias(k2), "k._copies"), "survivors")
+    kept = keyed(docs, (k1, k2)).join(F.broadcast(keep.drop("_copies")) if small_enough(keep, KEYS_SENT) else keep, [k1, k2], "left_semi")
     if not keep.filter("_copies > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
+        kept = kept.dropDuplicates([k1, k2])
     return kept.select(*docs.columns)
 
 

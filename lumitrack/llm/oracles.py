@@ -43,12 +43,12 @@ from seen s left join known using (host) left join fit f on f.host = s.host and
 
 ORACLES["op10_ngram_join"] = r"""
 with recursive words as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') w from documents),
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 grams as (
-  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i:i + 3], ' '))) g from words where len(w) > 0),
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) g from words where len(w) > 0),
 sizes as (select doc_id, count(*) n from grams group by 1),
-met as (select a.doc_id a, b.doc_id b, count(*) both from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
-links as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+met as (select a.doc_id a, b.doc_id b, count(*) common from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
 reach(a, b) as (select doc_id, doc_id from sizes union select r.a, l.b from reach r join links l on l.a = r.b),
 least as (select a, min(b) m from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, coalesce(m, d.doc_id) component_id from documents d left join sizes s on s.doc_id = d.doc_id left join least on a = d.doc_id

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumitrack.llm import decontamination, fingerprints, language_id, mixing, ngram_join, pii, secrets, sharding, token_counts, url_reputation
+from lumitrack.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, _size string, shard string, fingerprint string"
 WORDS = {"en": "the of and to in that house river tree walks green".split(), "fr": "le la des est dans maison rivière arbre vert où".split()}
@@ -530,5 +531,62 @@ def test_connected(spark):
         x, y = sorted((top(a), top(b)))
         up[y] = x
     linked = {i for a, b in edges if a != b for i in (a, b)}
-    got = {r._node: r._class for r in ngram_join.connected(spark.createDataFrame(edges, "_a long, _b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r._node: r._class for r in ngram_join.connected(spark.createDataFrame(edges, "_a long, _b long"), scratch).collect()}
     assert got == {i: top(i) for i in linked}
+
+
+def test_suffix_filter_keeps_every_pair_alike():
+    import numpy as np
+
+    rng, measure = np.random.default_rng(4), ngram_join.Measure(4, 85)
+    kept = 0
+    for size in (1, 5, 40, 900, 30_000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[: int(size * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(size * rng.uniform(0, 0.2)), dtype=np.uint64)]))
+            if len(b):
+                alike = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+                allowed = ngram_join.histograms_allow(ngram_join.histogram(a), ngram_join.histogram(b), measure)
+                assert allowed or not alike
+                kept += allowed
+    assert kept < 90
+
+
+@pytest.mark.parametrize("setting", ["KEYS_SENT", "BLOCK", "HOT", "node_of", "MEMO"])
+def test_join_beyond_its_bounds(spark, monkeypatch, setting):
+    """Shuffled texts, blocks of hot n-grams, salted rows, nodes with one number, full memories."""
+    real = ngram_join.node_of
+    monkeypatch.setattr(ngram_join, setting, (lambda s: (real(s)[0] % 4, real(s)[1])) if setting == "node_of" else {"KEYS_SENT": 0, "BLOCK": 2, "HOT": 1, "MEMO": 3}[setting])
+    if setting == "HOT":
+        monkeypatch.setattr(ngram_join, "STEPS", 0)
+    rows = crowd(6)
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string").repartition(3)
+    want, pairs = brute_components(rows, 4, 85)
+    measure = ngram_join.Measure(4, 85)
+    got = multiset(ngram_join.components(docs, measure).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == multiset(want) and ngram_join.links(docs, measure).count() == len(pairs)
+    assert ngram_join.one_of_each(docs, measure).count() == len({c for _, _, c in want})
+
+
+def test_tables_in_between_are_removed(spark, docs):
+    import os
+
+    from lumitrack.llm.common import checkpoint_dir
+
+    ngram_join.op10(docs).count()
+    assert not [f for f in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if f.startswith("scratch-")]
+
+
+def test_every_oracle_equals_its_query(spark):
+    import duckdb
+
+    from lumitrack.llm.queries import ORACLE_SQL, QUERIES
+
+    duck, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "pages", "labels", "benchmark"):
+        duck.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        found = QUERIES[name](spark, sf)
+        want = duck.execute(f"select {', '.join(found.columns)} from ({sql})").fetchall()
+        assert multiset(found.collect()) == multiset(want), name
