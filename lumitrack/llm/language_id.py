@@ -3,15 +3,16 @@
 Training counts words per language over labelled documents. A known word scores its smoothed log frequency in each
 language; an unseen one is scored by the longest of its character n-grams that the model knows, position by position,
 backing off from ``LONGEST`` characters to one, and by a uniform chance where even the letter is unknown. A document's
-score is the posterior of its best language under its words, each counted as often as it occurs.
+language is the likeliest under all its words, each counted as often as it occurs. Its score is that language's posterior
+from the mean word, taken ``EVIDENCE`` times at most, so that a long text in no known language isn't certain of its best.
 
 Training takes at most about ``SAMPLE`` documents of each language, picked by a hash (all, where there are fewer), and
-keeps the most frequent words and n-grams, ``WORDS`` and ``GRAMS`` at most (of those equally frequent, all or none); so
-the model's size, which is broadcast, doesn't grow with the corpus. Prediction reads every text whole.
+keeps every word and n-gram of these. So the model, which is broadcast, doesn't grow with the corpus: a hash and a number
+per language for each word and n-gram. Prediction reads every text whole.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does everything if nothing was learnt. Documents
 with a null language aren't learnt from. Ties go to the language that sorts first. Repeated rows are each predicted. An
-empty table gives an empty result. Columns are read by name, others are ignored or carried along.
+empty table gives an empty result. Columns are read by name; others, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -22,27 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumitrack.llm.common import cut
+from lumitrack.llm.common import cut, fresh
 
 SAMPLE = 4_000
-WORDS, GRAMS = 100_000, 60_000
-LANGUAGES = 1_000
+EVIDENCE = 32
 LONGEST = 4
 UNKNOWN = "und"
 #: Words are runs of letters; digits and underscores part them.
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 200_000
+MEMO = 50_000
 
 
-def words_of(text: str) -> Counter:
-    counts = Counter(LETTERS.findall(text.lower()))
-    for w in [w for w in counts if not w.isascii() and not any(map(str.isalpha, w))]:
-        del counts[w]
-    return counts
+def words_list(text: str) -> list[str]:
+    found = LETTERS.findall(text.lower())
+    # the pattern also takes a few numbers that aren't digits
+    return found if text.isascii() else [w for w in found if w.isascii() or any(map(str.isalpha, w))]
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -53,88 +53,92 @@ def grams_of(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
+def hash_of(name: str) -> int:
+    """What Spark's xxhash64 gives for a string, unsigned."""
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), 42)
+
+
+class Table:
+    """Log chances of words or of n-grams, a row for each, by the names' hashes; a column for each language."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_languages: int):
+        order = np.argsort(hashes)
+        counts = counts.reshape(len(hashes), n_languages)[order].astype(float)
+        self.hashes = hashes[order]
+        self.logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(hashes) + 1)))
+
+    def row(self, name: str) -> np.ndarray | None:
+        h = np.uint64(hash_of(name))
+        i = int(np.searchsorted(self.hashes, h))
+        return self.logs[i] if i < len(self.hashes) and self.hashes[i] == h else None
+
+
 class Model:
-    """Log chances: words and n-grams map to a row of ``table``, which has a column per language."""
+    def __init__(self, languages: list[str], words: Table, grams: Table):
+        self.languages, self.words, self.grams = languages, words, grams
 
-    def __init__(self, languages: list[str], words: dict[str, dict[int, int]], grams: dict[str, dict[int, int]]):
+    @classmethod
+    def counted(cls, languages: list[str], words: dict[str, dict[int, int]], grams: dict[str, dict[int, int]]) -> Model:
         """From counts by the language's number."""
-        tables = [np.array([[by.get(j, 0) for j in range(len(languages))] for by in counts.values()]) for counts in (words, grams)]
-        self._set(languages, (list(words), list(grams)), tables)
+        made = [Table(np.array([hash_of(x) for x in counts], np.uint64), np.array([[by.get(j, 0) for j in range(len(languages))] for by in counts.values()]), len(languages)) for counts in (words, grams)]
+        return cls(languages, *made)
 
-    @classmethod
-    def counted(cls, languages: list[str], words: pa.Table, grams: pa.Table) -> Model:
-        """From the columns word and counts, which has a number per language; Arrow keeps them small on the driver."""
-        model = cls.__new__(cls)
-        tables = [t["counts"].combine_chunks().flatten().to_numpy() for t in (words, grams)]
-        model._set(languages, [t["word"].to_pylist() for t in (words, grams)], tables)
-        return model
-
-    def _set(self, languages: list[str], names, tables) -> None:
-        self.languages = languages
-        (self.words, self.word_table), (self.grams, self.gram_table) = map(self._logs, names, tables)
-
-    def _logs(self, names: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-        table = counts.reshape(len(names), len(self.languages)).astype(float)
-        totals = table.sum(axis=0) + 0.5 * (len(names) + 1)
-        return {x: i for i, x in enumerate(names)}, np.log((table + 0.5) / totals)
-
-    def unseen(self, word: str) -> list[float]:
-        """The mean, over the word's places, of the longest known n-gram that starts there."""
+    def of(self, word: str) -> np.ndarray:
+        """The word's log chances, or, of an unseen one, the mean over its places of the longest known n-gram there."""
+        if (row := self.words.row(word)) is not None:
+            return row
         marked, found = f"^{word}$", []
         for i in range(len(marked)):
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (row := self.grams.get(marked[i : i + n])) is not None:
+                if (row := self.grams.row(marked[i : i + n])) is not None:
                     found.append(row)
                     break
-        if not found:
-            return [0.0] * len(self.languages)
-        return self.gram_table[found].mean(axis=0).tolist()
+        return np.mean(found, axis=0) if found else np.zeros(len(self.languages))
+
+
+class _Rows(dict):
+    """Word to its row of ``table``, worked out when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.table = model, np.zeros((1024, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[len(self)] = self.model.of(word)
+        self[word] = at = len(self)
+        return at
 
 
 def predictor(model: Model):
     """A function from a text to (language, score)."""
-    columns, memo = len(model.languages), {}
-    known, rows = model.words, model.word_table
+    memo = _Rows(model)
 
     def predict(text: str | None) -> tuple[str, float]:
-        counts = words_of(text) if text else None
-        if not counts or not columns:
+        words = words_list(text) if text else None
+        if not words or not model.languages:
             return UNKNOWN, 0.0
-        total, at, times = np.zeros(columns), [], []
-        for word, n in counts.items():
-            if (i := known.get(word)) is not None:
-                at.append(i)
-                times.append(n)
-                continue
-            if (score := memo.get(word)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                score = np.array(model.unseen(word))
-                if len(word) < 100:
-                    memo[word] = score
-            total += n * score
-        if at:
-            total += np.array(times, dtype=float) @ rows[at]
+        if len(memo) > MEMO:
+            memo.clear()
+        times = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
+        total = times @ memo.table[: len(times)] if len(times) < 4 * len(words) else times[at := np.flatnonzero(times)] @ memo.table[at]
         best = int(np.argmax(total))
-        return model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        rest = (total - total[best]) * min(1.0, EVIDENCE / len(words))
+        return model.languages[best], float(1 / np.exp(rest).sum())
 
     return predict
 
 
 def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
     """The languages, and of each about ``sample`` documents: those whose hash is below the language's share."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    share = F.lit(1.0)
-    for r in counts:
-        if r["n"] > sample:
-            share = F.when(F.col("lang") == r["lang"], F.lit(sample / r["n"])).otherwise(share)
+    counts = cut(labelled.groupBy("lang").agg((sample / F.count(F.lit(1))).alias("_share")))
     draw = F.pmod(F.xxhash64(F.lit("language"), "_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return sorted(r["lang"] for r in counts), labelled.filter(draw < share).select("lang", "text")
+    drawn = labelled.join(F.broadcast(counts), "lang").filter(draw < F.col("_share")).select("lang", "text")  # a row a language
+    return sorted(r["lang"] for r in counts.select("lang").collect()), drawn
 
 
-def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Model:
     """A model from the documents where ``learn`` holds and ``lang`` and ``text`` aren't null."""
     labelled = docs.filter("lang is not null and text is not null")
     labelled = (labelled if learn is None else labelled.filter(learn)).select("lang", "text", F.col("doc_id").alias("_id"))
@@ -144,7 +148,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, wo
         for batch in them:
             by: dict[str, Counter] = {}
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(language, Counter()).update(words_of(text))
+                by.setdefault(language, Counter()).update(words_list(text))
             rows = [(language, w, n) for language, c in by.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
@@ -159,23 +163,19 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, wo
     schema = "lang string, word string, n long"
     by_word = cut(drawn.mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
-    def top(rows: DataFrame, limit: int) -> pa.Table:
+    def table(rows: DataFrame) -> Table:
         by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # one entry a language
-        every = cut(rows.groupBy("word").agg(F.sum("n").alias("n"), by.alias("by")))
-        least, kept = float("inf"), 0
-        for r in every.groupBy("n").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("n")).collect():  # the sample bounds how many numbers there are
-            if (kept := kept + r["many"]) > limit:
-                break
-            least = r["n"]
-        counts = F.array(*(F.coalesce(F.col("by")[language], F.lit(0)) for language in languages)).cast("array<bigint>")
-        return every.filter(F.col("n") >= least).select("word", counts.alias("counts")).toArrow()
+        counts = F.transform(F.array(*map(F.lit, languages)), lambda name: F.coalesce(F.col("by")[name], F.lit(0)))
+        found = rows.groupBy("word").agg(by.alias("by")).select(F.xxhash64("word").alias("h"), counts.cast("array<bigint>").alias("counts")).toArrow()
+        return Table(found["h"].to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), len(languages))
 
-    by_gram = by_word.mapInArrow(split, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model.counted(languages, top(by_word, words), top(by_gram, grams))
+    if not languages:
+        return Model.counted([], {}, {})
+    return Model(languages, table(by_word), table(by_word.mapInArrow(split, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))))
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score from the column ``text``."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the two columns ``names``, which it must not have yet, from the column ``text``."""
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +183,9 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in them:
             found = [predict(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,8 +201,9 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = predicted(docs, model)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+    pred, score = fresh(docs, "lang_pred", "lang_score")
+    found = predicted(docs, model, names=(pred, score))
+    return found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
