@@ -7,11 +7,16 @@ compared. A document is contaminated by an item if at least ``MATCHES`` words, o
 within the overlap, which is the best stretch (a word that agrees counts 1, a substituted one -2) or, where that holds too
 few, all that is aligned: from the first to the last agreeing word of the item, or of ``REACH`` words of a longer one.
 
+Of several diagonals with one item, the row is that of most agreeing words, then of the least start, then of the least end.
+Items of fewer than eight words are compared as they are: a document holds one if its words are the item's words.
+
 The benchmark's seeds are sent to all tasks if they are at most ``SEEDS_SENT``; beyond that, training seeds that pass a
-bitmap of fixed size join them by hash. Both ways give the same rows. No text is shuffled.
+bitmap of fixed size join them by hash, and the words of documents and items that meet are joined. Both ways give the
+same rows.
 
-Null and empty texts, and items of fewer than eight words, match nothing; what no mask sees is not found. Texts are compared whole. Items that repeat are
-each reported; repeated documents too. Empty tables give empty results. Other columns are carried along or ignored.
+Null, empty and wordless texts match nothing; what no mask sees is not found. Texts are compared whole. Items that repeat
+are each reported; repeated documents too. Empty tables give empty results. Ids may have any type. Other columns,
+whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lumitrack.llm.common import cut, small_enough
+from lumitrack.llm.common import cut, fresh, small_enough
 
 #: Each mask's places that are looked at (fixed values): of any 13 words with two substituted, some mask sees none of these.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 7, 8), (0, 1, 4, 5, 6, 9), (0, 2, 3, 5, 8, 10))
@@ -80,11 +86,16 @@ def needed(n_words: int) -> int:
     return min(MATCHES, -(-n_words * 4 // 5))
 
 
+def rank(found: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The order of a text's overlaps with one item, the best first."""
+    return -found[0], found[1], found[2]
+
+
 class Benchmark:
     """The items' words and their seeds, sorted by hash."""
 
-    def __init__(self, ids: list, items: list[np.ndarray]):
-        self.ids, self.items = ids, items
+    def __init__(self, items: list[np.ndarray]):
+        self.items = items
         starts = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64)
         words = np.concatenate(items) if items else np.zeros(0, np.int64)
         found = list(seeds(words, starts))
@@ -115,12 +126,13 @@ class Benchmark:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, shift in sorted(diagonals):
             found = overlap(words[starts[text] : starts[text + 1]], self.items[item], shift)
-            if found[0] >= needed(len(self.items[item])) and found[0] > best.get((text, item), (0, 0, 0))[0]:
+            if found[0] >= needed(len(self.items[item])) and ((text, item) not in best or rank(found) < rank(best[text, item])):
                 best[text, item] = found
         return [(*k, *v) for k, v in sorted(best.items())]
 
 
-OUT = "n_agree int, word_start int, word_end int, n_item_words int"
+FOUND = ("n_agree", "word_start", "word_end", "n_item_words")
+OUT = ", ".join(f"{c} int" for c in FOUND)
 
 
 def _arrays(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,47 +141,51 @@ def _arrays(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[starts[0] : starts[-1]], (starts - starts[0]).astype(np.int64)
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", word_hashes(F.col("text")).alias("_words")).filter(F.size("_words") >= LEAST_WORDS)
+def _words(texts: DataFrame, *keep: str) -> DataFrame:
+    return texts.select(*keep, word_hashes(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seeds_sent: int = SEEDS_SENT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per contaminated document and item: the columns ``keep``, item_id, n_agree, word_start, word_end, n_item_words."""
-    items = cut(_items(benchmark))
+    every = cut(_words(benchmark, "item_id"))
+    items, short = every.filter(F.size("_words") >= LEAST_WORDS), every.filter(F.size("_words") < LEAST_WORDS)
     n_seeds = (items.agg(F.sum(F.size("_words"))).first()[0] or 0) * len(MASKS)
-    texts = docs.select(*keep, word_hashes(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
-    if n_seeds > seeds_sent:
-        return _overlaps_by_join(texts, items, keep)
-    rows = items.collect()  # at most seeds_sent / len(MASKS) words
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], [np.array(r["_words"], dtype=np.int64) for r in rows]))
-    id_type = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else pa.string()
+    texts = _words(docs, *keep)
+    long = _overlaps_by_join(texts, items, keep) if n_seeds > seeds_sent else _overlaps_by_broadcast(texts, items, keep)
+    n = F.size("_words")
+    same = texts.filter(n < LEAST_WORDS).join(short, "_words").select(*keep, "item_id", n.alias("n_agree"), F.lit(0).alias("word_start"), n.alias("word_end"), n.alias("n_item_words"))
+    return long.union(same)
+
+
+def _overlaps_by_broadcast(texts: DataFrame, items: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    rows = items.toArrow()  # at most seeds_sent / len(MASKS) words
+    ids = rows["item_id"].combine_chunks()
+    shared = texts.sparkSession.sparkContext.broadcast((ids, Benchmark([np.array(x, dtype=np.int64) for x in rows["_words"].to_pylist()])))
+    schema = StructType([*(texts.schema[k] for k in keep), items.schema["item_id"], *(StructField(c, IntegerType()) for c in FOUND)])
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        ids, known = shared.value
         for batch in them:
             found = known.overlaps(*_arrays(batch.column(len(keep))))
-            at = pa.array([f[0] for f in found], pa.int64())
-            columns = [batch.column(i).take(at) for i in range(len(keep))]
-            columns.append(pa.array([known.ids[f[1]] for f in found], id_type))
-            columns += [pa.array([x for x in col], pa.int32()) for col in ([f[2] for f in found], [f[3] for f in found], [f[4] for f in found], [len(known.items[f[1]]) for f in found])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "item_id", "n_agree", "word_start", "word_end", "n_item_words"])
+            text, item = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+            values = ([f[2] for f in found], [f[3] for f in found], [f[4] for f in found], [len(known.items[f[1]]) for f in found])
+            columns = [*(batch.column(i).take(text) for i in range(len(keep))), ids.take(item), *(pa.array(v, pa.int32()) for v in values)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    kept = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    item_type = "bigint" if id_type == pa.int64() else "string"
-    return texts.mapInArrow(batches, f"{kept}, item_id {item_type}, {OUT}")
+    return texts.mapInArrow(batches, schema)
 
 
 def _seed_rows(texts: DataFrame, bits=None) -> DataFrame:
     """(_key, _hash, _place) of every seed of the column ``_words``, or of those that a bitmap lets pass."""
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = bits.value if bits is not None else None
+        mask = np.unpackbits(bits.value, bitorder="little").astype(bool) if bits is not None else None
         for batch in them:
             key = batch.column(0)
             words, starts = _arrays(batch.column(1))
             for at, h in seeds(words, starts):
                 if mask is not None:
-                    may = np.unpackbits(mask)[(h >> np.uint64(40)).astype(np.int64)].astype(bool)
+                    may = mask[(h >> np.uint64(40)).astype(np.int64)]
                     at, h = at[may], h[may]
                 text = np.searchsorted(starts, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((at - starts[text]).astype(np.int32))], names=["_key", "_hash", "_place"])
@@ -181,11 +197,13 @@ def _overlaps_by_join(texts: DataFrame, items: DataFrame, keep: tuple[str, ...])
     """The same rows for a benchmark of any size: seeds join by hash, diagonals join the words on either side."""
     keyed = items.withColumn("_key", F.xxhash64("item_id", "_words"))
     item_seeds = cut(_seed_rows(keyed.select("_key", "_words").distinct()).withColumnRenamed("_key", "_item").withColumnRenamed("_place", "_item_place"))
-    # which of the bitmap's places are taken: BITMAP bits at most
-    places = item_seeds.select(F.shiftrightunsigned("_hash", 40).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy()
-    bits = np.zeros(BITMAP, dtype=bool)
-    bits[places] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    # which of the bitmap's places are taken: a row for each 32,768 of BITMAP places
+    place = F.shiftrightunsigned("_hash", 40) + 1
+    taken = item_seeds.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros((BITMAP // 32_768, 4096), np.uint8)
+    for r in taken:
+        bits[r["at"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
     docs = texts.withColumn("_key", F.xxhash64(*keep, "_words"))
     found = _seed_rows(docs, shared).join(item_seeds, "_hash").select("_key", "_item", (F.col("_place") - F.col("_item_place")).alias("_shift")).distinct()
     both = found.join(docs.select("_key", "_words").dropDuplicates(["_key"]), "_key").join(keyed.select(F.col("_key").alias("_item"), F.col("_words").alias("_item_words")).dropDuplicates(["_item"]), "_item")
@@ -217,10 +235,11 @@ KEYS_SENT = 500_000
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, seeds_sent: int = SEEDS_SENT) -> DataFrame:
     """``docs``, with their columns, without the contaminated ones."""
-    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.hash("text")})
-    bad = cut(overlaps(keyed, benchmark, seeds_sent, keep=("_k1", "_k2")).select("_k1", "_k2").distinct())
+    k1, k2 = fresh(docs, "_k1", "_k2")
+    keyed = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit(1), "text", "doc_id")})
+    bad = cut(overlaps(keyed.select("text", k1, k2), benchmark, seeds_sent, keep=(k1, k2)).select(k1, k2).distinct())
     bad = F.broadcast(bad) if small_enough(bad, KEYS_SENT) else bad
-    return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return keyed.join(bad, [k1, k2], "left_anti").select(*docs.columns)
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
