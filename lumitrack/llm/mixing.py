@@ -8,12 +8,14 @@ hypergeometric draw says how many blocks of each source go left, so that every s
 replacement from the whole. Shards take their quotas from the permuted blocks one after the other, hence disjointly, and
 order their rows by a hash of their own.
 
-Bounds: at most ``SOURCES`` sources (an error beyond), ``BLOCKS`` blocks each, whatever the number of rows; only counts
-of blocks pass through the driver. Blocks of a hot source are as many as any other's and lie apart.
+Scale: ``BLOCKS`` blocks a source, whatever the number of rows; a row a source passes through the driver. The plan, a
+row a block, is sent to all tasks up to ``ROWS_SENT`` rows and joined beyond. Blocks of a hot source are as many as any
+other's and lie apart; where blocks are large, each is dealt to several tasks.
 
 Null sources are one source, which comes last. Null and wordless texts have size 0 and are taken with their block. A
 repeated row is in its twin's block and taken as often. An empty table gives an empty result. Equal inputs, in any order,
-give the same mix. Columns of ``docs`` are carried along; helper columns start with ``_``.
+give the same mix. Columns of ``docs``, whatever their names, are carried along; only a ``mix_shard`` of theirs is kept
+instead of the mix's own.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumitrack.llm.common import WORD, cut
+from lumitrack.llm.common import WORD, cut, small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCKS = 512
-SOURCES = 1_000
+ROWS_SENT = 512_000
+#: Rows of a block that one task shuffles.
+TASK_ROWS = 200_000
 SHARDS = 16
 SEED = 20_240_101
 
@@ -97,9 +101,9 @@ def _taken(blocks: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: key to (size, target); blocks: a row per source and block with the shards of its copies."""
+    """sources: _s, source_size, target; blocks: a row per source and block with the shards of its copies."""
 
-    sources: dict[str, tuple[int, float]]
+    sources: DataFrame
     blocks: DataFrame
     n_shards: int
 
@@ -108,19 +112,22 @@ def _block(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(BLOCKS)).cast("int")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_s": _source_key(F.col("source")), "_block": _block(F.col("doc_id"), F.col("text")), "_size": n_words(F.col("text"))})
+def _sent(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if small_enough(plan, ROWS_SENT) else plan
+
+
+def _marked(docs: DataFrame, *more: Column) -> DataFrame:
+    """_s, _block, _size and ``more`` of each document."""
+    return docs.select(_source_key(F.col("source")).alias("_s"), _block(F.col("doc_id"), F.col("text")).alias("_block"), n_words(F.col("text")).alias("_size"), *more)
 
 
 def plan(marked: DataFrame, weights=WEIGHTS, most: float = MOST, n_shards: int = SHARDS) -> Mix:
     spark = marked.sparkSession
     blocks = cut(marked.groupBy("_s", "_block").agg(F.sum("_size").alias("words")))
-    found = blocks.groupBy("_s").agg(F.sum("words").alias("n")).limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    sizes = {r["_s"]: r["n"] for r in found}
+    sizes = {r["_s"]: r["n"] for r in blocks.groupBy("_s").agg(F.sum("words").alias("n")).collect()}
     aims = targets(sizes, weights, most)
-    per_source = F.broadcast(spark.createDataFrame([(s, aims[s]) for s in sizes], "_s string, _target double"))
+    sources = spark.createDataFrame([(s, sizes[s], aims[s]) for s in sizes], "_s string, source_size long, target double")
+    per_source = _sent(sources.select("_s", F.col("target").alias("_target")))
     schema = "_s string, _block int, copies int, place int, last_place int, rounds int, of int"
     taken = cut(blocks.join(per_source, "_s").groupBy("_s").applyInPandas(_taken, schema))
     quota = {r["_s"]: r["n"] for r in taken.groupBy("_s").agg(F.sum("copies").alias("n")).collect()}
@@ -132,27 +139,24 @@ def plan(marked: DataFrame, weights=WEIGHTS, most: float = MOST, n_shards: int =
     full = F.transform(F.when(F.col("rounds") > 0, F.sequence(F.lit(0), F.col("rounds") - 1)).otherwise(F.array().cast("array<int>")), lambda r: r * F.col("of") + F.col("place"))
     last = F.when(F.col("last_place") >= 0, F.array(F.col("rounds") * F.col("of") + F.col("last_place"))).otherwise(F.array().cast("array<int>"))
     shards = F.transform(F.concat(full, last), lambda n: F.size(F.filter("_ends", lambda e: e <= n)))
-    placed = taken.join(F.broadcast(ends), "_s").select("_s", "_block", shards.alias("_shards"))
-    return Mix({s: (sizes[s], aims[s]) for s in sizes}, cut(placed), n_shards)
-
-
-def _with_plan(marked: DataFrame, mix: Mix) -> DataFrame:
-    """``marked`` with the shards of its copies; the plan has SOURCES * BLOCKS rows at most, and few bytes a row."""
-    return marked.join(F.broadcast(mix.blocks), ["_s", "_block"])
+    placed = taken.join(_sent(ends), "_s").select("_s", "_block", shards.alias("_shards"))
+    return Mix(sources, cut(placed), n_shards)
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: float = MOST, n_shards: int = SHARDS) -> DataFrame:
     """The mix: rows of ``docs``, repeated or left out, with ``mix_shard``; shuffled within each shard."""
-    marked = _marked(docs)
+    marked = _marked(docs, F.xxhash64("doc_id", "text").alias("_row"), F.struct(*docs.columns).alias("_docs"))
     mix = plan(marked.select("_s", "_block", "_size"), weights, most, n_shards)
-    drawn = _with_plan(marked, mix).withColumn("_copies", F.transform("_shards", lambda s, i: F.struct(s.alias("shard"), i.alias("copy"))))
-    copies = drawn.withColumn("_c", F.explode("_copies")).withColumn("mix_shard", F.col("_c.shard"))
-    shuffled = copies.repartition("mix_shard", "_block").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(SEED), "mix_shard", "_c.copy", "doc_id", "text"))
-    return shuffled.select(*docs.columns, "mix_shard")
+    drawn = marked.join(_sent(mix.blocks), ["_s", "_block"]).withColumn("_c", F.explode(F.transform("_shards", lambda s, i: F.struct(s.alias("shard"), i.alias("copy")))))
+    parts = 1 + marked.count() // (BLOCKS * TASK_ROWS)
+    shard, order = F.col("_c.shard").alias("mix_shard"), F.xxhash64(F.lit(SEED), "_c.shard", "_c.copy", "_row")
+    shuffled = drawn.withColumns({"_part": F.pmod("_row", F.lit(parts)), "_order": order}).repartition("_c.shard", "_block", "_part").sortWithinPartitions("_c.shard", "_order")
+    own = [] if "mix_shard" in {c.lower() for c in docs.columns} else [shard]
+    return shuffled.select("_docs.*", *own)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    marked = _marked(docs.select("doc_id", "source", "text")).drop("text")
+    marked = _marked(docs, F.col("doc_id"))
     mix = plan(marked)
-    known = F.broadcast(docs.sparkSession.createDataFrame([(s, *x) for s, x in mix.sources.items()], "_s string, source_size long, target double"))
-    return _with_plan(marked, mix).join(known, "_s").select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_shards")).cast("long").alias("taken"), F.col("_shards").alias("shards"))
+    found = marked.join(_sent(mix.blocks), ["_s", "_block"]).join(_sent(mix.sources), "_s")
+    return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_shards")).cast("long").alias("taken"), F.col("_shards").alias("shards"))
