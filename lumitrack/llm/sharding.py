@@ -6,7 +6,9 @@ the slots that an overfull or a closed shard gives up change place. Everything h
 ``n_slots`` rows whatever the input's size, so it may be gathered into one row and broadcast.
 
 Null texts weigh nothing but the overhead; null keys hash like any other value. Repeated rows share a slot and are each
-placed. An empty table gives a map with empty slots and no rows. Other columns, whatever their names, are carried along.
+placed. Equal texts of different ids have slots of their own: a text that a third of all rows have would make its shard
+larger than the law of near equal bytes allows. An empty table gives a map with empty slots and no rows. Columns of
+``docs``, whatever their names, are carried along, but for earlier ``shard`` and ``virtual_slot``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumitrack.llm.common import cut, utf8_bytes
+from lumitrack.llm.common import Scratch, cut, utf8_bytes
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -88,8 +90,9 @@ def edit_map(old: DataFrame, stats: DataFrame, n_shards: int, n_slots: int = SLO
 
 
 def write_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the maps under ``path``; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to the maps under ``path``; earlier versions stay readable, and one that is there is an error."""
+    version = slot_map.select("version").first()[0]
+    slot_map.drop("version").write.parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -100,28 +103,40 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 
 def sharded(docs: DataFrame, n_shards: int, slot_map: DataFrame | None = None, key: tuple[str, ...] = ("doc_id", "text"), n_slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``_size``, ``_slot`` and ``shard``, and the map used (planned from ``docs`` if none is given)."""
-    sized = docs.withColumns({"_size": record_size(F.col("text")), "_slot": slot_of(*map(F.col, key), n_slots=n_slots)})
+    """``docs`` with ``virtual_slot`` and ``shard``, and the map used (planned from ``docs`` if none is given)."""
+    own = [c for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]
+    slot = slot_of(*map(F.col, key), n_slots=n_slots)
     if slot_map is None:
-        slot_map = cut(plan_map(slot_stats(sized.select("_slot", "_size")), n_shards, n_slots))
-    places = F.broadcast(slot_map.select(F.col("slot").alias("_slot"), "shard"))
-    return sized.join(places, "_slot"), slot_map
+        slot_map = cut(plan_map(slot_stats(docs.select(slot.alias("_slot"), record_size(F.col("text")).alias("_size"))), n_shards, n_slots))
+    places = F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard"))
+    placed = docs.select(F.struct(*own).alias("_docs"), slot.alias("virtual_slot")).join(places, "virtual_slot")
+    return placed.select("_docs.*", "virtual_slot", "shard"), slot_map
 
 
 def op2(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """The contract's columns under the law ``bytes``: the shards' sizes are near equal.
 
+    The map is stored as version 1, edited for one shard more, stored as version 2, and both are read back.
     ``slot`` numbers the records of a shard from 0 without gaps: rows of the shard's earlier virtual slots, from the map,
-    plus the record's place in its own. ``virtual_slot`` is the hashed slot.
+    plus the record's place in its own, where repeated rows are counted as one before they meet. ``virtual_slot`` is the
+    hashed slot, ``rebalanced_shard`` the shard by version 2.
     """
     text = F.col("text")
     narrow = docs.select("doc_id", record_size(text).alias("_size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), text).alias("_slot"))
-    slot_map = cut(plan_map(slot_stats(narrow), n_shards))
-    before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    places = slot_map.select(F.col("slot").alias("_slot"), "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_slot").orderBy("doc_id", "text_crc32", "_size")
+    stats = cut(slot_stats(narrow))
+    with Scratch(docs.sparkSession) as scratch:
+        maps = f"{scratch.path}/map"
+        write_map(plan_map(stats, n_shards), maps)
+        first = read_map(docs.sparkSession, maps, 1)
+        write_map(edit_map(first, stats, n_shards + 1), maps)
+        grown = read_map(docs.sparkSession, maps, 2).select("slot", F.col("shard").alias("rebalanced_shard"))
+        before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        places = cut(first.join(grown, "slot").select(F.col("slot").alias("_slot"), "shard", "rebalanced_shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_first")))
+    inside = Window.partitionBy("_slot").orderBy("doc_id", "text_crc32", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    each = narrow.groupBy("doc_id", "text_crc32", "_size", "_slot").agg(F.count(F.lit(1)).alias("_copies"))
     return (
-        narrow.withColumn("_place", F.row_number().over(inside) - 1)
+        each.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
         .join(F.broadcast(places), "_slot")
-        .select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_slot").alias("virtual_slot"))
+        .select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_before") + F.col("_copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_slot").alias("virtual_slot"), "rebalanced_shard")
     )
