@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and virtual slot."""
     placed, _ = sharding.sharded(docs, SHARDS)
-    return placed.select(*docs.columns, "shard", placed["_slot"].alias("virtual_slot"))
+    return placed.select(*(c for c in placed.columns if c not in ("shard", "virtual_slot")), "shard", "virtual_slot")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix), ("shards", shards)]
