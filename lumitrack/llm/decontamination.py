@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lumitrack.llm.common import cut, fresh, small_enough
+from lumitrack.llm.common import cut, fresh, small_batches, small_enough
 
 #: Each mask's places that are looked at (fixed values): of any 13 words with two substituted, some mask sees none of these.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 7, 8), (0, 1, 4, 5, 6, 9), (0, 2, 3, 5, 8, 10))
@@ -237,7 +237,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, seeds_sent: int = SEED
     """``docs``, with their columns, without the contaminated ones."""
     k1, k2 = fresh(docs, "_k1", "_k2")
     keyed = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit(1), "text", "doc_id")})
-    bad = cut(overlaps(keyed.select("text", k1, k2), benchmark, seeds_sent, keep=(k1, k2)).select(k1, k2).distinct())
+    with small_batches(docs.sparkSession):
+        bad = cut(overlaps(keyed.select("text", k1, k2), benchmark, seeds_sent, keep=(k1, k2)).select(k1, k2).distinct())
     bad = F.broadcast(bad) if small_enough(bad, KEYS_SENT) else bad
     return keyed.join(bad, [k1, k2], "left_anti").select(*docs.columns)
 
