@@ -36,7 +36,7 @@ LONGEST = 4
 UNKNOWN = "und"
 #: Words are runs of letters; digits and underscores part them.
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 50_000
+MEMO = 100_000
 
 
 def words_list(text: str) -> list[str]:
@@ -45,19 +45,31 @@ def words_list(text: str) -> list[str]:
     return found if text.isascii() else [w for w in found if w.isascii() or any(map(str.isalpha, w))]
 
 
-def grams_of(word: str) -> Iterator[str]:
-    """Every n-gram of the word between its marks, of 1 to LONGEST characters."""
-    marked = f"^{word}$"
-    for n in range(1, LONGEST + 1):
-        for i in range(len(marked) - n + 1):
-            yield marked[i : i + n]
-
-
 def hash_of(name: str) -> int:
     """What Spark's xxhash64 gives for a string, unsigned."""
     return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), 42)
 
 
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For n from 1 to LONGEST the hash of the n-gram at every place of the words, each between its marks, one after the
+    other (0 where the word ends before); and where each word begins."""
+    marked = [f"^{w}$" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))
+    out, h = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, LONGEST + 1):
+        shifted = np.zeros_like(codes)
+        shifted[: len(codes) - n + 1] = codes[n - 1 :]
+        h = h * FACTOR + shifted
+        out.append(np.where(left >= n, h, np.uint64(0)))
+    return out, ends - sizes
+
+
 class Table:
     """Log chances of words or of n-grams, a row for each, by the names' hashes; a column for each language."""
 
@@ -67,10 +79,12 @@ class Table:
         self.hashes = hashes[order]
         self.logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(hashes) + 1)))
 
-    def row(self, name: str) -> np.ndarray | None:
-        h = np.uint64(hash_of(name))
-        i = int(np.searchsorted(self.hashes, h))
-        return self.logs[i] if i < len(self.hashes) and self.hashes[i] == h else None
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes' rows, -1 for those that aren't there."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
 
 class Model:
@@ -78,56 +92,56 @@ class Model:
         self.languages, self.words, self.grams = languages, words, grams
 
     @classmethod
-    def counted(cls, languages: list[str], words: dict[str, dict[int, int]], grams: dict[str, dict[int, int]]) -> Model:
-        """From counts by the language's number."""
-        made = [Table(np.array([hash_of(x) for x in counts], np.uint64), np.array([[by.get(j, 0) for j in range(len(languages))] for by in counts.values()]), len(languages)) for counts in (words, grams)]
+    def counted(cls, languages: list[str], words: dict[str, dict[int, int]], grams: dict[int, dict[int, int]]) -> Model:
+        """From counts by the language's number: of words, and of n-grams by their hashes."""
+        hashes = (np.array([hash_of(x) for x in words], np.uint64), np.array(list(grams), np.uint64))
+        made = [Table(h, np.array([[by.get(j, 0) for j in range(len(languages))] for by in counts.values()]), len(languages)) for h, counts in zip(hashes, (words, grams), strict=True)]
         return cls(languages, *made)
 
-    def of(self, word: str) -> np.ndarray:
-        """The word's log chances, or, of an unseen one, the mean over its places of the longest known n-gram there."""
-        if (row := self.words.row(word)) is not None:
-            return row
-        marked, found = f"^{word}$", []
-        for i in range(len(marked)):
-            for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (row := self.grams.row(marked[i : i + n])) is not None:
-                    found.append(row)
-                    break
-        return np.mean(found, axis=0) if found else np.zeros(len(self.languages))
-
-
-class _Rows(dict):
-    """Word to its row of ``table``, worked out when first asked for."""
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its log chances, or, of an unseen one, the mean over its places of the longest known n-gram there."""
+        out = np.zeros((len(words), len(self.languages)))
+        known = self.words.rows(np.fromiter(map(hash_of, words), np.uint64, len(words)))
+        out[known >= 0] = self.words.logs[known[known >= 0]]
+        unseen = np.flatnonzero(known < 0)
+        if len(unseen) and len(self.grams.hashes):
+            by_length, starts = gram_hashes([words[i] for i in unseen])
+            row = np.full(len(by_length[0]), -1)
+            for hashes in reversed(by_length):
+                open_ = np.flatnonzero((row < 0) & (hashes != 0))
+                row[open_] = self.grams.rows(hashes[open_])
+            found = np.where((row >= 0)[:, None], self.grams.logs[row], 0.0)
+            many = np.add.reduceat((row >= 0).astype(float), starts)
+            out[unseen] = np.add.reduceat(found, starts, axis=0) / np.maximum(many, 1)[:, None]
+        return out
+
+
+class Predictor:
+    """From texts to (language, score), with a memory of words."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.table = model, np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        if len(self) == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[len(self)] = self.model.of(word)
-        self[word] = at = len(self)
-        return at
-
-
-def predictor(model: Model):
-    """A function from a text to (language, score)."""
-    memo = _Rows(model)
-
-    def predict(text: str | None) -> tuple[str, float]:
-        words = words_list(text) if text else None
-        if not words or not model.languages:
-            return UNKNOWN, 0.0
-        if len(memo) > MEMO:
-            memo.clear()
-        times = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
-        total = times @ memo.table[: len(times)] if len(times) < 4 * len(words) else times[at := np.flatnonzero(times)] @ memo.table[at]
-        best = int(np.argmax(total))
-        rest = (total - total[best]) * min(1.0, EVIDENCE / len(words))
-        return model.languages[best], float(1 / np.exp(rest).sum())
-
-    return predict
+        self.model, self.at, self.table = model, {}, np.zeros((0, len(model.languages)))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found, lists = [(UNKNOWN, 0.0)] * len(texts), [words_list(t) if t else [] for t in texts]
+        filled = [i for i, words in enumerate(lists) if words]
+        if not filled or not self.model.languages:
+            return found
+        flat = [w for i in filled for w in lists[i]]
+        if len(self.at) > MEMO:
+            self.at, self.table = {}, self.table[:0]
+        if new := [w for w in dict.fromkeys(flat) if w not in self.at]:
+            first = len(self.at)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.model.of(new)])
+        sizes = np.array([len(lists[i]) for i in filled])
+        starts = np.cumsum(sizes) - sizes
+        totals = np.add.reduceat(self.table[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))], starts, axis=0)
+        best = totals.argmax(axis=1)
+        rest = (totals - totals.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / sizes)[:, None]
+        for i, b, score in zip(filled, best.tolist(), (1 / np.exp(rest).sum(axis=1)).tolist(), strict=True):
+            found[i] = self.model.languages[b], score
+        return found
 
 
 def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
@@ -154,24 +168,31 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
 
     def split(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            by: dict[tuple[str, str], int] = {}
-            for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for gram in grams_of(word):
-                    by[language, gram] = by.get((language, gram), 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.string()), pa.array(by.values(), pa.int64())], names=["lang", "word", "n"])
+            if not batch.num_rows:
+                continue
+            by_length, starts = gram_hashes(batch.column(1).to_pylist())
+            word = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(by_length[0]))))
+            hashes, word = np.concatenate(by_length), np.tile(word, LONGEST)
+            word, hashes = pa.array(word[hashes != 0]), hashes[hashes != 0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(word), pa.array(hashes), batch.column(2).take(word)], names=["lang", "gram", "n"])
 
     schema = "lang string, word string, n long"
     by_word = cut(drawn.mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
-    def table(rows: DataFrame) -> Table:
+    def table(rows: DataFrame, name: str, h: Column) -> Table:
         by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # one entry a language
         counts = F.transform(F.array(*map(F.lit, languages)), lambda name: F.coalesce(F.col("by")[name], F.lit(0)))
-        found = rows.groupBy("word").agg(by.alias("by")).select(F.xxhash64("word").alias("h"), counts.cast("array<bigint>").alias("counts")).toArrow()
+        found = rows.groupBy(name).agg(by.alias("by")).select(h.alias("h"), counts.cast("array<bigint>").alias("counts")).toArrow()
         return Table(found["h"].to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), len(languages))
 
     if not languages:
         return Model.counted([], {}, {})
-    return Model(languages, table(by_word), table(by_word.mapInArrow(split, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))))
+    by_gram = by_word.mapInArrow(split, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return Model(languages, table(by_word, "word", F.xxhash64("word")), table(by_gram, "gram", F.col("gram")))
+
+
+#: Texts of about so many bytes are looked up together.
+TOGETHER = 1 << 19
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
@@ -179,9 +200,16 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[st
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = predictor(shared.value)
+        known = Predictor(shared.value)
         for batch in them:
-            found = [predict(t) for t in batch.column(at).to_pylist()]
+            found, some, size = [], [], 0
+            for value in batch.column(at):
+                some.append(value.as_py())
+                size += len(some[-1] or "")
+                if size >= TOGETHER:
+                    found += known.predict(some)
+                    some, size = [], 0
+            found += known.predict(some)
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
@@ -193,7 +221,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Those of ``docs``, with their columns, that are in a language the model knows: not ``und``, score ``least`` or more.
 
     If nothing can be learnt, only texts without a letter go.

@@ -170,10 +170,14 @@ def test_language_without_labels(docs):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    model = language_id.Model.counted(["x", "y"], {"known": {0: 5}}, {"^ab": {0: 3}, "b": {1: 4}, "c": {0: 1}})
-    predict = language_id.predictor(model)
-    assert predict("known")[0] == "x" and predict("b b")[0] == "y" and predict("???")[0] == "und"
-    assert model.of("qqq").tolist() == [0.0, 0.0]
+    whole = lambda g: int(language_id.gram_hashes([g])[0][len(g) - 1][1])  # noqa: E731  the place after the first mark
+    first = int(language_id.gram_hashes(["ab"])[0][2][0])  # ^ab
+    model = language_id.Model.counted(["x", "y"], {"known": {0: 5}}, {first: {0: 3}, whole("b"): {1: 4}, whole("c"): {0: 1}})
+    predict = language_id.Predictor(model).predict
+    assert [p[0] for p in predict(["known", "b b", "???", None])] == ["x", "y", "und", "und"]
+    rows = model.grams.logs[model.grams.rows(__import__("numpy").array([first, whole("b")], "uint64"))]
+    assert model.of(["abz"])[0] == pytest.approx(rows.mean(axis=0))
+    assert model.of(["qqq"]).tolist() == [[0.0, 0.0]] and language_id.Predictor(language_id.Model.counted([], {}, {})).predict(["a"]) == [("und", 0.0)]
 
 
 def brute_languages(rows, learn):
