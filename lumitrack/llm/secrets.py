@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Strong patterns are reported wherever they match. Weak parts (an identifier, a short or bare secret, an endpoint) are
-reported only when a complementary part lies within a scope of the same document: the parts are joined as intervals,
-each with the nearest complementary one before and after it. That is one ordered pass over a document's parts, however
-many there are, so no pairs are listed.
+reported only when a complementary part lies within a scope of the same document. Secrets are joined as intervals, wider
+by the scope on either side, with identifiers and endpoints: both are dealt to stretches of ``STRETCH`` characters and
+meet there, each pair in the first stretch that both have. Parts of one pattern don't overlap, so a part has few links
+however many parts a document has, and a very long part as many as lie beside or in it.
 
 All DataFrame functions. Positions come from the lengths of the matches and of the gaps between them, added up by a
 window. Null texts count as empty; empty texts have no spans. A very long text is read whole. Repeated rows are worked
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 LEAST_ASSIGN = 8
 #: Complementary parts are linked over at most so many characters.
 SCOPE = 200
+#: Characters of a stretch that intervals are dealt to.
+STRETCH = 1024
 
 
 def _parts(text: Column, pattern: str, kind: str, when: Column, keep=None) -> Column:
@@ -68,45 +71,56 @@ def credential_parts(docs: DataFrame) -> DataFrame:
     return with_secret.select("doc_id", "_key", F.concat("_secret", rest).alias("_parts")).groupBy("doc_id", "_key", "_parts").agg(F.count(F.lit(1)).alias("_copies"))
 
 
-def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Per document and distinct text: doc_id, _key, _copies and ``spans``, sorted by start, then kind.
-
-    A span is struct(start, rank, kind, end, linked_to): code points, end exclusive; linked_to is the start of the nearest
-    complementary part within the scope (null if there is none, as strong spans may have).
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """A row for each part: doc_id, _key, _copies, start, end and its kind's number ``what`` (null, for a text without parts)."""
     rows = credential_parts(docs).select("doc_id", "_key", "_copies", F.explode_outer("_parts").alias("p")).select("doc_id", "_key", "_copies", "p.*")
-    own = ["doc_id", "_key"]
-    so_far = Window.partitionBy(*own, "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("doc_id", "_key", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("length")).over(so_far)
-    placed = rows.repartition(*own).withColumn("end", end).withColumn("start", F.col("end") - F.col("length"))
-    kind = F.col("what")
-    is_secret, is_other = kind.isin(1, 3, 5), kind.isin(2, 4, 6)
-    order = Window.partitionBy(*own).orderBy("start", "what")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    part = F.struct("start", "end")
+    return rows.repartition("doc_id", "_key").select("doc_id", "_key", "_copies", (end - F.col("length")).alias("start"), end.alias("end"), "what")
+
 
-    def nearest(these: Column) -> tuple[Column, Column]:
-        # a part may lie inside an earlier one that ends later
-        return F.max(F.when(these, F.struct("end", "start"))).over(earlier), F.first(F.when(these, part), ignorenulls=True).over(later)
+def links(placed: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Pairs of parts in scope of each other, both ways round: doc_id, _key, start, end, what and the other part ``to``
+    (gap, start, end, what); a gap below 0 means that they overlap."""
+    stretches = lambda low, high: F.sequence(F.floor(low / STRETCH), F.floor(high / STRETCH))
+    low, high = F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope
+    secrets = placed.filter(F.col("what").isin(1, 3, 5)).withColumns({"first": F.floor(low / STRETCH), "at": F.explode(stretches(low, high))}).alias("s")
+    others = placed.filter(F.col("what").isin(2, 4, 6)).withColumns({"first": F.floor(F.col("start") / STRETCH), "at": F.explode(stretches(F.col("start"), F.col("end")))}).alias("o")
+    same = F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s._key") == F.col("o._key")) & (F.col("s.at") == F.col("o.at"))
+    once = F.col("s.at") == F.greatest("s.first", "o.first")
+    gap = F.greatest(F.col("o.start") - F.col("s.end"), F.col("s.start") - F.col("o.end"))
+    met = secrets.join(others, same & once & (gap <= scope)).withColumn("gap", gap)
 
-    found = placed.withColumns(dict(zip(("s0", "s1", "o0", "o1"), (*nearest(is_secret), *nearest(is_other)), strict=True)))
+    def seen(x: str, y: str) -> DataFrame:
+        return met.select(*(F.col(f"{x}.{c}") for c in ("doc_id", "_key", "start", "end", "what")), F.struct("gap", *(F.col(f"{y}.{c}") for c in ("start", "end", "what"))).alias("to"))
 
-    def near(before: Column, after: Column) -> Column:
-        gaps = F.array(
-            F.when(F.col("start") - before["end"] <= scope, F.struct((F.col("start") - before["end"]).alias("gap"), before["start"].alias("to"))),
-            F.when(after["start"] - F.col("end") <= scope, F.struct((after["start"] - F.col("end")).alias("gap"), after["start"].alias("to"))),
-        )
-        return F.array_min(gaps)["to"]
+    return seen("s", "o").union(seen("o", "s"))
 
-    linked = F.when(is_secret, near(F.col("o0"), F.col("o1"))).when(is_other, near(F.col("s0"), F.col("s1")))
-    name = F.element_at(F.array(*map(F.lit, KINDS)), F.when(kind > 0, kind))
-    span = F.struct("start", (kind - 1).alias("rank"), name.alias("kind"), "end", F.col("linked").alias("linked_to"))
-    kept = found.withColumn("linked", linked).withColumn("span", F.when((kind > 0) & ((kind <= 3) | F.col("linked").isNotNull()), span))
-    return kept.groupBy(*own, "_copies").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+
+def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Per document and distinct text: doc_id, _key, _copies and ``spans``, sorted by start, then kind.
+
+    A span is struct(start, rank, kind, end, linked): code points, end exclusive; ``linked`` has the start and kind of each
+    complementary part in scope, the nearest first (none, as strong spans may have).
+    """
+    placed, own = _placed(docs), ["doc_id", "_key", "start", "end", "what"]
+    name = lambda what: F.element_at(F.array(*map(F.lit, KINDS)), F.when(what > 0, what))
+    both = placed.select(*own, "_copies", F.lit(None).cast("struct<gap:bigint,start:bigint,end:bigint,what:int>").alias("to")).unionByName(links(placed, scope).withColumn("_copies", F.lit(None).cast("long")))
+    parts = both.groupBy(*own).agg(F.max("_copies").alias("_copies"), F.array_sort(F.collect_set("to")).alias("to"))
+    linked = F.transform("to", lambda t: F.struct(t["start"].alias("start"), name(t["what"]).alias("kind")))
+    kind = F.col("what")
+    span = F.struct("start", (kind - 1).alias("rank"), name(kind).alias("kind"), "end", linked.alias("linked"))
+    kept = parts.withColumn("span", F.when((kind > 0) & ((kind <= 3) | (F.size("to") > 0)), span))
+    return kept.groupBy("doc_id", "_key").agg(F.max("_copies").alias("_copies"), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """The contract's columns and ``links``: each secret's start, and the kinds and starts of what is linked to it."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
-    return linked_spans(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    to = lambda s: F.array_join(F.transform(F.array_sort(s["linked"]), lambda x: F.concat_ws(":", x["kind"], x["start"])), "+")
+    groups = F.filter("spans", lambda s: s["rank"].isin(0, 2, 4) & (F.size(s["linked"]) > 0))
+    linked = F.array_join(F.transform(groups, lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit("="), to(s))), ",")
+    found = linked_spans(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), linked.alias("links"))
