@@ -13,11 +13,12 @@ named as (
   select s.*, coalesce(n, 0) n, coalesce(bad, 0) bad, string_split(rtrim(regexp_replace(host, ':[0-9]*$', ''), '.'), '.') parts
   from seen s left join marks on page_id = doc_id),
 cut as (
-  select host, n, bad, len(parts) k, parts,
+  select host, n, bad, array_to_string(parts, '.') name, regexp_full_match(array_to_string(parts, '.'), '[0-9]{1,3}([.][0-9]{1,3}){3}|\[.*') address, parts,
          array_to_string(parts[-2:], '.') in ('ac.uk','co.in','co.jp','co.kr','co.nz','co.uk','co.za','com.au','com.br','com.cn','com.mx','com.tr','gov.uk','net.au','or.jp','org.au','org.uk') two
   from named),
 hosts as (
-  select host, array_to_string(parts[-(case when two then 2 else 1 end):], '.') suffix, array_to_string(parts[-(case when two then 3 else 2 end):], '.') domain,
+  select host, case when address then name else array_to_string(parts[-(case when two then 2 else 1 end):], '.') end suffix,
+         case when address then name else array_to_string(parts[-(case when two then 3 else 2 end):], '.') end domain,
          sum(n)::double n, sum(bad)::double bad from cut group by all),
 domains as (select domain, suffix, sum(n) n, sum(bad) bad from hosts group by all),
 suffixes as (select suffix, sum(n) n, sum(bad) bad from domains group by all),

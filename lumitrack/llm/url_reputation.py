@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from lumitrack.llm.common import cut
 
-#: Suffixes of two labels (fixed values, an excerpt of common ones); any other suffix is a host's last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+#: Suffixes of several labels (fixed values, an excerpt of common ones; a longer list of up to four labels each may be
+#: given instead); any other suffix is a host's last label.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
 #: The rules of the query contract (fixed values): host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A host is blocked if its bad rate is above MAX_BAD at Z standard deviations of its posterior.
@@ -38,18 +39,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix of a host without its port."""
-    name = F.rtrim(F.regexp_replace(host, r":\d*$", ""), F.lit("."))
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+def _name(host: Column) -> Column:
+    return F.rtrim(F.regexp_replace(host, r":\d*$", ""), F.lit("."))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and one label more."""
-    name = F.rtrim(F.regexp_replace(host, r":\d*$", ""), F.lit("."))
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$")
+
+
+def _labels(host: Column, more: int, suffixes: tuple[str, ...]) -> Column:
+    name = _name(host)
+    found = F.substring_index(name, ".", -1 - more)
+    for k in range(2, 5):
+        if these := [s for s in suffixes if s.count(".") == k - 1]:
+            found = F.when(F.substring_index(name, ".", -k).isin(*these), F.substring_index(name, ".", -k - more)).otherwise(found)
+    return F.when(_is_address(name), name).otherwise(found)
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix of a host without its port, the longest that fits; an address is its own."""
+    return _labels(host, 0, suffixes)
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label more; an address is its own."""
+    return _labels(host, 1, suffixes)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -76,13 +90,13 @@ def _shrunk(bad: Column, n: Column, prior: Column, strength: float) -> Column:
     return (bad + strength * prior) / (n + F.lit(strength))
 
 
-def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Per host of ``outcomes`` (host, n outcomes, n_bad of them): n, n_bad, bad_rate (posterior mean), bad_low, bad_high.
 
     The bounds are the posterior beta distribution's mean less or plus ``z`` standard deviations, within 0 and 1.
     """
     hosts = cut(outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("n_bad").alias("d_bad")))
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad")))
     every = suffixes.agg(F.sum("s_bad").alias("bad"), F.sum("s_n").alias("n")).first()
@@ -98,7 +112,7 @@ def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return hosts.select("host", "n", "n_bad", rate.alias("bad_rate"), F.greatest(rate - z * sd, F.lit(0.0)).alias("bad_low"), F.least(rate + z * sd, F.lit(1.0)).alias("bad_high"))
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and the host's reputation.
 
     ``labels`` (doc_id, toxic) label pages by their id; toxic = 1 is the bad outcome.
@@ -107,7 +121,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MA
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.count("toxic").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("n_bad"))
     each = seen.select("page_id", "host").join(marks, F.col("page_id") == F.col("doc_id"), "left")
     outcomes = each.select("host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "n_bad")))
-    known = reputations(outcomes, z)
+    known = reputations(outcomes, z, suffixes)
     rule = rule_for(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     return (
