@@ -81,32 +81,35 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, F.lit(1.0)).when((one == "") | (other == ""), F.lit(0.0)).otherwise(fair)
 
 
-#: Ranges of doc_id, of near equal numbers of rows, in which the next document is looked for.
-RANGES = 512
+#: Rows of a range of documents in which the next one is looked for, and the number of ranges at most.
+RANGE_ROWS, RANGES = 1_000, 1 << 17
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text (null: '') and fingerprint of each document, and next_text and next_fingerprint.
 
-    The next document is that of the next lower doc_id, null ids last, ties by the text's hash and the text; after the
-    last comes the first. Rows go to ranges of doc_id, bounded by approximate quantiles, with one shuffle; each range
-    ends in a copy of the next range's first document, so that no window spans the whole table.
+    The next document is that of the next lower doc_id, null ids last, ties by the text's hash; after the last comes the
+    first. Documents are dealt to ranges of id and hash, as many as the rows ask for, with one shuffle; each range ends in
+    a copy of the next one's first document, so that no window spans the whole table. The ranges' bounds are those that
+    Spark deals narrow rows by; they are looked up in two steps of as many bounds as the root of their number.
     """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = plain.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 10 * ranges)).first()[0]
-    cuts = F.array(*(F.lit(c).cast("long") for c in sorted({*(cuts or []), 0})))
-    keyed = plain.withColumns({"_range": F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))), "_tie": F.xxhash64("text")})
-    # the first document of each range, by keys alone; then their texts, a row a range
-    low = F.struct((-F.col("doc_id")).alias("less"), "_tie", "doc_id")
-    ends = keyed.groupBy("_range").agg(F.min(low).alias("k")).select("_range", "k.doc_id", "k._tie").collect()
-    down = sorted(ends, key=lambda r: -r["_range"])
-    spark, fields = docs.sparkSession, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _tie long, _before int"
-    firsts = spark.createDataFrame([(r["doc_id"], r["_tie"], down[i - 1]["_range"]) for i, r in enumerate(down)], fields)
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    narrow, kind = plain.select("doc_id", "_tie"), docs.schema["doc_id"].dataType.simpleString()
+    key = F.struct("doc_id", "_tie")
+    n = min(RANGES, 1 + narrow.count() // range_rows)
+    ends = narrow.repartitionByRange(n, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("p").collect()
+    spark, step = docs.sparkSession, max(1, round(len(ends) ** 0.5))
+    bound = lambda k: F.struct(F.lit(k["doc_id"]).cast(kind).alias("doc_id"), F.lit(k["_tie"]).alias("_tie"))
+    below = lambda bounds: F.size(F.filter(bounds, lambda c: c <= key)) - 1
+    some = F.array(*(bound(r["low"]) for r in ends[::step])) if ends else F.array().cast(f"array<struct<doc_id:{kind},_tie:bigint>>")
+    groups = spark.createDataFrame([(i, [(r["low"]["doc_id"], r["low"]["_tie"]) for r in ends[i * step : (i + 1) * step]]) for i in range(-(-len(ends) // step))], f"_group int, _bounds array<struct<doc_id:{kind},_tie:bigint>>")
+    keyed = plain.withColumn("_group", below(some)).join(F.broadcast(groups), "_group").withColumn("_range", F.col("_group") * step + below(F.col("_bounds"))).drop("_group", "_bounds")
+    # the last document of each range in rising order is what the next range's first one, going down, comes to
+    lasts = spark.createDataFrame([(r["high"]["doc_id"], r["high"]["_tie"], (i + 1) % len(ends)) for i, r in enumerate(ends)], f"doc_id {kind}, _tie long, _range int")
     same = F.col("x.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("x._tie") == F.col("f._tie"))
-    last = keyed.alias("x").join(F.broadcast(firsts).alias("f"), same).select("x.doc_id", "x.text", "f._before", "x._tie")
-    last = last.groupBy("_before").agg(F.min(F.struct("text", "doc_id", "_tie")).alias("k")).select("k.doc_id", "k.text", F.col("_before").alias("_range"), "k._tie", F.lit(True).alias("_copy"))
-    rows = with_fingerprint(keyed.withColumn("_copy", F.lit(False)).unionByName(last))
-    order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), "_tie", "text")
+    copies = plain.alias("x").join(F.broadcast(lasts).alias("f"), same).groupBy("x.doc_id", "x._tie", "f._range").agg(F.min("x.text").alias("text"))
+    rows = with_fingerprint(keyed.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True))))
+    order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), F.desc("_tie"), "text")
     ahead = rows.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
     return ahead.filter("not _copy").drop("_range", "_tie", "_copy")
 
