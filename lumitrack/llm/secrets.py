@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumitrack.llm.common import stored
+
 #: Patterns of the query contract (fixed values). Matches of "assign" with fewer than 8 characters in group 2 are dropped.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: With so many characters at least, these are whole runs, as with "+" and a filter by length.
@@ -103,7 +105,7 @@ def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     A span is struct(start, rank, kind, end, linked): code points, end exclusive; ``linked`` has the start and kind of each
     complementary part in scope, the nearest first (none, as strong spans may have).
     """
-    placed, own = _placed(docs), ["doc_id", "_key", "start", "end", "what"]
+    placed, own = stored(_placed(docs), "parts"), ["doc_id", "_key", "start", "end", "what"]
     name = lambda what: F.element_at(F.array(*map(F.lit, KINDS)), F.when(what > 0, what))
     both = placed.select(*own, "_copies", F.lit(None).cast("struct<gap:bigint,start:bigint,end:bigint,what:int>").alias("to")).unionByName(links(placed, scope).withColumn("_copies", F.lit(None).cast("long")))
     parts = both.groupBy(*own).agg(F.max("_copies").alias("_copies"), F.array_sort(F.collect_set("to")).alias("to"))
