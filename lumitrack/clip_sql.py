@@ -61,7 +61,7 @@ def clip(config: FilterConfig) -> str:
             goes = "not few and dm and dl"
             parts.append(f"round_{i + 1} as (select {keep}, case when {goes} then nw else m end m, case when {goes} then m else lst end lst from g{i}e)")
         else:
-            parts.append(f"clipped as (select {keep}, px, py, r, thr, case when few then m else nw end fit_used, max(st::int) {W} = 1 can_fit, coalesce(finite_geo and r > thr, false) outlier from g{i}e)")
+            parts.append(f"clipped as (select {keep}, px, py, r, thr, mean, coalesce(sd, case when nr > 0 then 0e0 end) sd, sum(m::int) {W} n_last, case when few then m else nw end fit_used, max(st::int) {W} = 1 can_fit, coalesce(finite_geo and r > thr, false) outlier from g{i}e)")
     return ",\n".join(parts)
 
 
@@ -91,7 +91,8 @@ head as (select * from (select *, row_number() over (partition by track_key orde
 wr as (
   select f.frame_index, f.track_key, case when imputed then 'imputed' else 'kept' end temporal_status,
     case when imputed then px + 180e0 - 360e0 * floor((px + 180e0) / 360e0) - 180e0 else c.mapX end mapX, case when imputed then py else c.mapY end mapY,
-    case when imputed then h.sourceX else c.sourceX end sourceX, case when imputed then h.sourceY else c.sourceY end sourceY, r, thr
+    case when imputed then h.sourceX else c.sourceX end sourceX, case when imputed then h.sourceY else c.sourceY end sourceY, r, thr,
+    case when imputed then 1 else (c.row_index % 3 > 0)::int end enable, coalesce(c.event_type, h.event_type) event_type
   from filt f left join cells c on c.track_key = f.track_key and c.frame_index = f.frame_index join head h on h.track_key = f.track_key
   where kept or imputed),
 written as (select *, cast(row_number() over (partition by frame_index order by -sourceY, sourceX, track_key) - 1 as int) row_ordinal from wr)"""

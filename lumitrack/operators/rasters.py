@@ -30,7 +30,9 @@ def bilinear(points: DataFrame, raster: DataFrame, values: list[str]) -> DataFra
     corner = lambda dx, dy, w: F.struct(F.least(x0 + dx, F.col("_w") - 1).alias("col"), F.least(y0 + dy, F.col("_h") - 1).alias("row"), w.alias("weight"))
     corners = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
     each = usable.select("image", "_id", F.explode(corners).alias("c")).select("image", "_id", "c.col", "c.row", "c.weight")
-    sums = [F.sum(F.col(v) * F.col("weight")).alias(f"sampled_{v}") for v in values]
+    # a pixel that isn't there, or has no value, counts for nothing only where its weight is 0
+    whole = lambda v: F.sum(F.when(F.col(v).isNotNull(), F.col("weight"))) > 1 - 1e-9
+    sums = [F.when(whole(v), F.sum(F.col(v) * F.col("weight"))).alias(f"sampled_{v}") for v in values]
     found = each.join(raster, ["image", "row", "col"]).groupBy("_id").agg(*sums)
     return points.withColumn("_id", F.struct(*points.columns)).join(found, "_id", "left").drop("_id")
 

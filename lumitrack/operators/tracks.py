@@ -1,8 +1,8 @@
 """Tracks: the positions of one grid node over the frames of a sequence, and their temporal filter.
 
-A track is fitted by a polynomial in time, clipped by its residuals for a few rounds, and its gaps are filled. All is
-windows over one partitioning (a track), so the whole chain shuffles the observations once; a track holds at most one
-row a frame, so no partition grows with the number of tracks.
+A track is fitted by a polynomial in time, clipped by its residuals for a few rounds, and its gaps are filled. For the
+clip a track is one row with an array of its cells, at most one a frame, so no row grows with the number of tracks; all
+else is windows over tracks.
 
 Longitudes are unwrapped within each round over the rows that the round fits. The fit uses orthogonal polynomials by
 three-term recursion (Forsythe 1957), so that there is no matrix to solve.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import haversine_km, wrap_degrees
 from lumitrack.functions.numbers import finite, normalised_time
+from lumitrack.operators.clipping import clip_batches
+from lumitrack.plans.shared import kept
 
 
 def by_track():
@@ -49,6 +51,9 @@ class FilterConfig:
     max_gap: int = 8  # -1: any
     extrapolate: bool = False
     rounds: int = 4
+    temporal: bool = True  # False: finite rows are kept, nothing is fitted or imputed
+    fill_missing: bool = True
+    pre_spatial_fit: bool = False  # only rows with pre_spatial_ok start a fit
 
 
 def first_finite(observations: DataFrame) -> DataFrame:
@@ -65,15 +70,24 @@ def first_rows(observations: DataFrame) -> DataFrame:
 
 
 def dense_index(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Indices without gaps by file name, and the count.
+    """Indices without gaps by file name, and the count; per ``sequence`` if that column is there.
 
-    Counted per range of names first, so that no task gets all files; a sequence has far fewer files than points, but
-    archives of many sequences are numbered per ``sequence`` if that column is there.
+    Without it, sorted files are numbered within their partitions, and what the partitions before hold is added, so that
+    no task gets all files.
     """
-    by = [c for c in ("sequence",) if c in files.columns]
-    order = Window.partitionBy(*by).orderBy(name)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("int")
-    return files.withColumns({"frame_index": F.row_number().over(order) - 1, "n_frames": n})
+    if "sequence" in files.columns:
+        order, n = Window.partitionBy("sequence").orderBy(name), F.count(F.lit(1)).over(Window.partitionBy("sequence")).cast("int")
+        return files.withColumns({"frame_index": F.row_number().over(order) - 1, "n_frames": n})
+    numbered = kept(files.orderBy(name).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition
+    before, total = {}, 0
+    for r in sorted(counts):
+        before[r["_part"]], total = total, total + r["n"]
+    offsets = files.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
+    own = F.col("_id") - F.shiftleft(part, 33)
+    indexed = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return indexed.select(*files.columns, (own + F.col("_before")).cast("int").alias("frame_index"), F.lit(total).cast("int").alias("n_frames"))
 
 
 def scaffold(observations: DataFrame, frames: DataFrame) -> DataFrame:
@@ -84,12 +98,17 @@ def scaffold(observations: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def dense_tracks(observations: DataFrame, frames: DataFrame) -> DataFrame:
-    """The scaffold with the first finite observation of each cell, ``finite_geo``, and time ``t`` on [-1, 1]."""
-    first = first_finite(observations).select("track_key", "frame_index", "row_index", "mapX", "mapY", F.lit(True).alias("_seen"))
+    """The scaffold with the first finite observation of each cell, ``finite_geo``, and time ``t`` on [-1, 1].
+
+    ``pre_spatial_ok`` is the observations' own, or true where they have none; false where there is no observation.
+    """
+    near = F.col("pre_spatial_ok") if "pre_spatial_ok" in observations.columns else F.lit(True)
+    first = first_finite(observations).select("track_key", "frame_index", "row_index", "mapX", "mapY", near.alias("pre_spatial_ok"), F.lit(True).alias("_seen"))
     cells = scaffold(observations, frames).join(first, ["track_key", "frame_index"], "left")
     n = F.count(F.lit(1)).over(by_track())
     return cells.withColumns({
         "observed": F.coalesce("_seen", F.lit(False)),
+        "pre_spatial_ok": F.coalesce("pre_spatial_ok", F.lit(False)),
         "finite_geo": finite(F.col("mapX"), F.col("mapY")),
         "n_frames": n,
         "t": normalised_time(F.row_number().over(in_time()) - 1, n),
@@ -129,46 +148,23 @@ def polynomial_fit(rows: DataFrame, used: str, order: int) -> DataFrame:
     return now.drop("_u", "_s", "_a", "_r", "_cx", "_cy", "_n", *(f"_p{k}" for k in range(order + 1)))
 
 
-def threshold_km(mean: Column, std: Column, n: Column, config: FilterConfig) -> Column:
-    """The largest residual that stays; infinite without residuals."""
-    by_sigma = mean + F.lit(config.sigma) * F.coalesce(std, F.lit(0.0))
-    if config.mode == "absolute":
-        found = F.lit(config.absolute_km)
-    elif config.mode == "hybrid":
-        found = F.greatest(F.lit(config.absolute_km), by_sigma)
-    else:
-        found = by_sigma
-    return F.when(n == 0, F.lit(float("inf"))).otherwise(F.greatest(found, F.lit(config.min_threshold_km)))
-
-
 def sigma_clip(dense: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """Adds to dense tracks: pred_x, pred_y, residual_km, threshold_km, fit_used, can_fit, temporal_outlier.
+    """Adds to dense tracks: pred_x, pred_y, residual_km, fit_used, temporal_outlier, and, of the track's last fit,
+    threshold_km (infinite without residuals), residual_mean_km, residual_std_km, fit_degree and can_fit.
 
-    Each round fits the rows in use, takes as new rows the finite ones within the threshold of the residuals in use, and
-    goes on with them, unless they are too few or repeat the present or the last choice; then the track rests. A resting
-    track's later rounds change nothing, so that there is no flag to carry. Tracks with too few points aren't fitted.
+    A track is one row for it. Tracks with too few points aren't fitted: nothing is used, and the degree is -1.
     """
-    n_finite = F.sum(F.col("finite_geo").cast("int")).over(by_track())
-    rows = dense.withColumn("_start", F.col("finite_geo") & (n_finite >= config.min_points) & F.lit(config.order >= 1))
-    rows = rows.withColumns({"_now": F.col("_start"), "_last": F.lit(None).cast("boolean")})
-    ok = (~F.isnan("pred_x")) & (~F.isnan("pred_y"))
-    for i in range(config.rounds):
-        rows = polynomial_fit(rows, "_now", max(config.order, 1))
-        rows = rows.withColumn("residual_km", F.when(F.col("finite_geo") & ok, haversine_km(F.col("mapY"), F.col("mapX"), F.col("pred_y"), F.col("pred_x"))))
-        in_use = F.when(F.col("_now"), F.col("residual_km"))
-        rows = rows.withColumns({"_mean": F.avg(in_use).over(by_track()), "_std": F.stddev_samp(in_use).over(by_track()), "_count": F.count(in_use).over(by_track())})
-        rows = rows.withColumn("threshold_km", threshold_km(F.col("_mean"), F.col("_std"), F.col("_count"), config))
-        rows = rows.withColumn("_new", F.col("_start") & F.coalesce(F.col("residual_km") <= F.col("threshold_km"), F.lit(False)))
-        differs = lambda c: F.max(F.when(F.coalesce(c, ~F.col("_new")) != F.col("_new"), 1).otherwise(0)).over(by_track()) == 1
-        few = F.sum(F.col("_new").cast("int")).over(by_track()) < config.min_points
-        rows = rows.withColumns({"_few": few, "_goes": ~few & differs(F.col("_now")) & differs(F.col("_last"))})
-        if i < config.rounds - 1:
-            rows = rows.withColumns({"_last": F.when(F.col("_goes"), F.col("_now")).otherwise(F.col("_last")), "_now": F.when(F.col("_goes"), F.col("_new")).otherwise(F.col("_now"))})
-            rows = rows.drop("pred_x", "pred_y", "residual_km", "threshold_km", "_mean", "_std", "_count", "_new", "_few", "_goes")
-    rows = rows.withColumn("fit_used", F.when(F.col("_few"), F.col("_now")).otherwise(F.col("_new")))
-    fits = F.max(F.col("_start").cast("int")).over(by_track()) == 1
-    rows = rows.withColumns({"can_fit": fits, "temporal_outlier": F.coalesce(F.col("finite_geo") & (F.col("residual_km") > F.col("threshold_km")), F.lit(False))})
-    return rows.drop("_start", "_now", "_last", "_mean", "_std", "_count", "_new", "_few", "_goes")
+    start = F.col("finite_geo") & F.col("pre_spatial_ok") if config.pre_spatial_fit else F.col("finite_geo")
+    cells = F.struct("frame_index", *(c for c in dense.columns if c not in ("track_key", "frame_index")), start.alias("_start"))
+    packed = dense.groupBy("track_key").agg(F.array_sort(F.collect_list(cells)).alias("_cells"))
+    lists = {"_t": "t", "_x": "mapX", "_y": "mapY", "_start": "_start"}
+    packed = packed.select("track_key", "_cells", *(F.col(f"_cells.{c}").alias(n) for n, c in lists.items()))
+    kind = packed.schema["_cells"].dataType.simpleString()
+    schema = f"track_key string, _cells {kind}, _px array<double>, _py array<double>, _r array<double>, _used array<boolean>, threshold_km double, residual_mean_km double, residual_std_km double, fit_degree int"
+    done = packed.mapInArrow(clip_batches(config), schema).withColumn("_z", F.explode(F.arrays_zip("_cells", "_px", "_py", "_r", "_used")))
+    own = [F.col(f"_z._cells.{c}").alias(c) for c in dense.columns if c != "track_key"]
+    rows = done.select("track_key", *own, F.col("_z._px").alias("pred_x"), F.col("_z._py").alias("pred_y"), F.col("_z._r").alias("residual_km"), F.col("_z._used").alias("fit_used"), "threshold_km", "residual_mean_km", "residual_std_km", "fit_degree")
+    return rows.withColumns({"can_fit": F.col("fit_degree") >= 1, "temporal_outlier": F.coalesce(F.col("finite_geo") & (F.col("residual_km") > F.col("threshold_km")), F.lit(False))})
 
 
 def gap_fill(rows: DataFrame, missing: Column, anchor: Column, max_gap: int, extrapolate: bool = False, out: str = "gap_filled") -> DataFrame:
@@ -188,32 +184,47 @@ def gap_fill(rows: DataFrame, missing: Column, anchor: Column, max_gap: int, ext
 
 def filtered_tracks(observations: DataFrame, frames: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     """Dense tracks with everything that the filter decides: sigma_clip's columns, gap_filled, can_impute, imputed, kept."""
-    rows = sigma_clip(dense_tracks(observations, frames), config)
+    dense = dense_tracks(observations, frames)
+    if not config.temporal:
+        no = {c: F.lit(None).cast("double") for c in ("pred_x", "pred_y", "residual_km", "threshold_km", "residual_mean_km", "residual_std_km")}
+        never = {c: F.lit(False) for c in ("can_fit", "temporal_outlier", "can_impute", "gap_filled", "imputed")}
+        return dense.withColumns(no | never | {"fit_degree": F.lit(-1), "fit_used": F.col("finite_geo"), "kept": F.col("finite_geo")})
+    rows = sigma_clip(dense, config)
     n_fit, n_fin = F.sum(F.col("fit_used").cast("int")).over(by_track()), F.sum(F.col("finite_geo").cast("int")).over(by_track())
     rows = rows.withColumn("can_impute", F.col("can_fit") & (n_fit >= config.min_points) & (n_fin / F.col("n_frames") >= config.min_coverage))
-    rows = gap_fill(rows, ~F.col("finite_geo"), F.col("fit_used"), config.max_gap, config.extrapolate)
+    rows = gap_fill(rows, ~F.col("finite_geo") & F.lit(config.fill_missing), F.col("fit_used"), config.max_gap, config.extrapolate)
     imputed = F.col("can_impute") & (F.col("temporal_outlier") | F.col("gap_filled"))
     return rows.withColumns({"imputed": imputed, "kept": F.col("fit_used") & ~imputed})
 
 
+#: What a written point has instead of a column that wasn't read.
+DEFAULTS = {"enable": 1, "dX": 0.0, "dY": 0.0, "residual": 0.0}
+#: Columns of observations that a written point works out itself.
+WORKED_OUT = {"track_key", "frame_index", "row_index", "mapX", "mapY", "sourceX", "sourceY", "pre_spatial_ok", *DEFAULTS}
+
+
 def outputs(filtered: DataFrame, observations: DataFrame) -> DataFrame:
     """The points to write: kept ones as they were read, imputed ones at the fitted place.
 
-    A kept cell writes its first row even where a later one was the finite one. An imputed cell takes its source
-    position from the track's first row. ``row_ordinal`` is the order within the frame: from below, then from the left.
+    A kept cell writes its first row even where a later one was the finite one, with the row's own enable, dX, dY, residual
+    and other columns. An imputed cell takes its source position from the track's first row, other columns from its own
+    row, or the track's first one where it has none, and is enabled. ``row_ordinal`` is the order within the frame: from
+    below, then from the left.
     """
-    first = first_rows(observations)
-    cells = first.select("track_key", "frame_index", F.col("row_index").alias("_row"), F.col("mapX").alias("_x"), F.col("mapY").alias("_y"), F.col("sourceX").alias("_sx"), F.col("sourceY").alias("_sy"))
-    head = F.min(F.struct("frame_index", "row_index", "sourceX", "sourceY")).alias("h")
-    template = observations.groupBy("track_key").agg(head).select("track_key", F.col("h.sourceX").alias("_tx"), F.col("h.sourceY").alias("_ty"))
+    read = [c for c in ("mapX", "mapY", "sourceX", "sourceY", *(c for c in DEFAULTS if c in observations.columns)) if c in observations.columns]
+    rest = [c for c in observations.columns if c not in WORKED_OUT]
+    own = F.struct(*read, *rest)
+    cells = first_rows(observations).select("track_key", "frame_index", own.alias("_own"))
+    template = observations.groupBy("track_key").agg(F.min_by(own, F.struct("frame_index", "row_index")).alias("_head"))
     rows = filtered.filter("kept or imputed").join(cells, ["track_key", "frame_index"], "left").join(template, "track_key")
     place = lambda made, read: F.when(F.col("imputed"), made).otherwise(read)
+    marks = [place(F.lit(v), F.col(f"_own.{c}") if c in read else F.lit(v)).alias(c) for c, v in DEFAULTS.items()]
+    carried = [F.when(F.col("_own").isNotNull(), F.col("_own")[c]).otherwise(F.col("_head")[c]).alias(c) for c in rest]
     rows = rows.select(
         "frame_index", "track_key", F.when(F.col("imputed"), F.lit("imputed")).otherwise("kept").alias("temporal_status"),
-        place(wrap_degrees(F.col("pred_x")), F.col("_x")).alias("mapX"), place(F.col("pred_y"), F.col("_y")).alias("mapY"),
-        place(F.col("_tx"), F.col("_sx")).alias("sourceX"), place(F.col("_ty"), F.col("_sy")).alias("sourceY"),
-        F.lit(1).alias("enable"), F.lit(0.0).alias("dX"), F.lit(0.0).alias("dY"), F.lit(0.0).alias("residual"),
-        F.col("residual_km").alias("temporal_residual_km"), F.when(F.col("threshold_km") < float("inf"), F.col("threshold_km")).alias("temporal_threshold_km"),
+        place(wrap_degrees(F.col("pred_x")), F.col("_own.mapX")).alias("mapX"), place(F.col("pred_y"), F.col("_own.mapY")).alias("mapY"),
+        place(F.col("_head.sourceX"), F.col("_own.sourceX")).alias("sourceX"), place(F.col("_head.sourceY"), F.col("_own.sourceY")).alias("sourceY"),
+        *marks, F.col("residual_km").alias("temporal_residual_km"), F.when(F.col("threshold_km") < float("inf"), F.col("threshold_km")).alias("temporal_threshold_km"), *carried,
     )
     order = Window.partitionBy("frame_index").orderBy(-F.col("sourceY"), "sourceX", "track_key")
     return rows.withColumn("row_ordinal", F.row_number().over(order) - 1)
@@ -231,19 +242,17 @@ def frame_qc(filtered: DataFrame, observations: DataFrame, written: DataFrame, f
     return out.withColumn("post_spatial_rejected", F.col("output_before_post_spatial") - F.col("post_spatial_kept"))
 
 
-def track_qc(filtered: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """Per track: counts, degree, threshold, and residuals over the rows used (maximum over all finite ones)."""
-    r = F.col("residual_km")
+def track_qc(filtered: DataFrame) -> DataFrame:
+    """Per track: counts, degree, threshold, mean and deviation of the residuals that the last fit used, the root mean
+    square over the rows used, and the maximum over all finite ones. Observed are finite positions only."""
+    r, first = F.col("residual_km"), lambda c: F.max(c).alias(c)  # noqa: E731  one value a track
     used = F.when(F.col("fit_used"), r)
-    n_fit = F.count_if("fit_used")
     return filtered.groupBy("track_key").agg(
-        F.count_if("observed").alias("n_observed"), F.count_if("finite_geo").alias("n_finite"), n_fit.alias("n_fit_used"),
+        F.count_if("finite_geo").alias("n_observed"), F.count_if("finite_geo").alias("n_finite"), F.count_if("fit_used").alias("n_fit_used"),
         F.count_if("temporal_outlier").alias("n_temporal_outliers"), F.count_if("imputed").alias("n_imputed"), F.count_if(F.col("kept") | F.col("imputed")).alias("n_output"),
-        F.bool_or("can_impute").alias("can_impute"),
-        F.when(F.bool_or("can_fit"), F.least(F.lit(config.order).cast("long"), F.count_if("finite_geo") - 1)).otherwise(F.lit(-1)).cast("int").alias("fit_degree"),
+        F.bool_or("can_impute").alias("can_impute"), first("fit_degree"),
         F.max(F.when(F.col("threshold_km") < float("inf"), F.col("threshold_km"))).alias("threshold_km"),
-        F.avg(used).alias("residual_mean_km"), F.when(F.count(used) > 0, F.coalesce(F.stddev_samp(used), F.lit(0.0))).alias("residual_std_km"),
-        F.sqrt(F.avg(used * used)).alias("rmse_km"), F.max(r).alias("max_residual_km"),
+        first("residual_mean_km"), first("residual_std_km"), F.sqrt(F.avg(used * used)).alias("rmse_km"), F.max(r).alias("max_residual_km"),
     )
 
 

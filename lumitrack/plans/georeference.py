@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumitrack.functions.numbers import finite
 from lumitrack.operators import tracks
 from lumitrack.operators.joins import has_neighbour
+from lumitrack.plans.shared import kept
+from lumitrack.sources import points as sources
+from lumitrack.sources.sinks import write_points, write_table
 
 
 @dataclass(frozen=True)
 class Filtered:
-    """What the filter of a sequence yields; all lazy."""
+    """What the filter of a sequence yields. ``tracks`` and ``written`` are kept in the shared folder; the rest is lazy."""
 
     tracks: DataFrame
     written: DataFrame
@@ -23,13 +27,31 @@ class Filtered:
 
 
 def filter_sequence(observations: DataFrame, frames: DataFrame, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0) -> Filtered:
-    """Temporal filter and imputation per track, then the spatial filter per frame (none with ``radius_km`` null)."""
-    filtered = tracks.filtered_tracks(observations, frames, config)
-    written = tracks.outputs(filtered, observations)
+    """Temporal filter and imputation per track, then the spatial filter per frame (none with ``radius_km`` null).
+
+    Rows without a source place are read (``input_count``) but belong to no track.
+    """
+    usable = observations.filter(finite(F.col("sourceX"), F.col("sourceY")))
+    if config.pre_spatial_fit and radius_km is not None:
+        usable = has_neighbour(usable, radius_km, ["frame_index"], "track_key").withColumnRenamed("has_neighbour", "pre_spatial_ok")
+    filtered = kept(tracks.filtered_tracks(usable, frames, config), "tracks")
+    written = kept(tracks.outputs(filtered, usable), "written")
     points = written
     if radius_km is not None:
         points = has_neighbour(written, radius_km, ["frame_index"], "track_key").filter("has_neighbour").drop("has_neighbour")
-    return Filtered(filtered, written, points, tracks.frame_qc(filtered, observations, written, points, frames), tracks.track_qc(filtered, config))
+    return Filtered(filtered, written, points, tracks.frame_qc(filtered, observations, written, points, frames), tracks.track_qc(filtered))
+
+
+def filter_files(spark: SparkSession, path: str, out: str, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0) -> Filtered:
+    """From control-point files under ``path`` to filtered ones under ``out``: points by frame with a manifest, frame_qc and
+    track_qc. Files are frames in the order of their names; files without the required columns are left out."""
+    points = kept(sources.read_points(spark, path), "points")
+    frames = kept(tracks.dense_index(points.select("file_name", "frame_id").distinct()), "frames")
+    found = filter_sequence(sources.observations(points, frames), frames, config, radius_km)
+    write_points(found.points.drop("extra", "file_name", "frame_id"), frames, out, ("temporal_status", "temporal_residual_km", "temporal_threshold_km"))
+    write_table(frames.select("frame_index", "file_name", "frame_id").join(found.frame_qc, "frame_index"), f"{out}/frame_qc")
+    write_table(found.track_qc, f"{out}/track_qc")
+    return found
 
 
 def stage_decisions(stages: DataFrame) -> DataFrame:

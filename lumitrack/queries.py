@@ -131,11 +131,11 @@ for _mode in ("sigma", "absolute", "hybrid"):
     ORACLE_SQL[f"temporal_clip_{_mode}"] = f"with {Q.clip(_config)} select track_key, frame_index, fit_used::int fit_used, can_fit::int can_fit, outlier::int outlier, {sf_fixed('r', 3)} residual_km from clipped where observed"
 
 
-@query(f"with {Q.written(CONFIG)} select frame_index, track_key, row_ordinal, temporal_status, {sf_fixed('mapX', 5)} mapX, {sf_fixed('mapY', 5)} mapY, sourceX, sourceY + 0e0 sourceY from written")
+@query(f"with {Q.written(CONFIG)} select frame_index, track_key, row_ordinal, temporal_status, {sf_fixed('mapX', 5)} mapX, {sf_fixed('mapY', 5)} mapY, sourceX, sourceY + 0e0 sourceY, enable, event_type from written")
 def track_outputs(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    out = tracks.outputs(tracks.filtered_tracks(obs, frames(spark, sf_dir), CONFIG), obs)
-    return out.select("frame_index", "track_key", "row_ordinal", "temporal_status", fixed(F.col("mapX"), 5).alias("mapX"), fixed(F.col("mapY"), 5).alias("mapY"), "sourceX", (F.col("sourceY") + 0.0).alias("sourceY"))
+    obs = observations(spark, sf_dir).withColumn("enable", (F.col("row_index") % 3 > 0).cast("int"))
+    out = filter_sequence(obs, frames(spark, sf_dir), CONFIG, None).written
+    return out.select("frame_index", "track_key", "row_ordinal", "temporal_status", fixed(F.col("mapX"), 5).alias("mapX"), fixed(F.col("mapY"), 5).alias("mapY"), "sourceX", (F.col("sourceY") + 0.0).alias("sourceY"), "enable", "event_type")
 
 
 @query(f"with {Q.written(CONFIG)}, {Q.with_neighbours('written', RADIUS)} select frame_index, track_key, temporal_status from final")
@@ -154,10 +154,10 @@ def frame_qc(spark, sf_dir):
 
 
 @query(f"""with {Q.filtered(CONFIG)}
-select track_key, sum(observed::int)::bigint n_observed, sum(finite_geo::int)::bigint n_finite, sum(fit_used::int)::bigint n_fit_used, sum(outlier::int)::bigint n_temporal_outliers, sum(imputed::int)::bigint n_imputed,
-  sum((kept or imputed)::int)::bigint n_output, max(can_impute::int) can_impute, case when max(can_fit::int) = 1 then least({CONFIG.order}, sum(finite_geo::int) - 1) else -1 end::int fit_degree,
-  {sf_fixed("max(case when thr < cast('infinity' as double) then thr end)", 3)} threshold_km, {sf_fixed('avg(case when fit_used then r end)', 3)} residual_mean_km,
-  {sf_fixed('case when count(case when fit_used then r end) > 0 then coalesce(stddev_samp(case when fit_used then r end), 0) end', 3)} residual_std_km,
+select track_key, sum(finite_geo::int)::bigint n_observed, sum(finite_geo::int)::bigint n_finite, sum(fit_used::int)::bigint n_fit_used, sum(outlier::int)::bigint n_temporal_outliers, sum(imputed::int)::bigint n_imputed,
+  sum((kept or imputed)::int)::bigint n_output, max(can_impute::int) can_impute, case when max(can_fit::int) = 1 then least({CONFIG.order}, max(n_last) - 1) else -1 end::int fit_degree,
+  {sf_fixed("max(case when thr < cast('infinity' as double) then thr end)", 3)} threshold_km, {sf_fixed('max(case when can_fit then mean end)', 3)} residual_mean_km,
+  {sf_fixed('max(case when can_fit then sd end)', 3)} residual_std_km,
   {sf_fixed('sqrt(avg(case when fit_used then r * r end))', 3)} rmse_km, {sf_fixed('max(r)', 3)} max_residual_km
 from filt group by 1""")
 def track_qc(spark, sf_dir):

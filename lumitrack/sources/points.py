@@ -52,11 +52,16 @@ def _with_header(rows: DataFrame) -> DataFrame:
 
 
 def observations(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """Points as observations of tracks: track_key, frame_index, row_index and positions; rows without a source place drop out."""
+    """Points as observations of tracks: track_key, frame_index, row_index and positions; a row without a source place has no key."""
     from lumitrack.functions.names import source_key
 
-    usable = points.filter(finite(F.col("sourceX"), F.col("sourceY"))).join(frames.select("file_name", "frame_index"), "file_name")
-    return usable.withColumn("track_key", source_key(F.col("sourceX"), F.col("sourceY")))
+    placed = points.join(frames.select("file_name", "frame_index"), "file_name")
+    return placed.withColumn("track_key", F.when(finite(F.col("sourceX"), F.col("sourceY")), source_key(F.col("sourceX"), F.col("sourceY"))))
+
+
+def ids_in_range(points: DataFrame, first: int, last: int) -> DataFrame:
+    """The distinct frame ids from ``first`` to ``last`` of files that have points, in order."""
+    return points.filter(F.col("frame_id").between(first, last)).select("frame_id").distinct().orderBy("frame_id")
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
