@@ -143,8 +143,37 @@ def _smoothed(m: np.ndarray, reach: int) -> np.ndarray:
     return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
 
 
-def dense_flow(a: np.ndarray, b: np.ndarray, levels: int = 3, reach: int = 7, rounds: int = 5) -> np.ndarray:
-    """(H, W, 2) displacements from ``a`` to ``b``: least squares on gradients, from coarse to fine (Lucas and Kanade 1981)."""
+#: Of the polynomial expansion (fixed values): half the side and the spread of its weights; half the side of the window
+#: that displacements are averaged over; rounds and levels.
+EXPANSION_REACH, EXPANSION_SPREAD = 3, 1.5
+FLOW_REACH, FLOW_ROUNDS, FLOW_LEVELS = 9, 3, 3
+
+
+def expansion(m: np.ndarray) -> np.ndarray:
+    """(5, H, W): around each pixel the weighted least-squares polynomial's coefficients of x, y, x^2, y^2 and xy."""
+    k = np.arange(-EXPANSION_REACH, EXPANSION_REACH + 1)
+    g = np.exp(-(k**2) / (2 * EXPANSION_SPREAD**2))
+    g /= g.sum()
+    s2, s4 = float(g @ k**2), float(g @ k**4)
+
+    def along(m: np.ndarray, axis: int, power: int) -> np.ndarray:
+        padded = np.pad(m, [(EXPANSION_REACH, EXPANSION_REACH) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+        return np.tensordot(np.lib.stride_tricks.sliding_window_view(padded, len(k), axis=axis), g * k**power, axes=(2, 0))
+
+    rows = [along(m, 0, power) for power in range(3)]
+    one, x, y = along(rows[0], 1, 0), along(rows[0], 1, 1), along(rows[1], 1, 0)
+    xx, yy, xy = along(rows[0], 1, 2), along(rows[2], 1, 0), along(rows[1], 1, 1)
+    back = np.linalg.inv([[1, s2, s2], [s2, s4, s2 * s2], [s2, s2 * s2, s4]])
+    _, cxx, cyy = np.tensordot(back, np.stack([one, xx, yy]), axes=1)
+    return np.stack([x / s2, y / s2, cxx, cyy, xy / s2**2])
+
+
+def dense_flow(a: np.ndarray, b: np.ndarray, levels: int = FLOW_LEVELS, reach: int = FLOW_REACH, rounds: int = FLOW_ROUNDS) -> np.ndarray:
+    """(H, W, 2) displacements from ``a`` to ``b`` by polynomial expansion (Farnebaeck 2003), from coarse to fine.
+
+    Where both images are quadratic around a pixel, the change of the linear part gives the displacement; it is solved for
+    over a window, and the second image is looked at where the displacement so far leads.
+    """
     a, b = a.astype(float), b.astype(float)
     if levels > 1 and min(a.shape) >= 16:
         halve = lambda m: _smoothed(m, 1)[::2, ::2]
@@ -152,16 +181,17 @@ def dense_flow(a: np.ndarray, b: np.ndarray, levels: int = 3, reach: int = 7, ro
     else:
         flow = np.zeros((*a.shape, 2))
     rows, cols = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
-    gy, gx = np.gradient(a)
-    xx, xy, yy = (_smoothed(m, reach) for m in (gx * gx, gx * gy, gy * gy))
-    det = xx * yy - xy * xy
+    one, other = expansion(a), expansion(b)
     for _ in range(rounds):
-        moved = sampled(b, cols + flow[..., 0], rows + flow[..., 1])
-        d = a - moved
-        ex, ey = _smoothed(gx * d, reach), _smoothed(gy * d, reach)
-        ok = det > 1e-6
-        flow[..., 0] += np.where(ok, (yy * ex - xy * ey) / np.where(ok, det, 1), 0)
-        flow[..., 1] += np.where(ok, (xx * ey - xy * ex) / np.where(ok, det, 1), 0)
+        at = [sampled(c, cols + flow[..., 0], rows + flow[..., 1]) for c in other]
+        xx, yy, xy = ((one[i] + at[i]) / 2 for i in (2, 3, 4))
+        xy = xy / 2
+        dx = (one[0] - at[0]) / 2 + xx * flow[..., 0] + xy * flow[..., 1]
+        dy = (one[1] - at[1]) / 2 + xy * flow[..., 0] + yy * flow[..., 1]
+        g11, g12, g22, h1, h2 = (_smoothed(m, reach) for m in (xx * xx + xy * xy, xy * (xx + yy), yy * yy + xy * xy, xx * dx + xy * dy, xy * dx + yy * dy))
+        det = g11 * g22 - g12 * g12
+        ok = det > 1e-9 * np.maximum(g11 + g22, 1e-12) ** 2
+        flow = np.where(ok[..., None], np.stack([g22 * h1 - g12 * h2, g11 * h2 - g12 * h1], axis=-1) / np.where(ok, det, 1.0)[..., None], flow)
     return flow
 
 
@@ -201,7 +231,8 @@ def tile_flow(pairs: DataFrame) -> DataFrame:
 
 #: Rows of an image that one tile answers for.
 TILE = 512
-#: Rows beyond these that a flow tile sees: five rounds of reach 7 at three levels are 280, the rest is for displacements.
+#: Rows beyond these that a flow tile sees: three rounds of reach 9 and an expansion of reach 3 at three levels are 210,
+#: the rest is for displacements.
 #: Both are multiples of 4, so that a tile is halved at the same rows as the whole image.
 MARGIN = 304
 

@@ -359,9 +359,9 @@ def crop_fraction_window(spark, sf_dir):
     return p.select("p_partkey", w.alias("w")).select("p_partkey", F.col("w.first").alias("first"), F.col("w.past").alias("past"))
 
 
-@query(f"""with {IMG} select image, min(col) x0, min("row") y0, max(col) + 1 x1, max("row") + 1 y1 from img where value > 190e0 group by 1""")
+@query(f"""with {IMG} select image, min(col) x0, min("row") y0, max(col) + 1 x1, max("row") + 1 y1 from img where value > 120e0 group by 1""")
 def valid_pixel_box(spark, sf_dir):
-    r = raster(spark, sf_dir).withColumn("value", F.when(F.col("value") > 190, F.col("value")).otherwise(0.0))
+    r = raster(spark, sf_dir).withColumn("value", F.when(F.col("value") > 120, F.col("value")).otherwise(0.0))
     return rasters.valid_box(r)
 
 
@@ -728,7 +728,9 @@ def tile_likeness(spark, sf_dir):
 
 @query()
 def tile_flow(spark, sf_dir):
-    f = kernels.image_flow(_image_pairs(spark, sf_dir))
+    along = Window.partitionBy("image", "row").orderBy("col")
+    moved = F.coalesce(F.lag("value").over(along), F.col("value"))  # one pixel to the right
+    f = kernels.image_flow(raster(spark, sf_dir).select("image", "row", "col", F.col("value").alias("a"), moved.alias("b")))
     return f.select("image", "row", "col", fixed(F.col("dx"), 4).alias("dx"), fixed(F.col("dy"), 4).alias("dy"))
 
 

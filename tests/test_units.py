@@ -152,6 +152,7 @@ def test_point_files(spark, tmp_path):
     frames = spark.createDataFrame([("ISS001-E-100_real.points", 0), ("ISS001-E-102_real.points", 1)], "file_name string, frame_index int")
     obs = points.observations(points.read_points(spark, str(tmp_path / "in")), frames)
     assert {r.track_key for r in obs.collect()} == {"3.000|-4.000", "5.000|-6.000"}
+    assert [r.frame_id for r in points.ids_in_range(points.read_points(spark, str(tmp_path / "in")), 99, 101).collect()] == [100]
     manifest = sinks.write_points(obs.withColumn("row_ordinal", F.col("row_index")), frames, str(tmp_path / "out"))
     assert {(r.frame_index, r.n) for r in manifest.collect()} == {(0, 2), (1, 0)}
     assert spark.read.option("header", True).csv(str(tmp_path / "out/points")).count() == 2
@@ -181,6 +182,9 @@ def test_bilinear_on_a_plane(spark):
     pts = spark.createDataFrame([(0, 1.25, 2.5), (0, 7.0, 5.0), (0, 7.1, 1.0), (0, -0.1, 0.0), (0, float("nan"), 1.0)], "image int, x double, y double")
     got = [r.sampled_v for r in rasters.bilinear(pts, plane, ["v"]).orderBy("x", "y").collect()]
     assert got[:3] == [None, pytest.approx(-5.0), pytest.approx(-1.0)] and got[3:] == [None, None]
+    holes = spark.createDataFrame([(0, 0, 0, 10.0), (0, 0, 1, 10.0), (0, 1, 0, 10.0), (0, 1, 1, None), (0, 2, 2, 1.0)], "image int, row int, col int, v double")
+    some = spark.createDataFrame([(0, 0.5, 0.5), (0, 0.5, 0.0), (0, 1.5, 1.5)], "image int, x double, y double")
+    assert {(r.x, r.y): r.sampled_v for r in rasters.bilinear(some, holes, ["v"]).collect()} == {(0.5, 0.5): None, (0.5, 0.0): 10.0, (1.5, 1.5): None}
 
 
 def test_camera_over_the_origin(spark):
@@ -220,6 +224,93 @@ def test_kernels():
     assert len(kernels.hull(np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1], [1, 0]]))) == 4
 
 
+def test_flow_of_moved_tiles():
+    rng = np.random.default_rng(2)
+    a = rng.random((96, 96)) * 255
+    for _ in range(2):
+        a = kernels._smoothed(a, 2)
+    x, y = np.meshgrid(np.arange(96.0), np.arange(96.0))
+    for dx, dy in ((1.0, 0.0), (-2.5, 1.5), (0.25, -3.0)):
+        flow = kernels.dense_flow(a, kernels.sampled(a, x - dx, y - dy))[16:-16, 16:-16]
+        assert np.abs(flow - [dx, dy]).mean() < 0.15
+    assert np.abs(kernels.dense_flow(a, a)).max() < 1e-9
+
+
+def test_from_files_to_files(spark, tmp_path):
+    from lumitrack.plans.georeference import filter_files
+
+    (tmp_path / "in").mkdir()
+    nodes = [(sx, sy) for sx in (0, 185, 370) for sy in (0, -185, -370)]
+    for f in range(12):
+        rows = [f"{10 + 0.1 * f + sx / 1000 + (8 if (f, sx, sy) == (5, 185, -185) else 0)},{20 + sy / 1000},{sx},{sy},{0 if sx == 0 else 1},0.5,0.25,0.125,n{f}" for sx, sy in nodes if not (f == 7 and (sx, sy) == (0, 0))]
+        rows += ["1,2,none,5,1,0,0,0,x"] if f == 3 else []
+        (tmp_path / "in" / f"ISS001-E-{100 + f}_real.points").write_text("mapX,mapY,sourceX,sourceY,enable,dX,dY,residual,note\n" + "\n".join(rows) + "\n")
+    (tmp_path / "in" / "ISS001-E-300_real.points").write_text("mapX,mapY\n1,2\n")
+    found = filter_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), tracks.FilterConfig(order=1, min_points=4), 80.0)
+    out = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out/points")).collect()
+    assert len(out) == 12 * 9 and {r.frame_index for r in out} == set(range(12))
+    by = {(r.frame_index, r.sourceX, r.sourceY): r for r in out}
+    moved, missing, own = by[5, 185, -185], by[7, 0, 0], by[4, 0, -185]
+    assert (moved.temporal_status, moved.enable, moved.dX) == ("imputed", 1, 0.0) and moved.mapX == pytest.approx(10.685) and missing.mapX == pytest.approx(10.7)
+    assert (own.temporal_status, own.enable, own.dX, own.dY, own.residual) == ("kept", 0, 0.5, 0.25, 0.125)
+    notes = {(r.frame_index, r.track_key): r.extra["note"] for r in found.written.collect()}
+    assert notes[5, "185.000|-185.000"] == "n5" and notes[7, "0.000|0.000"] == "n0"
+    qc = {int(r.frame_index): r for r in spark.read.option("header", True).csv(str(tmp_path / "out/frame_qc")).collect()}
+    assert int(qc[3].input_count) == 10 and int(qc[7].input_count) == 8 and int(qc[5].imputed) == 1 and qc[11].file_name == "ISS001-E-111_real.points"
+    tq = {r.track_key: r for r in spark.read.option("header", True).csv(str(tmp_path / "out/track_qc")).collect()}
+    assert len(tq) == 9 and tq["185.000|-185.000"].n_temporal_outliers == "1" and tq["0.000|0.000"].n_observed == "11"
+    assert {r.n for r in spark.read.parquet(str(tmp_path / "out/manifest")).collect()} == {9}
+
+
+def test_switches_of_the_filter(spark):
+    rows = [("a", f, f, 1.0 * f if f != 6 else None, 2.0, 0.0, 0.0, f != 4) for f in range(12)]
+    obs = spark.createDataFrame(rows, "track_key string, frame_index int, row_index int, mapX double, mapY double, sourceX double, sourceY double, pre_spatial_ok boolean")
+    frames = obs.select("frame_index")
+    run = lambda **k: {r.frame_index: r for r in tracks.filtered_tracks(obs, frames, tracks.FilterConfig(order=1, min_points=4, **k)).collect()}
+    assert run()[6].imputed and run()[4].fit_used and not run(fill_missing=False)[6].imputed
+    assert not run(pre_spatial_fit=True)[4].fit_used and not run(pre_spatial_fit=True)[4].temporal_outlier
+    off = run(temporal=False)
+    assert off[3].kept and not off[6].kept and off[3].fit_degree == -1 and not any(r.imputed or r.temporal_outlier for r in off.values())
+
+
+def test_numbers_of_files(spark):
+    files = spark.createDataFrame([(f"f{i:03}",) for i in range(57)], "file_name string").repartition(5)
+    assert [(r.file_name, r.frame_index, r.n_frames) for r in tracks.dense_index(files).orderBy("file_name").collect()] == [(f"f{i:03}", i, 57) for i in range(57)]
+    assert tracks.dense_index(files.limit(0)).count() == 0
+
+
+def test_readers_of_files(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("1 25544U 98067A   24061.50000000  .0001\r\n2 25544  51.6\n")
+    assert [r.name for r in points.read_elements(spark, str(tmp_path)).collect()] == ["25544U"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.csv").write_text("sim_x,sim_y,real_x,real_y\n1,2,3,4\n")
+    assert tuple(points.read_matches(spark, str(tmp_path / "m")).first()) == (1.0, 2.0, 3.0, 4.0, "a.csv")
+    (tmp_path / "m/b.csv").write_text("sim_x,sim_y,real_x,real_y\n1,2,x,4\n")
+    with pytest.raises(Exception, match="(?i)malformed|cannot|failfast"):
+        points.read_matches(spark, str(tmp_path / "m")).collect()
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/a.csv").write_text("sourceX,sourceY,mapX,mapY,geoX,geoY\n1,2,3,4,5,6\n")
+    assert points.read_mapping(spark, str(tmp_path / "g")).first().geoY == 6
+    (tmp_path / "i").mkdir()
+    for name in ("a.jpg", "b.JPEG", "c.txt"):
+        (tmp_path / "i" / name).write_bytes(b"1234")
+    assert {(r.file_name, r.length) for r in points.list_images(spark, str(tmp_path / "i")).collect()} == {("a.jpg", 4), ("b.JPEG", 4)}
+    np.save(tmp_path / "flow.npy", np.arange(12.0).reshape(2, 3, 2))
+    (tmp_path / "bad.npy").write_bytes(b"no array")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(str(tmp_path))
+    got = points.read_flow_arrays(files).collect()
+    assert sorted((r.row, r.col, r.dx, r.dy) for r in got if r.error is None) == [(i // 3, i % 3, 2.0 * i, 2.0 * i + 1) for i in range(6)] and sum(r.error is not None for r in got) == 1
+    table = spark.createDataFrame([(0, 1), (1, 2)], "frame_index int, v int")
+    sinks.replace_frames(table, str(tmp_path / "f"))
+    sinks.replace_frames(table.filter("frame_index = 1").withColumn("v", F.lit(9)), str(tmp_path / "f"))
+    assert {(r.frame_index, r.v) for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {(0, 1), (1, 9)}
+    sinks.append_json(table, str(tmp_path / "j"))
+    sinks.append_json(table, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    sinks.write_by_frame(table, str(tmp_path / "c"), kind="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
 def test_polynomial_reproduces(spark):
     rng = np.random.default_rng(1)
     rows = [(0, i, float(x), float(y), float(1 + x * y), float(y * y - x)) for i, (x, y) in enumerate(rng.random((40, 2)))]
