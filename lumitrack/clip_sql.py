@@ -50,7 +50,7 @@ def clip(config: FilterConfig) -> str:
         steps, last = fit_steps(f"round_{i}", "m", config.order, f"f{i}_")
         parts += [
             steps,
-            f"g{i}a as (select *, case when finite_geo then {haversine('mapY', 'mapX', 'py', 'px')} end r from {last})",
+            f"g{i}a as (select *, case when finite_geo and px is not null then {haversine('mapY', 'mapX', 'py', 'px')} end r from {last})",
             f"g{i}b as (select *, avg(case when m then r end) {W} mean, stddev_samp(case when m then r end) {W} sd, count(case when m then r end) {W} nr from g{i}a)",
             f"g{i}c as (select *, case when nr = 0 then cast('infinity' as double) else greatest({limit}, {config.min_threshold_km}e0) end thr from g{i}b)",
             f"g{i}d as (select *, st and coalesce(r <= thr, false) nw from g{i}c)",
