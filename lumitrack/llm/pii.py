@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,10 @@ LOOK_ALIKES = dict(
 )
 #: Fullwidth forms stand 0xFEE0 above ASCII.
 LOOK_ALIKES |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+#: More Latin, Armenian and Roman-numeral look-alikes (fixed values).
+LOOK_ALIKES |= dict(zip("ƅɑɡıⅼոսց", "bagilnug", strict=True))
+#: Mathematical and circled letters and digits stand for what Unicode's compatibility decomposition makes of them.
+LOOK_ALIKES |= {chr(c): x for c in (*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24EB)) if len(x := normalize("NFKC", chr(c))) == 1 and x.isascii() and x.isalnum()}
 INVISIBLE = "​‌‍⁠﻿­"
 #: Digits spelled in English, German, French and Spanish (fixed values); "o" and "oh" only among others.
 SPELLED = {

@@ -678,6 +678,7 @@ def test_pii(spark, docs, rows, nothing):
     [
         ("email", "john dot smith at example dot com"), ("email", "john [dot] smith [at] example [dot] com"), ("email", "j (dot) r.r dot t(at)mail.example(dot)org"),
         ("email", "x at " + " dot ".join("abcdefghijk")), ("ip", "192[.]168[.]0[.]1"), ("ip", "192 dot 168 dot 0 dot 1"), ("ip", "10.0 (dot) 0.7"),
+        ("email", "𝐛𝐨𝐛@example.com"), ("email", "ⓐⓝⓝ@𝚎𝚡ample.com"), ("email", "ƅob＠exаmple․com"), ("ip", "𝟏𝟗𝟐.168.0.𝟙"),
         ("phone", "plus four four two zero 7 one two three 4 five six 7"), ("phone", "plus 4 four 2 zero 7 one 2 three 4 five 6 seven"),
     ],
 )
