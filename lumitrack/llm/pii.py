@@ -75,7 +75,8 @@ DOT_LENGTH = 20
 #: Four groups of figures with dots of any form between.
 DISGUISED_IP = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:{ANY_DOT}[0-9]++){{3}}")
 #: What a text must hold for the rewritten one to differ: one of these characters, or words that ``spells`` finds.
-ODD = re.compile(rf"[{re.escape(''.join(LOOK_ALIKES))}{INVISIBLE}\(\[\{{<]")
+#: Characters beyond the first plane are a range here, since a class tries them one after the other.
+ODD = re.compile(rf"[{re.escape(''.join(c for c in LOOK_ALIKES if c < chr(0x10000)))}\U0001D400-\U0001D7FF{INVISIBLE}\(\[\{{<]")
 #: ASCII punctuation becomes a space.
 APART = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 SPELLED_BYTES = frozenset(x for w in SPELLED for x in (w.encode(), w.upper().encode().lower()))
