@@ -329,14 +329,23 @@ def hull(points: np.ndarray) -> np.ndarray:
 def within_hull(nodes: DataFrame, matches: DataFrame, least: int = 12) -> DataFrame:
     """Grid nodes (image, x, y) inside the hull of their image's matches; all of an image if fewer than ``least`` would stay.
 
-    A hull has few corners, so each image's is one array of half-planes that Spark tests node by node.
+    Batches of matches come down to their own corners first, then an image's corners to one array of half-planes that
+    Spark tests node by node.
     """
-    packed = matches.groupBy("image").agg(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("_p"))
+    kind = matches.schema["image"].dataType.simpleString()
+
+    def partial(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in them:
+            for image, g in batch.groupby("image", sort=False):
+                at = hull(g[["x", "y"]].to_numpy(float))
+                yield pd.DataFrame({"image": image, "x": at[:, 0], "y": at[:, 1]})
 
     def corners(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in them:
             yield x[["image"]].assign(_hull=[hull(np.array([(q["x"], q["y"]) for q in p])).tolist() for p in x["_p"]])
 
+    outer = matches.select("image", F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(partial, f"image {kind}, x double, y double")
+    packed = outer.groupBy("image").agg(F.collect_set(F.struct("x", "y")).alias("_p"))
     kind = nodes.schema["image"].dataType.simpleString()
     edged = packed.mapInPandas(corners, f"image {kind}, _hull array<array<double>>")
     x = nodes.join(edged, "image", "left")

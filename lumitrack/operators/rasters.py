@@ -37,15 +37,13 @@ def bilinear(points: DataFrame, raster: DataFrame, values: list[str]) -> DataFra
     return points.withColumn("_id", F.struct(*points.columns)).join(found, "_id", "left").drop("_id")
 
 
-def tone_mapped(raster: DataFrame, value: str = "value", top: float = 200.0, gamma: float = 2.5) -> DataFrame:
-    """``tone``: values without NaN, cut to [0, top], spread over [0, 100] with a gamma; null for a flat image.
-
-    The extremes are sums per image joined back, as an image may be larger than a task.
-    """
-    v = clamp(F.when(finite(F.col(value)), F.col(value)).otherwise(F.lit(0.0)), 0.0, top)
-    ends = raster.groupBy("image").agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
-    spread = F.pow((v - F.col("_low")) / (F.col("_high") - F.col("_low") + F.lit(1e-9)), F.lit(1.0 / gamma)) * F.lit(100.0)
-    return raster.join(ends, "image").withColumn("tone", F.when(F.col("_high") > F.col("_low"), clamp(spread, 0.0, 100.0))).drop("_low", "_high")
+def tone_mapped(raster: DataFrame, value: str = "value", top: float = 200.0, gamma: float = 2.5, low: float = 0.0) -> DataFrame:
+    """``tone``: values cut to [low, top] and spread from there over [0, 100] with a gamma; what isn't finite counts as 0."""
+    if top <= low:
+        raise ValueError("top must be above low")
+    v = clamp(F.when(finite(F.col(value)), F.col(value)).otherwise(F.lit(0.0)), low, top)
+    spread = F.pow((v - F.lit(low)) / F.lit(top - low + 1e-9), F.lit(1.0 / gamma)) * F.lit(100.0)
+    return raster.withColumn("tone", clamp(spread, 0.0, 100.0))
 
 
 def to_bytes(raster: DataFrame, value: str = "value") -> DataFrame:
@@ -124,16 +122,115 @@ def clipped(raster: DataFrame, boxes: DataFrame) -> DataFrame:
     return x.withColumns({"col": F.col("col") - F.col("x0"), "row": F.col("row") - F.col("y0")}).drop("x0", "y0", "x1", "y1")
 
 
-def roi_from_mapping(mapping: DataFrame, margin: int, width: Column, height: Column, by: str = "frame_index") -> DataFrame:
-    """Per frame: the window of mapped pixels (geoX, geoY) and a margin, within the image; no row without finite pixels."""
+def roi_from_mapping(mapping: DataFrame, margin: int, width: Column, height: Column, by: str = "frame_index", sizes: DataFrame | None = None) -> DataFrame:
+    """Per frame: the window of mapped pixels (geoX, geoY) and a margin, within the image; no row without finite pixels.
+
+    ``width`` and ``height`` are of all frames, or columns of ``sizes``, a row per frame.
+    """
     good = mapping.filter(finite(F.col("geoX"), F.col("geoY")))
     ends = good.groupBy(by).agg(F.floor(F.min("geoX") - margin).alias("a"), F.ceil(F.max("geoX") + margin).alias("b"), F.floor(F.min("geoY") - margin).alias("c"), F.ceil(F.max("geoY") + margin).alias("d"))
+    ends = ends if sizes is None else ends.join(sizes, by)
     first, last = (lambda c, n: clamp(F.col(c), 0, n - 1).cast("int")), (lambda c, low, n: clamp(F.col(c), low + 1, n).cast("int"))
     x0, y0 = first("a", width), first("c", height)
     x1, y1 = last("b", x0, width), last("d", y0, height)
     return ends.select(by, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), (x1 - x0).alias("roi_width"), (y1 - y0).alias("roi_height"))
 
 
+#: How far each way of resampling reaches, as offsets from the pixel below the place.
+TAPS = {"nearest": (0, 0), "bilinear": (0, 1), "cubic": (-1, 2)}
+
+
+def _tap_weight(distance: Column, method: str) -> Column:
+    """A tap's weight at a distance along one axis; the cubic is Keys' with a = -1/2."""
+    t = F.abs(distance)
+    if method == "bilinear":
+        return F.greatest(F.lit(1.0) - t, F.lit(0.0))
+    near = (F.lit(1.5) * t - F.lit(2.5)) * t * t + F.lit(1.0)
+    far = ((F.lit(-0.5) * t + F.lit(2.5)) * t - F.lit(4.0)) * t + F.lit(2.0)
+    return F.when(t < 1, near).when(t < 2, far).otherwise(F.lit(0.0))
+
+
+def resampled(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value") -> DataFrame:
+    """(image, row, col, value) of every pixel of the target grids, in the ground system that they share with the source.
+
+    raster: image, row, col and the value; grids: a row per target with image, width, height and gt of the target, and
+    source_gt, source_width, source_height (six doubles each gt). A pixel's centre is looked up in the source by
+    ``nearest``, ``bilinear`` or ``cubic``; source pixels that are absent, not finite or ``nodata`` count for nothing and
+    the others' weights are scaled up. ``nodata`` outside the source, and where nothing is left.
+    """
+    return _resampled(raster, grids, method, nodata, value, ["image"])
+
+
+def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float, value: str, by: list[str]) -> DataFrame:
+    low, high = TAPS[method]
+    g, s = F.col("gt"), F.col("source_gt")
+    pixels = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    i, j = F.col("col") + 0.5, F.col("row") + 0.5
+    dx, dy = g[0] + i * g[1] + j * g[2] - s[0], g[3] + i * g[4] + j * g[5] - s[3]
+    det = s[1] * s[5] - s[2] * s[4]
+    at = pixels.select("image", "row", "col", "source_width", "source_height", ((s[5] * dx - s[2] * dy) / det).alias("_x"), ((s[1] * dy - s[4] * dx) / det).alias("_y"))
+    within = at.filter("_x >= 0 and _x < source_width and _y >= 0 and _y < source_height")
+    back = 0.0 if method == "nearest" else 0.5
+    for axis in "xy":
+        within = within.withColumn(f"_{axis}", F.col(f"_{axis}") - back).withColumn(f"_{axis}n", F.explode(F.sequence(F.floor(f"_{axis}").cast("int") + low, F.floor(f"_{axis}").cast("int") + high)))
+    weight = F.lit(1.0) if method == "nearest" else _tap_weight(F.col("_x") - F.col("_xn"), method) * _tap_weight(F.col("_y") - F.col("_yn"), method)
+    taps = within.select("image", "row", "col", F.col("_xn"), F.col("_yn"), weight.alias("_w")).filter("_w <> 0")
+    good = raster.filter(finite(F.col(value)) & (F.col(value) != nodata)).select(*by, F.col("row").cast("int").alias("_yn"), F.col("col").cast("int").alias("_xn"), F.col(value).alias("_v"))
+    met = taps.join(good, [*by, "_xn", "_yn"]).groupBy("image", "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_v"))
+    found = met.filter(F.abs("_w") > 1e-6).select("image", "row", "col", (F.col("_v") / F.col("_w")).alias(value))
+    return pixels.select("image", "row", "col").join(found, ["image", "row", "col"], "left").fillna(nodata, [value])
+
+
+def resampled_from_one(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value") -> DataFrame:
+    """``resampled`` where all targets read one source (row, col and the value, no image)."""
+    return _resampled(raster, grids, method, nodata, value, [])
+
+
+def window_transform(gt: Column, x0: Column, y0: Column) -> Column:
+    """The transform of a window that begins at pixel (x0, y0) of a raster with ``gt``."""
+    return F.array(gt[0] + x0 * gt[1] + y0 * gt[2], gt[1], gt[2], gt[3] + x0 * gt[4] + y0 * gt[5], gt[4], gt[5])
+
+
+def resized(raster: DataFrame, sizes: DataFrame, value: str = "value") -> DataFrame:
+    """Images of other sizes by linear interpolation between pixel centres, the edge's value beyond the outermost ones.
+
+    sizes: image, width, height (wanted), source_width, source_height.
+    """
+    along = lambda w, h: F.array(F.lit(0.0), w, F.lit(0.0), F.lit(0.0), F.lit(0.0), h)
+    grids = sizes.withColumns({"gt": along(F.col("source_width") / F.col("width"), F.col("source_height") / F.col("height")), "source_gt": along(F.lit(1.0), F.lit(1.0))})
+    return resampled(raster, grids, "bilinear", float("inf"), value)
+
+
+def grey(red: Column, green: Column, blue: Column) -> Column:
+    """Brightness of a colour by the usual shares of its parts, rounded to a whole number."""
+    return F.floor(F.lit(0.299) * red + F.lit(0.587) * green + F.lit(0.114) * blue + F.lit(0.5)).cast("int")
+
+
+#: The largest image that a warp may make (fixed values).
+MOST_SIDE, MOST_PIXELS = 50_000, 2_500_000_000
+
+
+def warp_size(edges: DataFrame, sizes: DataFrame, by: str = "frame_index", most_side: int = MOST_SIDE, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """Per image the north-up grid that its warp would fill, and whether that is of a sensible size (``fits``).
+
+    edges: places (x, y) along an image's edge, its corners (0, 0) and (width, height) among them, with the ground (u, v)
+    that they go to; sizes: ``by``, width, height. The pixel is as long as keeps the diagonal's number of pixels.
+    """
+    corner = lambda c, x, y: F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col(c)))
+    zero, w, h = F.lit(0.0), F.col("width"), F.col("height")
+    ends = edges.join(sizes.select(by, "width", "height"), by).groupBy(by, "width", "height").agg(
+        F.min("u").alias("_u0"), F.max("u").alias("_u1"), F.min("v").alias("_v0"), F.max("v").alias("_v1"),
+        (corner("u", w, h) - corner("u", zero, zero)).alias("_du"), (corner("v", w, h) - corner("v", zero, zero)).alias("_dv"),
+    )
+    pixel = F.sqrt(F.col("_du") * F.col("_du") + F.col("_dv") * F.col("_dv")) / F.sqrt((w * w + h * h).cast("double"))
+    sized = ends.withColumn("pixel", F.when(pixel > 0, pixel))
+    along = lambda a, b: F.greatest(F.lit(1), F.floor((F.col(b) - F.col(a)) / F.col("pixel") + 0.5)).cast("long")
+    sized = sized.withColumns({"warp_width": F.when(F.col("pixel") > 0, along("_u0", "_u1")), "warp_height": F.when(F.col("pixel") > 0, along("_v0", "_v1"))})
+    fits = (F.col("warp_width") <= most_side) & (F.col("warp_height") <= most_side) & (F.col("warp_width") * F.col("warp_height") <= most_pixels)
+    gt = F.array(F.col("_u0"), F.col("pixel"), zero, F.col("_v1"), zero, -F.col("pixel"))
+    return sized.select(by, "warp_width", "warp_height", F.coalesce(fits, F.lit(False)).alias("fits"), gt.alias("gt"))
+
+
 def extent_check(points: DataFrame, by: str = "frame_index", most: float = 60.0, least_points: int = 6) -> DataFrame:
     """Per frame: how far its points spread, and whether a warp may be tried."""
     good = finite(F.col("mapX"), F.col("mapY"))
@@ -177,6 +274,24 @@ def corrected_points(points: DataFrame, mapping: DataFrame, flow: DataFrame, fra
     return rows.select("frame_index", "row_ordinal", moved("x", "mapX").alias("mapX"), moved("y", "mapY").alias("mapY"), F.col("mapX").alias("mapX_first"), F.col("mapY").alias("mapY_first"), "geoX", "geoY", "dX_raw", "dY_raw", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")).alias("correction_mag"), "flow_inside", "flow_applied", "correction_reason")
 
 
+def correction_status(frames: DataFrame, points: DataFrame, mapping: DataFrame, flow: DataFrame, meta: DataFrame) -> DataFrame:
+    """(frame_index, status): ``ok``, or the first thing that keeps a frame from being corrected.
+
+    frames: frame_index, width, height of its image as it is now; meta: frame_index, x0, y0, x1, y1, full_width,
+    full_height as its flow was made (null sizes are taken as right); flow: image, row, col. A flow must be of its window's
+    shape.
+    """
+    has = lambda x, c, name: x.select(F.col(c).alias("frame_index")).distinct().withColumn(name, F.lit(True))
+    shape = flow.groupBy(F.col("image").alias("frame_index")).agg((F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    x = frames.select("frame_index", "width", "height").join(has(points, "frame_index", "_points"), "frame_index", "left").join(has(mapping, "frame_index", "_mapping"), "frame_index", "left")
+    x = x.join(shape, "frame_index", "left").join(meta.select("frame_index", "x0", "y0", "x1", "y1", "full_width", "full_height").withColumn("_meta", F.lit(True)), "frame_index", "left")
+    sizes = (F.coalesce("full_width", "width") != F.col("width")) | (F.coalesce("full_height", "height") != F.col("height"))
+    window = (F.col("_w") != F.col("x1") - F.col("x0")) | (F.col("_h") != F.col("y1") - F.col("y0"))
+    status = F.when(F.col("_points").isNull(), "missing points").when(F.col("_mapping").isNull(), "missing mapping").when(F.col("_w").isNull(), "missing flow")
+    status = status.when(F.col("_meta").isNull(), "missing flow metadata").when(sizes, "image size differs").when(F.coalesce(window, F.lit(True)), "flow shape differs").otherwise("ok")
+    return x.select("frame_index", status.alias("status"))
+
+
 def correction_stats(corrected: DataFrame) -> DataFrame:
     """Per frame: counts, counts by reason as a map, and percentiles of the corrections."""
     reasons = corrected.groupBy("frame_index", "correction_reason").agg(F.count(F.lit(1)).alias("n"))

@@ -41,3 +41,12 @@ def reference_frames(spec: str, frames: DataFrame) -> DataFrame:
     index = F.when(w == "first", 0).when(w.isin("mid", "middle"), n // 2).when(w == "last", n - 1).otherwise(w.try_cast("int"))
     read = words.select("place", index.alias("frame_index")).filter((F.col("frame_index") >= 0) & (F.col("frame_index") < n))
     return read.groupBy("frame_index").agg(F.min("place").alias("place")).select("place", "frame_index")
+
+
+def seeded(rows: DataFrame, by: list[str], order: list[str], n: int = 150, seed: int = 1234) -> DataFrame:
+    """``n`` rows of each group, or all, without repeats: those with the least hashes of ``order`` and the seed.
+
+    Spark keeps only the first ``n`` of each task's rows of a group before the shuffle.
+    """
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *order), *order)
+    return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")

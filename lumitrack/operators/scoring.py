@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import wrap_degrees
-from lumitrack.functions.numbers import clamp
+from lumitrack.functions.numbers import clamp, to_unit
+from lumitrack.operators.kernels import within_hull
+from lumitrack.operators.rasters import grid_points
 
 #: Weights of a candidate's terms (fixed values); what is bad counts against it.
 CANDIDATE_WEIGHTS = {
@@ -67,8 +69,35 @@ def jacobians(field: DataFrame) -> DataFrame:
     return d.select("image", "iy", "ix", det.alias("det"), s1.alias("s1"), s2.alias("s2"))
 
 
-def deformation(field: DataFrame) -> DataFrame:
-    """Per image of a field on a rectangular grid (x, y to qx, qy): the six measures of how a warp deforms it."""
+def without_similarity(field: DataFrame) -> DataFrame:
+    """``field`` (image, x, y, qx, qy) with (qx, qy) taken back by the similarity of its image that leads (x, y) nearest to it.
+
+    That similarity (scale, turn and shift by least squares) comes from moments, so an image may lie in any number of
+    tasks; it's the identity where all places are one.
+    """
+    c = F.covar_pop
+    sums = field.groupBy("image").agg(
+        (F.var_pop("x") + F.var_pop("y")).alias("_s"), (c("x", "qx") + c("y", "qy")).alias("_a"), (c("x", "qy") - c("y", "qx")).alias("_b"),
+        *(F.avg(v).alias(f"_m{v}") for v in ("x", "y", "qx", "qy")),
+    )
+    known = F.coalesce((F.col("_s") > 0) & (F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") > 0), F.lit(False))
+    turn = sums.withColumns({"_a": F.when(known, F.col("_a") / F.col("_s")).otherwise(1.0), "_b": F.when(known, F.col("_b") / F.col("_s")).otherwise(0.0)})
+    shift = {"_tx": F.col("_mqx") - F.col("_a") * F.col("_mx") + F.col("_b") * F.col("_my"), "_ty": F.col("_mqy") - F.col("_b") * F.col("_mx") - F.col("_a") * F.col("_my")}
+    solved = turn.withColumns({k: F.when(known, v).otherwise(0.0) for k, v in shift.items()}).select("image", "_a", "_b", "_tx", "_ty")
+    x, y, size = F.col("qx") - F.col("_tx"), F.col("qy") - F.col("_ty"), F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")
+    back = {"qx": (F.col("_a") * x + F.col("_b") * y) / size, "qy": (F.col("_a") * y - F.col("_b") * x) / size}
+    return field.join(solved, "image").withColumns(back).drop("_a", "_b", "_tx", "_ty")
+
+
+def deformation(field: DataFrame, baseline: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """Per image of a field on a rectangular grid (x, y to qx, qy): the six measures of how a warp deforms it.
+
+    With ``baseline`` what a similarity does counts as no deformation. ``nodes`` (image, iy, ix) are those whose
+    displacements count (within the hull of the matches, say); the other measures are of the whole grid.
+    """
+    shown = field if nodes is None else field.join(nodes.select("image", "iy", "ix").distinct(), ["image", "iy", "ix"], "left_semi")
+    if baseline:
+        field, shown = without_similarity(field), without_similarity(shown)
     j = jacobians(field)
     valid = F.col("det") > 1e-9
     area, ratio = F.when(valid, F.log("det")), F.when(valid, F.abs(F.log(F.greatest(F.col("s1"), F.lit(1e-9)) / F.greatest(F.col("s2"), F.lit(1e-9)))))
@@ -85,8 +114,9 @@ def deformation(field: DataFrame) -> DataFrame:
     size = F.col("_rx") * F.col("_rx") + F.col("_ry") * F.col("_ry")
     both = F.array_compact(F.array(F.avg("_bx"), F.avg("_by")))
     energy = F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.size(both)).otherwise(F.lit(0.0))
-    sums = r.withColumns(bent).groupBy("image").agg(F.sqrt(F.avg(size)).alias("disp_rmse"), F.percentile(F.sqrt(size), 0.95).alias("disp_p95"), energy.alias("bending_energy"))
-    return sums.join(folds, "image", "left").fillna({"fold_ratio": 1.0, "log_area_rmse": 10.0, "aniso_rmse": 10.0})
+    moved = shown.withColumns({"_rx": F.col("qx") - F.col("x"), "_ry": F.col("qy") - F.col("y")}).groupBy("image").agg(F.sqrt(F.avg(size)).alias("disp_rmse"), F.percentile(F.sqrt(size), 0.95).alias("disp_p95"))
+    sums = r.withColumns(bent).groupBy("image").agg(energy.alias("bending_energy")).join(moved, "image", "left")
+    return sums.join(folds, "image", "left").fillna({"disp_rmse": 1e6, "disp_p95": 1e6, "fold_ratio": 1.0, "log_area_rmse": 10.0, "aniso_rmse": 10.0})
 
 
 def _terms(x, y, order: int) -> list:
@@ -94,12 +124,6 @@ def _terms(x, y, order: int) -> list:
     return [x ** (d - k) * y**k for d in range(order + 1) for k in range(d + 1)]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, order: int) -> np.ndarray:
-    design = np.stack(_terms(x, y, order), axis=1)
-    return np.linalg.lstsq(design, np.stack([u, v], axis=1), rcond=None)[0]
-
-
-#: The most matches of one group that its fit holds at a time; a matcher gives a few thousand at most.
 def polynomial_2d(matches: DataFrame, by: list[str], order: int = 2) -> DataFrame:
     """Per group the least-squares polynomial from (x, y) to (u, v): arrays px and py of coefficients by degree.
 
@@ -136,61 +160,99 @@ def evaluated_2d(points: DataFrame, px: Column, py: Column, order: int = 2) -> D
 def holdout_rmse(matches: DataFrame, by: list[str], order: int = 2, repeats: int = 4, holdout: float = 0.25, seed: int = 1234) -> DataFrame:
     """Per group: the mean error of polynomial fits on what a seeded shuffle holds out; small groups are fitted as a whole.
 
-    A group is one match set, a few thousand rows at most by what matchers return.
+    The shuffle is the order of a hash of ``nth``. Fits are by normal equations and errors are sums, so no group is
+    gathered; only the places in the shuffle take a sorted stream per group and repeat.
     """
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("nth")
-        x, y, u, v = (g[c].to_numpy(float) for c in ("x", "y", "u", "v"))
-        n, rng, errors = len(g), np.random.default_rng(seed), []
-
-        def error(train: np.ndarray, test: np.ndarray) -> float:
-            p = _fit(x[train], y[train], u[train], v[train], order)
-            q = np.stack(_terms(x[test], y[test], order), axis=1) @ p
-            return float(np.sqrt(np.mean((q[:, 0] - u[test]) ** 2 + (q[:, 1] - v[test]) ** 2)))
-
-        if n < max(12, order * 4):
-            errors = [error(np.arange(n), np.arange(n))] if n else [1e6]
-        else:
-            out = min(max(6, round(n * holdout)), n - 6)
-            for _ in range(repeats):
-                at = np.arange(n)
-                rng.shuffle(at)
-                errors.append(error(at[out:], at[:out]))
-        return pd.DataFrame([[*key, n, float(np.mean(errors))]], columns=[*by, "n", "cv_rmse"])
+    counts = matches.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    small = F.col("_n") < max(12, order * 4)
+    times = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    each = matches.join(counts, by).withColumn("_repeat", F.explode(times))
+    place = F.row_number().over(Window.partitionBy(*by, "_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "nth"), "nth"))
+    out = F.least(F.greatest(F.lit(6), F.bround(F.col("_n") * F.lit(holdout)).cast("long")), F.col("_n") - 6)
+    split = each.withColumn("_held", place <= out)
+    fits = polynomial_2d(split.filter(small | ~F.col("_held")), [*by, "_repeat"], order).drop("n")
+    tested = evaluated_2d(split.filter(small | F.col("_held")).join(fits, [*by, "_repeat"]), F.col("px"), F.col("py"), order)
+    error = F.sqrt(F.avg(F.pow(F.col("qx") - F.col("u"), 2) + F.pow(F.col("qy") - F.col("v"), 2)))
+    return tested.groupBy(*by, "_repeat").agg(F.max("_n").alias("n"), error.alias("e")).groupBy(*by).agg(F.max("n").alias("n"), F.avg("e").alias("cv_rmse"))
 
-    kinds = ", ".join(f"{c} {matches.schema[c].dataType.simpleString()}" for c in by)
-    return matches.groupBy(*by).applyInPandas(one, f"{kinds}, n long, cv_rmse double")
+
+#: About how many descriptors of either side a task compares at a time.
+BLOCK = 1024
 
 
 def ratio_matches(queries: DataFrame, base: DataFrame, by: list[str], ratio: float = 0.75, most: int = 2000, least: int = 20) -> DataFrame:
     """Descriptor matches that pass the ratio test: the nearest of ``base`` is clearly nearer than the second.
 
-    queries: by, query_id, descriptor; base: by, base_id, descriptor (unit-free arrays). Each image's queries meet the
-    base in blocks: the base of an image pair is a matcher's few thousand features, sent as one matrix per image, so the
-    distances are one product per block of queries. Groups with fewer than ``least`` survivors give none.
+    queries: by, query_id, descriptor; base: by, base_id, descriptor (unit-free arrays), ids once per group. Both sides of
+    a group are dealt to blocks by a hash of their ids, as many as its size asks for; a task takes one block of each, whose
+    distances are one product, and gives the two nearest per query, of which a window keeps the two over all blocks. Groups
+    with fewer than ``least`` survivors give none.
     """
-    packed = base.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("base_id", "descriptor"))).alias("_base"))
-
-    def nearest(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in them:
-            rows = []
-            for _, g in x.groupby(by, sort=False):
-                pairs = g["_base"].iloc[0]
-                if len(pairs) < 2:
-                    continue
-                ids = np.array([p["base_id"] for p in pairs])
-                b = np.array([p["descriptor"] for p in pairs], dtype=float)
-                q = np.array(g["descriptor"].tolist(), dtype=float)
-                d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * q @ b.T, 0))
-                two = np.argsort(d, axis=1, kind="stable")[:, :2]
-                at = np.arange(len(q))
-                rows.append(g[[*by, "query_id"]].assign(base_id=ids[two[:, 0]], distance=d[at, two[:, 0]], second=d[at, two[:, 1]]))
-            if rows:
-                yield pd.concat(rows)
+    def dealt(rows: DataFrame, id_: str, own: str, other: DataFrame, far: str) -> DataFrame:
+        """``rows`` in block ``own``, once for each block ``far`` of the other side."""
+        count = lambda x, name: x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+        sized = rows.join(count(rows, "_own"), by).join(count(other, "_far"), by)
+        placed = sized.withColumns({own: F.pmod(F.xxhash64(id_), F.col("_own")).cast("int"), far: F.explode(F.sequence(F.lit(0), F.col("_far") - 1))})
+        return placed.select(*(F.col(c).alias(c) for c in (*by, own, far, id_, "descriptor")))  # columns of its own, as both sides may be of one table
+
+    def nearest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame(columns=[*by, "query_id", "base_id", "distance"])
+        b = b.sort_values("base_id")
+        x, y = (np.array(s["descriptor"].tolist(), dtype=float) for s in (q, b))
+        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+        two = np.argsort(d, axis=1, kind="stable")[:, :2]
+        return pd.concat([q[[*by, "query_id"]].assign(base_id=b["base_id"].to_numpy()[two[:, k]], distance=d[np.arange(len(q)), two[:, k]]) for k in range(two.shape[1])])
 
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in (*by, "query_id"))
-    found = queries.join(packed, by).mapInPandas(nearest, f"{kinds}, base_id {base.schema['base_id'].dataType.simpleString()}, distance double, second double")
-    passed = found.filter(F.col("distance") < F.lit(ratio) * F.col("second"))
+    blocks = [*by, "_q", "_b"]
+    left, right = dealt(queries, "query_id", "_q", base, "_b"), dealt(base, "base_id", "_b", queries, "_q")
+    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(nearest, f"{kinds}, base_id {base.schema['base_id'].dataType.simpleString()}, distance double")
+    own = Window.partitionBy(*by, "query_id").orderBy("distance", "base_id")
+    firsts = found.withColumns({"_k": F.row_number().over(own), "_second": F.lead("distance").over(own)}).filter("_k = 1")
+    passed = firsts.filter(F.col("distance") < F.lit(ratio) * F.col("_second"))
     order, group = Window.partitionBy(*by).orderBy("distance", "query_id"), Window.partitionBy(*by)
     ranked = passed.withColumns({"rank": F.row_number().over(order), "_n": F.count(F.lit(1)).over(group)})
-    return ranked.filter((F.col("_n") >= least) & (F.col("rank") <= most)).drop("_n", "second")
+    return ranked.filter((F.col("_n") >= least) & (F.col("rank") <= most)).drop("_n", "_k", "_second")
+
+
+def consensus(matches: DataFrame, by: list[str], limit: float, order: int = 1, rounds: int = 3) -> DataFrame:
+    """``matches`` with ``inlier``: within ``limit`` of a polynomial fitted again and again to what was within before.
+
+    It starts from all matches of a group, so it suits sets whose wrong matches are few or scattered.
+    """
+    now = matches.withColumn("inlier", F.lit(True))
+    for _ in range(rounds):
+        fit = polynomial_2d(now.filter("inlier"), by, order).drop("n")
+        at = evaluated_2d(now.join(fit, by), F.col("px"), F.col("py"), order)
+        off = F.sqrt(F.pow(F.col("qx") - F.col("u"), 2) + F.pow(F.col("qy") - F.col("v"), 2))
+        now = at.withColumn("inlier", off <= limit).drop("px", "py", "qx", "qy")
+    return now
+
+
+def scored_candidates(matches: DataFrame, sizes: DataFrame, step: int = 180, limit_px: float = 3.0, least: int = 20, likeness: DataFrame | None = None) -> DataFrame:
+    """Per candidate (image): its matches' inliers, polynomial, hold-out error, deformation and score.
+
+    matches: image, nth, real_x, real_y, sim_x, sim_y in pixels; sizes: image, width, height; likeness: image,
+    masked_ssim (0 without). Candidates with fewer than ``least`` matches or inliers give no row.
+    """
+    unit = lambda c, s: to_unit(F.col(c), F.col(s))
+    enough = matches.groupBy("image").agg(F.count(F.lit(1)).alias("n_matches_raw")).filter(F.col("n_matches_raw") >= least)
+    pixels = matches.join(enough, "image").join(sizes, "image").withColumns({"x": F.col("real_x"), "y": F.col("real_y"), "u": F.col("sim_x"), "v": F.col("sim_y")})
+    inside = consensus(pixels, ["image"], limit_px).filter("inlier")
+    counts = inside.groupBy("image").agg(F.count(F.lit(1)).alias("n_inliers"), F.max("n_matches_raw").alias("n_matches_raw")).filter(F.col("n_inliers") >= least)
+    inside = inside.join(counts.select("image"), "image", "left_semi")
+    on_unit = inside.withColumns({"x": unit("real_x", "width"), "y": unit("real_y", "height"), "u": unit("sim_x", "width"), "v": unit("sim_y", "height")})
+    fits = polynomial_2d(on_unit, ["image"]).drop("n")
+    grid = grid_points(sizes.join(counts.select("image"), "image", "left_semi"), step)
+    placed = {"iy": F.dense_rank().over(Window.partitionBy("image").orderBy("y")) - 1, "ix": F.dense_rank().over(Window.partitionBy("image").orderBy("x")) - 1}
+    nodes = grid.withColumns(placed)
+    shown = within_hull(nodes, inside.select("image", F.col("real_x").alias("x"), F.col("real_y").alias("y")))
+    field = evaluated_2d(nodes.withColumns({"x": unit("x", "width"), "y": unit("y", "height")}).join(fits, "image"), F.col("px"), F.col("py"))
+    bent = deformation(field.select("image", "iy", "ix", "x", "y", "qx", "qy"), True, shown)
+    covered = [coverage(inside.select("image", "width", "height", F.col(f"{k}_x").alias("x"), F.col(f"{k}_y").alias("y")), ["image"], F.col("width"), F.col("height")).withColumnRenamed("coverage", f"coverage_{k}") for k in ("real", "sim")]
+    errors = holdout_rmse(on_unit, ["image"]).drop("n")
+    out = counts.join(fits, "image").join(errors, "image").join(bent, "image").join(covered[0], "image").join(covered[1], "image")
+    out = out.withColumn("masked_ssim", F.lit(0.0)) if likeness is None else out.join(likeness, "image", "left").fillna(0.0, ["masked_ssim"])
+    out = out.withColumns({"coverage": F.least("coverage_real", "coverage_sim"), "inlier_ratio": F.col("n_inliers") / F.col("n_matches_raw"), "match_count_norm": F.tanh(F.col("n_inliers") / F.lit(120.0))})
+    return out.withColumn("score", candidate_score())

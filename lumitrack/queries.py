@@ -365,10 +365,7 @@ def valid_pixel_box(spark, sf_dir):
     return rasters.valid_box(r)
 
 
-_TONE = f"""{IMG}, v as (select *, least(greatest(value, 0e0), 200e0) v from img), ends as (select image, min(v) lo, max(v) hi from v group by 1)"""
-
-
-@query(f"""with {_TONE} select image, "row", col, {sf_fixed('least(greatest(pow((v - lo) / (hi - lo + 1e-9), 0.4e0) * 100e0, 0e0), 100e0)', 5)} tone from v join ends using (image)""")
+@query(f"""with {IMG} select image, "row", col, {sf_fixed('pow(least(greatest(value, 0e0), 200e0) / (200e0 + 1e-9), 0.4e0) * 100e0', 5)} tone from img""")
 def tone_map(spark, sf_dir):
     return rasters.tone_mapped(raster(spark, sf_dir)).select("image", "row", "col", fixed(F.col("tone"), 5).alias("tone"))
 
@@ -440,6 +437,50 @@ def correction_stats(spark, sf_dir):
     return s.select("frame_index", "n_points", "inside_flow_count", "applied_count", n.alias("n_outside"), *(fixed(F.col(c)).alias(c) for c in ("p50", "p90", "p95", "max")))
 
 
+_NEW = "[100.1e0, 0.03e0, 0e0, 39.9e0, 0e0, -0.025e0]"
+_TARGETS = f"""{IMG}, size as (select image, max(col) + 1 w, max("row") + 1 h from img group by 1),
+target as (select image, w, h, cast(r as int) "row", cast(c as int) col, (0.1e0 + (c + 0.5e0) * 0.03e0) / 0.02e0 x, (-0.1e0 - (r + 0.5e0) * 0.025e0) / -0.02e0 y from size, range(0, 50) a(c), range(0, 100000) b(r) where r < h * 2 // 3 + 5)"""
+_KERNELS = {
+    "nearest": "(x0 = floor(x))::int * (y0 = floor(y))::int::double",
+    "bilinear": "greatest(1e0 - abs(x - 0.5e0 - x0), 0e0) * greatest(1e0 - abs(y - 0.5e0 - y0), 0e0)",
+    "cubic": " * ".join(f"case when {t} < 1 then 1.5e0 * pow({t}, 3) - 2.5e0 * pow({t}, 2) + 1 when {t} < 2 then -0.5e0 * pow({t}, 3) + 2.5e0 * pow({t}, 2) - 4 * {t} + 2 else 0e0 end" for t in ("abs(x - 0.5e0 - x0)", "abs(y - 0.5e0 - y0)")),
+}
+
+
+def _resampled(method):
+    def run(spark, sf_dir):
+        r = raster(spark, sf_dir)
+        sizes = r.groupBy("image").agg((F.max("col") + 1).alias("source_width"), (F.max("row") + 1).alias("source_height"))
+        gt = [F.lit(v) for v in (100.1, 0.03, 0.0, 39.9, 0.0, -0.025)]
+        grids = sizes.withColumns({"width": F.lit(50), "height": F.floor(F.col("source_height") * 2 / 3).cast("int") + 5, "gt": F.array(*gt), "source_gt": F.array(*_gt())})
+        return rasters.resampled(r, grids, method).select("image", "row", "col", fixed(F.col("value"), 4).alias("value"))
+
+    return run
+
+
+for _method, _weight in _KERNELS.items():
+    QUERIES[f"resampled_{_method}"] = _resampled(_method)
+    ORACLE_SQL[f"resampled_{_method}"] = f"""with {_TARGETS}, near as (select t.image, t."row", t.col, t.x, t.y, cast(floor(x) as int) + dx x0, cast(floor(y) as int) + dy y0 from target t, range(-2, 4) p(dx), range(-2, 4) q(dy) where x >= 0 and x < w and y >= 0 and y < h),
+    found as (select n.image, n."row", n.col, sum(({_weight}) * i.value) / sum({_weight}) v from near n join img i on i.image = n.image and i.col = x0 and i."row" = y0 where i.value <> 0 group by all)
+    select t.image, t."row", t.col, {sf_fixed('coalesce(v, 0e0)', 4)} as value from target t left join found using (image, "row", col)"""
+
+
+@query(f"""with {OBS}, e as (select frame_index, min(mapX) u0, max(mapX) u1, min(mapY) v0, max(mapY) v1 from obs where mapX is not null group by 1),
+s as (select *, 1000 + frame_index * 50 w, 800 h, case when frame_index % 5 = 0 then 2e-4 else 1e0 end k from e),
+p as (select *, sqrt(pow((u1 - u0) * k, 2) + pow((v0 - v1) * k, 2)) / sqrt((w * w + h * h)::double) px from s),
+q as (select *, greatest(1, cast(floor((u1 - u0) / px + 0.5e0) as bigint)) warp_width, greatest(1, cast(floor((v1 - v0) / px + 0.5e0) as bigint)) warp_height from p)
+select frame_index, warp_width, warp_height, (warp_width <= 50000 and warp_height <= 50000 and warp_width * warp_height <= 2500000000)::int fits from q""")
+def warp_size_guard(spark, sf_dir):
+    """Each frame's box as a warp's edge; in one of five frames its corners lie next to each other."""
+    o = observations(spark, sf_dir).filter("mapX is not null").groupBy("frame_index").agg(F.min("mapX").alias("u0"), F.max("mapX").alias("u1"), F.min("mapY").alias("v0"), F.max("mapY").alias("v1"))
+    sized = o.withColumns({"width": F.lit(1000) + F.col("frame_index") * 50, "height": F.lit(800), "k": F.when(F.col("frame_index") % 5 == 0, 2e-4).otherwise(1.0)})
+    node = lambda x, y, u, v: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), u.alias("u"), v.alias("v"))
+    far = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k")
+    corners = F.array(node(F.lit(0), F.lit(0), F.col("u0"), F.col("v1")), node(F.col("width"), F.col("height"), far("u0", "u1"), far("v1", "v0")), node(F.col("width"), F.lit(0), F.col("u1"), F.col("v0")))
+    edges = sized.select("frame_index", F.inline(corners))
+    return rasters.warp_size(edges, sized).select("frame_index", "warp_width", "warp_height", yes("fits").alias("fits"))
+
+
 _STATS = f"""{IMG}, nb as (select *, lag(value) over (partition by image, "row" order by col) l, lead(value) over (partition by image, "row" order by col) r, lag(value) over (partition by image, col order by "row") u, lead(value) over (partition by image, col order by "row") d from img),
 st as (select image, count(*) n_pixels, avg((value > 60)::int::double) nd, stddev_pop(value) sd, var_pop(coalesce(l, r, value) + coalesce(r, l, value) + coalesce(u, d, value) + coalesce(d, u, value) - 4 * value) tx from nb group by 1)"""
 
@@ -611,17 +652,33 @@ def _field(spark, sf_dir):
     return r.select("image", F.col("row").alias("iy"), F.col("col").alias("ix"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), (F.col("col") + v / 300.0).alias("qx"), (F.col("row") + v / 500.0 + F.col("col") / 50.0).alias("qy"))
 
 
-@query(f"""with {_FIELD}, j as (select image, iy, ix, lead(qx) over a - qx ax, lead(qy) over a - qy ay, lead(qx) over d - qx bx, lead(qy) over d - qy by_ from field window a as (partition by image, iy order by ix), d as (partition by image, ix order by iy)),
+def _deformation_sql(field: str) -> str:
+    return f"""j as (select image, iy, ix, lead(qx) over a - qx ax, lead(qy) over a - qy ay, lead(qx) over d - qx bx, lead(qy) over d - qy by_ from {field} window a as (partition by image, iy order by ix), d as (partition by image, ix order by iy)),
 k as (select *, ax * by_ - bx * ay det, ax * ax + ay * ay + bx * bx + by_ * by_ tot from j where ax is not null and bx is not null),
 s as (select *, sqrt((tot + sqrt(greatest(tot * tot - 4 * det * det, 0e0))) / 2) s1, sqrt(greatest((tot - sqrt(greatest(tot * tot - 4 * det * det, 0e0))) / 2, 0e0)) s2 from k),
 f as (select image, avg((det <= 0)::int::double) fold_ratio, coalesce(sqrt(avg(case when det > 1e-9 then pow(ln(case when det > 1e-9 then det else 1 end), 2) end)), 10) log_area_rmse, coalesce(sqrt(avg(case when det > 1e-9 then pow(ln(greatest(s1, 1e-9) / greatest(s2, 1e-9)), 2) end)), 10) aniso_rmse from s group by 1),
-r as (select *, qx - x rx, qy - y ry from field),
+r as (select *, qx - x rx, qy - y ry from {field}),
 b as (select *, pow(lead(rx, 2) over a - 2 * lead(rx) over a + rx, 2) + pow(lead(ry, 2) over a - 2 * lead(ry) over a + ry, 2) b1, pow(lead(rx, 2) over d - 2 * lead(rx) over d + rx, 2) + pow(lead(ry, 2) over d - 2 * lead(ry) over d + ry, 2) b2 from r window a as (partition by image, iy order by ix), d as (partition by image, ix order by iy)),
 e as (select image, sqrt(avg(rx * rx + ry * ry)) disp_rmse, quantile_cont(sqrt(rx * rx + ry * ry), 0.95) disp_p95, (avg(b1) + avg(b2)) / 2 bending_energy from b group by 1)
-select image, {', '.join(f'{sf_fixed(c, 5)} {c}' for c in ('disp_rmse', 'disp_p95', 'bending_energy', 'fold_ratio', 'log_area_rmse', 'aniso_rmse'))} from e join f using (image)""")
+select image, {', '.join(f'{sf_fixed(c, 5)} {c}' for c in ('disp_rmse', 'disp_p95', 'bending_energy', 'fold_ratio', 'log_area_rmse', 'aniso_rmse'))} from e join f using (image)"""
+
+
+_MEASURES = ("disp_rmse", "disp_p95", "bending_energy", "fold_ratio", "log_area_rmse", "aniso_rmse")
+
+
+@query(f"with {_FIELD}, {_deformation_sql('field')}")
 def warp_deformation(spark, sf_dir):
-    d = scoring.deformation(_field(spark, sf_dir))
-    return d.select("image", *(fixed(F.col(c), 5).alias(c) for c in ("disp_rmse", "disp_p95", "bending_energy", "fold_ratio", "log_area_rmse", "aniso_rmse")))
+    return scoring.deformation(_field(spark, sf_dir), False).select("image", *(fixed(F.col(c), 5).alias(c) for c in _MEASURES))
+
+
+_BACK = """m as (select image, var_pop(x) + var_pop(y) s, covar_pop(x, qx) + covar_pop(y, qy) a, covar_pop(x, qy) - covar_pop(y, qx) b_, avg(x) mx, avg(y) my, avg(qx) mqx, avg(qy) mqy from field group by 1),
+sim as (select image, a / s c, b_ / s d, mqx - (a * mx - b_ * my) / s tx, mqy - (b_ * mx + a * my) / s ty from m),
+rest as (select image, iy, ix, x, y, (c * (qx - tx) + d * (qy - ty)) / (c * c + d * d) qx, (c * (qy - ty) - d * (qx - tx)) / (c * c + d * d) qy from field join sim using (image))"""
+
+
+@query(f"with {_FIELD}, {_BACK}, {_deformation_sql('rest')}")
+def warp_deformation_baseline(spark, sf_dir):
+    return scoring.deformation(_field(spark, sf_dir)).select("image", *(fixed(F.col(c), 5).alias(c) for c in _MEASURES))
 
 
 def _matches(spark, sf_dir):

@@ -13,6 +13,7 @@ from lumitrack.functions.numbers import finite, lenient_double
 
 #: The columns of a control-point file (a fixed format).
 POINT_COLUMNS = ("mapX", "mapY", "sourceX", "sourceY", "enable", "dX", "dY", "residual")
+STATUS_COLUMNS = ("temporal_status", "temporal_residual_km", "temporal_threshold_km")
 REQUIRED = ("mapX", "mapY", "sourceX", "sourceY")
 MATCHES = "sim_x DOUBLE, sim_y DOUBLE, real_x DOUBLE, real_y DOUBLE"
 MAPPING = "sourceX DOUBLE, sourceY DOUBLE, mapX DOUBLE, mapY DOUBLE, geoX INT, geoY INT"
@@ -59,6 +60,32 @@ def observations(points: DataFrame, frames: DataFrame) -> DataFrame:
     return placed.withColumn("track_key", F.when(finite(F.col("sourceX"), F.col("sourceY")), source_key(F.col("sourceX"), F.col("sourceY"))))
 
 
+def output_columns(first: list[str], status: bool = False) -> list[str]:
+    """The columns that a filtered file has: the first input's in its order, then known ones that it lacks, then the status's."""
+    own = [c for c in first if not c.startswith("__")] if set(REQUIRED) <= set(first) else list(POINT_COLUMNS)
+    return list(dict.fromkeys((*own, *POINT_COLUMNS, *(STATUS_COLUMNS if status else ()))))
+
+
+def enabled(points: DataFrame) -> DataFrame:
+    """The points that are switched on; only displays look at this, georeferencing takes all."""
+    return points.filter(F.col("enable").cast("int") == 1)
+
+
+def nonempty(files: DataFrame) -> DataFrame:
+    """The files (path, length, ...) that hold anything."""
+    return files.filter("length > 0")
+
+
+def matched_places(pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
+    """``pairs`` of two arrays of [x, y] as ``matched``: an array of struct(left, right) as far as both go, as floats, without
+    pairs that aren't finite; null if none is left or a side is missing."""
+    n = F.least(F.size(left), F.size(right))
+    as_float = lambda a: F.transform(a, lambda p: F.transform(p, lambda v: v.cast("float")))
+    zipped = F.zip_with(F.slice(as_float(F.col(left)), F.lit(1), n), F.slice(as_float(F.col(right)), F.lit(1), n), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    good = F.filter(zipped, lambda p: finite(p["left"][0], p["left"][1], p["right"][0], p["right"][1]))
+    return pairs.withColumn("matched", F.when(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.size(good) > 0), good))
+
+
 def ids_in_range(points: DataFrame, first: int, last: int) -> DataFrame:
     """The distinct frame ids from ``first`` to ``last`` of files that have points, in order."""
     return points.filter(F.col("frame_id").between(first, last)).select("frame_id").distinct().orderBy("frame_id")
