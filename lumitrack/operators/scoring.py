@@ -13,6 +13,7 @@ from lumitrack.functions.geo import wrap_degrees
 from lumitrack.functions.numbers import clamp, to_unit
 from lumitrack.operators.kernels import within_hull
 from lumitrack.operators.rasters import grid_points
+from lumitrack.plans.shared import kept
 
 #: Weights of a candidate's terms (fixed values); what is bad counts against it.
 CANDIDATE_WEIGHTS = {
@@ -219,14 +220,15 @@ def ratio_matches(queries: DataFrame, base: DataFrame, by: list[str], ratio: flo
 def consensus(matches: DataFrame, by: list[str], limit: float, order: int = 1, rounds: int = 3) -> DataFrame:
     """``matches`` with ``inlier``: within ``limit`` of a polynomial fitted again and again to what was within before.
 
-    It starts from all matches of a group, so it suits sets whose wrong matches are few or scattered.
+    It starts from all matches of a group, so it suits sets whose wrong matches are few or scattered. Each round is kept in
+    the shared folder, as the next uses it twice.
     """
     now = matches.withColumn("inlier", F.lit(True))
     for _ in range(rounds):
         fit = polynomial_2d(now.filter("inlier"), by, order).drop("n")
         at = evaluated_2d(now.join(fit, by), F.col("px"), F.col("py"), order)
         off = F.sqrt(F.pow(F.col("qx") - F.col("u"), 2) + F.pow(F.col("qy") - F.col("v"), 2))
-        now = at.withColumn("inlier", off <= limit).drop("px", "py", "qx", "qy")
+        now = kept(at.withColumn("inlier", off <= limit).drop("px", "py", "qx", "qy"), "consensus")
     return now
 
 
@@ -243,13 +245,13 @@ def scored_candidates(matches: DataFrame, sizes: DataFrame, step: int = 180, lim
     counts = inside.groupBy("image").agg(F.count(F.lit(1)).alias("n_inliers"), F.max("n_matches_raw").alias("n_matches_raw")).filter(F.col("n_inliers") >= least)
     inside = inside.join(counts.select("image"), "image", "left_semi")
     on_unit = inside.withColumns({"x": unit("real_x", "width"), "y": unit("real_y", "height"), "u": unit("sim_x", "width"), "v": unit("sim_y", "height")})
-    fits = polynomial_2d(on_unit, ["image"]).drop("n")
+    fits = kept(polynomial_2d(on_unit, ["image"]).drop("n"), "fits")
     grid = grid_points(sizes.join(counts.select("image"), "image", "left_semi"), step)
     placed = {"iy": F.dense_rank().over(Window.partitionBy("image").orderBy("y")) - 1, "ix": F.dense_rank().over(Window.partitionBy("image").orderBy("x")) - 1}
     nodes = grid.withColumns(placed)
     shown = within_hull(nodes, inside.select("image", F.col("real_x").alias("x"), F.col("real_y").alias("y")))
     field = evaluated_2d(nodes.withColumns({"x": unit("x", "width"), "y": unit("y", "height")}).join(fits, "image"), F.col("px"), F.col("py"))
-    bent = deformation(field.select("image", "iy", "ix", "x", "y", "qx", "qy"), True, shown)
+    bent = deformation(kept(field.select("image", "iy", "ix", "x", "y", "qx", "qy"), "field"), True, shown)
     covered = [coverage(inside.select("image", "width", "height", F.col(f"{k}_x").alias("x"), F.col(f"{k}_y").alias("y")), ["image"], F.col("width"), F.col("height")).withColumnRenamed("coverage", f"coverage_{k}") for k in ("real", "sim")]
     errors = holdout_rmse(on_unit, ["image"]).drop("n")
     out = counts.join(fits, "image").join(errors, "image").join(bent, "image").join(covered[0], "image").join(covered[1], "image")
