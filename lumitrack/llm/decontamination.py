@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lumitrack.llm.common import cut, fresh, small_batches, small_enough
+from lumitrack.llm.common import cut, fresh, in_arrow, small_batches, small_enough
 
 #: Each mask's places that are looked at (fixed values): of any 13 words with two substituted, some mask sees none of these.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 7, 8), (0, 1, 4, 5, 6, 9), (0, 2, 3, 5, 8, 10))
@@ -172,7 +172,7 @@ def _overlaps_by_broadcast(texts: DataFrame, items: DataFrame, keep: tuple[str,
             columns = [*(batch.column(i).take(text) for i in range(len(keep))), ids.take(item), *(pa.array(v, pa.int32()) for v in values)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return texts.mapInArrow(batches, schema)
+    return in_arrow(texts, batches, schema)
 
 
 def _seed_rows(texts: DataFrame, bits=None) -> DataFrame:
@@ -190,7 +190,7 @@ def _seed_rows(texts: DataFrame, bits=None) -> DataFrame:
                 text = np.searchsorted(starts, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((at - starts[text]).astype(np.int32))], names=["_key", "_hash", "_place"])
 
-    return texts.select("_key", "_words").mapInArrow(batches, "_key long, _hash long, _place int")
+    return in_arrow(texts.select("_key", "_words"), batches, "_key long, _hash long, _place int")
 
 
 def _overlaps_by_join(texts: DataFrame, items: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -222,7 +222,7 @@ def _overlaps_by_join(texts: DataFrame, items: DataFrame, keep: tuple[str, ...])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["_key", "_item", "n_agree", "word_start", "word_end", "n_item_words"])
 
-    checked = both.select("_key", "_item", "_shift", "_words", "_item_words").mapInArrow(batches, f"_key long, _item long, {OUT}")
+    checked = in_arrow(both.select("_key", "_item", "_shift", "_words", "_item_words"), batches, f"_key long, _item long, {OUT}")
     first = F.min(F.struct((-F.col("n_agree")).alias("less"), (F.col("word_start")).alias("word_start"), "word_end", "n_item_words", "n_agree")).alias("o")
     best = checked.groupBy("_key", "_item").agg(first).select("_key", "_item", "o.n_agree", "o.word_start", "o.word_end", "o.n_item_words")
     named = best.join(keyed.select(F.col("_key").alias("_item"), "item_id"), "_item")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumitrack.llm.common import cut, fresh
+from lumitrack.llm.common import cut, fresh, in_arrow
 
 SAMPLE = 4_000
 EVIDENCE = 32
@@ -177,7 +177,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(word), pa.array(hashes), batch.column(2).take(word)], names=["lang", "gram", "n"])
 
     schema = "lang string, word string, n long"
-    by_word = cut(drawn.mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    by_word = cut(in_arrow(drawn, counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def table(rows: DataFrame, name: str, h: Column) -> Table:
         by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # one entry a language
@@ -187,7 +187,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
 
     if not languages:
         return Model.counted([], {}, {})
-    by_gram = by_word.mapInArrow(split, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_gram = in_arrow(by_word, split, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model(languages, table(by_word, "word", F.xxhash64("word")), table(by_gram, "gram", F.col("gram")))
 
 
@@ -213,7 +213,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[st
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return in_arrow(docs, batches, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

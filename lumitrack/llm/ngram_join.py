@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lumitrack.llm.common import Scratch, fresh, small_batches, small_enough, stored
+from lumitrack.llm.common import Scratch, fresh, in_arrow, small_batches, small_enough, stored
 
 #: Counters of the sketch, at least and at most, for each document, and in how many chunks they are sent around.
 COUNTERS, COUNTERS_EACH, CHUNKS = (1 << 22, 1 << 26), 16, 16
@@ -158,7 +158,7 @@ def _profile(docs: DataFrame, measure: Measure, counters: int) -> DataFrame:
             none = [pa.nulls(len(chunks), t) for t in (id_type, *types[:6])]
             yield pa.RecordBatch.from_arrays([*none, pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], names=names)
 
-    return docs.select("doc_id", "_k1", "_k2", "text").mapInArrow(batches, schema)
+    return in_arrow(docs.select("doc_id", "_k1", "_k2", "text"), batches, schema)
 
 
 def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
@@ -179,7 +179,7 @@ def _sketch(profile: DataFrame, counters: int) -> np.ndarray:
 
     parts = profile.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk")
     steps = np.zeros((CHUNKS, counters // CHUNKS), np.uint8)
-    for r in parts.mapInArrow(add, "_chunk int, _steps binary").collect():  # ``counters`` bytes, COUNTERS[1] at most
+    for r in in_arrow(parts, add, "_chunk int, _steps binary").collect():  # ``counters`` bytes, COUNTERS[1] at most
         steps[r["_chunk"]] = np.frombuffer(bytes(r["_steps"]), np.uint8)
     return steps.reshape(-1)
 
@@ -216,7 +216,7 @@ def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray, clashes: fro
                 gram, *rest = map(np.concatenate, columns)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, rest)], names=["_gram", "_node", "_n", "_at", "_salt"])
 
-    return docs.select("text").mapInArrow(batches, f"{PREFIX}, _salt int")
+    return in_arrow(docs.select("text"), batches, f"{PREFIX}, _salt int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         if len(held[0]) and (met or held[4][0] > 0):
             yield pa.RecordBatch.from_arrays(list(map(pa.array, held[:4])), names=["_gram", "_node", "_n", "_at"])
 
-    return prefixes.repartition("_gram", "_salt").sortWithinPartitions("_gram", "_node").mapInArrow(batches, PREFIX)
+    return in_arrow(prefixes.repartition("_gram", "_salt").sortWithinPartitions("_gram", "_node"), batches, PREFIX)
 
 
 def _may_be_alike(measure: Measure, a: str, b: str):
@@ -277,7 +277,7 @@ def _sets(docs: DataFrame, asked: DataFrame, measure: Measure) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(out, pa.binary())], names=["_a", "_b", "_grams"])
 
     keys = F.broadcast(asked) if small_enough(asked, KEYS_SENT) else asked
-    return docs.join(keys, ["_k1", "_k2"]).select("_k1", "_k2", "_a", "_b", "text").mapInArrow(batches, "_a long, _b long, _grams binary")
+    return in_arrow(docs.join(keys, ["_k1", "_k2"]).select("_k1", "_k2", "_a", "_b", "text"), batches, "_a long, _b long, _grams binary")
 
 
 def _pairs_where(sides: DataFrame, test) -> DataFrame:
@@ -288,7 +288,7 @@ def _pairs_where(sides: DataFrame, test) -> DataFrame:
             keep = pa.array([test(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["_a", "_b"])
 
-    return sides.mapInArrow(batches, "_a long, _b long")
+    return in_arrow(sides, batches, "_a long, _b long")
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
