@@ -54,3 +54,19 @@ reach(a, b) as (select doc_id, doc_id from sizes union select r.a, l.b from reac
 least as (select a, min(b) m from reach group by 1)
 select d.doc_id, coalesce(n, 0) n_shingles, coalesce(m, d.doc_id) component_id from documents d left join sizes s on s.doc_id = d.doc_id left join least on a = d.doc_id
 """
+
+ORACLES["op11_chat_format"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+known as (
+  select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) before,
+         length(regexp_replace(text, '([<\[])(\\*)(INST\]|/INST\]|SAYS\]|NEXT\]|s>|/s>)', '\1\\\2\3', 'g')) text_chars,
+         length(regexp_replace(role, '([<\[])(\\*)(INST\]|/INST\]|SAYS\]|NEXT\]|s>|/s>)', '\1\\\2\3', 'g')) role_chars
+  from turns)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) loss_sha256,
+       (7 + sum(text_chars + case when role is not distinct from before then 6 else role_chars + 19 end))::bigint formatted_chars
+from known group by conv_id
+"""
