@@ -1,7 +1,6 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Texts become sets of hashed word n-grams; equal sets are one node. A counting sketch over all sets orders the n-grams
-from rare to frequent. Two sets alike enough share one of the first n - ceil(t n) + 1 n-grams of each, so only such
+Texts become sets of hashed word n-grams; equal sets are one node. The n-grams are ordered from rare to frequent. Two sets alike enough share one of the first n - ceil(t n) + 1 n-grams of each, so only such
 prefixes are joined. A pair is a candidate where it passes the length filter and, at a shared n-gram, the positional one.
 The suffix filter compares histograms of the two sets' hashes, a sixty-fourth of the sets' size, so whole sets are made
 and joined only for pairs that pass it; each such pair is compared once.
@@ -11,11 +10,13 @@ pairs of a large group: first each node meets, for one of its n-grams, the node
 pairs as nodes); the links found are merged; then only pairs from different classes are left, and are all compared. A
 pair left out lies in one class already, so the classes are those of all links.
 
-Scale: n-grams never leave their task but for prefixes (about 1 - t of them). The sketch has a counter for each sixteenth
-of a document up to a bound, so what stands out as frequent is what at least about one of ``COUNTERS[1]`` n-grams of the
-corpus is; rarer ones are in the order of their hashes. Rows of a hot n-gram are summed on the map side, and dealt to
+Scale: n-grams never leave their task but for prefixes (about 1 - t of them) and counts of frequent ones. Each task counts
+the n-grams that it meets more than once and keeps the ``KEPT`` most frequent whenever it has gathered ``MERGED`` more, so
+its memory does not grow with the corpus; these counts are summed by n-gram over all tasks, and the ``FREQUENT`` most
+frequent make the order, the rest coming before them by their hashes. Any order gives the same links; a count that a task
+dropped makes an n-gram look rarer. Rows of a hot n-gram are summed on the map side, and dealt to
 blocks of bounded size where pairs of them are left. Texts are shuffled only where more than ``KEYS_SENT`` of them have
-to be compared. Tables in between lie in the shared folder and are removed at the end.
+to be compared. Tables in between lie in the shared folder and are removed at the end; results until the driver ends.
 
 A document's key and a node have 128 bits each; of a node 64 are used, and nodes that agree in these (about ten pairs of
 2 * 10^10) take the other 64. n-grams have 64 bits: within a pair of sets of 10,000, two differ yet agree with a chance
@@ -30,7 +31,6 @@ back as they were.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,9 +43,9 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from lumitrack.llm.common import Scratch, fresh, in_arrow, small_batches, small_enough, stored
 
-#: Counters of the sketch, at least and at most, for each document, and in how many chunks they are sent around.
-COUNTERS, COUNTERS_EACH, CHUNKS = (1 << 22, 1 << 26), 16, 16
-#: Steps of the sketch's scale for each doubling; n-grams from step HOT and eight times the median are spread over SALTS.
+#: Counts that a task keeps, n-grams that it gathers before it merges them, and n-grams whose frequency all tasks know.
+KEPT, MERGED, FREQUENT = 1 << 18, 1 << 20, 1 << 20
+#: Steps of the scale of frequencies for each doubling; n-grams from step HOT on are spread over SALTS.
 STEPS, HOT, SALTS = 8, 96, 64
 MEMO = 100_000
 #: n-grams for each part of the histogram that the suffix filter compares, and its parts at most.
@@ -129,70 +129,104 @@ def _histogram_of(them: bytes) -> np.ndarray:
     return np.frombuffer(them, np.uint16 if them[0] == 2 else np.uint32, offset=1)
 
 
-def _counter(grams: np.ndarray, counters: int) -> np.ndarray:
-    return (grams >> np.uint64(64 - counters.bit_length() + 1)).astype(np.int64)
-
-
-def _profile(docs: DataFrame, measure: Measure, counters: int) -> DataFrame:
-    """A row per document (doc_id, _k1, _k2, _n, _node, _more, _hist), and per task the rows (_chunk, _counts) of its part of the sketch."""
+class Counts:
+    """How many sets have each n-gram, of those that a task meets most often."""
+
+    def __init__(self):
+        self.grams, self.counts, self._held, self._n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self._held.append(grams)
+        self._n += len(grams)
+        if self._n >= MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        """Takes in what was gathered. Beyond KEPT n-grams those met once go, then the rarest."""
+        grams = np.concatenate([self.grams, *self._held])
+        counts = np.concatenate([self.counts, np.ones(self._n, np.int64)])
+        by = np.argsort(grams, kind="stable")
+        grams, counts = grams[by], counts[by]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        grams, counts = grams[first], np.add.reduceat(counts, first) if len(first) else counts
+        if len(grams) > KEPT:
+            least = max(2, int(np.partition(counts, len(counts) - KEPT)[len(counts) - KEPT]))
+            at = np.flatnonzero(counts >= least)
+            if len(at) > KEPT:
+                at = np.sort(at[np.argsort(-counts[at], kind="stable")[:KEPT]])
+            grams, counts = grams[at], counts[at]
+        self.grams, self.counts, self._held, self._n = grams, counts, [], 0
+
+
+class Order:
+    """The frequent n-grams, sorted, each with its step; all others are rarer (step 0)."""
+
+    def __init__(self, grams: np.ndarray, steps: np.ndarray):
+        by = np.argsort(grams)
+        self.grams, self.steps = grams[by], steps[by]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.uint8)
+        at = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+            out[at] = np.where(self.grams[place] == grams[at], self.steps[place], 0)
+        return out
+
+
+def _profile(docs: DataFrame, measure: Measure) -> DataFrame:
+    """A row per document (doc_id, _k1, _k2, _n, _node, _more, _hist), and per task the rows (_gram, _count) of what it met often."""
     long, binary = LongType(), BinaryType()
-    kinds = (("_k1", long), ("_k2", long), ("_n", IntegerType()), ("_node", long), ("_more", long), ("_hist", binary), ("_chunk", IntegerType()), ("_counts", binary))
+    kinds = (("_k1", long), ("_k2", long), ("_n", IntegerType()), ("_node", long), ("_more", long), ("_hist", binary), ("_gram", long), ("_count", long))
     schema = StructType([docs.schema["doc_id"], *(StructField(c, t) for c, t in kinds)])
-    names, types = [f.name for f in schema.fields], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    names, types = [f.name for f in schema.fields], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts, id_type = _Words(), np.zeros(counters, np.uint32), None
+        memo, counts, id_type = _Words(), Counts(), None
         for batch in them:
             id_type, sizes, nodes, hists = batch.column(0).type, [], [], []
             for text in batch.column(3).to_pylist():
                 s = ngrams(text, measure.n, memo)
-                counts[_counter(s, counters)] += 1  # a set's n-grams that share a counter count once: any order will do
+                counts.add(s)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
                 hists.append(_histogram_bytes(s))
             made = (sizes, [n[0] for n in nodes], [n[1] for n in nodes], hists)
             columns = [*batch.columns[:3], *(pa.array(c, t) for c, t in zip(made, types[2:6], strict=True)), *(pa.nulls(len(sizes), t) for t in types[6:])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        if id_type is not None:
-            chunks = _packed(counts)
-            none = [pa.nulls(len(chunks), t) for t in (id_type, *types[:6])]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], names=names)
+        counts.merge()
+        often = counts.counts > 1
+        if often.any():
+            none = [pa.nulls(int(often.sum()), t) for t in (id_type, *types[:6])]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(counts.grams[often].view(np.int64)), pa.array(counts.counts[often])], names=names)
 
     return in_arrow(docs.select("doc_id", "_k1", "_k2", "text"), batches, schema)
 
 
-def _packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    return [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
-
-
-def _sketch(profile: DataFrame, counters: int) -> np.ndarray:
-    """The tasks' counters (_chunk, _counts) added up by chunk, on a scale of 256 steps: how frequent a counter's n-grams are."""
-
-    def add(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in them:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), np.uint32)
-                total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
-        steps = [np.minimum(STEPS * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["_chunk", "_steps"])
-
-    parts = profile.filter("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk")
-    steps = np.zeros((CHUNKS, counters // CHUNKS), np.uint8)
-    for r in in_arrow(parts, add, "_chunk int, _steps binary").collect():  # ``counters`` bytes, COUNTERS[1] at most
-        steps[r["_chunk"]] = np.frombuffer(bytes(r["_steps"]), np.uint8)
-    return steps.reshape(-1)
+def _order(profile: DataFrame, scratch: Scratch) -> Order:
+    """The FREQUENT most frequent n-grams of all tasks and their steps; a step that would pass that number is left out whole."""
+    step = F.least(F.floor(STEPS * F.log2(1.0 + F.sum("_count"))), F.lit(255)).cast("int").alias("_step")
+    found = scratch.stored(profile.filter("_gram is not null").groupBy("_gram").agg(step), "frequent")
+    room, least = FREQUENT, 256
+    for r in found.groupBy("_step").count().orderBy(F.desc("_step")).collect():  # 256 rows at most
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["_step"]
+    rows = found.filter(F.col("_step") >= least).toArrow()  # FREQUENT rows at most
+    return Order(rows["_gram"].to_numpy().astype(np.int64).view(np.uint64), rows["_step"].to_numpy().astype(np.uint8))
 
 
 PREFIX = "_gram long, _node long, _n int, _at int"
 
 
-def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+def _prefixes(docs: DataFrame, measure: Measure, order: Order, clashes: frozenset[int]) -> DataFrame:
     """(_gram, _node, _n, _at, _salt): the rare-first prefix of each set, once for all copies that a task sees.
 
     _salt is 0 but for n-grams that many sets have, whose rows it spreads.
     """
-    shared, hot = docs.sparkSession.sparkContext.broadcast(steps), max(int(np.median(steps)) + 3 * STEPS, HOT)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, order, seen = _Words(), shared.value, set()
@@ -207,9 +241,9 @@ def _prefixes(docs: DataFrame, measure: Measure, steps: np.ndarray, clashes: fro
                 if len(seen) >= MEMO:
                     seen.clear()
                 seen.add(node)
-                p, step = measure.prefix(len(s)), order[_counter(s, len(order))]
+                p, step = measure.prefix(len(s)), order.of(s)
                 first = np.lexsort((s, step))[:p]
-                made = (s[first], np.full(p, node, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(step[first] >= hot, 1 + node % SALTS, 0).astype(np.int32))
+                made = (s[first], np.full(p, node, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(step[first] >= HOT, 1 + node % SALTS, 0).astype(np.int32))
                 for c, x in zip(columns, made, strict=True):
                     c.append(x)
             if columns[0]:
@@ -258,7 +292,7 @@ def _may_be_alike(measure: Measure, a: str, b: str):
 def _sets(docs: DataFrame, asked: DataFrame, measure: Measure) -> DataFrame:
     """(_a, _b, _grams) for each row of ``asked`` (_k1, _k2, _a, _b) and document with that key: its set as bytes.
 
-    A task makes a row once, however often the document is repeated. Texts aren't shuffled where few are asked for.
+    A task makes a row once, as a rule, however often the document is repeated. Texts aren't shuffled where few are asked for.
     """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +302,8 @@ def _sets(docs: DataFrame, asked: DataFrame, measure: Measure) -> DataFrame:
             for i, (k1, k2, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if (row := (k1, k2, a, b)) in done:
                     continue
+                if len(done) >= MEMO:  # a row that is made again is left out later
+                    done.clear()
                 done.add(row)
                 if (k1, k2) != last:  # the rows of a document follow one another
                     last, made = (k1, k2), ngrams(batch.column(4)[i].as_py(), measure.n, memo).tobytes()
@@ -322,20 +358,17 @@ class Join:
     def __init__(self, docs: DataFrame, measure: Measure, scratch: Scratch):
         self.measure, self.scratch = measure, scratch
         self.docs = keyed(docs.select("doc_id", "text"))
-        counters = COUNTERS[0]
-        while counters < min(COUNTERS[1], COUNTERS_EACH * docs.count()):
-            counters *= 2
         with small_batches(docs.sparkSession):
-            profile = scratch.stored(_profile(self.docs, measure, counters), "profile")
-            each = profile.filter("_chunk is null")
+            profile = scratch.stored(_profile(self.docs, measure), "profile")
+            each = profile.filter("_gram is null")
             halves = each.groupBy("_node").agg(F.min("_more").alias("low"), F.max("_more").alias("high"))
             clashes = frozenset(r["_node"] for r in halves.filter("low <> high").select("_node").collect())  # of m nodes about m^2 / 2^65
             if clashes:
                 each = each.withColumn("_node", F.when(F.col("_node").isin(*clashes), F.col("_more")).otherwise(F.col("_node")))
-            self.profile = each.drop("_more", "_chunk", "_counts")
+            self.profile = each.drop("_more", "_gram", "_count")
             one = self.profile.filter("_n > 0").groupBy("_node").agg(F.min(F.struct("_k1", "_k2", "_hist")).alias("d"))
             self.nodes = scratch.stored(one.select("_node", "d.*"), "nodes")
-            self.rows = scratch.stored(_shared(_prefixes(self.docs, measure, _sketch(profile, counters), clashes)), "shared")
+            self.rows = scratch.stored(_shared(_prefixes(self.docs, measure, _order(profile, scratch), clashes)), "shared")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are alike: by the suffix filter first; then the sets of what is left are made in one

@@ -20,20 +20,31 @@ hosts as (
   select host, case when address then name else array_to_string(parts[-(case when two then 2 else 1 end):], '.') end suffix,
          case when address then name else array_to_string(parts[-(case when two then 3 else 2 end):], '.') end domain,
          sum(n)::double n, sum(bad)::double bad from cut group by all),
-domains as (select domain, suffix, sum(n) n, sum(bad) bad from hosts group by all),
-suffixes as (select suffix, sum(n) n, sum(bad) bad from domains group by all),
-al as (select (coalesce(sum(bad), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1) p from suffixes),
-k0 as (select case when g is null or g = 0 or nn is null or nt - nn / nt - (g - 1) <= 0 or s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
-  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from suffixes, al where n > 0)),
-s_rate as (select suffix, (bad + k * p) / (n + k) p from suffixes, al, k0),
-d0 as (select d.*, p from domains d join s_rate using (suffix)),
-k1 as (select case when g is null or g = 0 or nn is null or nt - nn / nt - (g - 1) <= 0 or s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
-  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from d0 where n > 0)),
-d_rate as (select domain, (bad + k * p) / (n + k) p from d0, k1),
-h0 as (select h.*, p from hosts h join d_rate using (domain)),
-k2 as (select case when g is null or g = 0 or nn is null or nt - nn / nt - (g - 1) <= 0 or s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
-  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from h0 where n > 0)),
-known as (select host, (bad + k * p) / (n + k) r, n + k w from h0, k2),
+h_p as (select domain, (sum(bad) + 0.5e0) / (sum(n) + 1) p from hosts group by 1),
+h_k as (
+  select case when g = 0 or nt - nn / nt - (g - 1) <= 0 then 1e0 when s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
+  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from hosts join h_p using (domain) where n > 0)),
+h_e as (select hosts.*, n / (1 + greatest(n - 1, 0) / (k + 1)) e_n, bad / (1 + greatest(n - 1, 0) / (k + 1)) e_bad from hosts, h_k),
+domains as (select domain, suffix, sum(e_n) n, sum(e_bad) bad from h_e group by all),
+d_p as (select suffix, (sum(bad) + 0.5e0) / (sum(n) + 1) p from domains group by 1),
+d_k as (
+  select case when g = 0 or nt - nn / nt - (g - 1) <= 0 then 1e0 when s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
+  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from domains join d_p using (suffix) where n > 0)),
+d_e as (select domains.*, n / (1 + greatest(n - 1, 0) / (k + 1)) e_n, bad / (1 + greatest(n - 1, 0) / (k + 1)) e_bad from domains, d_k),
+suffixes as (select suffix, sum(e_n) n, sum(e_bad) bad from d_e group by all),
+s_p as (select (sum(bad) + 0.5e0) / (sum(n) + 1) p from suffixes),
+s_k as (
+  select case when g = 0 or nt - nn / nt - (g - 1) <= 0 then 1e0 when s - (g - 1) <= 0 then 10000e0 else least(greatest((nt - nn / nt - (g - 1)) / (s - (g - 1)) - 1, 1e0), 10000e0) end k
+  from (select sum(n * pow(bad / n - p, 2) / (p * (1 - p))) s, count(*) g, sum(n) nt, sum(n * n) nn from suffixes , s_p where n > 0)),
+s_e as (select suffixes.*, n / (1 + greatest(n - 1, 0) / (k + 1)) e_n, bad / (1 + greatest(n - 1, 0) / (k + 1)) e_bad from suffixes, s_k),
+tops as (select sum(e_n) n, sum(e_bad) bad from s_e),
+s_prior as (
+  select suffix, s.n, s.bad, (t.bad - e_bad + 0.5e0) / (t.n - e_n + 1) m, greatest(1 / (1 / (k + 1) + 1 / (t.n - e_n + 2)) - 1, 1e0) c from s_e s, tops t, s_k),
+d_prior as (
+  select domain, d.n, d.bad, (s.bad - e_bad + c * m) / (s.n - e_n + c) m, greatest(1 / (1 / (k + 1) + 1 / (s.n - e_n + c + 1)) - 1, 1e0) c from d_e d join s_prior s using (suffix), d_k),
+h_prior as (
+  select host, h.n, h.bad, (d.bad - e_bad + c * m) / (d.n - e_n + c) m, greatest(1 / (1 / (k + 1) + 1 / (d.n - e_n + c + 1)) - 1, 1e0) c from h_e h join d_prior d using (domain), h_k),
+known as (select host, (bad + c * m) / (n + c) r, n + c w from h_prior),
 rules(h, pre, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fit as (
   select host, path, h || pre as rule, verdict, row_number() over (partition by host, path order by length(h || pre) desc, length(h) desc) nth

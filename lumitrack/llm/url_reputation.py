@@ -2,8 +2,12 @@
 
 Labelled page outcomes (bad or not) are added up per host, and each host's rate is shrunk through beta-binomial priors:
 the suffix towards all pages, the registered domain towards its suffix, the host towards its domain. How strongly is
-estimated from the data at each level (method of moments for the beta-binomial's intra-class correlation). A host is
-blocked when the lower bound of its posterior bad rate is above a threshold. Fixed rules go before reputation.
+estimated from the data at each level (method of moments for the beta-binomial's intra-class correlation); where it
+cannot be, the least strength holds. Outcomes of one group are alike, so n of them with correlation r count as
+n / (1 + (n - 1) r) in the level above, and no host makes its whole suffix bad by its size. A group's prior comes from the
+others of its parent, never from itself, and is no surer than these are: its variance is that within the level plus that
+of the parent's own rate. A host is blocked when the lower bound of its posterior bad rate is above a threshold. Fixed
+rules go before reputation.
 
 All DataFrame functions. Hosts stay a distributed table; a hot host is one row of it after map-side sums, and the pages
 join it on the host, where adaptive execution splits a hot side. Rows: a null url, or one without ``://``, has the host
@@ -75,19 +79,38 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _strength(groups: DataFrame, n: str, bad: str, parent: str) -> float:
-    """The prior strength of one level: groups with ``n`` outcomes, ``bad`` of them, around their parents' rates."""
-    rate, size = F.col(bad) / F.col(n), F.col(n).cast("double")
-    spread = size * F.pow(rate - F.col(parent), 2) / (F.col(parent) * (1 - F.col(parent)))
-    x = groups.filter(F.col(n) > 0).agg(F.sum(spread).alias("s"), F.count(F.lit(1)).alias("g"), F.sum(size).alias("n"), F.sum(size * size).alias("nn")).first()
+def _strength(groups: DataFrame) -> float:
+    """The prior strength of one level: groups with ``n`` outcomes, ``bad`` of them, around their parents' rates ``p``."""
+    rate, size = F.col("bad") / F.col("n"), F.col("n")
+    spread = size * F.pow(rate - F.col("p"), 2) / (F.col("p") * (1 - F.col("p")))
+    x = groups.filter("n > 0").agg(F.sum(spread).alias("s"), F.count(F.lit(1)).alias("g"), F.sum(size).alias("n"), F.sum(size * size).alias("nn")).first()
     if not x["g"] or (room := x["n"] - x["nn"] / x["n"] - (x["g"] - 1)) <= 0:
-        return STRENGTH[1]
+        return STRENGTH[0]
     alike = (x["s"] - (x["g"] - 1)) / room
     return STRENGTH[1] if alike <= 0 else min(max(1 / alike - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def _shrunk(bad: Column, n: Column, prior: Column, strength: float) -> Column:
-    return (bad + strength * prior) / (n + F.lit(strength))
+def _level(groups: DataFrame, parent: str | None) -> tuple[DataFrame, float]:
+    """``groups`` (n, bad, and the columns that name them) with what each counts for its parent, in e_n and e_bad; and the strength."""
+    smoothed = (F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)
+    if parent:
+        strength = _strength(groups.join(groups.groupBy(parent).agg(smoothed.alias("p")), parent))
+    else:
+        strength = _strength(groups.withColumn("p", F.lit(groups.agg(smoothed.alias("p")).first()["p"])))
+    one = 1 / (1 + F.greatest(F.col("n") - 1, F.lit(0.0)) * F.lit(1 / (strength + 1)))
+    return groups.withColumns({"e_n": F.col("n") * one, "e_bad": F.col("bad") * one}), strength
+
+
+def _surely(strength: float, weight: Column) -> Column:
+    """The strength of a prior whose mean is itself known from ``weight`` pages only."""
+    return F.greatest(1 / (F.lit(1 / (strength + 1)) + 1 / (weight + 1)) - 1, F.lit(STRENGTH[0]))
+
+
+def _others(prefix: str, strength: float) -> list[Column]:
+    """Of each group of a level: the mean and strength of its prior, from its parent's sums (n, bad, prior) less its own part."""
+    bad = F.col(f"{prefix}_bad") - F.col("e_bad") + F.col(f"{prefix}_k") * F.col(f"{prefix}_m")
+    weight = F.col(f"{prefix}_n") - F.col("e_n") + F.col(f"{prefix}_k")
+    return [(bad / weight).alias("m"), _surely(strength, weight).alias("k")]
 
 
 def reputations(outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -95,21 +118,21 @@ def reputations(outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = S
 
     The bounds are the posterior beta distribution's mean less or plus ``z`` standard deviations, within 0 and 1.
     """
-    hosts = cut(outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
-    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("n_bad").alias("d_bad")))
-    suffixes = cut(domains.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad")))
-    every = suffixes.agg(F.sum("s_bad").alias("bad"), F.sum("s_n").alias("n")).first()
-    overall = ((every["bad"] or 0) + 0.5) / ((every["n"] or 0) + 1)
-    suffixes = suffixes.withColumn("all_rate", F.lit(overall))
-    s_rate = _shrunk(F.col("s_bad"), F.col("s_n"), F.col("all_rate"), _strength(suffixes, "s_n", "s_bad", "all_rate"))
-    domains = domains.join(suffixes.select("suffix", s_rate.alias("s_rate")), "suffix")
-    d_rate = _shrunk(F.col("d_bad"), F.col("d_n"), F.col("s_rate"), _strength(domains, "d_n", "d_bad", "s_rate"))
-    hosts = hosts.join(domains.select("domain", d_rate.alias("d_rate")), "domain")
-    strength = _strength(hosts, "n", "n_bad", "d_rate")
-    rate, weight = _shrunk(F.col("n_bad"), F.col("n"), F.col("d_rate"), strength), F.col("n") + F.lit(strength)
+    hosts = cut(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("n_bad").cast("double").alias("bad")))
+    hosts, of_host = _level(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "domain")
+    domains, of_domain = _level(cut(hosts.groupBy("domain", "suffix").agg(F.sum("e_n").alias("n"), F.sum("e_bad").alias("bad"))), "suffix")
+    suffixes, of_suffix = _level(cut(domains.groupBy("suffix").agg(F.sum("e_n").alias("n"), F.sum("e_bad").alias("bad"))), None)
+    every = suffixes.agg(F.sum("e_bad").alias("bad"), F.sum("e_n").alias("n")).first()
+    # all pages: half a page bad and half a page not, before any is seen
+    top = {"a_n": F.lit(every["n"] or 0.0), "a_bad": F.lit(every["bad"] or 0.0), "a_k": F.lit(1.0), "a_m": F.lit(0.5)}
+    s = suffixes.withColumns(top).select("suffix", F.col("n").alias("s_n"), F.col("bad").alias("s_bad"), *(c.alias(f"s_{x}") for c, x in zip(_others("a", of_suffix), "mk", strict=True)))
+    d = domains.join(s, "suffix").select("domain", F.col("n").alias("d_n"), F.col("bad").alias("d_bad"), *(c.alias(f"d_{x}") for c, x in zip(_others("s", of_domain), "mk", strict=True)))
+    known = hosts.join(d, "domain").select("host", "n", "bad", *_others("d", of_host))
+    weight = F.col("n") + F.col("k")
+    rate = (F.col("bad") + F.col("k") * F.col("m")) / weight
     sd = F.sqrt(rate * (1 - rate) / (weight + 1))
-    return hosts.select("host", "n", "n_bad", rate.alias("bad_rate"), F.greatest(rate - z * sd, F.lit(0.0)).alias("bad_low"), F.least(rate + z * sd, F.lit(1.0)).alias("bad_high"))
+    counts = F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("n_bad")
+    return known.select("host", *counts, rate.alias("bad_rate"), F.greatest(rate - z * sd, F.lit(0.0)).alias("bad_low"), F.least(rate + z * sd, F.lit(1.0)).alias("bad_high"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:

@@ -7,6 +7,7 @@ import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -288,11 +289,26 @@ def test_decontamination(spark, nothing):
     assert decontamination.op4(docs, bench(spark, words).limit(0)).count() == 0
 
 
-def test_masks_see_past_substitutions():
+@pytest.mark.parametrize("n", range(8, 17))
+def test_masks_see_past_all_substitutions_that_are_let_pass(n):
     from itertools import combinations
 
-    for subs in combinations(range(13), 2):
-        assert any(not {p + k for k in mask} & set(subs) for mask in decontamination.MASKS for p in range(13 - mask[-1]))
+    for subs in combinations(range(n), n - decontamination.needed(n)):
+        assert any(not {p + k for k in mask} & set(subs) for mask in decontamination.MASKS for p in range(n - mask[-1]))
+
+
+@pytest.mark.parametrize("n", (10, 11))
+def test_short_items_with_two_substitutions_are_found(n):
+    from itertools import combinations
+
+    rng = np.random.default_rng(n)
+    item = rng.integers(1, 1 << 40, n)
+    known = decontamination.Benchmark([item])
+    for subs in combinations(range(n), 2):
+        text = np.concatenate([rng.integers(1 << 41, 1 << 42, 30), item, rng.integers(1 << 41, 1 << 42, 30)])
+        text[[30 + i for i in subs]] = 0
+        found = known.overlaps(text, np.array([0, len(text)]))
+        assert [f[:3] for f in found] == [(0, 0, n - 2)]
 
 
 @pytest.mark.parametrize("n", range(13, 21))
@@ -478,6 +494,26 @@ def test_reputation_shrinks_and_blocks(spark):
         assert spark.range(1).select(url_reputation.domain_of(F.lit(host), own), url_reputation.suffix_of(F.lit(host), own)).first() == (domain, suffix)
 
 
+@pytest.mark.parametrize("times", (1, 2, 50))
+def test_labels_of_one_host_block_that_host_at_most(spark, times):
+    hosts = ["a.one.com", "b.one.com", "x.two.com", "y.three.org", "z.four.co.uk", "10.1.1.1"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    labels = spark.createDataFrame([(0, 1)] * times, "doc_id long, toxic int")
+    got = {r.host: r for r in url_reputation.judged(pages, labels, rules=()).collect()}
+    assert {h for h, r in got.items() if r.verdict == "block"} <= {"a.one.com"} and (times < 50 or got["a.one.com"].verdict == "block")
+    assert got["a.one.com"].bad_rate >= got["b.one.com"].bad_rate >= got["x.two.com"].bad_rate >= got["y.three.org"].bad_rate > 0.5
+    none = url_reputation.judged(pages, labels.limit(0), rules=()).collect()
+    assert {(r.verdict, r.bad_rate) for r in none} == {("allow", 0.5)}
+
+
+def test_one_suffix_of_bad_and_good_hosts(spark):
+    rng = random.Random(6)
+    pages = [(100 * h + i, f"http://h{h}.d{h // 2}.com/{i}") for h in range(12) for i in range(30)]
+    labels = [(p, int(rng.random() < (0.97 if p // 100 in (3, 8) else 0.04))) for p, _ in pages]
+    got = url_reputation.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rules=())
+    assert {r.host for r in got.filter("verdict = 'block'").select("host").distinct().collect()} == {"h3.d1.com", "h8.d4.com"}
+
+
 def test_repeated_pages_and_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")] * 3 + [(2, "http://10.0.0.1/"), (None, "http://a.com/y"), (1, None)], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (None, 1)], "doc_id long, toxic int")
@@ -834,9 +870,43 @@ def test_every_oracle_equals_its_query(spark):
     from lumitrack.llm.queries import ORACLE_SQL, QUERIES
 
     duck, sf = duckdb.connect(), "/root/testdata/sf0.001"
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "conversations"):
         duck.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         found = QUERIES[name](spark, sf)
         want = duck.execute(f"select {', '.join(found.columns)} from ({sql})").fetchall()
         assert multiset(found.collect()) == multiset(want), name
+
+
+# --- the order of n-grams
+
+
+def test_counts_are_bounded_and_keep_the_frequent(monkeypatch):
+    monkeypatch.setattr(ngram_join, "KEPT", 500)
+    monkeypatch.setattr(ngram_join, "MERGED", 2000)
+    rng, counts, want, most = np.random.default_rng(1), ngram_join.Counts(), Counter(), 0
+    frequent = rng.integers(1, 1 << 63, 100).astype(np.uint64)
+    for _ in range(600):
+        s = np.unique(np.concatenate([frequent[rng.random(100) < 0.5], rng.integers(1, 1 << 63, 50).astype(np.uint64)]))
+        counts.add(s)
+        want.update(s.tolist())
+        most = max(most, len(counts.grams))
+    counts.merge()
+    got = dict(zip(counts.grams.tolist(), counts.counts.tolist(), strict=True))
+    assert most <= 500 and len(want) > 20_000  # memory does not follow the corpus
+    assert all(got[g] == want[g] for g in frequent.tolist())
+    assert list(counts.grams) == sorted(counts.grams)
+
+
+def test_order_knows_the_frequent_alone(spark, monkeypatch):
+    rows = [(i, " ".join(["the same five words here"] * (i % 3 > 0) + [f"w{i}a{k}" for k in range(12)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    measure = ngram_join.Measure(5, 80)
+    for most in (1 << 20, 1, 0):
+        monkeypatch.setattr(ngram_join, "FREQUENT", most)
+        with Scratch(spark) as scratch:
+            order = ngram_join._order(ngram_join._profile(ngram_join.keyed(docs), measure), scratch)
+        gram = ngram_join.ngrams("the same five words here", 5, ngram_join._Words())
+        assert (order.of(gram)[0] > 0) == (most > 0) and len(order.grams) <= most
+        assert not order.of(ngram_join.ngrams("w1a1 w1a2 w1a3 w1a4 w1a5", 5, ngram_join._Words())).any()
+        assert sorted(r.component_id for r in ngram_join.components(docs, measure).collect()) == list(range(300))
