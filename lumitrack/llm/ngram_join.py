@@ -129,6 +129,14 @@ def _histogram_of(them: bytes) -> np.ndarray:
     return np.frombuffer(them, np.uint16 if them[0] == 2 else np.uint32, offset=1)
 
 
+def _tallied(grams: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams, each once, with their counts added up."""
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    if counts is None:
+        return grams[first], np.diff(np.append(first, len(grams)))
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Counts:
     """How many sets have each n-gram, of those that a task meets most often."""
 
@@ -143,12 +151,13 @@ class Counts:
 
     def merge(self) -> None:
         """Takes in what was gathered. Beyond KEPT n-grams those met once go, then the rarest."""
-        grams = np.concatenate([self.grams, *self._held])
-        counts = np.concatenate([self.counts, np.ones(self._n, np.int64)])
+        new, times = _tallied(np.sort(np.concatenate(self._held or [self.grams[:0]])))
+        if len(self.grams) + len(new) > KEPT:  # most n-grams are met once, and would only be sorted again
+            often = (times > 1) | np.isin(new, self.grams, assume_unique=True)
+            new, times = new[often], times[often]
+        grams, counts = np.concatenate([self.grams, new]), np.concatenate([self.counts, times])
         by = np.argsort(grams, kind="stable")
-        grams, counts = grams[by], counts[by]
-        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-        grams, counts = grams[first], np.add.reduceat(counts, first) if len(first) else counts
+        grams, counts = _tallied(grams[by], counts[by])
         if len(grams) > KEPT:
             least = max(2, int(np.partition(counts, len(counts) - KEPT)[len(counts) - KEPT]))
             at = np.flatnonzero(counts >= least)
@@ -164,12 +173,12 @@ class Order:
     def __init__(self, grams: np.ndarray, steps: np.ndarray):
         by = np.argsort(grams)
         self.grams, self.steps = grams[by], steps[by]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+        self.seen = np.zeros(1 << 24, bool)
+        self.seen[(self.grams >> np.uint64(40)).astype(np.int64)] = True
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), np.uint8)
-        at = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
+        at = np.flatnonzero(self.seen[(grams >> np.uint64(40)).astype(np.int64)])
         if len(at):
             place = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
             out[at] = np.where(self.grams[place] == grams[at], self.steps[place], 0)
