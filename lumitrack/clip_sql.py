@@ -98,6 +98,12 @@ wr as (
 written as (select *, cast(row_number() over (partition by frame_index order by -sourceY, sourceX, track_key) - 1 as int) row_ordinal from wr)"""
 
 
+def read_neighbours(radius: float) -> str:
+    """A CTE of the rows of ``obs`` that have another row of their frame within the radius, by brute force."""
+    return f"""near as (select row_index from obs a where a.mapX is not null and exists (select 1 from obs b
+  where b.frame_index = a.frame_index and b.row_index <> a.row_index and b.mapX is not null and {haversine('a.mapY', 'a.mapX', 'b.mapY', 'b.mapX')} <= {radius}e0))"""
+
+
 def with_neighbours(source: str, radius: float, out: str = "final") -> str:
     """A CTE of the rows of ``source`` that have a neighbour within the radius in their frame, by brute force."""
     return f"""{out} as (select * from {source} a where a.mapX is not null and exists (select 1 from {source} b

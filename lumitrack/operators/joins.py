@@ -10,40 +10,47 @@ from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import MEAN_RADIUS_KM, haversine_km
 from lumitrack.functions.numbers import finite
+from lumitrack.plans.shared import kept
 
 
-def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str, order: str, by: list[str] | None = None) -> DataFrame:
+def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str, order: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Each probe with the state nearest in time, before or after; of equally near ones that of the least ``order``.
 
-    Both sides go into one sorted stream per ``by``; a probe looks back to the last epoch and on to the next. That costs
-    one shuffle of either side and no pairs. Without ``by`` the stream is cut into days first, so that it spreads over
-    tasks, and each day borrows the last epoch before it and the first after it.
+    A scan with carry: both sides are dealt together by ranges of key and time, each part (of a key) says which its first
+    and last states are, a prefix over the parts tells each what lies before and after it, and every part is finished by
+    itself. So one key, or all of it without ``by``, takes as many tasks as there are ``parts`` (as many as a shuffle has,
+    unless given), and no pairs are made. Rows are shuffled twice and written once; the prefix is a row per part and key.
     """
     by = by or []
     states = states.groupBy(*by, epoch).agg(F.min(order).alias(order))  # of states at one time, the first
     keyed = probes.withColumns({"_at": F.col(time), "_probe": F.lit(1)})
     held = states.select(*by, F.col(epoch).alias("_at"), F.lit(0).alias("_probe"), F.struct(F.col(epoch).alias("at"), F.col(order).alias("id")).alias("_state"))
-    group = by
-    if not by:
-        day = F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
-        keyed, held = keyed.withColumn("_day", day), held.withColumn("_day", day)
-        bounds = held.groupBy("_day").agg(F.min("_state").alias("_first"), F.max("_state").alias("_last"))
-        days = keyed.select("_day").distinct().join(bounds, "_day", "full")
-        along = Window.orderBy("_day")  # a row a day
-        ends = days.select("_day", F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("a"))
-        lent = ends.select("_day", F.explode(F.array("b", "a")).alias("_state")).filter("_state is not null").select(F.col("_state.at").alias("_at"), F.lit(0).alias("_probe"), "_state", "_day")
-        held, group = held.unionByName(lent), ["_day"]
     stream = keyed.unionByName(held, allowMissingColumns=True)
-    along = Window.partitionBy(*group).orderBy("_at", "_probe")
-    back = F.last("_state", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    on = F.first("_state", ignorenulls=True).over(Window.partitionBy(*group).orderBy("_at", F.desc("_probe")).rowsBetween(0, Window.unboundedFollowing))
-    seen = stream.withColumns({"_back": back, "_on": on}).filter("_probe = 1")
+    n = parts or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(stream.repartitionByRange(n, *by, "_at", "_probe").withColumn("_part", F.spark_partition_id()), "stream")
+    ends = dealt.groupBy(*by, "_part").agg(F.min("_state").alias("_first"), F.max("_state").alias("_last"))
+    over = Window.partitionBy(*by).orderBy("_part")
+    before = F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    lent = ends.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_of"), before.alias("_before"), after.alias("_after"))
+    inside = Window.partitionBy("_part", *by)
+    back = F.last("_state", ignorenulls=True).over(inside.orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    on = F.first("_state", ignorenulls=True).over(inside.orderBy("_at", F.desc("_probe")).rowsBetween(0, Window.unboundedFollowing))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_of"))
+    seen = dealt.withColumns({"_back": back, "_on": on}).filter("_probe = 1").join(lent, same)
     apart = lambda s: F.when(s.isNotNull(), F.struct(F.abs(_micros(F.col("_at")) - _micros(s["at"])).alias("micros"), s["id"].alias("id"), s["at"].alias("at")))
-    best = F.array_min(F.array_compact(F.array(apart(F.col("_back")), apart(F.col("_on")))))
+    best = F.array_min(F.array_compact(F.array(apart(F.coalesce("_back", "_before")), apart(F.coalesce("_on", "_after")))))
     found = seen.withColumn("_best", best)
     return found.select(*probes.columns, F.col("_best.id").alias(f"nearest_{order}"), F.col("_best.at").alias(f"nearest_{epoch}"), (F.col("_best.micros") / F.lit(1e6)).alias("seconds_apart"))
 
 
+def element_per_minute(times: DataFrame, elements: DataFrame, time: str, epoch: str, order: str) -> DataFrame:
+    """``times`` with ``minute`` and the element set nearest to its beginning: all times of a minute go by one set."""
+    each = times.withColumn("minute", F.date_trunc("minute", F.col(time)))
+    chosen = nearest_in_time(each.select("minute").distinct(), elements, "minute", epoch, order)
+    return each.join(chosen, "minute")
+
+
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
 

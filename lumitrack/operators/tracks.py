@@ -231,29 +231,35 @@ def outputs(filtered: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def frame_qc(filtered: DataFrame, observations: DataFrame, written: DataFrame, final: DataFrame, frames: DataFrame) -> DataFrame:
-    """Per frame: rows read, outliers, imputed, written, and left by the spatial filter (``final``). Empty frames count 0."""
+    """Per frame: rows read, those with a neighbour as they were read (all where that isn't known), outliers, imputed,
+    written, and left by the spatial filter (``final``). Empty frames count 0."""
+    near = F.col("pre_spatial_ok") if "pre_spatial_ok" in observations.columns else F.lit(True)
+    read = observations.groupBy("frame_index").agg(F.count(F.lit(1)).alias("input_count"), F.count_if(near).alias("pre_spatial_kept_diagnostic"))
     each = lambda df, name: df.groupBy("frame_index").agg(F.count(F.lit(1)).alias(name))
     marks = filtered.groupBy("frame_index").agg(F.count_if("temporal_outlier").alias("temporal_outliers"), F.count_if("imputed").alias("imputed"))
     out = frames.select("frame_index").distinct()
-    for part in (each(observations, "input_count"), marks, each(written, "output_before_post_spatial"), each(final, "post_spatial_kept")):
+    for part in (read, marks, each(written, "output_before_post_spatial"), each(final, "post_spatial_kept")):
         out = out.join(part, "frame_index", "left")
-    counts = ["input_count", "temporal_outliers", "imputed", "output_before_post_spatial", "post_spatial_kept"]
+    counts = ["input_count", "pre_spatial_kept_diagnostic", "temporal_outliers", "imputed", "output_before_post_spatial", "post_spatial_kept"]
     out = out.select("frame_index", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
     return out.withColumn("post_spatial_rejected", F.col("output_before_post_spatial") - F.col("post_spatial_kept"))
 
 
-def track_qc(filtered: DataFrame) -> DataFrame:
-    """Per track: counts, degree, threshold, mean and deviation of the residuals that the last fit used, the root mean
+def track_qc(filtered: DataFrame, observations: DataFrame) -> DataFrame:
+    """Per track: its source place (of its first row), counts, degree, threshold, mean and deviation of the residuals that the last fit used, the root mean
     square over the rows used, and the maximum over all finite ones. Observed are finite positions only."""
     r, first = F.col("residual_km"), lambda c: F.max(c).alias(c)  # noqa: E731  one value a track
     used = F.when(F.col("fit_used"), r)
-    return filtered.groupBy("track_key").agg(
-        F.count_if("finite_geo").alias("n_observed"), F.count_if("finite_geo").alias("n_finite"), F.count_if("fit_used").alias("n_fit_used"),
+    head = F.min_by(F.struct("sourceX", "sourceY"), F.struct("frame_index", "row_index"))
+    places = observations.groupBy("track_key").agg(head.alias("_head")).select("track_key", "_head.sourceX", "_head.sourceY")
+    counted = filtered.groupBy("track_key").agg(
+        F.count_if("finite_geo").alias("n_observed"), F.count_if("finite_geo").alias("n_finite"), F.count_if("pre_spatial_ok").alias("n_pre_spatial_ok_diagnostic"), F.count_if("fit_used").alias("n_fit_used"),
         F.count_if("temporal_outlier").alias("n_temporal_outliers"), F.count_if("imputed").alias("n_imputed"), F.count_if(F.col("kept") | F.col("imputed")).alias("n_output"),
         F.bool_or("can_impute").alias("can_impute"), first("fit_degree"),
         F.max(F.when(F.col("threshold_km") < float("inf"), F.col("threshold_km"))).alias("threshold_km"),
         first("residual_mean_km"), first("residual_std_km"), F.sqrt(F.avg(used * used)).alias("rmse_km"), F.max(r).alias("max_residual_km"),
     )
+    return places.join(counted, "track_key")
 
 
 def linear_fit(dense: DataFrame) -> DataFrame:

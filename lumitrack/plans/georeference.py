@@ -11,8 +11,9 @@ from lumitrack.functions.numbers import finite
 from lumitrack.operators import tracks
 from lumitrack.operators.joins import has_neighbour
 from lumitrack.plans.shared import kept
+from lumitrack.sources import point_files
 from lumitrack.sources import points as sources
-from lumitrack.sources.sinks import write_points, write_table
+from lumitrack.sources.sinks import write_table
 
 
 @dataclass(frozen=True)
@@ -29,27 +30,38 @@ class Filtered:
 def filter_sequence(observations: DataFrame, frames: DataFrame, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0) -> Filtered:
     """Temporal filter and imputation per track, then the spatial filter per frame (none with ``radius_km`` null).
 
-    Rows without a source place are read (``input_count``) but belong to no track.
+    Rows without a source place are read (``input_count``) but belong to no track. Which rows have a neighbour as they are
+    read is counted in either case, and decides on fits only where the configuration says so.
     """
+    if radius_km is not None:
+        observations = kept(has_neighbour(observations, radius_km, ["frame_index"], "track_key").withColumnRenamed("has_neighbour", "pre_spatial_ok"), "observations")
     usable = observations.filter(finite(F.col("sourceX"), F.col("sourceY")))
-    if config.pre_spatial_fit and radius_km is not None:
-        usable = has_neighbour(usable, radius_km, ["frame_index"], "track_key").withColumnRenamed("has_neighbour", "pre_spatial_ok")
     filtered = kept(tracks.filtered_tracks(usable, frames, config), "tracks")
     written = kept(tracks.outputs(filtered, usable), "written")
     points = written
     if radius_km is not None:
         points = has_neighbour(written, radius_km, ["frame_index"], "track_key").filter("has_neighbour").drop("has_neighbour")
-    return Filtered(filtered, written, points, tracks.frame_qc(filtered, observations, written, points, frames), tracks.track_qc(filtered))
+    return Filtered(filtered, written, points, tracks.frame_qc(filtered, observations, written, points, frames), tracks.track_qc(filtered, usable))
+
 
+def filter_files(
+    spark: SparkSession, path: str, out: str, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0,
+    first: int | None = None, last: int | None = None, mission: str = "ISS067", status: bool = True,
+) -> Filtered:
+    """From control-point files under ``path`` to filtered ones under ``out``: a file for each frame, frame_qc and track_qc.
 
-def filter_files(spark: SparkSession, path: str, out: str, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0) -> Filtered:
-    """From control-point files under ``path`` to filtered ones under ``out``: points by frame with a manifest, frame_qc and
-    track_qc. Files are frames in the order of their names; files without the required columns are left out."""
-    points = kept(sources.read_points(spark, path), "points")
-    frames = kept(tracks.dense_index(points.select("file_name", "frame_id").distinct()), "frames")
-    found = filter_sequence(sources.observations(points, frames), frames, config, radius_km)
-    write_points(found.points.drop("extra", "file_name", "frame_id"), frames, out, ("temporal_status", "temporal_residual_km", "temporal_threshold_km"))
-    write_table(frames.select("frame_index", "file_name", "frame_id").join(found.frame_qc, "frame_index"), f"{out}/frame_qc")
+    Files are frames in the order of their names, with ids from ``first`` to ``last``; one with a header alone is a frame
+    whose points are imputed; one without the required columns is left out. A frame's file is named by mission and id, and
+    has the first file's columns in its order, the known ones that it lacks, and with ``status`` the filter's.
+    """
+    frames = kept(point_files.frames_of_files(spark, path, first, last, mission), "frames")
+    points = kept(point_files.read_point_files(spark, path).drop("frame_id").withColumnRenamed("file_name", "input_name"), "points")
+    named = points.join(frames.select("input_name", "frame_index"), "input_name").drop("input_name")
+    found = filter_sequence(sources.tracked(named), frames, config, radius_km)
+    head = frames.filter("frame_index = 0").select("columns").first()
+    columns = sources.output_columns(head["columns"] if head else [], status)
+    point_files.write_point_files(found.points, frames, f"{out}/points", columns)
+    write_table(frames.drop("columns").join(found.frame_qc, "frame_index"), f"{out}/frame_qc")
     write_table(found.track_qc, f"{out}/track_qc")
     return found
 

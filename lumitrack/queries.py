@@ -143,9 +143,10 @@ def post_spatial_filter(spark, sf_dir):
     return filter_sequence(observations(spark, sf_dir), frames(spark, sf_dir), CONFIG, RADIUS).points.select("frame_index", "track_key", "temporal_status")
 
 
-@query(f"""with {Q.written(CONFIG)}, {Q.with_neighbours('written', RADIUS)}
-select f.frame_index, coalesce(a.n, 0) input_count, coalesce(o, 0)::bigint temporal_outliers, coalesce(i, 0)::bigint imputed, coalesce(w.n, 0) output_before_post_spatial, coalesce(k.n, 0) post_spatial_kept, coalesce(w.n, 0) - coalesce(k.n, 0) post_spatial_rejected
+@query(f"""with {Q.written(CONFIG)}, {Q.with_neighbours('written', RADIUS)}, {Q.read_neighbours(RADIUS)}
+select f.frame_index, coalesce(a.n, 0) input_count, coalesce(p.n, 0) pre_spatial_kept_diagnostic, coalesce(o, 0)::bigint temporal_outliers, coalesce(i, 0)::bigint imputed, coalesce(w.n, 0) output_before_post_spatial, coalesce(k.n, 0) post_spatial_kept, coalesce(w.n, 0) - coalesce(k.n, 0) post_spatial_rejected
 from frames f left join (select frame_index, count(*) n from obs group by 1) a using (frame_index)
+left join (select frame_index, count(*) n from obs join near using (row_index) group by 1) p using (frame_index)
 left join (select frame_index, sum(outlier::int) o, sum(imputed::int) i from filt group by 1) b using (frame_index)
 left join (select frame_index, count(*) n from written group by 1) w using (frame_index)
 left join (select frame_index, count(*) n from final group by 1) k using (frame_index)""")
@@ -153,17 +154,20 @@ def frame_qc(spark, sf_dir):
     return filter_sequence(observations(spark, sf_dir), frames(spark, sf_dir), CONFIG, RADIUS).frame_qc
 
 
-@query(f"""with {Q.filtered(CONFIG)}
-select track_key, sum(finite_geo::int)::bigint n_observed, sum(finite_geo::int)::bigint n_finite, sum(fit_used::int)::bigint n_fit_used, sum(outlier::int)::bigint n_temporal_outliers, sum(imputed::int)::bigint n_imputed,
+@query(f"""with {Q.filtered(CONFIG)}, {Q.read_neighbours(RADIUS)},
+heads as (select track_key, sourceX, sourceY + 0e0 sourceY from (select *, row_number() over (partition by track_key order by frame_index, row_index) k from obs) where k = 1),
+ok as (select track_key, count(near.row_index) n_pre_spatial_ok_diagnostic from (
+  select track_key, row_index, row_number() over (partition by track_key, frame_index order by case when mapX is not null then 0 else 1 end, row_index) k from obs) o left join near using (row_index) where k = 1 group by 1)
+select track_key, max(sourceX) sourceX, max(sourceY) sourceY, max(n_pre_spatial_ok_diagnostic) n_pre_spatial_ok_diagnostic, sum(finite_geo::int)::bigint n_observed, sum(finite_geo::int)::bigint n_finite, sum(fit_used::int)::bigint n_fit_used, sum(outlier::int)::bigint n_temporal_outliers, sum(imputed::int)::bigint n_imputed,
   sum((kept or imputed)::int)::bigint n_output, max(can_impute::int) can_impute, case when max(can_fit::int) = 1 then least({CONFIG.order}, max(n_last) - 1) else -1 end::int fit_degree,
   {sf_fixed("max(case when thr < cast('infinity' as double) then thr end)", 3)} threshold_km, {sf_fixed('max(case when can_fit then mean end)', 3)} residual_mean_km,
   {sf_fixed('max(case when can_fit then sd end)', 3)} residual_std_km,
   {sf_fixed('sqrt(avg(case when fit_used then r * r end))', 3)} rmse_km, {sf_fixed('max(r)', 3)} max_residual_km
-from filt group by 1""")
+from filt join heads using (track_key) join ok using (track_key) group by 1""")
 def track_qc(spark, sf_dir):
     qc = filter_sequence(observations(spark, sf_dir), frames(spark, sf_dir), CONFIG, RADIUS).track_qc
     rounded = {c: fixed(F.col(c), 3) for c in ("threshold_km", "residual_mean_km", "residual_std_km", "rmse_km", "max_residual_km")}
-    return qc.withColumns(rounded | {"can_impute": yes("can_impute")})
+    return qc.withColumns(rounded | {"can_impute": yes("can_impute"), "sourceY": F.col("sourceY") + 0.0})
 
 
 def _diagnostic_sql():
@@ -796,3 +800,6 @@ def grid_in_hull(spark, sf_dir):
     n = _grid(spark, sf_dir).withColumnRenamed("n_nationkey", "image")
     m = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image"), (F.col("c_custkey") * 7 % 500).alias("x"), (F.col("c_custkey") * 13 % 400).alias("y"))
     return kernels.within_hull(n, m, 3).select("image", "x", "y")
+
+
+from lumitrack import frame_queries  # noqa: E402,F401  (adds its own)

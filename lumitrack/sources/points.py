@@ -54,9 +54,13 @@ def _with_header(rows: DataFrame) -> DataFrame:
 
 def observations(points: DataFrame, frames: DataFrame) -> DataFrame:
     """Points as observations of tracks: track_key, frame_index, row_index and positions; a row without a source place has no key."""
+    return tracked(points.join(frames.select("file_name", "frame_index"), "file_name"))
+
+
+def tracked(placed: DataFrame) -> DataFrame:
+    """Points of frames with the track that they belong to."""
     from lumitrack.functions.names import source_key
 
-    placed = points.join(frames.select("file_name", "frame_index"), "file_name")
     return placed.withColumn("track_key", F.when(finite(F.col("sourceX"), F.col("sourceY")), source_key(F.col("sourceX"), F.col("sourceY"))))
 
 

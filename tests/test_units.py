@@ -247,19 +247,21 @@ def test_from_files_to_files(spark, tmp_path):
         (tmp_path / "in" / f"ISS001-E-{100 + f}_real.points").write_text("mapX,mapY,sourceX,sourceY,enable,dX,dY,residual,note\n" + "\n".join(rows) + "\n")
     (tmp_path / "in" / "ISS001-E-300_real.points").write_text("mapX,mapY\n1,2\n")
     found = filter_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), tracks.FilterConfig(order=1, min_points=4), 80.0)
-    out = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out/points")).collect()
-    assert len(out) == 12 * 9 and {r.frame_index for r in out} == set(range(12))
-    by = {(r.frame_index, r.sourceX, r.sourceY): r for r in out}
+    from lumitrack.sources.point_files import read_point_files
+
+    out = read_point_files(spark, str(tmp_path / "out/points")).collect()
+    assert len(out) == 12 * 9 and {r.frame_id for r in out} == set(range(100, 112))
+    by = {(r.frame_id - 100, r.sourceX, r.sourceY): r for r in out}
     moved, missing, own = by[5, 185, -185], by[7, 0, 0], by[4, 0, -185]
     assert (moved.temporal_status, moved.enable, moved.dX) == ("imputed", 1, 0.0) and moved.mapX == pytest.approx(10.685) and missing.mapX == pytest.approx(10.7)
     assert (own.temporal_status, own.enable, own.dX, own.dY, own.residual) == ("kept", 0, 0.5, 0.25, 0.125)
-    notes = {(r.frame_index, r.track_key): r.extra["note"] for r in found.written.collect()}
+    notes = {(r.frame_index, r.track_key): r.note for r in found.written.collect()}
     assert notes[5, "185.000|-185.000"] == "n5" and notes[7, "0.000|0.000"] == "n0"
     qc = {int(r.frame_index): r for r in spark.read.option("header", True).csv(str(tmp_path / "out/frame_qc")).collect()}
-    assert int(qc[3].input_count) == 10 and int(qc[7].input_count) == 8 and int(qc[5].imputed) == 1 and qc[11].file_name == "ISS001-E-111_real.points"
+    assert int(qc[3].input_count) == 10 and int(qc[7].input_count) == 8 and int(qc[5].imputed) == 1 and qc[11].input_name == "ISS001-E-111_real.points"
     tq = {r.track_key: r for r in spark.read.option("header", True).csv(str(tmp_path / "out/track_qc")).collect()}
     assert len(tq) == 9 and tq["185.000|-185.000"].n_temporal_outliers == "1" and tq["0.000|0.000"].n_observed == "11"
-    assert {r.n for r in spark.read.parquet(str(tmp_path / "out/manifest")).collect()} == {9}
+    assert {r.n_points for r in read_point_files(spark, str(tmp_path / "out/points"), what="files").collect()} == {9}
 
 
 def test_switches_of_the_filter(spark):
