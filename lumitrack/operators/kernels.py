@@ -42,13 +42,12 @@ NODES = 8
 FITTED = NODES * NODES + 3
 
 
-def warped(points: DataFrame, targets: DataFrame, least: int = 6, solved_to: int = POINTS_SOLVED) -> DataFrame:
-    """targets (frame_index, x, y) with (u, v): a thin-plate spline per frame by all its control points (x, y) to (u, v).
+def solved(points: DataFrame, least: int = 6, solved_to: int = POINTS_SOLVED) -> DataFrame:
+    """(frame_index, _x, _y, _c, _x0, _y0, _wide): a thin-plate spline per frame by all its control points (x, y) to (u, v).
 
     Up to ``solved_to`` control points are one array, and the spline goes through each. Larger frames are never gathered:
     radial functions at the nodes of a fixed grid over the frame, and a plane, are fitted to all points by least squares,
-    whose normal equations are sums. Frames with fewer than ``least`` give no rows. Targets of one frame may lie in any
-    number of tasks.
+    whose normal equations are sums. Frames with fewer than ``least`` give no row.
     """
     points = points.select(F.col("frame_index").cast("int"), *(F.col(c).cast("double") for c in "xyuv"))
     wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
@@ -61,19 +60,42 @@ def warped(points: DataFrame, targets: DataFrame, least: int = 6, solved_to: int
     sums = unit.mapInPandas(_normal, "frame_index int, _at int, _sum double").groupBy("frame_index", "_at").agg(F.sum("_sum").alias("_sum"))
     packed = sums.groupBy("frame_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_sum"))), lambda s: s["_sum"]).alias("_sums"))
     fitted = packed.mapInPandas(_fit_nodes, kinds).join(frames.drop("_n"), "frame_index")
-    solved = through.unionByName(fitted)
+    return through.unionByName(fitted)
+
+
+def solution_at(r: dict, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """(u, v) at the places, by a row of ``solved``."""
+    x, y = np.array(r["_x"]), np.array(r["_y"])
+    c = np.array(r["_c"]).reshape(len(x) + 3, 2)
+    return spline_at(c, x, y, (px - r["_x0"]) / r["_wide"], (py - r["_y0"]) / r["_wide"])
+
+
+#: Targets that travel together with one copy of their frame's coefficients (a power of two).
+TOGETHER = 4096
+
+
+def in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """(frame_index, _them): the rows of a frame as arrays of at most TOGETHER structs."""
+    block = F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1)
+    return rows.withColumn("_block", block).groupBy("frame_index", "_block").agg(F.collect_list(F.struct(*columns)).alias("_them")).drop("_block")
+
+
+def warped(points: DataFrame, targets: DataFrame, least: int = 6, solved_to: int = POINTS_SOLVED) -> DataFrame:
+    """targets (frame_index, x, y) with (u, v), by the spline of their frame (see ``solved``); none for frames without one.
+
+    Targets of one frame may lie in any number of tasks. They go in blocks of ``TOGETHER``, and each block carries one copy
+    of its frame's coefficients: 32 bytes for each control point that is solved, 2,000 at most.
+    """
 
     def at(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in them:
-            for _, g in batch.groupby("frame_index", sort=False):
-                x, y = np.array(g["_x"].iloc[0]), np.array(g["_y"].iloc[0])
-                c = np.array(g["_c"].iloc[0]).reshape(len(x) + 3, 2)
-                px, py = ((g[a].to_numpy(float) - g[f"_{a}0"].iloc[0]) / g["_wide"].iloc[0] for a in "xy")
-                uv = spline_at(c, x, y, px, py)
-                yield g[["frame_index", "x", "y"]].assign(u=uv[:, 0], v=uv[:, 1])
+            for r in batch.to_dict("records"):
+                x, y = (np.array([t[c] for t in r["_them"]], float) for c in "xy")
+                uv = solution_at(r, x, y)
+                yield pd.DataFrame({"frame_index": r["frame_index"], "x": x, "y": y, "u": uv[:, 0], "v": uv[:, 1]})
 
     wanted = targets.select(F.col("frame_index").cast("int"), F.col("x").cast("double"), F.col("y").cast("double"))
-    return wanted.join(solved, "frame_index").mapInPandas(at, "frame_index int, x double, y double, u double, v double")
+    return in_blocks(wanted, "x", "y").join(solved(points, least, solved_to), "frame_index").mapInPandas(at, "frame_index int, x double, y double, u double, v double")
 
 
 def _nodes() -> tuple[np.ndarray, np.ndarray]:
@@ -229,21 +251,25 @@ def tile_flow(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(flows, f"image {pairs.schema['image'].dataType.simpleString()}, row int, col int, dx double, dy double")
 
 
-#: Rows of an image that one tile answers for.
+#: Rows and columns of an image that one tile answers for.
 TILE = 512
-#: Rows beyond these that a flow tile sees: three rounds of reach 9 and an expansion of reach 3 at three levels are 210,
+#: Rows and columns beyond these that a flow tile sees: three rounds of reach 9 and an expansion of reach 3 at three levels are 210,
 #: the rest is for displacements.
-#: Both are multiples of 4, so that a tile is halved at the same rows as the whole image.
+#: Both are multiples of 4, so that a tile is halved at the same places as the whole image.
 MARGIN = 304
 
 
-def _in_tiles(pixels: DataFrame, first, last) -> DataFrame:
-    """A row per tile (image, _tile): row0, height, width, a, b; each pixel lies in the tiles from ``first`` to ``last``."""
-    dealt = pixels.withColumn("_tile", F.explode(F.sequence(first, last)))
-    packed = dealt.groupBy("image", "_tile").agg(F.array_sort(F.collect_list(F.struct("row", "col", "a", "b"))).alias("_p"))
+def _in_tiles(pixels: DataFrame, ends) -> DataFrame:
+    """A row per tile (image, _tile, _across): row0, col0, height, width, a, b.
+
+    ``ends`` says of "row" and of "col" in which tiles a pixel lies, from the first to the last; so a tile is bounded in
+    height and width, whatever the image's size.
+    """
+    dealt = pixels.withColumn("_tile", F.explode(F.sequence(*ends("row")))).withColumn("_across", F.explode(F.sequence(*ends("col"))))
+    packed = dealt.groupBy("image", "_tile", "_across").agg(F.array_sort(F.collect_list(F.struct("row", "col", "a", "b"))).alias("_p"))
     corner, end = F.col("_p")[0], F.element_at("_p", -1)
     size = ((end["row"] - corner["row"] + 1).alias("height"), (end["col"] - corner["col"] + 1).alias("width"))
-    return packed.select("image", "_tile", corner["row"].alias("row0"), *size, F.transform("_p", lambda p: p["a"]).alias("a"), F.transform("_p", lambda p: p["b"]).alias("b"))
+    return packed.select("image", "_tile", "_across", corner["row"].alias("row0"), corner["col"].alias("col0"), *size, F.transform("_p", lambda p: p["a"]).alias("a"), F.transform("_p", lambda p: p["b"]).alias("b"))
 
 
 def _tile_of(row, tile: int):
@@ -271,17 +297,20 @@ def _boxes(pixels: DataFrame) -> DataFrame:
 
 
 def image_likeness(pixels: DataFrame, side: int = 7, tile: int = TILE) -> DataFrame:
-    """(image, likeness) of whole images of any height, from pixels (image, row, col, a, b): ``masked_likeness`` by tiles.
+    """(image, likeness) of whole images of any size, from pixels (image, row, col, a, b): ``masked_likeness`` by tiles.
 
-    Tiles overlap by side - 1 rows, so each window lies in just one tile that answers for its first row; the images' sums
-    and counts of windows give the same mean.
+    Tiles overlap by side - 1 rows and columns, so each window lies in just one tile that answers for its first pixel; the
+    images' sums and counts of windows give the same mean.
     """
     boxed = pixels.join(_boxes(pixels), "image").filter("row between _row0 and _row1 and col between _col0 and _col1").select("image", "row", "col", "a", "b")
-    tiles = _in_tiles(boxed, F.greatest(F.lit(0), _tile_of(F.col("row") - (side - 1), tile)), _tile_of(F.col("row"), tile))
+    tiles = _in_tiles(boxed, lambda c: (F.greatest(F.lit(0), _tile_of(F.col(c) - (side - 1), tile)), _tile_of(F.col(c), tile)))
 
     def score(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in them:
-            found = [likeness_map(_tile(a, h, w), _tile(b, h, w), side)[: max(0, (k + 1) * tile - r)] for a, b, h, w, k, r in zip(x["a"], x["b"], x["height"], x["width"], x["_tile"], x["row0"], strict=True)]
+            found = [
+                likeness_map(_tile(t["a"], t["height"], t["width"]), _tile(t["b"], t["height"], t["width"]), side)[: max(0, (t["_tile"] + 1) * tile - t["row0"]), : max(0, (t["_across"] + 1) * tile - t["col0"])]
+                for t in x.to_dict("records")
+            ]
             yield x[["image"]].assign(total=[float(f.sum()) for f in found], n=[f.size for f in found])
 
     scored = tiles.mapInPandas(score, f"image {pixels.schema['image'].dataType.simpleString()}, total double, n long")
@@ -289,22 +318,22 @@ def image_likeness(pixels: DataFrame, side: int = 7, tile: int = TILE) -> DataFr
 
 
 def image_flow(pixels: DataFrame, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
-    """(image, row, col, dx, dy) of every pixel of whole images of any height, from pixels (image, row, col, a, b).
+    """(image, row, col, dx, dy) of every pixel of whole images of any size, from pixels (image, row, col, a, b).
 
-    A tile also sees ``margin`` rows on either side, which are more than ``dense_flow`` reaches, so its own rows have the
-    flow of the whole image (but for displacements beyond the margin).
+    A tile also sees ``margin`` rows and columns on each side, which are more than ``dense_flow`` reaches, so its own pixels
+    have the flow of the whole image (but for displacements beyond the margin).
     """
-    last = pixels.groupBy("image").agg(_tile_of(F.max("row"), tile).alias("_last"))
-    row = F.col("row")
-    tiles = _in_tiles(pixels.join(last, "image"), F.greatest(F.lit(0), _tile_of(row - margin, tile)), F.least("_last", _tile_of(row + margin, tile)))
+    last = pixels.groupBy("image").agg(*(_tile_of(F.max(c), tile).alias(f"_last_{c}") for c in ("row", "col")))
+    tiles = _in_tiles(pixels.join(last, "image"), lambda c: (F.greatest(F.lit(0), _tile_of(F.col(c) - margin, tile)), F.least(f"_last_{c}", _tile_of(F.col(c) + margin, tile))))
 
     def flows(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in them:
-            for image, a, b, h, w, k, r in zip(x["image"], x["a"], x["b"], x["height"], x["width"], x["_tile"], x["row0"], strict=True):
-                f = dense_flow(_tile(a, h, w), _tile(b, h, w))
-                rows, cols = np.mgrid[:h, :w]
-                own = (rows + r) // tile == k
-                yield pd.DataFrame({"image": image, "row": (rows + r)[own], "col": cols[own], "dx": f[..., 0][own], "dy": f[..., 1][own]})
+            for t in x.to_dict("records"):
+                h, w = t["height"], t["width"]
+                f = dense_flow(_tile(t["a"], h, w), _tile(t["b"], h, w))
+                rows, cols = np.mgrid[t["row0"] : t["row0"] + h, t["col0"] : t["col0"] + w]
+                own = (rows // tile == t["_tile"]) & (cols // tile == t["_across"])
+                yield pd.DataFrame({"image": t["image"], "row": rows[own], "col": cols[own], "dx": f[..., 0][own], "dy": f[..., 1][own]})
 
     return tiles.mapInPandas(flows, f"image {pixels.schema['image'].dataType.simpleString()}, row int, col int, dx double, dy double")
 

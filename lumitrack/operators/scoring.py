@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import wrap_degrees
 from lumitrack.functions.numbers import clamp, to_unit
+from lumitrack.operators.homography import with_inliers
 from lumitrack.operators.kernels import within_hull
 from lumitrack.operators.rasters import grid_points
 from lumitrack.plans.shared import kept
@@ -236,12 +237,13 @@ def scored_candidates(matches: DataFrame, sizes: DataFrame, step: int = 180, lim
     """Per candidate (image): its matches' inliers, polynomial, hold-out error, deformation and score.
 
     matches: image, nth, real_x, real_y, sim_x, sim_y in pixels; sizes: image, width, height; likeness: image,
-    masked_ssim (0 without). Candidates with fewer than ``least`` matches or inliers give no row.
+    masked_ssim (0 without). Inliers follow a homography found by samples. Candidates with fewer than ``least`` matches or
+    inliers give no row.
     """
     unit = lambda c, s: to_unit(F.col(c), F.col(s))
     enough = matches.groupBy("image").agg(F.count(F.lit(1)).alias("n_matches_raw")).filter(F.col("n_matches_raw") >= least)
     pixels = matches.join(enough, "image").join(sizes, "image").withColumns({"x": F.col("real_x"), "y": F.col("real_y"), "u": F.col("sim_x"), "v": F.col("sim_y")})
-    inside = consensus(pixels, ["image"], limit_px).filter("inlier")
+    inside = with_inliers(pixels, ["image"], limit_px).filter("inlier")
     counts = inside.groupBy("image").agg(F.count(F.lit(1)).alias("n_inliers"), F.max("n_matches_raw").alias("n_matches_raw")).filter(F.col("n_inliers") >= least)
     inside = inside.join(counts.select("image"), "image", "left_semi")
     on_unit = inside.withColumns({"x": unit("real_x", "width"), "y": unit("real_y", "height"), "u": unit("sim_x", "width"), "v": unit("sim_y", "height")})

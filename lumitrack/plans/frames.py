@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import geo_to_pixel
 from lumitrack.functions.numbers import finite
-from lumitrack.operators import kernels, rasters
+from lumitrack.operators import kernels, rasters, warps
 from lumitrack.plans.shared import kept
 
 #: How many places along each side of an image are warped to see how large its warp gets.
@@ -67,15 +67,11 @@ def georeferenced(points: DataFrame, images: DataFrame, done: DataFrame | None =
 
 def warped_pixels(raster: DataFrame, points: DataFrame, grids: DataFrame, value: str = "value") -> DataFrame:
     """(frame_index, row, col, value) of warped images: each pixel of a grid takes the image's pixel under it, by the spline
-    from the ground to the image; pixels that lie off the image have no row. raster: frame_index, row, col, value."""
-    g = F.col("gt")
-    pixels = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("warp_height").cast("int") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("warp_width").cast("int") - 1)))
-    targets = pixels.select("frame_index", (g[0] + (F.col("col") + 0.5) * g[1]).alias("x"), (g[3] + (F.col("row") + 0.5) * g[5]).alias("y"))
+    from the ground to the image, to an eighth of a pixel; pixels that lie off the image have no row. raster: frame_index,
+    row, col, value."""
     good = points.filter(finite(F.col("mapX"), F.col("mapY"), F.col("sourceX"), F.col("sourceY")))
     ground = good.groupBy("frame_index", F.col("mapX").alias("x"), F.col("mapY").alias("y")).agg(F.avg("sourceX").alias("u"), F.avg(-F.col("sourceY")).alias("v"))
-    found = kernels.warped(ground, targets).join(grids.select("frame_index", "gt"), "frame_index")
-    place = {"row": F.floor((F.col("y") - g[3]) / g[5]), "col": F.floor((F.col("x") - g[0]) / g[1]), "_row": F.floor("v"), "_col": F.floor("u")}
-    at = found.select("frame_index", *(v.cast("int").alias(k) for k, v in place.items()))
+    at = warps.pixels(warps.cells(ground, grids), grids).select("frame_index", "row", "col", F.floor("v").cast("int").alias("_row"), F.floor("u").cast("int").alias("_col"))
     source = raster.select("frame_index", F.col("row").alias("_row"), F.col("col").alias("_col"), value)
     return at.join(source, ["frame_index", "_row", "_col"]).select("frame_index", "row", "col", value)
 

@@ -8,7 +8,8 @@ that a file with a header alone is a frame too. With ``lines`` the text of each
 Writing: a file for each ``file_name`` under its own name. Rows are written in the order they come; a row whose ``line`` is
 not null is written as it stands, and one whose ``row_index`` is null only makes sure that its file exists with a header.
 Tasks write into a folder of their attempt and tell the driver what they made; once all have, it moves the files to their
-places, and a run that fails leaves none behind. A file's rows have to be in one task; ``write_point_files`` sees to that.
+places; a run that fails leaves none behind, at most an empty folder ``_waiting-...`` of a task that outlived it, which
+readers pass over. A file's rows have to be in one task; ``write_point_files`` sees to that.
 
 Scale: the driver lists names and, unless ``columns`` (a comma-separated list) are given, reads each first line; everything
 else is one task for each group of files of about ``bytesPerPartition``. Paths are any that Arrow's file systems open.
@@ -142,6 +143,14 @@ class PointWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Made:
         files, folder = _file_system(self.path)[0], f"{self._waiting}/{uuid.uuid4().hex}"
+        try:
+            return Made(folder, tuple(self._written(iterator, files, folder)))
+        except BaseException:
+            if files.get_file_info(folder).type == pafs.FileType.Directory:
+                files.delete_dir(folder)
+            raise
+
+    def _written(self, iterator: Iterator[pa.RecordBatch], files: pafs.FileSystem, folder: str) -> list[str]:
         names, now, out = [], None, None
         for batch in iterator:
             rows = batch.to_pydict()
@@ -161,7 +170,7 @@ class PointWriter(DataSourceArrowWriter):
                     out.write(f"{kept}\n".encode() if kept is not None else _line([_text(rows[c][i]) for c in self.columns]))
         if out is not None:
             out.close()
-        return Made(folder, tuple(names))
+        return names
 
     def commit(self, messages: list[Made | None]) -> None:
         files, root = _file_system(self.path)
@@ -251,7 +260,8 @@ def write_point_files(points: DataFrame, frames: DataFrame, path: str, columns:
     frame_index, row_ordinal, the columns, and perhaps ``line``."""
     register(points.sparkSession)
     own = [*columns, *(["line"] if "line" in points.columns else [])]
-    rows = points.join(frames.select("frame_index", F.col("output_name").alias("file_name")), "frame_index").select("file_name", F.col("row_ordinal").cast("int").alias("row_index"), *own)
+    placed = points.select("frame_index", "row_ordinal", *own)
+    rows = placed.join(frames.select("frame_index", F.col("output_name").alias("file_name")), "frame_index").select("file_name", F.col("row_ordinal").cast("int").alias("row_index"), *own)
     empty = frames.select(F.col("output_name").alias("file_name"), F.lit(None).cast("int").alias("row_index"), *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in own))
     together = rows.unionByName(empty).repartition("file_name").sortWithinPartitions("file_name", "row_index")
     together.write.format("points").mode("overwrite").save(path)
