@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lumitrack.functions.numbers import fixed
-from lumitrack.operators import homography, joins, polygons
+from lumitrack.operators import homography, joins, polygons, scoring
 from lumitrack.plans.shared import shared_folder
 from lumitrack.queries import query
 from lumitrack.sources import match_results, point_files, snapshots
@@ -195,3 +195,13 @@ def snapshot_existence(spark, sf_dir):
 def _log(spark, sf_dir):
     files = name_view(spark, sf_dir).filter("file_name like '%.points'").select(F.col("event_id").alias("frame_id"), "file_name", F.lit(1).alias("length"))
     return snapshots.Log(spark, f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"), files
+
+
+@query(f"""with {_MATCHED} select image, count(*) n_matches_raw, sum(good::int)::bigint n_inliers, floor(sum(good::int) / count(*)::double * 1e6 + 0.5e0) / 1e6 inlier_ratio,
+  floor(tanh(sum(good::int) / 120e0) * 1e6 + 0.5e0) / 1e6 match_count_norm from matches group by image having sum(good::int) >= 20""")
+def candidate_inliers(spark, sf_dir):
+    """Candidates scored from raw matches, three fifths of them wrong: what their scores count."""
+    matches = _matches(spark, sf_dir).withColumnsRenamed({"x": "real_x", "y": "real_y", "u": "sim_x", "v": "sim_y"})
+    sizes = matches.select("image").distinct().withColumns({"width": F.lit(2000), "height": F.lit(1500)})
+    found = scoring.scored_candidates(matches, sizes)
+    return found.select("image", "n_matches_raw", "n_inliers", fixed(F.col("inlier_ratio"), 6).alias("inlier_ratio"), fixed(F.col("match_count_norm"), 6).alias("match_count_norm"))
