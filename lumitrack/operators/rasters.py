@@ -5,12 +5,17 @@ The key columns of a raster are (image, row, col); every operator works per imag
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import pixel_to_geo
 from lumitrack.functions.numbers import clamp, finite
 
+#: A place (x, y) of one ground system in another.
+Change = Callable[[Column, Column], tuple[Column, Column]]
+
 
 def by_image():
     return Window.partitionBy("image")
@@ -150,25 +155,28 @@ def _tap_weight(distance: Column, method: str) -> Column:
     return F.when(t < 1, near).when(t < 2, far).otherwise(F.lit(0.0))
 
 
-def resampled(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value") -> DataFrame:
-    """(image, row, col, value) of every pixel of the target grids, in the ground system that they share with the source.
+def resampled(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value", ground: Change | None = None) -> DataFrame:
+    """(image, row, col, value) of every pixel of the target grids, in the ground system that they share with the source,
+    or in one that ``ground`` takes (x, y) of into the source's.
 
     raster: image, row, col and the value; grids: a row per target with image, width, height and gt of the target, and
     source_gt, source_width, source_height (six doubles each gt). A pixel's centre is looked up in the source by
     ``nearest``, ``bilinear`` or ``cubic``; source pixels that are absent, not finite or ``nodata`` count for nothing and
     the others' weights are scaled up. ``nodata`` outside the source, and where nothing is left.
     """
-    return _resampled(raster, grids, method, nodata, value, ["image"])
+    return _resampled(raster, grids, method, nodata, value, ["image"], ground)
 
 
-def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float, value: str, by: list[str]) -> DataFrame:
+def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float, value: str, by: list[str], ground: Change | None = None) -> DataFrame:
     low, high = TAPS[method]
     g, s = F.col("gt"), F.col("source_gt")
     pixels = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     i, j = F.col("col") + 0.5, F.col("row") + 0.5
-    dx, dy = g[0] + i * g[1] + j * g[2] - s[0], g[3] + i * g[4] + j * g[5] - s[3]
+    x, y = g[0] + i * g[1] + j * g[2], g[3] + i * g[4] + j * g[5]
+    x, y = ground(x, y) if ground else (x, y)
+    dx, dy = F.col("_gx") - s[0], F.col("_gy") - s[3]
     det = s[1] * s[5] - s[2] * s[4]
-    at = pixels.select("image", "row", "col", "source_width", "source_height", ((s[5] * dx - s[2] * dy) / det).alias("_x"), ((s[1] * dy - s[4] * dx) / det).alias("_y"))
+    at = pixels.withColumns({"_gx": x, "_gy": y}).select("image", "row", "col", "source_width", "source_height", ((s[5] * dx - s[2] * dy) / det).alias("_x"), ((s[1] * dy - s[4] * dx) / det).alias("_y"))
     within = at.filter("_x >= 0 and _x < source_width and _y >= 0 and _y < source_height")
     back = 0.0 if method == "nearest" else 0.5
     for axis in "xy":
@@ -181,9 +189,9 @@ def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float,
     return pixels.select("image", "row", "col").join(found, ["image", "row", "col"], "left").fillna(nodata, [value])
 
 
-def resampled_from_one(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value") -> DataFrame:
+def resampled_from_one(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value", ground: Change | None = None) -> DataFrame:
     """``resampled`` where all targets read one source (row, col and the value, no image)."""
-    return _resampled(raster, grids, method, nodata, value, [])
+    return _resampled(raster, grids, method, nodata, value, [], ground)
 
 
 def window_transform(gt: Column, x0: Column, y0: Column) -> Column:

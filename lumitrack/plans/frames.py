@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import geo_to_pixel
+from lumitrack.functions.ground import System
 from lumitrack.functions.numbers import finite
-from lumitrack.operators import kernels, rasters, warps
+from lumitrack.operators import ground, kernels, rasters, warps
 from lumitrack.plans.shared import kept
 
 #: How many places along each side of an image are warped to see how large its warp gets.
@@ -76,11 +77,11 @@ def warped_pixels(raster: DataFrame, points: DataFrame, grids: DataFrame, value:
     return at.join(source, ["frame_index", "_row", "_col"]).select("frame_index", "row", "col", value)
 
 
-def cropped(mapping: DataFrame, images: DataFrame, light: DataFrame, light_gt: Column, margin: int = 100, method: str = "nearest", done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def cropped(mapping: DataFrame, images: DataFrame, light: DataFrame, light_gt: Column, margin: int = 100, method: str = "nearest", done: DataFrame | None = None, systems: tuple[System, System] | None = None) -> tuple[DataFrame, DataFrame]:
     """One light raster cut to each frame's control points, toned and put on the frame's own grid: (status with windows, pixels).
 
     mapping: frame_index, geoX, geoY; images: frame_index, width, height, gt; light: row, col, value on ``light_gt``, one
-    raster for all frames. Pixels are (frame_index, row, col, tone) counted from the window's corner, with 0 where there is
+    raster for all frames; systems: those of the images and of the light, where they differ. Pixels are (frame_index, row, col, tone) counted from the window's corner, with 0 where there is
     no light; a frame whose window has none at all is "no overlap".
     """
     sizes = images.select("frame_index", "width", "height", "gt")
@@ -92,8 +93,9 @@ def cropped(mapping: DataFrame, images: DataFrame, light: DataFrame, light_gt: C
     # one row of two numbers goes to every grid
     grids = grids.crossJoin(F.broadcast(extent))
     toned = rasters.tone_mapped(light)
-    pixels = kept(rasters.resampled_from_one(toned, grids, method, value="tone").withColumnRenamed("image", "frame_index"), "cropped")
-    overlap = _overlap(grids).withColumnRenamed("image", "frame_index")
+    change = ground.change_of(*systems) if systems else None
+    pixels = kept(rasters.resampled_from_one(toned, grids, method, value="tone", ground=change).withColumnRenamed("image", "frame_index"), "cropped")
+    overlap = (ground.overlap(grids, *systems) if systems else _overlap(grids)).withColumnRenamed("image", "frame_index")
     status = sizes.select("frame_index").join(windows, "frame_index", "left").join(overlap, "frame_index", "left").join(skipped.withColumn("_done", F.lit(True)), "frame_index", "left")
     said = F.when(F.col("_done"), "skipped").when(F.col("x0").isNull(), "no mapped pixels").when(~F.coalesce("_meets", F.lit(False)), "no overlap").otherwise("done")
     out = status.select("frame_index", said.alias("status"), "x0", "x1", "y0", "y1", "roi_width", "roi_height")
