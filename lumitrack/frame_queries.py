@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lumitrack.clip_sql import fixed as sf_fixed
+from lumitrack.functions.names import id_by_mission, render_name, source_key
 from lumitrack.functions.numbers import fixed
-from lumitrack.operators import homography, joins, polygons, scoring
+from lumitrack.operators import homography, joins, polygons, projection, scoring, tracks
 from lumitrack.plans.shared import shared_folder
-from lumitrack.queries import query
+from lumitrack.queries import _projected, _projection_sql, query
 from lumitrack.sources import match_results, point_files, snapshots
 from lumitrack.surrogates import IMG, NAMES, OBS, frames, names as name_view, observations, raster, table
 
@@ -205,3 +207,45 @@ def candidate_inliers(spark, sf_dir):
     sizes = matches.select("image").distinct().withColumns({"width": F.lit(2000), "height": F.lit(1500)})
     found = scoring.scored_candidates(matches, sizes)
     return found.select("image", "n_matches_raw", "n_inliers", fixed(F.col("inlier_ratio"), 6).alias("inlier_ratio"), fixed(F.col("match_count_norm"), 6).alias("match_count_norm"))
+
+
+# --- keys, names, ranges
+
+
+@query(f"""with {OBS}, t as (select track_key, any_value(sourceX) x, any_value(-sourceY) y from obs where user_id % 2 = 0 group by 1),
+k as (select event_id, case event_id % 3 when 0 then printf('%.3f|%.3f', 185e0 * (user_id % 15), -185e0 * floor(user_id / 15e0)) when 1 then value::varchar || '|' || (-event_id / 2)::varchar else 'no key ' || event_id end track_key from events)
+select event_id, track_key, {sf_fixed('coalesce(t.x, try_cast(split_part(track_key, chr(124), 1) as double))', 3)} x, {sf_fixed('coalesce(t.y, -try_cast(split_part(track_key, chr(124), 2) as double))', 3)} y from k left join t using (track_key) where event_id % 3 <> 2""")
+def places_of_keys(spark, sf_dir):
+    """Places of keys: of known tracks, of keys that say theirs, and of some that say none."""
+    o = observations(spark, sf_dir)
+    known = o.filter("user_id % 2 = 0").groupBy("track_key").agg(F.first("sourceX").alias("sourceX"), F.first("sourceY").alias("sourceY"))
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    own = source_key(F.lit(185.0) * (F.col("user_id") % 15), F.lit(-185.0) * F.floor(F.col("user_id") / 15.0))
+    key = F.when(k % 3 == 0, own).when(k % 3 == 1, F.concat_ws("|", F.col("value").cast("string"), (-k / 2.0).cast("string"))).otherwise(F.concat(F.lit("no key "), k))
+    found = tracks.places_of_keys(e.select("event_id", key.alias("track_key")), known)
+    return found.select("event_id", "track_key", fixed(F.col("x"), 3).alias("x"), fixed(F.col("y"), 3).alias("y"))
+
+
+@query("""with n as (select event_id, ts, event_id % 1700 / 10e0 - 85 la, event_id % 3600 / 10e0 - 180 lo, 400 + event_id % 97 / 8e0 al, user_id % 7 / 4e0 ya, user_id % 90 + 0e0 pi, -(event_id % 11) / 100e0 ro from events),
+s as (select event_id, ts, unnest(['L', 'G', 'H', 'Y', 'P', 'R']) k, unnest(range(6)) j, unnest([la, lo, al, ya, pi, ro]) v from n)
+select event_id, 'render_output_' || strftime(any_value(ts), '%Y-%m-%dT%H-%M-%S-') || lpad((epoch_us(any_value(ts)) // 1000 % 1000)::varchar, 3, '0') || string_agg('_' || k || replace(round_even(v, 2)::varchar, '.', '-'), '' order by j) || '.png' as file_name from s group by event_id""")
+def render_names(spark, sf_dir):
+    """Whole names of renders, with all six numbers."""
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    numbers = (k % 1700 / 10.0 - 85, k % 3600 / 10.0 - 180, F.lit(400) + k % 97 / 8.0, u % 7 / 4.0, (u % 90).cast("double"), -(k % 11) / 100.0)
+    return e.select("event_id", render_name(F.col("ts").cast("timestamp"), *numbers).alias("file_name"))
+
+
+@query(f"""with {NAMES}, n as (select event_id, try_cast(nullif(regexp_extract(file_name, '[A-Za-z0-9]+-E-([0-9]+)', 1), '') as int) frame_id, user_id % 5 > 0 complete from names)
+select event_id, frame_id, case when not frame_id between 300100 and 303000 then 'id out of range' when not complete then 'required column missing' end reason from n where frame_id is not null""")
+def files_left_out(spark, sf_dir):
+    """Why files are no frames of a run: their ids, or their columns; null for those that are."""
+    files = name_view(spark, sf_dir).select("event_id", id_by_mission(F.col("file_name")).alias("frame_id"), (F.col("user_id") % 5 > 0).alias("complete")).filter("frame_id is not null")
+    return files.select("event_id", "frame_id", point_files.left_out(300100, 303000).alias("reason"))
+
+
+@query(f"""with r as ({_projection_sql(False)}) select n_nationkey, lon "mapX", lat "mapY", px "sourceX", py - 400 "sourceY", 1 enable, 0e0 residual from r where lat is not null""")
+def control_points_of_rays(spark, sf_dir):
+    """Control points where rays of pixels meet the ground; the others give none."""
+    found = projection.control_points(_projected(spark, sf_dir, False).withColumns({"real_x": F.col("px"), "real_y": F.col("py"), "height": F.lit(400.0)}))
+    return found.select("n_nationkey", "mapX", "mapY", "sourceX", "sourceY", "enable", "residual")

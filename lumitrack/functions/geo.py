@@ -21,10 +21,12 @@ def angle_between(a: Column, b: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MEAN_RADIUS_KM) -> Column:
+    """The distance over the sphere; null where a coordinate is."""
     half_lat = F.radians(lat2 - lat1) / F.lit(2.0)
     half_lon = F.radians(wrap_degrees(lon2 - lon1)) / F.lit(2.0)
     a = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon)
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()  # greatest() would make 0 of null
+    return F.when(known, F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)))))
 
 
 def point(x: Column, y: Column, z: Column) -> Column:
@@ -90,6 +92,6 @@ def unit(a: Column) -> Column:
 
 
 def turned(v: Column, axis: Column, degrees: Column) -> Column:
-    """``v`` turned about the unit vector ``axis`` (Rodrigues)."""
+    """``v`` turned about the unit vector ``axis`` (Rodrigues); columns, as an expression would be repeated for each use."""
     c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
     return added(added(scaled(v, c), scaled(cross(axis, v), s)), scaled(axis, dot(axis, v) * (F.lit(1.0) - c)))

@@ -63,13 +63,16 @@ def render_name(time: Column, lat: Column, lon: Column, alt: Column, yaw: Column
 
 
 def source_key(x: Column, y: Column, decimals: int = 3) -> Column:
-    """The key of a grid node: both coordinates with fixed decimals. It keeps negative zero apart, as text."""
+    """The key of a grid node: both coordinates with fixed decimals. It keeps negative zero apart, as text.
+
+    A number whose shortest text lies between two keys goes to the one further from zero, whatever its binary value.
+    """
     return F.format_string(f"%.{decimals}f|%.{decimals}f", x, y)
 
 
 def parse_source_key(key: Column) -> Column:
     parts = F.split(key, r"\|")
-    return F.struct(parts[0].try_cast("double").alias("x"), parts[1].try_cast("double").alias("y"))
+    return F.struct(F.get(parts, 0).try_cast("double").alias("x"), F.get(parts, 1).try_cast("double").alias("y"))
 
 
 def safe_fragment(text: Column) -> Column:

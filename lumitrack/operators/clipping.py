@@ -59,19 +59,23 @@ def limit_km(residuals: np.ndarray, config) -> tuple[float, float, float]:
 
 def clip_track(t: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarray, config) -> Clipped:
     """Each round fits the rows in use and takes the starting rows within the threshold of the residuals in use; it ends
-    where these are too few or repeat the present or the last choice."""
+    where these are too few or repeat the present or the last choice. One row alone isn't fitted (degree 0)."""
     none = np.full(len(t), np.nan)
     if config.order < 1 or start.sum() < config.min_points:
         return Clipped(none, none, none, np.zeros(len(t), bool), float("inf"), float("nan"), float("nan"), -1)
     finite, now, last = np.isfinite(x) & np.isfinite(y), start, None
-    for _ in range(config.rounds):
+    pred, residual, used = np.stack([none, none], axis=1), none, np.zeros(len(t), bool)
+    threshold, mean, std = float("inf"), float("nan"), float("nan")
+    for _ in range(max(config.rounds, 1)):
+        degree = min(config.order, int(now.sum()) - 1)
+        if degree < 1:
+            break
         lon = x[now]
         step = np.diff(lon)
         lon = lon + np.concatenate([[0.0], np.cumsum(wrapped(step) - step)])
         pred = fitted(t, np.stack([lon, y[now]], axis=1), now, config.order)
         residual = np.where(finite, distance_km(y, x, pred[:, 1], pred[:, 0]), np.nan)
         threshold, mean, std = limit_km(residual[now], config)
-        degree = min(config.order, int(now.sum()) - 1)
         new = start & (residual <= threshold)
         used = now if new.sum() < config.min_points else new
         if used is now or np.array_equal(new, now) or (last is not None and np.array_equal(new, last)):

@@ -75,7 +75,9 @@ def projected(pixels: DataFrame, radius: float = 10.0, heading: bool = False) ->
     x = x.withColumn("_in", F.col("_od") * F.col("_od") - F.col("_oo")).withColumn("_t", F.when(F.col("_in") >= 0, -F.col("_od") - F.sqrt("_in")))
     x = x.withColumns({f"_h{c}": F.col("_o")[c] + F.col("_d")[c] * F.col("_t") for c in "xyz"})
     hit = to_geographic(point(F.col("_hx"), F.col("_hy"), F.col("_hz")), radius)
-    return x.withColumns({"lat": hit["lat"], "lon": hit["lon"]}).drop("_up", "_east", "_ahead", "_o", "_d", "_od", "_oo", "_in", "_t", "_hx", "_hy", "_hz")
+    # a generator, as a filter on its result isn't rewritten in terms of all the steps, each used many times
+    ground = F.inline(F.array(F.struct(hit["lat"].alias("lat"), hit["lon"].alias("lon"))))
+    return x.select(*(c for c in pixels.columns if c not in ("lat", "lon")), ground)
 
 
 def control_points(projected_pixels: DataFrame, source: str = "real") -> DataFrame:

@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumitrack.functions.geo import haversine_km
+from lumitrack.operators.projection import projected
+
 Angles = tuple[float, float, float]
 INVALID = -1e12
 
@@ -81,6 +84,23 @@ def first_simplex(centre: Angles, config: SearchConfig) -> list[Angles]:
     return out
 
 
+def by_control_points(points: DataFrame, miss_km: float = 2000.0, radius: float = 10.0) -> Callable[[DataFrame], DataFrame]:
+    """An objective: minus the root mean square, in hundreds of km, of how far each point's ray meets the ground from its place.
+
+    points: px, py, width, height, fov_x, cam_lat, cam_lon, cam_alt_km, mapX, mapY. A ray that misses the ground counts
+    ``miss_km``, as does one that is further off; points without a place count for nothing. The candidates of one job, a
+    handful, go to all points; the score is rounded, so that it doesn't hang on the order of sums.
+    """
+    placed = points.filter("mapX is not null and mapY is not null")
+
+    def score(candidates: DataFrame) -> DataFrame:
+        seen = projected(placed.crossJoin(F.broadcast(candidates)), radius)
+        off = F.least(F.coalesce(haversine_km(F.col("mapY"), F.col("mapX"), F.col("lat"), F.col("lon")), F.lit(miss_km)), F.lit(miss_km)) / 100.0
+        return seen.groupBy("candidate_id").agg(F.round(-F.sqrt(F.avg(off * off)), 9).alias("score"))
+
+    return score
+
+
 def search_orientation(spark: SparkSession, objective: Callable[[DataFrame], DataFrame], config: SearchConfig = SearchConfig(), centre: Angles | None = None) -> Search:
     """Climbs from ``centre`` (the middle of the ranges by default) until the simplex is small and level, or a limit."""
     run, known = Search(), {}

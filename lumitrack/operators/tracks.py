@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import haversine_km, wrap_degrees
+from lumitrack.functions.names import parse_source_key
 from lumitrack.functions.numbers import finite, normalised_time
 from lumitrack.operators.clipping import clip_batches
 from lumitrack.plans.shared import kept
@@ -283,7 +284,8 @@ def diagnostic_tracks(tracks: DataFrame, min_observed: int = 1, inset: float = 0
         return tracks.sparkSession.createDataFrame([], schema)
     part = min(max(inset, 0.0), 0.49)
     at = lambda low, high, share: low + share * (high - low)
-    aims = {"top_left": (part, part), "top_right": (1 - part, part), "centre": (0.5, 0.5), "bottom_left": (part, 1 - part), "bottom_right": (1 - part, 1 - part)}
+    # labels are fixed values
+    aims = {"top_left_inner": (part, part), "top_right_inner": (1 - part, part), "center": (0.5, 0.5), "bottom_left_inner": (part, 1 - part), "bottom_right_inner": (1 - part, 1 - part)}
     picked: list[tuple[str, str]] = []
     for name, (u, v) in aims.items():
         x, y = at(b["x0"], b["x1"], u), at(b["y0"], b["y1"], v)
@@ -295,6 +297,16 @@ def diagnostic_tracks(tracks: DataFrame, min_observed: int = 1, inset: float = 0
     return tracks.sparkSession.createDataFrame(picked, schema)
 
 
+def places_of_keys(keys: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``keys`` (track_key, ...) with x and y, counted downwards: the track's own source place (track_key, sourceX, sourceY, one
+    row a track), else the one that the key itself says. Keys that say none drop out."""
+    own = tracks.select("track_key", F.col("sourceX").alias("_sx"), F.col("sourceY").alias("_sy"), F.lit(True).alias("_known"))
+    said = parse_source_key(F.col("track_key"))
+    place = lambda own, key: F.when(F.col("_known"), F.col(own)).otherwise(said[key])
+    met = keys.join(own, "track_key", "left").withColumns({"x": place("_sx", "x"), "y": -place("_sy", "y")})
+    return met.filter(F.coalesce("_known", F.lit(False)) | (F.col("x").isNotNull() & F.col("y").isNotNull())).drop("_sx", "_sy", "_known")
+
+
 def point_status(final: DataFrame, corrected: DataFrame, read: DataFrame) -> DataFrame:
     """Per key of any of the three sets (frame_index, track_key): where it is found, and its colour in diagnostics."""
     keys = ["frame_index", "track_key"]

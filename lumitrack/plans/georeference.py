@@ -48,10 +48,10 @@ def filter_files(
     spark: SparkSession, path: str, out: str, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0,
     first: int | None = None, last: int | None = None, mission: str = "ISS067", status: bool = True,
 ) -> Filtered:
-    """From control-point files under ``path`` to filtered ones under ``out``: a file for each frame, frame_qc and track_qc.
+    """From control-point files under ``path`` to filtered ones under ``out``: a file for each frame, frame_qc, track_qc and left_out.
 
     Files are frames in the order of their names, with ids from ``first`` to ``last``; one with a header alone is a frame
-    whose points are imputed; one without the required columns is left out. A frame's file is named by mission and id, and
+    whose points are imputed; one without the required columns is left out, and ``left_out`` says so. A frame's file is named by mission and id, and
     has the first file's columns in its order, the known ones that it lacks, and with ``status`` the filter's.
     """
     frames = kept(point_files.frames_of_files(spark, path, first, last, mission), "frames")
@@ -61,6 +61,7 @@ def filter_files(
     head = frames.filter("frame_index = 0").select("columns").first()
     columns = sources.output_columns(head["columns"] if head else [], status)
     point_files.write_point_files(found.points, frames, f"{out}/points", columns)
+    write_table(point_files.left_out_files(spark, path, first, last), f"{out}/left_out")
     write_table(frames.drop("columns").join(found.frame_qc, "frame_index"), f"{out}/frame_qc")
     write_table(found.track_qc, f"{out}/track_qc")
     return found

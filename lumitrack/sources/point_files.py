@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -241,6 +241,21 @@ def read_point_files(spark: SparkSession, path: str, **options: str) -> DataFram
     return spark.read.format("points").options(**options).load(path)
 
 
+def left_out(first: int | None, last: int | None) -> Column:
+    """Why a file (frame_id, complete) is no frame: its id is outside the range, or a required column is missing; else null."""
+    outside = F.lit(False) if first is None or last is None else ~F.col("frame_id").between(first, last)
+    return F.when(outside, "id out of range").when(~F.col("complete"), "required column missing")
+
+
+def left_out_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(input_name, frame_id, reason) of the files that ``frames_of_files`` leaves out."""
+    from lumitrack.operators.tracks import dense_index
+
+    files = dense_index(read_point_files(spark, path, what="files"))
+    given = files.withColumn("frame_id", F.coalesce("frame_id", F.lit(first or 0) + F.col("frame_index")))
+    return given.select(F.col("file_name").alias("input_name"), "frame_id", left_out(first, last).alias("reason")).filter("reason is not null")
+
+
 def frames_of_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, mission: str = "ISS067") -> DataFrame:
     """The frames of a sequence: frame_index, frame_id, input_name, output_name, columns, for each file with the required
     columns, in the order of names. An id that a name lacks is ``first`` and the file's place; frames outside the range drop
@@ -249,8 +264,8 @@ def frames_of_files(spark: SparkSession, path: str, first: int | None = None, la
 
     files = dense_index(read_point_files(spark, path, what="files")).withColumnRenamed("frame_index", "_place")
     given = files.withColumn("frame_id", F.coalesce("frame_id", F.lit(first or 0) + F.col("_place")))
-    inside = given if first is None or last is None else given.filter(F.col("frame_id").between(first, last))
-    frames = dense_index(inside.filter("complete").drop("n_frames", "_place"))
+    inside = given.filter(left_out(first, last).isNull())
+    frames = dense_index(inside.drop("n_frames", "_place"))
     named = F.concat(F.lit(f"{mission}-E-"), F.col("frame_id").cast("string"), F.lit(".points"))
     return frames.select("frame_index", "frame_id", F.col("file_name").alias("input_name"), named.alias("output_name"), "columns")
 
