@@ -276,9 +276,11 @@ def _tile_of(row, tile: int):
     return F.floor(row / F.lit(float(tile))).cast("int")
 
 
-def _boxes(pixels: DataFrame) -> DataFrame:
-    """Per image the box of ``masked_likeness``: the percentile from counts of whole values, without gathering pixels."""
-    whole = pixels.groupBy("image", F.floor("a").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min("a").alias("_least"), F.max("a").alias("_most"))
+def darkest(whole: DataFrame) -> DataFrame:
+    """(image, _dark): what ``masked_likeness`` takes as dark, from counts of values by their whole part.
+
+    whole: image, _v (the whole part), _n, and the least and greatest of these values (_least, _most).
+    """
     up, group = Window.partitionBy("image").orderBy("_v"), Window.partitionBy("image")
     ranked = whole.withColumns({"_end": F.sum("_n").over(up), "_at": F.lit(0.15) * (F.sum("_n").over(group) - 1)})
     holds = lambda k: (F.col("_end") - F.col("_n") <= k) & (k < F.col("_end"))
@@ -288,12 +290,17 @@ def _boxes(pixels: DataFrame) -> DataFrame:
         F.max(F.when(lower, F.col("_most"))).alias("_x0"), F.max(F.when(upper, F.col("_least"))).alias("_x1"), F.max(F.col("_at") - F.floor("_at")).alias("_part"),
     )
     between = F.floor(F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("_part"))
-    darkest = low.select("image", F.greatest(F.lit(3), F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between)).alias("_dark"))
+    return low.select("image", F.greatest(F.lit(3), F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between)).alias("_dark"))
+
+
+def _boxes(pixels: DataFrame) -> DataFrame:
+    """Per image the box of ``masked_likeness``: the percentile from counts of whole values, without gathering pixels."""
+    whole = pixels.groupBy("image", F.floor("a").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min("a").alias("_least"), F.max("a").alias("_most"))
     lit = F.col("a") > F.col("_dark")
     ends = lambda c, f, part: f(F.when(lit, F.col(c)) if part else F.col(c))
     enough = F.avg(lit.cast("double")) >= 0.05
     box = [F.when(enough, ends(c, f, True)).otherwise(ends(c, f, False)).alias(n) for n, c, f in (("_row0", "row", F.min), ("_row1", "row", F.max), ("_col0", "col", F.min), ("_col1", "col", F.max))]
-    return pixels.join(darkest, "image").groupBy("image").agg(*box)
+    return pixels.join(darkest(whole), "image").groupBy("image").agg(*box)
 
 
 def image_likeness(pixels: DataFrame, side: int = 7, tile: int = TILE) -> DataFrame:

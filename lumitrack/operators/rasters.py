@@ -21,14 +21,16 @@ def by_image():
     return Window.partitionBy("image")
 
 
-def bilinear(points: DataFrame, raster: DataFrame, values: list[str]) -> DataFrame:
+def bilinear(points: DataFrame, raster: DataFrame, values: list[str], key: list[str] | None = None) -> DataFrame:
     """``points`` (image, x, y, ...) with the raster's values between its pixels; null outside or if not finite.
 
     A point needs four pixels: it's exploded to its corners, joined on (image, row, col), and added up by weight. Points
-    outside never meet the raster.
+    outside never meet the raster. ``key`` names columns, the image among them, that tell points apart; only these go with
+    the corners (without it, all columns do).
     """
+    by = key or points.columns
     size = raster.groupBy("image").agg((F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
-    keyed = points.withColumn("_id", F.struct(*points.columns)).select("image", "x", "y", "_id").distinct().join(size, "image")
+    keyed = points.withColumn("_id", F.struct(*by)).select("image", "x", "y", "_id").distinct().join(size, "image")
     usable = keyed.filter(finite(F.col("x"), F.col("y"))).filter("x >= 0 and y >= 0 and x <= _w - 1 and y <= _h - 1")
     x0, y0 = F.floor("x").cast("int"), F.floor("y").cast("int")
     fx, fy = F.col("x") - x0, F.col("y") - y0
@@ -39,7 +41,7 @@ def bilinear(points: DataFrame, raster: DataFrame, values: list[str]) -> DataFra
     whole = lambda v: F.sum(F.when(F.col(v).isNotNull(), F.col("weight"))) > 1 - 1e-9
     sums = [F.when(whole(v), F.sum(F.col(v) * F.col("weight"))).alias(f"sampled_{v}") for v in values]
     found = each.join(raster, ["image", "row", "col"]).groupBy("_id").agg(*sums)
-    return points.withColumn("_id", F.struct(*points.columns)).join(found, "_id", "left").drop("_id")
+    return points.withColumn("_id", F.struct(*by)).join(found, "_id", "left").drop("_id")
 
 
 def tone_mapped(raster: DataFrame, value: str = "value", top: float = 200.0, gamma: float = 2.5, low: float = 0.0) -> DataFrame:
@@ -265,7 +267,7 @@ def corrected_points(points: DataFrame, mapping: DataFrame, flow: DataFrame, fra
     both = points.join(mapping.select("frame_index", "row_ordinal", "geoX", "geoY"), ["frame_index", "row_ordinal"]).join(frames, "frame_index")
     pixel = finite(F.col("geoX"), F.col("geoY"))
     asked = both.select(F.col("frame_index").alias("image"), "row_ordinal", (F.col("geoX") - F.col("x0")).alias("x"), (F.col("geoY") - F.col("y0")).alias("y"))
-    sampled = bilinear(asked, flow, ["dx", "dy"]).select(F.col("image").alias("frame_index"), "row_ordinal", "sampled_dx", "sampled_dy")
+    sampled = bilinear(asked, flow, ["dx", "dy"], ["image", "row_ordinal"]).select(F.col("image").alias("frame_index"), "row_ordinal", "sampled_dx", "sampled_dy")
     rows = both.join(sampled, ["frame_index", "row_ordinal"])
     inside = finite(F.col("sampled_dx"), F.col("sampled_dy"))
     dx, dy = (F.when(inside, F.col("sign") * F.col(f"sampled_{d}")).otherwise(F.lit(0.0)) for d in ("dx", "dy"))

@@ -815,4 +815,4 @@ def grid_in_hull(spark, sf_dir):
     return kernels.within_hull(n, m, 3).select("image", "x", "y")
 
 
-from lumitrack import frame_queries, ground_queries  # noqa: E402,F401  (add their own)
+from lumitrack import block_queries, frame_queries, ground_queries  # noqa: E402,F401  (add their own)
