@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumitrack.clip_sql import fixed as sf_fixed
 from lumitrack.functions.numbers import fixed
 from lumitrack.operators import blocks
-from lumitrack.plans.shared import shared_folder
+from lumitrack.plans.shared import kept, shared_folder
 from lumitrack.queries import _SAMPLED, ORACLE_SQL, _gt, _image_pairs, query
 from lumitrack.surrogates import IMG, raster, table
 
@@ -18,7 +18,8 @@ SIDE = 32
 
 
 def _blocks(spark, sf_dir):
-    return blocks.blocks_of(raster(spark, sf_dir), side=SIDE)
+    """Stored, as what reads them looks at their sizes before it reads pixels."""
+    return kept(blocks.blocks_of(raster(spark, sf_dir), side=SIDE), "blocks")
 
 
 @query(f"""with {IMG}, b as (select image, "row" // {SIDE} block_row, col // {SIDE} block_col, min(value) low, max(value) high, count(*) n, max("row") - min("row") + 1 height, max(col) - min(col) + 1 width from img group by all)
@@ -74,7 +75,7 @@ ORACLE_SQL["tile_likeness"] = LIKENESS_SQL
 
 @query(LIKENESS_SQL)
 def block_likeness(spark, sf_dir):
-    b = blocks.blocks_of(_image_pairs(spark, sf_dir), ["a", "b"], SIDE)
+    b = kept(blocks.blocks_of(_image_pairs(spark, sf_dir), ["a", "b"], SIDE), "blocks")
     return blocks.likeness(b, side=SIDE).select("image", fixed(F.col("likeness"), 5).alias("likeness"))
 
 

@@ -692,11 +692,32 @@ def _matches(spark, sf_dir):
     return r.select("image", (F.col("row") * 64 + F.col("col")).alias("nth"), x.alias("x"), y.alias("y"), (x * 1.1 + y * y * 0.2 + v / 1e4).alias("u"), (y * 0.9 - x * y * 0.1 - v / 1e4).alias("v"))
 
 
-@query()
+def _least_squares_sql(terms: list[str], targets: list[str], by: str, source: str) -> str:
+    """CTEs that end in ``beta`` (by, n and a column <target><i> for each term): terms made orthogonal one by one, then back."""
+    steps, kept_terms = [f"g as (select *, {', '.join(f'{t} t{i}' for i, t in enumerate(terms))} from {source})", "g0 as (select *, t0 q0 from g)"], len(terms)
+    for k in range(1, kept_terms):
+        shares = ", ".join(f"sum(t{k} * q{j}) / sum(q{j} * q{j}) r{j}_{k}" for j in range(k))
+        left = " - ".join([f"t{k}", *(f"r{j}_{k} * q{j}" for j in range(k))])
+        steps += [f"s{k} as (select {by}, {shares} from g{k - 1} group by {by})", f"g{k} as (select g{k - 1}.*, {', '.join(f'r{j}_{k}' for j in range(k))}, {left} q{k} from g{k - 1} join s{k} using ({by}))"]
+    along = ", ".join(f"sum({t} * q{k}) / sum(q{k} * q{k}) c{k}_{t}" for k in range(kept_terms) for t in targets)
+    crosses = "".join(f", any_value(r{j}_{k}) r{j}_{k}" for k in range(kept_terms) for j in range(k))
+    steps.append(f"b{kept_terms} as (select {by}, count(*) n, {along}{crosses} from g{kept_terms - 1} group by {by})")
+    for k in reversed(range(kept_terms)):
+        steps.append(f"b{k} as (select *, " + ", ".join(" - ".join([f"c{k}_{t}", *(f"r{k}_{m} * {t}{m}" for m in range(k + 1, kept_terms))]) + f" {t}{k}" for t in targets) + f" from b{k + 1})")
+    return ", ".join([*steps, "beta as (select * from b0)"])
+
+
+_FLAT = f"""{IMG}, matches as (select image, x, y, x * 1.1e0 + y * y * 0.2e0 + v / 1e4 u, y * 0.9e0 - x * y * 0.1e0 - v / 1e4 v
+  from (select image, col / 32e0 - 1 x, "row" / 32e0 - 1 y, value - 100 v from img))"""
+
+
+@query(f"""with {_FLAT}, {_least_squares_sql(['1e0', 'x', 'y', 'x * x', 'x * y', 'y * y'], ['u', 'v'], 'image', 'matches')}
+{' union all '.join(f"select image, n, {i} term, {sf_fixed(f'u{i}', 5)} px, {sf_fixed(f'v{i}', 5)} py from beta" for i in range(6))}""")
 def poly2d_fit(spark, sf_dir):
+    """A row per coefficient of each image's fit."""
     p = scoring.polynomial_2d(_matches(spark, sf_dir), ["image"], 2)
-    rounded = lambda c: F.transform(c, lambda v: fixed(v, 5))
-    return p.select("image", "n", rounded("px").alias("px"), rounded("py").alias("py"))
+    each = p.select("image", "n", F.posexplode(F.arrays_zip("px", "py")).alias("term", "_c"))
+    return each.select("image", "n", "term", fixed(F.col("_c.px"), 5).alias("px"), fixed(F.col("_c.py"), 5).alias("py"))
 
 
 @query()
@@ -808,7 +829,14 @@ def tile_flow(spark, sf_dir):
     return f.select("image", "row", "col", fixed(F.col("dx"), 4).alias("dx"), fixed(F.col("dy"), 4).alias("dy"))
 
 
-@query()
+_SIDE_OF = "(b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)"
+
+
+@query(f"""with {_GRID}, m as (select distinct c_nationkey image, (c_custkey * 7 % 500)::double x, (c_custkey * 13 % 400)::double y from customer),
+lines as (select a.image, a.x ax, a.y ay, b.x bx, b."y" "by", min({_SIDE_OF}) low, max({_SIDE_OF}) high from m a join m b on a.image = b.image and (a.x <> b.x or a.y <> b.y) join m p on p.image = a.image group by all),
+edges as (select * from lines where low >= 0 and image in (select image from lines where high > 0)),
+nodes as (select n_nationkey image, g.x, g.y, bool_and(coalesce((bx - ax) * (g.y - ay) - ("by" - ay) * (g.x - ax) >= -1e-9, true)) inside from g left join edges e on e.image = n_nationkey group by all)
+select image, x, y from (select *, count_if(inside) over (partition by image) >= 3 enough from nodes) where inside or not enough""")
 def grid_in_hull(spark, sf_dir):
     n = _grid(spark, sf_dir).withColumnRenamed("n_nationkey", "image")
     m = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image"), (F.col("c_custkey") * 7 % 500).alias("x"), (F.col("c_custkey") * 13 % 400).alias("y"))
