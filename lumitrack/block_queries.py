@@ -86,5 +86,6 @@ def block_flow(spark, sf_dir):
     # a pixel's left neighbour is the pixel that comes to lie on it, the first column stays
     moved = r.select("image", "row", F.explode(F.when(F.col("col") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("col") + 1))).alias("col"), F.col("value").alias("b"))
     both = r.withColumnRenamed("value", "a").join(moved, ["image", "row", "col"])
-    f = blocks.pixels_of(blocks.flow(blocks.blocks_of(both, ["a", "b"], SIDE), side=SIDE), ["dx", "dy"])
+    side = 8 * SIDE  # a block sees 304 rows and columns on each side
+    f = blocks.pixels_of(blocks.flow(blocks.blocks_of(both, ["a", "b"], side), side=side), ["dx", "dy"])
     return f.select("image", "row", "col", fixed(F.col("dx"), 4).alias("dx"), fixed(F.col("dy"), 4).alias("dy"))
