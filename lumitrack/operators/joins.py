@@ -31,11 +31,12 @@ def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str,
     ends = dealt.groupBy(*by, "_part").agg(F.min("_state").alias("_first"), F.max("_state").alias("_last"))
     over = Window.partitionBy(*by).orderBy("_part")
     before = F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("_first", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))
     lent = ends.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_of"), before.alias("_before"), after.alias("_after"))
     inside = Window.partitionBy("_part", *by)
     back = F.last("_state", ignorenulls=True).over(inside.orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    on = F.first("_state", ignorenulls=True).over(inside.orderBy("_at", F.desc("_probe")).rowsBetween(0, Window.unboundedFollowing))
+    # what follows is what came before in falling order: a frame that ends at its row is carried on, one that begins there is scanned anew for each row
+    on = F.last("_state", ignorenulls=True).over(inside.orderBy(F.desc("_at"), "_probe").rowsBetween(Window.unboundedPreceding, 0))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_of"))
     seen = dealt.withColumns({"_back": back, "_on": on}).filter("_probe = 1").join(lent, same)
     apart = lambda s: F.when(s.isNotNull(), F.struct(F.abs(_micros(F.col("_at")) - _micros(s["at"])).alias("micros"), s["id"].alias("id"), s["at"].alias("at")))

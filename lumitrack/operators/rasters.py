@@ -74,7 +74,7 @@ def histogram_matched(source: DataFrame, reference: DataFrame, level: str = "byt
     ref = shares(reference).withColumns({"_kind": F.lit(0)})
     along = by_image().orderBy("share", "_kind")
     at = F.when(F.col("_kind") == 0, F.struct("share", "level"))
-    both = src.union(ref).withColumns({"_back": F.last(at, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), "_on": F.first(at, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))})
+    both = src.union(ref).withColumns({"_back": F.last(at, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), "_on": F.last(at, ignorenulls=True).over(by_image().orderBy(F.desc("share"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0))})
     b, o, s = F.col("_back"), F.col("_on"), F.col("share")
     between = F.when(b.isNull(), o["level"]).when(o.isNull() | (o["share"] == b["share"]) | (b["share"] == s), b["level"]).otherwise(b["level"] + (o["level"] - b["level"]) * (s - b["share"]) / (o["share"] - b["share"]))
     table = both.filter("_kind = 1").select("image", F.col("level").alias("_level"), between.alias("matched"))

@@ -147,6 +147,13 @@ def test_hot_key_is_dealt_to_all_parts(spark):
     assert len(dealt) == 8 and max(r["count"] for r in dealt) < 1500
 
 
+def test_no_frame_is_scanned_anew_for_each_row(spark):
+    p = spark.range(40).select("id", F.timestamp_seconds("id").alias("ts"))
+    e = p.select(F.col("id").alias("sid"), F.col("ts").alias("epoch"))
+    plan = joins.nearest_in_time(p, e, "ts", "epoch", "sid")._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$()" in plan and "unboundedfollowing$()" not in plan
+
+
 def test_one_element_for_a_minute(spark):
     t = spark.createDataFrame([(i, s) for i, s in enumerate((0, 59, 60, 119, 130))], "id int, s int").withColumn("ts", F.timestamp_seconds("s"))
     e = spark.createDataFrame([(1, 10), (2, 70), (3, 100)], "sid int, s int").select("sid", F.timestamp_seconds("s").alias("epoch"))
