@@ -160,6 +160,13 @@ def test_one_element_for_a_minute(spark):
     assert {r.id: r.nearest_sid for r in joins.element_per_minute(t, e, "ts", "epoch", "sid").collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
 
 
+def test_minutes_are_no_frame_scanned_anew(spark):
+    t = spark.range(40).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    e = t.select(F.col("id").alias("sid"), F.col("ts").alias("epoch"))
+    plan = joins.element_per_minute(t, e, "ts", "epoch", "sid")._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$()" in plan and "unboundedfollowing$()" not in plan
+
+
 # --- results of matchers
 
 
