@@ -169,10 +169,17 @@ def resampled(raster: DataFrame, grids: DataFrame, method: str = "nearest", noda
     return _resampled(raster, grids, method, nodata, value, ["image"], ground)
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float, value: str, by: list[str], ground: Change | None = None) -> DataFrame:
     low, high = TAPS[method]
     g, s = F.col("gt"), F.col("source_gt")
-    pixels = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    # a grid is one row that becomes millions: its lines are dealt out before they become pixels, and the joins below are
+    # sorted merges whatever size the plan expects, as it takes taps and pixels for as small as the grids they come from
+    lines = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    pixels = lines.repartition(_parts(grids), "image", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     i, j = F.col("col") + 0.5, F.col("row") + 0.5
     x, y = g[0] + i * g[1] + j * g[2], g[3] + i * g[4] + j * g[5]
     x, y = ground(x, y) if ground else (x, y)
@@ -186,9 +193,9 @@ def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float,
     weight = F.lit(1.0) if method == "nearest" else _tap_weight(F.col("_x") - F.col("_xn"), method) * _tap_weight(F.col("_y") - F.col("_yn"), method)
     taps = within.select("image", "row", "col", F.col("_xn"), F.col("_yn"), weight.alias("_w")).filter("_w <> 0")
     good = raster.filter(finite(F.col(value)) & (F.col(value) != nodata)).select(*by, F.col("row").cast("int").alias("_yn"), F.col("col").cast("int").alias("_xn"), F.col(value).alias("_v"))
-    met = taps.join(good, [*by, "_xn", "_yn"]).groupBy("image", "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_v"))
+    met = taps.hint("merge").join(good.hint("merge"), [*by, "_xn", "_yn"]).groupBy("image", "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_v"))
     found = met.filter(F.abs("_w") > 1e-6).select("image", "row", "col", (F.col("_v") / F.col("_w")).alias(value))
-    return pixels.select("image", "row", "col").join(found, ["image", "row", "col"], "left").fillna(nodata, [value])
+    return pixels.select("image", "row", "col").hint("merge").join(found.hint("merge"), ["image", "row", "col"], "left").fillna(nodata, [value])
 
 
 def resampled_from_one(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value", ground: Change | None = None) -> DataFrame:
