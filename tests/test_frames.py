@@ -82,6 +82,18 @@ def test_resampling_on_planes_and_holes(spark):
         rasters.tone_mapped(plane, top=0.0)
 
 
+@pytest.mark.parametrize("method", ("bilinear", "cubic"))
+def test_taps_are_never_broadcast_and_lines_are_dealt_out(spark, method):
+    gt = F.array(*map(F.lit, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+    grids = spark.range(1).select(F.lit(0).alias("image"), F.lit(20).alias("width"), F.lit(400).alias("height"), F.lit(20).alias("source_width"), F.lit(400).alias("source_height"), gt.alias("gt"), gt.alias("source_gt"))
+    pixels = spark.range(8000).select(F.lit(0).alias("image"), (F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), (F.col("id") + 1.0).alias("value"))
+    out = rasters.resampled(pixels, grids, method)
+    assert {(r.row, r.col): round(r.value, 9) for r in out.collect()} == {(i // 20, i % 20): i + 1.0 for i in range(8000)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan.split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_similarity_is_no_deformation(spark):
     rows = [(0, j, i, x, y, 0.3 + 1.2 * x - 0.5 * y, -0.1 + 0.5 * x + 1.2 * y) for j, y in enumerate(np.linspace(-1, 1, 5).tolist()) for i, x in enumerate(np.linspace(-1, 1, 6).tolist())]
     field = spark.createDataFrame(rows, "image int, iy int, ix int, x double, y double, qx double, qy double")
