@@ -57,12 +57,17 @@ def mercator(radius: float = SEMI_MAJOR) -> System:
     return System("mercator", forward, lambda x, y: _where(finite(x, y), (F.degrees(x / r), F.degrees(F.atan(F.sinh(y / r))))))
 
 
-def sinusoidal(radius: float = SINUSOIDAL_RADIUS, middle: float = 0.0) -> System:
-    """Equal areas on a sphere, as grids of satellite products have it."""
+def sinusoidal(radius: float = SINUSOIDAL_RADIUS, middle: float = 0.0, beyond_poles: bool = False) -> System:
+    """Equal areas on a sphere, as grids of satellite products have it.
+
+    With ``beyond_poles`` its formula also takes latitudes above 90 degrees to the plane, as grids of rasters whose mapping
+    runs past a pole have them; such places have no way back.
+    """
     r = F.lit(radius)
 
     def forward(lon: Column, lat: Column) -> Place:
-        return _where(finite(lon, lat) & (F.abs(lat) <= 90.0), (r * F.radians(wrap_degrees(lon - middle)) * F.cos(F.radians(lat)), r * F.radians(lat)))
+        shown = finite(lon, lat) if beyond_poles else finite(lon, lat) & (F.abs(lat) <= 90.0)
+        return _where(shown, (r * F.radians(wrap_degrees(lon - middle)) * F.cos(F.radians(lat)), r * F.radians(lat)))
 
     def inverse(x: Column, y: Column) -> Place:
         off = F.degrees(F.try_divide(x, r * F.cos(y / r)))

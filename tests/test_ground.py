@@ -134,3 +134,18 @@ def test_sides_across_systems_follow_the_ground(spark):
     assert len(got) == 8
     for r, a, b in zip(sorted(got, key=lambda r: r.x1), want, want[1:], strict=False):
         assert np.allclose((r.x1, r.y1, r.x2, r.y2), (*a, *b), atol=1e-6)
+
+
+def test_a_grid_past_the_pole_follows_the_formula(spark):
+    """An image of 8,000 rows of 0.02 degrees from 40 north ends at 120 south."""
+    at = {"x": 100.0, "y": -120.0}
+    row = spark.range(1).select(F.lit(at["x"]).alias("x"), F.lit(at["y"]).alias("y"))
+    x, y = systems.sinusoidal(beyond_poles=True).forward(F.col("x"), F.col("y"))
+    assert row.select(*systems.sinusoidal().forward(F.col("x"), F.col("y"))).first()[:] == (None, None)
+    u, v = row.select(x, y).first()
+    assert u == pytest.approx(systems.SINUSOIDAL_RADIUS * math.radians(100) * math.cos(math.radians(120))) and v == pytest.approx(-systems.SINUSOIDAL_RADIUS * math.radians(120))
+    gt = F.array(*map(F.lit, (100.0, 0.02, 0.0, 40.0, 0.0, -0.02)))
+    image = spark.range(1).select(F.lit(0).alias("image"), F.lit(64).alias("width"), F.lit(8000).alias("height"), gt.alias("gt"))
+    grid = ground.target_grids(image, systems.geographic(), systems.sinusoidal(beyond_poles=True)).first()
+    assert grid.fits and grid.gt[3] == pytest.approx(systems.SINUSOIDAL_RADIUS * math.radians(40))
+    assert grid.gt[0] == pytest.approx(systems.SINUSOIDAL_RADIUS * math.radians(101.28) * math.cos(math.radians(120)))
