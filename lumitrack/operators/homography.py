@@ -25,26 +25,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumitrack.functions.numbers import finite
-from lumitrack.plans.shared import kept
+from lumitrack.plans.shared import beside, kept
 
 #: Samples of a group, and the limit in pixels (fixed by the matching steps).
 HYPOTHESES, LIMIT_PX = 1000, 3.0
-#: Hash buckets that a group's matches are ranked in, and about how many matches a task compares at a time.
-BUCKETS, BLOCK = 64, 1024
+#: Hash buckets that a group's matches are ranked in, how many matches meet the hypotheses as a block, and how many of these
+#: at a time, so that what is worked out stays in a processor's cache.
+BUCKETS, BLOCK, AT_ONCE = 64, 4096, 128
+#: Groups whose hypotheses (72 bytes each) may go to every task (some 70 MB).
+MOST_LISTS = 1_000
+#: Draws of a group, an image, a hypothesis and a rank each, that may go to every task (some 20 MB).
+MOST_DRAWS = 500_000
 #: Three places are on a line where twice their triangle's area is below this part of the sample's squared width.
 FLAT = 1e-4
 
 
 def ranked(matches: DataFrame, by: list[str], seed: int) -> DataFrame:
     """The finite matches with ``_rank`` (from 0, in the order of a hash) and ``_n``, the number in their group."""
-    usable = matches.filter(finite(*map(F.col, ("x", "y", "u", "v")))).withColumn("_hash", F.xxhash64(F.lit(seed), "nth"))
+    # each number is named once, as the plan puts its whole expression in place of every mention, until the code is too long to compile
+    nothing = sum((F.col(c) * F.lit(0.0) for c in ("y", "u", "v")), F.col("x") * F.lit(0.0))
+    usable = matches.filter(nothing == 0.0).withColumn("_hash", F.xxhash64(F.lit(seed), "nth"))
     usable = usable.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKETS.bit_length() + 1))
     counts = usable.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_many"))
     group = Window.partitionBy(*by)
     offsets = counts.select(*by, "_bucket", (F.sum("_many").over(group.orderBy("_bucket")) - F.col("_many")).alias("_before"), F.sum("_many").over(group).alias("_n"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", "nth", "x", "y", "u", "v")
-    placed = usable.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, [*by, "_bucket"])
+    placed = usable.withColumn("_place", F.row_number().over(inside) - 1).join(beside(kept(offsets, "offsets")), [*by, "_bucket"])
     return placed.withColumn("_rank", F.col("_before") + F.col("_place")).drop("_hash", "_bucket", "_place", "_before")
 
 
@@ -53,7 +59,7 @@ def samples(places: DataFrame, by: list[str], hypotheses: int, seed: int) -> Dat
     groups = places.filter("_rank = 0").select(*by, "_n").filter("_n >= 4")
     each = groups.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1)))).withColumn("_k", F.explode(F.array(*map(F.lit, range(4)))))
     drawn = each.select(*by, "_h", "_k", F.pmod(F.xxhash64(F.lit(seed + 1), "_h", "_k"), F.col("_n")).alias("_rank"))
-    met = drawn.join(places.select(*by, "_rank", "x", "y", "u", "v"), [*by, "_rank"])
+    met = beside(kept(drawn, "drawn"), MOST_DRAWS).join(places.select(*by, "_rank", "x", "y", "u", "v"), [*by, "_rank"])
     return met.groupBy(*by, "_h").agg(F.sort_array(F.collect_list(F.struct("_k", "_rank", "x", "y", "u", "v"))).alias("_four"))
 
 
@@ -133,12 +139,35 @@ def distances(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(d), d, np.inf)
 
 
+def followers(h: np.ndarray, p: np.ndarray, q: np.ndarray, limit: float) -> np.ndarray:
+    """How many places of p (b, 2) each homography (m, 3, 3) takes within ``limit`` of those of q; none beyond the horizon.
+
+    Both sides are multiplied by the homography's third term, so that nothing is divided.
+    """
+    found = np.zeros(len(h), np.int64)
+    for k in range(0, len(p), AT_ONCE):
+        (x, y), (u, v) = p[k : k + AT_ONCE].T, q[k : k + AT_ONCE].T
+        at = np.stack([x, y, np.ones_like(x)])
+        w = h[:, 2] @ at
+        off, down = h[:, 0] @ at, h[:, 1] @ at
+        off -= w * u
+        down -= w * v
+        off *= off
+        down *= down
+        off += down
+        ahead = w != 0
+        w *= w
+        w *= limit * limit
+        found += ((off <= w) & ahead).sum(axis=1)
+    return found
+
+
 def _best(places: DataFrame, hypotheses: DataFrame, by: list[str], limit: float) -> DataFrame:
     """(by, _m, _count): the hypothesis of each group that most matches follow; of several, the first."""
     listed = hypotheses.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_h", "_m"))).alias("_all"))
     block = F.floor(F.col("_rank") / BLOCK).alias("_block")
     blocks = places.groupBy(*by, block).agg(*(F.collect_list(F.struct("x", "y", "u", "v")).alias("_them"),))
-    pairs = blocks.join(listed, by).select(*by, "_all", "_them")
+    pairs = blocks.join(beside(kept(listed, "listed"), MOST_LISTS), by).select(*by, "_all", "_them")
     kinds = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in by)
 
     def count(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +176,7 @@ def _best(places: DataFrame, hypotheses: DataFrame, by: list[str], limit: float)
                 every, rows = batch.column(len(by))[i].values, batch.column(len(by) + 1)[i].values
                 h = np.array(every.field(1).flatten()).reshape(-1, 3, 3)
                 x, y, u, v = (rows.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(4))
-                found = (distances(h, np.stack([x, y], axis=1), np.stack([u, v], axis=1)) <= limit).sum(axis=1)
+                found = followers(h, np.stack([x, y], axis=1), np.stack([u, v], axis=1), limit)
                 own = [pa.array([batch.column(k)[i].as_py()] * len(h), batch.column(k).type) for k in range(len(by))]
                 yield pa.RecordBatch.from_arrays([*own, every.field(0), pa.array(found)], names=[*by, "_h", "_count"])
 
@@ -169,6 +198,7 @@ def least_squares(matches: DataFrame, by: list[str]) -> DataFrame:
     stats = matches.groupBy(*by).agg(*(f(c).alias(f"_{n}{c}") for c in ("x", "y", "u", "v") for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     scale = lambda a, b: F.greatest(F.col(a), F.col(b), F.lit(1e-12))
     sized = stats.withColumns({"_sp": scale("_sx", "_sy"), "_sq": scale("_su", "_sv")}).drop("_sx", "_sy", "_su", "_sv")
+    sized = beside(kept(sized, "sized"))
     near = matches.join(sized, by)
     x, y, u, v = ((F.col(c) - F.col(f"_m{c}")) / F.col(s) for c, s in (("x", "_sp"), ("y", "_sp"), ("u", "_sq"), ("v", "_sq")))
     places, seen = {"xx": x * x, "xy": x * y, "yy": y * y, "x": x, "y": y, "1": F.lit(1.0)}, {"1": F.lit(1.0), "u": u, "v": v, "q": u * u + v * v}
@@ -203,10 +233,10 @@ def homographies(matches: DataFrame, by: list[str], limit: float = LIMIT_PX, hyp
     """Per group: ``n`` matches, ``n_inliers`` within ``limit`` of its homography, and the homography ``h`` (nine numbers)."""
     places = kept(ranked(matches.select(*by, "nth", "x", "y", "u", "v"), by, seed), "places")
     found = kept(_hypotheses(samples(places, by, hypotheses, seed), by), "hypotheses")
-    best = kept(_best(places, found, by, limit), "best")
+    best = beside(kept(_best(places, found, by, limit), "best"))
     inside = places.join(best, by).filter(error(F.col("_m")) <= limit)
-    again = least_squares(inside, by)
-    tried = places.join(best.join(again, by), by)
+    again = beside(kept(least_squares(inside, by), "again"))
+    tried = places.join(beside(kept(best.join(again, by), "both")), by)
     sums = tried.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(error(F.col("_m")) <= limit).alias("_first"), F.count_if(error(F.col("_r")) <= limit).alias("_then"), F.first("_m").alias("_m"), F.first("_r").alias("_r"))
     better = F.col("_r").isNotNull() & (F.col("_then") >= F.col("_first"))
     return sums.select(*by, "n", F.when(better, F.col("_then")).otherwise(F.col("_first")).alias("n_inliers"), F.when(better, F.col("_r")).otherwise(F.col("_m")).alias("h"))
@@ -214,5 +244,5 @@ def homographies(matches: DataFrame, by: list[str], limit: float = LIMIT_PX, hyp
 
 def with_inliers(matches: DataFrame, by: list[str], limit: float = LIMIT_PX, hypotheses: int = HYPOTHESES, seed: int = 1234) -> DataFrame:
     """``matches`` with ``inlier``: within ``limit`` of their group's homography; false where there is none."""
-    found = kept(homographies(matches, by, limit, hypotheses, seed).select(*by, F.col("h").alias("_h9")), "homographies")
+    found = beside(kept(homographies(matches, by, limit, hypotheses, seed).select(*by, F.col("h").alias("_h9")), "homographies"))
     return matches.join(found, by, "left").withColumn("inlier", F.coalesce(error(F.col("_h9")) <= limit, F.lit(False))).drop("_h9")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that may go to every task.
+SMALL_ROWS = 20_000
+
+
+def beside(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of a row a group, say, to join large ones with: sent to every task where it has no more than ``most``
+    rows, so that a large group isn't brought together; a plain join beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -253,3 +253,23 @@ def test_existence_and_counts(spark):
     assert got == {a: a in there for a in asked}
     for low, high in ((0, 200_000), (32_768, 32_768), (1000, 100_000), (5, 4)):
         assert snapshots.count_in_range(some(spark, *there), low, high).first().n == sum(low <= x <= high for x in there)
+
+
+def test_followers_are_counted_as_distances_say():
+    rng = np.random.default_rng(5)
+    h = np.eye(3) + rng.normal(size=(40, 3, 3)) * [[0.05, 0.05, 3], [0.05, 0.05, 3], [1e-3, 1e-3, 0]]
+    h[0, 2] = (1.0, 0.0, -10.0)  # its horizon is x = 10
+    p = rng.uniform(0, 50, (1000, 2))
+    p[:5, 0] = 10.0
+    q = p + rng.normal(size=p.shape) * 3
+    assert (homography.followers(h, p, q, 3.0) == (homography.distances(h, p, q) <= 3.0).sum(axis=1)).all()
+
+
+def test_places_are_ranked_by_one_mention_of_each_number(spark):
+    """The plan puts a column's expression in place of each mention; many mentions made code too long to compile."""
+    rows = spark.range(9).select(F.lit(1).alias("g"), F.col("id").alias("nth"), *(F.when(F.col("id") != i, F.col("id") / 3.0 if i % 2 else F.lit(float("inf"))).alias(c) for i, c in enumerate("xyuv")))
+    good = spark.createDataFrame([(1, 1, 1.0, 2.0, 3.0, 4.0), (1, 2, float("inf"), 2.0, 3.0, 4.0), (1, 3, 1.0, float("nan"), 3.0, 4.0), (1, 4, 1.0, 2.0, None, 4.0)], "g int, nth int, x double, y double, u double, v double")
+    assert [(r.nth, r["_rank"], r["_n"]) for r in homography.ranked(good, ["g"], 1).collect()] == [(1, 0, 1)]
+    slow = F.udf(lambda v: v, "double")
+    plan = homography.ranked(rows.withColumn("x", slow("x")), ["g"], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnan") == 0
