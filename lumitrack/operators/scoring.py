@@ -14,7 +14,7 @@ from lumitrack.functions.numbers import clamp, to_unit
 from lumitrack.operators.homography import with_inliers
 from lumitrack.operators.kernels import within_hull
 from lumitrack.operators.rasters import grid_points
-from lumitrack.plans.shared import kept
+from lumitrack.plans.shared import beside, kept
 
 #: Weights of a candidate's terms (fixed values); what is bad counts against it.
 CANDIDATE_WEIGHTS = {
@@ -159,21 +159,33 @@ def evaluated_2d(points: DataFrame, px: Column, py: Column, order: int = 2) -> D
     return points.withColumns({"qx": total(px), "qy": total(py)})
 
 
+#: Ranges of hashes, of which one is sorted to find where a shuffle's held-out part ends.
+HASH_RANGES = 4096
+
+
 def holdout_rmse(matches: DataFrame, by: list[str], order: int = 2, repeats: int = 4, holdout: float = 0.25, seed: int = 1234) -> DataFrame:
     """Per group: the mean error of polynomial fits on what a seeded shuffle holds out; small groups are fitted as a whole.
 
-    The shuffle is the order of a hash of ``nth``. Fits are by normal equations and errors are sums, so no group is
-    gathered; only the places in the shuffle take a sorted stream per group and repeat.
+    The shuffle is the order of a hash of ``nth``. Fits are by normal equations and errors are sums, and the last place held
+    out is found from counts of ranges of hashes and the rows of one range, so no group is gathered or sorted. Rows that
+    share their ``nth`` are held out together.
     """
-    counts = matches.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = beside(kept(matches.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "counts"))
     small = F.col("_n") < max(12, order * 4)
     times = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    each = matches.join(counts, by).withColumn("_repeat", F.explode(times))
-    place = F.row_number().over(Window.partitionBy(*by, "_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "nth"), "nth"))
+    each = matches.join(counts, by).withColumn("_repeat", F.explode(times)).withColumn("_hash", F.xxhash64(F.lit(seed), "_repeat", "nth"))
+    each = each.withColumn("_range", F.shiftright("_hash", 64 - HASH_RANGES.bit_length() + 1))
     out = F.least(F.greatest(F.lit(6), F.bround(F.col("_n") * F.lit(holdout)).cast("long")), F.col("_n") - 6)
-    split = each.withColumn("_held", place <= out)
-    fits = polynomial_2d(split.filter(small | ~F.col("_held")), [*by, "_repeat"], order).drop("n")
-    tested = evaluated_2d(split.filter(small | F.col("_held")).join(fits, [*by, "_repeat"]), F.col("px"), F.col("py"), order)
+    shuffled = [*by, "_repeat"]
+    ranges = each.groupBy(*shuffled, "_range").agg(F.count(F.lit(1)).alias("_many"), F.first("_n").alias("_n"))
+    before = F.sum("_many").over(Window.partitionBy(*shuffled).orderBy("_range")) - F.col("_many")
+    last = ranges.withColumns({"_before": before, "_out": out}).filter("_before < _out and _before + _many >= _out").select(*shuffled, "_range", (F.col("_out") - F.col("_before")).alias("_place"))
+    inside = each.join(beside(kept(last, "last_ranges")), [*shuffled, "_range"])
+    own = Window.partitionBy(*shuffled).orderBy("_hash", "nth")
+    ends = inside.withColumn("_nth", F.row_number().over(own)).filter("_nth = _place").select(*shuffled, F.struct("_hash", "nth").alias("_end"))
+    split = each.join(beside(kept(ends, "ends")), shuffled, "left").withColumn("_held", F.coalesce(F.struct("_hash", "nth") <= F.col("_end"), F.lit(False)))
+    fits = beside(kept(polynomial_2d(split.filter(small | ~F.col("_held")), shuffled, order).drop("n"), "fits"))
+    tested = evaluated_2d(split.filter(small | F.col("_held")).join(fits, shuffled), F.col("px"), F.col("py"), order)
     error = F.sqrt(F.avg(F.pow(F.col("qx") - F.col("u"), 2) + F.pow(F.col("qy") - F.col("v"), 2)))
     return tested.groupBy(*by, "_repeat").agg(F.max("_n").alias("n"), error.alias("e")).groupBy(*by).agg(F.max("n").alias("n"), F.avg("e").alias("cv_rmse"))
 
@@ -241,10 +253,11 @@ def scored_candidates(matches: DataFrame, sizes: DataFrame, step: int = 180, lim
     inliers give no row.
     """
     unit = lambda c, s: to_unit(F.col(c), F.col(s))
-    enough = matches.groupBy("image").agg(F.count(F.lit(1)).alias("n_matches_raw")).filter(F.col("n_matches_raw") >= least)
-    pixels = matches.join(enough, "image").join(sizes, "image").withColumns({"x": F.col("real_x"), "y": F.col("real_y"), "u": F.col("sim_x"), "v": F.col("sim_y")})
-    inside = with_inliers(pixels, ["image"], limit_px).filter("inlier")
+    enough = matches.groupBy("image").agg(F.count(F.lit(1)).alias("n_matches_raw")).filter(F.col("n_matches_raw") >= least).join(sizes, "image")
+    pixels = matches.join(beside(kept(enough, "enough")), "image").withColumns({"x": F.col("real_x"), "y": F.col("real_y"), "u": F.col("sim_x"), "v": F.col("sim_y")})
+    inside = kept(with_inliers(pixels, ["image"], limit_px).filter("inlier"), "inside")
     counts = inside.groupBy("image").agg(F.count(F.lit(1)).alias("n_inliers"), F.max("n_matches_raw").alias("n_matches_raw")).filter(F.col("n_inliers") >= least)
+    counts = beside(kept(counts, "counts"))
     inside = inside.join(counts.select("image"), "image", "left_semi")
     on_unit = inside.withColumns({"x": unit("real_x", "width"), "y": unit("real_y", "height"), "u": unit("sim_x", "width"), "v": unit("sim_y", "height")})
     fits = kept(polynomial_2d(on_unit, ["image"]).drop("n"), "fits")

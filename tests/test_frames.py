@@ -168,3 +168,24 @@ def test_small_helpers(spark):
     assert points.enabled(spark.createDataFrame([(1.0,), (0.0,), (None,)], "enable double")).count() == 1
     assert points.nonempty(spark.createDataFrame([("a", 0), ("b", 3)], "path string, length long")).first().path == "b"
     assert spark.range(1).select(rasters.grey(F.lit(255), F.lit(255), F.lit(255)).alias("g")).first().g == 255
+
+
+def test_hold_out_without_a_sorted_group(spark):
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(4)
+    rows = [(g, i, *map(float, rng.normal(size=4))) for g, n in ((0, 300), (1, 8), (2, 41)) for i in range(n)]
+    m = spark.createDataFrame(rows, "g int, nth int, x double, y double, u double, v double")
+    out = scoring.holdout_rmse(m, ["g"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    place = F.row_number().over(Window.partitionBy("g", "r").orderBy(F.xxhash64(F.lit(1234), "r", "nth"), "nth"))
+    sets = m.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("place", place).toPandas()
+    terms = lambda s: np.stack([s.x**0, s.x, s.y, s.x**2, s.x * s.y, s.y**2], axis=1)
+    for r in out.collect():
+        errors = []
+        for _, s in sets[sets.g == r.g].groupby("r"):
+            held = s.place <= min(max(6, round(len(s) * 0.25)), len(s) - 6)
+            fit, test = (s, s) if len(s) < 12 else (s[~held], s[held])
+            b = np.linalg.lstsq(terms(fit), fit[["u", "v"]].to_numpy(), rcond=None)[0]
+            errors.append(np.sqrt((((terms(test) @ b) - test[["u", "v"]].to_numpy()) ** 2).sum(axis=1).mean()))
+        assert r.cv_rmse == pytest.approx(np.mean(errors), rel=1e-6)
