@@ -189,3 +189,13 @@ def test_hold_out_without_a_sorted_group(spark):
             b = np.linalg.lstsq(terms(fit), fit[["u", "v"]].to_numpy(), rcond=None)[0]
             errors.append(np.sqrt((((terms(test) @ b) - test[["u", "v"]].to_numpy()) ** 2).sum(axis=1).mean()))
         assert r.cv_rmse == pytest.approx(np.mean(errors), rel=1e-6)
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, vs in enumerate((rng.exponential(size=500), [0.0] * 30 + [5.0], [3.0], [0.0, 1e-300, 1e300, 7.0])) for v in vs]
+    m = spark.createDataFrame(rows, "image int, v double")
+    q = scoring.quantile(m, "image", "v", 0.95, "q")
+    assert "percentile" not in q._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.image: r.q for r in m.groupBy("image").agg(F.percentile("v", 0.95).alias("q")).collect()}
+    assert {r.image: r.q for r in q.collect()} == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
