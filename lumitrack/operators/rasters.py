@@ -147,14 +147,15 @@ def roi_from_mapping(mapping: DataFrame, margin: int, width: Column, height: Col
 TAPS = {"nearest": (0, 0), "bilinear": (0, 1), "cubic": (-1, 2)}
 
 
-def _tap_weight(distance: Column, method: str) -> Column:
-    """A tap's weight at a distance along one axis; the cubic is Keys' with a = -1/2."""
-    t = F.abs(distance)
+def _tap_weights(part: Column, method: str) -> list[Column]:
+    """The weights of the taps along one axis, where ``part`` of a pixel lies beyond the pixel below; the cubic is Keys' with a = -1/2."""
+    if method == "nearest":
+        return [F.lit(1.0)]
     if method == "bilinear":
-        return F.greatest(F.lit(1.0) - t, F.lit(0.0))
-    near = (F.lit(1.5) * t - F.lit(2.5)) * t * t + F.lit(1.0)
-    far = ((F.lit(-0.5) * t + F.lit(2.5)) * t - F.lit(4.0)) * t + F.lit(2.0)
-    return F.when(t < 1, near).when(t < 2, far).otherwise(F.lit(0.0))
+        return [F.lit(1.0) - part, part]
+    near = lambda t: (F.lit(1.5) * t - F.lit(2.5)) * t * t + F.lit(1.0)
+    far = lambda t: ((F.lit(-0.5) * t + F.lit(2.5)) * t - F.lit(4.0)) * t + F.lit(2.0)
+    return [far(part + 1.0), near(part), near(F.lit(1.0) - part), far(F.lit(2.0) - part)]
 
 
 def resampled(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value", ground: Change | None = None) -> DataFrame:
@@ -173,11 +174,29 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows and columns of the tiles in which a source meets the pixels that read it.
+TILE = 16
+
+
+def _tiles(raster: DataFrame, nodata: float, value: str, by: list[str]) -> DataFrame:
+    """The source as tiles (``_ty``, ``_tx``): the sum of the values at each place of a tile (``_values``), and how many (``_counts``);
+    null where there is none."""
+    row, col = F.col("row").cast("int"), F.col("col").cast("int")
+    tile = [*by, "_ty", "_tx"]
+    good = raster.filter(finite(F.col(value)) & (F.col(value) != nodata))
+    placed = good.select(*by, F.floor(row / F.lit(TILE)).cast("int").alias("_ty"), F.floor(col / F.lit(TILE)).cast("int").alias("_tx"), (F.pmod(row, F.lit(TILE)) * TILE + F.pmod(col, F.lit(TILE))).alias("_place"), F.col(value).cast("double").alias("_v"))
+    each = placed.repartition(_parts(raster), *tile).groupBy(*tile, "_place").agg(F.sum("_v").alias("_v"), F.count("_v").cast("double").alias("_n"))
+    held = each.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("_place", F.struct("_v", "_n")))).alias("_held"))
+    # the map is a lambda's argument, so that it's made once and not anew for each place
+    dense = F.transform(F.array("_held"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda i: F.try_element_at(m, i)))
+    return held.withColumn("_all", dense[0]).select(*tile, F.col("_all._v").alias("_values"), F.col("_all._n").alias("_counts"))
+
+
 def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float, value: str, by: list[str], ground: Change | None = None) -> DataFrame:
     low, high = TAPS[method]
     g, s = F.col("gt"), F.col("source_gt")
-    # a grid is one row that becomes millions: its lines are dealt out before they become pixels, and the joins below are
-    # sorted merges whatever size the plan expects, as it takes taps and pixels for as small as the grids they come from
+    # a grid is one row that becomes millions: its lines are dealt out before they become pixels, and the join below is
+    # a sorted merge whatever size the plan expects, as it takes pixels for as few as the grids they come from
     lines = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     pixels = lines.repartition(_parts(grids), "image", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     i, j = F.col("col") + 0.5, F.col("row") + 0.5
@@ -186,16 +205,37 @@ def _resampled(raster: DataFrame, grids: DataFrame, method: str, nodata: float,
     dx, dy = F.col("_gx") - s[0], F.col("_gy") - s[3]
     det = s[1] * s[5] - s[2] * s[4]
     at = pixels.withColumns({"_gx": x, "_gy": y}).select("image", "row", "col", "source_width", "source_height", ((s[5] * dx - s[2] * dy) / det).alias("_x"), ((s[1] * dy - s[4] * dx) / det).alias("_y"))
-    within = at.filter("_x >= 0 and _x < source_width and _y >= 0 and _y < source_height")
     back = 0.0 if method == "nearest" else 0.5
+    inside = F.coalesce(F.expr("_x >= 0 and _x < source_width and _y >= 0 and _y < source_height"), F.lit(False))
+    placed = at.select("image", "row", "col", inside.alias("_in"), *((F.col(f"_{a}") - back).alias(f"_{a}") for a in "xy")).withColumns({f"_{a}0": F.floor(f"_{a}").cast("int") for a in "xy"})
+    asked = placed.select("image", "row", "col", "_in", "_x0", "_y0", *((F.col(f"_{a}") - F.col(f"_{a}0")).alias(f"_d{a}") for a in "xy"))
+    # a pixel goes once to each tile that its taps touch, not once to each tap; one outside goes by its own place, as it reads none
+    n = range(high - low + 1)
+    for axis, own in (("x", "col"), ("y", "row")):
+        touched = F.sequence(*(F.floor((F.col(f"_{axis}0") + k) / F.lit(TILE)).cast("int") for k in (low, high)))
+        asked = asked.withColumn(f"_t{axis}", F.explode(F.when(F.col("_in"), touched).otherwise(F.array(F.col(own).cast("int")))))
+        asked = asked.withColumn(f"_l{axis}", F.col(f"_{axis}0") + low - F.col(f"_t{axis}") * TILE)
+    weights = {}
     for axis in "xy":
-        within = within.withColumn(f"_{axis}", F.col(f"_{axis}") - back).withColumn(f"_{axis}n", F.explode(F.sequence(F.floor(f"_{axis}").cast("int") + low, F.floor(f"_{axis}").cast("int") + high)))
-    weight = F.lit(1.0) if method == "nearest" else _tap_weight(F.col("_x") - F.col("_xn"), method) * _tap_weight(F.col("_y") - F.col("_yn"), method)
-    taps = within.select("image", "row", "col", F.col("_xn"), F.col("_yn"), weight.alias("_w")).filter("_w <> 0")
-    good = raster.filter(finite(F.col(value)) & (F.col(value) != nodata)).select(*by, F.col("row").cast("int").alias("_yn"), F.col("col").cast("int").alias("_xn"), F.col(value).alias("_v"))
-    met = taps.hint("merge").join(good.hint("merge"), [*by, "_xn", "_yn"]).groupBy("image", "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_v"))
-    found = met.filter(F.abs("_w") > 1e-6).select("image", "row", "col", (F.col("_v") / F.col("_w")).alias(value))
-    return pixels.select("image", "row", "col").hint("merge").join(found.hint("merge"), ["image", "row", "col"], "left").fillna(nodata, [value])
+        for k, weight in enumerate(_tap_weights(F.col(f"_d{axis}"), method)):
+            here = F.col("_in") & (F.col(f"_l{axis}") + k).between(0, TILE - 1)
+            weights[f"_w{axis}{k}"] = F.when(here, weight).otherwise(F.lit(0.0))
+    asked = asked.withColumns(weights | {"_place": F.col("_ly") * TILE + F.col("_lx")}).drop("_in", "_x0", "_y0", "_dx", "_dy", "_lx", "_ly")
+    met = asked.hint("merge").join(_tiles(raster, nodata, value, by).hint("merge"), [*by, "_ty", "_tx"], "left")
+
+    def added(c: str) -> Column:
+        """What a tile has at a pixel's taps, by their weights; a tap outside the tile weighs nothing here."""
+        total = F.lit(0.0)
+        for j in n:
+            line = F.lit(0.0)
+            for i in n:
+                line = line + F.col(f"_wx{i}") * F.coalesce(F.get(F.col(c), F.col("_place") + (j * TILE + i)), F.lit(0.0))
+            total = total + F.col(f"_wy{j}") * line
+        return total
+
+    shares = met.select("image", "row", "col", added("_counts").alias("_w"), added("_values").alias("_v"))
+    sums = shares.groupBy("image", "row", "col").agg(F.sum("_w").alias("_w"), F.sum("_v").alias("_v"))
+    return sums.select("image", "row", "col", F.when(F.abs("_w") > 1e-6, F.col("_v") / F.col("_w")).alias(value)).fillna(nodata, [value])
 
 
 def resampled_from_one(raster: DataFrame, grids: DataFrame, method: str = "nearest", nodata: float = 0.0, value: str = "value", ground: Change | None = None) -> DataFrame:

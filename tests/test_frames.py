@@ -94,6 +94,34 @@ def test_taps_are_never_broadcast_and_lines_are_dealt_out(spark, method):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def shuffled_rows(spark, df):
+    """Rows that all stages of a run of ``df`` have written for shuffles."""
+    sc = spark.sparkContext
+    none, quantiles = sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    seen = lambda: sum(x.shuffleWriteRecords() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)))
+    before = seen()
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return seen() - before
+
+
+def test_a_pixel_goes_to_tiles_and_not_to_taps(spark):
+    one = [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    # the second target lies outside of its source, and is dealt out by its own places; the source has a hole, and one pixel twice
+    grids = spark.createDataFrame([(0, 64, 64, 64, 64, [0.25, 1.0, 0.0, 0.25, 0.0, 1.0], one), (1, 64, 64, 64, 64, [900.0, 1.0, 0.0, 0.0, 0.0, 1.0], one)], "image int, width int, height int, source_width int, source_height int, gt array<double>, source_gt array<double>")
+    rows = [(i, r, c, 3.0) for i in range(2) for r in range(64) for c in range(64) if (r, c) != (20, 20)] + [(0, 31, 31, 9.0)]
+    pixels = spark.createDataFrame(rows, "image int, row int, col int, value double")
+    out = rasters.resampled(pixels, grids, "cubic", nodata=-1.0)
+    got = {(r.image, r.row, r.col): r.value for r in out.collect()}
+    assert len(got) == 2 * 64 * 64 and {v for (i, _, _), v in got.items() if i == 1} == {-1.0}
+    key = lambda d: -0.5 * d**3 + 2.5 * d * d - 4 * d + 2 if d >= 1 else 1.5 * d**3 - 2.5 * d * d + 1
+    near = [key(abs(0.25 - d)) for d in (-1, 0, 1, 2)]
+    w = near[1] * near[1]  # of the pixel itself, which is there twice: 3 and 9
+    assert got[0, 31, 31] == pytest.approx((3 + 9 * w) / (1 + w)) and got[0, 20, 20] == pytest.approx(3.0) and got[0, 0, 0] == pytest.approx(3.0)
+    # four shuffles: lines, the source, pixels at 1.4 tiles, and their sums again; each tap as a row made 16 of a pixel
+    assert shuffled_rows(spark, out) < 5 * 2 * 64 * 64
+
+
 def test_similarity_is_no_deformation(spark):
     rows = [(0, j, i, x, y, 0.3 + 1.2 * x - 0.5 * y, -0.1 + 0.5 * x + 1.2 * y) for j, y in enumerate(np.linspace(-1, 1, 5).tolist()) for i, x in enumerate(np.linspace(-1, 1, 6).tolist())]
     field = spark.createDataFrame(rows, "image int, iy int, ix int, x double, y double, qx double, qy double")
