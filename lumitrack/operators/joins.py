@@ -61,11 +61,12 @@ def has_neighbour(points: DataFrame, radius_km: float, group: list[str], key: st
 
     Points fall into cells as wide as the radius, and meet those of the 3 by 3 cells around: an equality join. A cell with
     more than one point at one rounded place needs no distances for these, so copies are counted, not paired: each place
-    is one row of the join. Points that aren't finite have no neighbours. ``key`` names a point.
+    is one row of the join. Places are written once, so that neither their count nor the cells' arithmetic is done over all
+    points again for each side. Points that aren't finite have no neighbours. ``key`` names a point.
     """
     size = math.degrees(radius_km / MEAN_RADIUS_KM) * 1.0001 + 1e-9
     usable = points.filter(finite(F.col(lon), F.col(lat))).select(*group, key, F.col(lon).alias("_x"), F.col(lat).alias("_y"))
-    places = usable.groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    places = kept(usable.groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "places")
     bands = math.ceil(180 / size) + 2
     band = F.floor((F.col("_y") + 90.0) / F.lit(size)).cast("long")
     # towards a pole, a radius spans more degrees of longitude; each band has its own cell width, of which a circle holds a whole number

@@ -310,8 +310,9 @@ def places_of_keys(keys: DataFrame, tracks: DataFrame) -> DataFrame:
 def point_status(final: DataFrame, corrected: DataFrame, read: DataFrame) -> DataFrame:
     """Per key of any of the three sets (frame_index, track_key): where it is found, and its colour in diagnostics."""
     keys = ["frame_index", "track_key"]
-    flag = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    every = flag(final, "_f").join(flag(corrected, "_c"), keys, "full").join(flag(read, "_r"), keys, "full")
-    f, c = F.coalesce("_f", F.lit(False)), F.coalesce("_c", F.lit(False))
+    flags = {"_f": final, "_c": corrected, "_r": read}
+    each = [df.select(*keys, *(F.lit(n == name).alias(n) for n in flags)) for name, df in flags.items()]
+    every = each[0].unionAll(each[1]).unionAll(each[2]).groupBy(*keys).agg(*(F.bool_or(n).alias(n) for n in flags))
+    f, c = F.col("_f"), F.col("_c")
     colour = F.when(f & ~c, "blue").when(f & c, "green").when(c, "orange").otherwise("red")
-    return every.select(*keys, f.alias("is_final"), c.alias("is_corrected"), F.coalesce("_r", F.lit(False)).alias("is_read"), colour.alias("colour"))
+    return every.select(*keys, f.alias("is_final"), c.alias("is_corrected"), F.col("_r").alias("is_read"), colour.alias("colour"))

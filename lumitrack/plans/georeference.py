@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,28 @@ from lumitrack.sources.sinks import write_table
 
 @dataclass(frozen=True)
 class Filtered:
-    """What the filter of a sequence yields. ``tracks`` and ``written`` are kept in the shared folder; the rest is lazy."""
+    """What the filter of a sequence yields. ``tracks`` and ``written`` are kept in the shared folder; the rest is made when it's asked for."""
 
+    observations: DataFrame
+    usable: DataFrame
+    frames: DataFrame
+    radius_km: float | None
     tracks: DataFrame
     written: DataFrame
-    points: DataFrame
-    frame_qc: DataFrame
-    track_qc: DataFrame
+
+    @cached_property
+    def points(self) -> DataFrame:
+        if self.radius_km is None:
+            return self.written
+        return has_neighbour(self.written, self.radius_km, ["frame_index"], "track_key").filter("has_neighbour").drop("has_neighbour")
+
+    @cached_property
+    def frame_qc(self) -> DataFrame:
+        return tracks.frame_qc(self.tracks, self.observations, self.written, self.points, self.frames)
+
+    @cached_property
+    def track_qc(self) -> DataFrame:
+        return tracks.track_qc(self.tracks, self.usable)
 
 
 def filter_sequence(observations: DataFrame, frames: DataFrame, config: tracks.FilterConfig = tracks.FilterConfig(), radius_km: float | None = 80.0) -> Filtered:
@@ -38,10 +54,7 @@ def filter_sequence(observations: DataFrame, frames: DataFrame, config: tracks.F
     usable = observations.filter(finite(F.col("sourceX"), F.col("sourceY")))
     filtered = kept(tracks.filtered_tracks(usable, frames, config), "tracks")
     written = kept(tracks.outputs(filtered, usable), "written")
-    points = written
-    if radius_km is not None:
-        points = has_neighbour(written, radius_km, ["frame_index"], "track_key").filter("has_neighbour").drop("has_neighbour")
-    return Filtered(filtered, written, points, tracks.frame_qc(filtered, observations, written, points, frames), tracks.track_qc(filtered, usable))
+    return Filtered(observations, usable, frames, radius_km, filtered, written)
 
 
 def filter_files(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumitrack.operators import homography, joins, polygons
+from lumitrack.operators import homography, joins, polygons, tracks
 from lumitrack.sources import match_results, snapshots
 from lumitrack.sources.snapshots import Conflict, Log
 
@@ -154,6 +154,22 @@ def test_no_frame_is_scanned_anew_for_each_row(spark):
     assert "currentrow$()" in plan and "unboundedfollowing$()" not in plan
 
 
+def test_places_are_counted_once(spark):
+    p = spark.range(60).select("id", F.lit(0).alias("g"), (F.col("id") % 6 * 1.0).alias("mapX"), (F.col("id") % 5 * 1.0).alias("mapY")).filter("id < 31")
+    found = joins.has_neighbour(p, 80.0, ["g"], "id")
+    # of the 30 places one has two points
+    assert sorted(r.id for r in found.filter("has_neighbour").collect()) == [0, 30]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+
+
+def test_status_of_points_by_one_grouping(spark):
+    at = lambda *them: spark.createDataFrame([(f, k) for f, k in them], "frame_index int, track_key string")
+    s = tracks.point_status(at((0, "a"), (0, "a"), (0, "b")), at((0, "b"), (0, "c")), at((0, "a"), (0, "d"), (0, "d"), (1, "a")))
+    got = {(r.frame_index, r.track_key): (r.is_final, r.is_corrected, r.is_read, r.colour) for r in s.collect()}
+    assert got == {(0, "a"): (True, False, True, "blue"), (0, "b"): (True, True, False, "green"), (0, "c"): (False, True, False, "orange"), (0, "d"): (False, False, True, "red"), (1, "a"): (False, False, True, "red")}
+    assert s.count() == 5 and "Join" not in s._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_element_for_a_minute(spark):
     t = spark.createDataFrame([(i, s) for i, s in enumerate((0, 59, 60, 119, 130))], "id int, s int").withColumn("ts", F.timestamp_seconds("s"))
     e = spark.createDataFrame([(1, 10), (2, 70), (3, 100)], "sid int, s int").select("sid", F.timestamp_seconds("s").alias("epoch"))
