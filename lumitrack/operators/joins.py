@@ -37,8 +37,10 @@ def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str,
     back = F.last("_state", ignorenulls=True).over(inside.orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0))
     # what follows is what came before in falling order: a frame that ends at its row is carried on, one that begins there is scanned anew for each row
     on = F.last("_state", ignorenulls=True).over(inside.orderBy(F.desc("_at"), "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    lent = lent if by else F.broadcast(lent)  # a row a part
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_of"))
-    seen = dealt.withColumns({"_back": back, "_on": on}).filter("_probe = 1").join(lent, same)
+    # a part goes to the task of its number: by a hash of so few numbers, several would meet in one task
+    seen = dealt.repartitionById(n, "_part").withColumns({"_back": back, "_on": on}).filter("_probe = 1").join(lent, same)
     apart = lambda s: F.when(s.isNotNull(), F.struct(F.abs(_micros(F.col("_at")) - _micros(s["at"])).alias("micros"), s["id"].alias("id"), s["at"].alias("at")))
     best = F.array_min(F.array_compact(F.array(apart(F.coalesce("_back", "_before")), apart(F.coalesce("_on", "_after")))))
     found = seen.withColumn("_best", best)
@@ -46,10 +48,14 @@ def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str,
 
 
 def element_per_minute(times: DataFrame, elements: DataFrame, time: str, epoch: str, order: str) -> DataFrame:
-    """``times`` with ``minute`` and the element set nearest to its beginning: all times of a minute go by one set."""
+    """``times`` with ``minute`` and the element set nearest to its beginning: all times of a minute go by one set.
+
+    Rows without a time stay and have none; elements without an epoch are near nothing.
+    """
     each = times.withColumn("minute", F.date_trunc("minute", F.col(time)))
-    chosen = nearest_in_time(each.select("minute").distinct(), elements, "minute", epoch, order)
-    return each.join(chosen, "minute")
+    minutes = each.select("minute").filter("minute is not null").distinct()
+    chosen = nearest_in_time(minutes, elements.filter(F.col(epoch).isNotNull()), "minute", epoch, order)
+    return each.join(chosen, "minute", "left")
 
 
 def _micros(t: Column) -> Column:

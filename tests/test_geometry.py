@@ -176,6 +176,22 @@ def test_one_element_for_a_minute(spark):
     assert {r.id: r.nearest_sid for r in joins.element_per_minute(t, e, "ts", "epoch", "sid").collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
 
 
+def test_rows_without_a_time_stay_and_have_no_element(spark):
+    t = spark.createDataFrame([(0, 5), (1, None), (2, 65), (3, None)], "id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    e = spark.createDataFrame([(9, None), (1, 10), (2, 70)], "sid int, s int").select("sid", F.timestamp_seconds("s").alias("epoch"))
+    near = lambda t, e: {r.id: r.nearest_sid for r in joins.element_per_minute(t, e, "ts", "epoch", "sid").collect()}
+    assert near(t, e) == {0: 1, 1: None, 2: 2, 3: None}
+    assert near(t.filter("s is null"), e) == {1: None, 3: None} and near(t, e.filter("sid = 9")) == dict.fromkeys(range(4))
+
+
+def test_a_task_scans_one_part(spark):
+    p = spark.range(4000).select("id", F.timestamp_seconds("id").alias("ts"))
+    e = p.filter("id % 50 = 0").select(F.col("id").alias("sid"), F.col("ts").alias("epoch"))
+    out = joins.nearest_in_time(p, e, "ts", "epoch", "sid", parts=16)
+    dealt = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.count() == 4000 and len(dealt) > 12 and max(r["count"] for r in dealt) < 500
+
+
 def test_minutes_are_no_frame_scanned_anew(spark):
     t = spark.range(40).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
     e = t.select(F.col("id").alias("sid"), F.col("ts").alias("epoch"))
