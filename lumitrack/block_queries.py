@@ -30,8 +30,9 @@ def stored_blocks_in_extent(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     path = f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
     blocks.write_blocks(blocks.placed(b, spark.range(8).select(F.col("id").cast("int").alias("image"), F.array(*_gt()).alias("gt"))), path)
-    found = blocks.in_extent(blocks.read_blocks(spark, path), 100.7, 180.0, -90.0, 39.3)
-    return found.select("image", "block_row", "block_col", F.size("value").cast("long").alias("n_pixels"), *(fixed(F.col(c)).alias(n) for c, n in (("value_low", "low"), ("value_high", "high"), ("north", "north"), ("west", "west"))))
+    found = blocks.in_extent(blocks.read_blocks(spark, path), west=100.7, north=39.3)
+    there = F.size(F.filter("value", lambda v: v.isNotNull() & ~F.isnan(v)))
+    return found.select("image", "block_row", "block_col", there.cast("long").alias("n_pixels"), *(fixed(F.col(c)).alias(n) for c, n in (("value_low", "low"), ("value_high", "high"), ("north", "north"), ("west", "west"))))
 
 
 @query(f"with {_SAMPLED} select a.event_id, {sf_fixed('v')} sampled from asked a left join samp using (event_id)")

@@ -15,6 +15,7 @@ all rows; blocks that they don't touch drop out there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -112,8 +113,9 @@ def placed(blocks: DataFrame, grounds: DataFrame) -> DataFrame:
     return blocks.join(grounds.select("image", F.col("gt").alias("_gt")), "image").withColumns({"gt": own} | ends).drop("_gt")
 
 
-def in_extent(blocks: DataFrame, west: float, east: float, south: float, north: float) -> DataFrame:
-    """Placed blocks that share ground with a box; of stored ones, row groups that can't are not read."""
+def in_extent(blocks: DataFrame, west: float = -math.inf, east: float = math.inf, south: float = -math.inf, north: float = math.inf) -> DataFrame:
+    """Placed blocks that share ground with a box, open where no end is given (a transform may go on past 180 degrees or a
+    pole); of stored ones, row groups that can't are not read."""
     return blocks.filter((F.col("west") < east) & (F.col("east") > west) & (F.col("south") < north) & (F.col("north") > south))
 
 

@@ -1,11 +1,13 @@
 """Rasters in blocks against the same operators by pixels, whole images in numpy, and bounds of what a row holds."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumitrack.operators import blocks, kernels, rasters
+from lumitrack.queries import ORACLE_SQL, QUERIES
 
 
 def image(height, width, seed=1, reach=2):
@@ -144,6 +146,19 @@ def test_stored_blocks_are_pruned_by_extent(spark, tmp_path):
     assert turned.gt == [216.0, 0.0, 1.0, 32.0, 1.0, 0.0] and (turned.west, turned.east, turned.south, turned.north) == (216.0, 232.0, 32.0, 48.0)
 
 
+def test_stored_blocks_of_long_images_and_of_gaps(spark, tmp_path):
+    """Rows whose transform goes on past the pole, and a block that the image's rows fill only in part, as the SQL has them."""
+    rows = [(8 * r + i, [float((r * 7 + c * 3 + i) % 11) for c in range(64)]) for i, rows in ((0, (*range(70), *range(6600, 6700))), (3, (40, 41, 45, 20_000))) for r in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["stored_blocks_in_extent"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["stored_blocks_in_extent"])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
+    assert {(r.image, r.block_row): r.n_pixels for r in got.collect()} == {(0, 1): 1024, (0, 2): 192, (0, 206): 768, (0, 207): 1024, (0, 208): 1024, (0, 209): 384, (3, 1): 96, (3, 625): 32}
+
+
 def test_no_row_above_64_mb():
     """What a row may hold at production size, two bands of flow with margins, and that row groups are small."""
     assert 2 * 8 * (blocks.SIDE + 2 * kernels.MARGIN) ** 2 < 64 << 20
