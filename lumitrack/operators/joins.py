@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumitrack.functions.geo import MEAN_RADIUS_KM, haversine_km
 from lumitrack.functions.numbers import finite
-from lumitrack.plans.shared import kept
+from lumitrack.plans.shared import SMALL_ROWS, kept
 
 
 def nearest_in_time(probes: DataFrame, states: DataFrame, time: str, epoch: str, order: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
@@ -65,33 +65,35 @@ def _micros(t: Column) -> Column:
 def has_neighbour(points: DataFrame, radius_km: float, group: list[str], key: str, lon: str = "mapX", lat: str = "mapY", out: str = "has_neighbour") -> DataFrame:
     """Marks points with another one of their group within the radius (inclusive). Points at one place are neighbours.
 
-    Points fall into cells as wide as the radius, and meet those of the 3 by 3 cells around: an equality join. A cell with
-    more than one point at one rounded place needs no distances for these, so copies are counted, not paired: each place
-    is one row of the join. Places are written once, so that neither their count nor the cells' arithmetic is done over all
-    points again for each side. Points that aren't finite have no neighbours. ``key`` names a point.
+    Each place is one row, written once; copies are counted. On the unit sphere the radius is a chord and cells are cubes, so
+    poles and the date line are like any other place. Places in one cube whose diagonal is shorter than the chord are
+    neighbours without a distance. A place alone in its cube asks in the wider cubes that its chord reaches, eight at most,
+    and every place passes those that ask in its own: no more than a wider cube has small ones, so that pairs grow with the
+    places and no task gathers a cube's places. Only up to SMALL_ROWS places without a neighbour are sent to all tasks.
+    Points that aren't finite have no neighbours. ``key`` names a point.
     """
-    size = math.degrees(radius_km / MEAN_RADIUS_KM) * 1.0001 + 1e-9
-    usable = points.filter(finite(F.col(lon), F.col(lat))).select(*group, key, F.col(lon).alias("_x"), F.col(lat).alias("_y"))
+    chord = 2.0 * math.sin(min(radius_km / (2.0 * MEAN_RADIUS_KM), math.pi / 2))
+    inner, reach = (chord * 0.9999 - 1e-12) / math.sqrt(3.0), chord * 1.0001 + 1e-11  # beyond what rounding can do
+    there = finite(F.col(lon), F.col(lat))
+    usable = points.filter(there).select(*group, key, F.col(lon).alias("_x"), F.col(lat).alias("_y"))
     places = kept(usable.groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "places")
-    bands = math.ceil(180 / size) + 2
-    band = F.floor((F.col("_y") + 90.0) / F.lit(size)).cast("long")
-    # towards a pole, a radius spans more degrees of longitude; each band has its own cell width, of which a circle holds a whole number
-    nearest_pole = lambda b: F.least(F.lit(90.0), F.greatest(F.abs(b * F.lit(size) - F.lit(90.0)), F.abs((b + 1) * F.lit(size) - F.lit(90.0))) + F.lit(size))
-    columns = lambda b: F.greatest(F.lit(1), F.floor(F.lit(360.0 / size) * F.cos(F.radians(nearest_pole(b))) * F.lit(0.999)).cast("long"))
-    at = lambda x, n: F.floor(F.pmod(x + F.lit(180.0), F.lit(360.0)) / F.lit(360.0) * n).cast("long")
-    homes = places.withColumn("_band", band).withColumn("_col", at(F.col("_x"), columns(F.col("_band"))))
-    around = places.withColumn("_band", F.explode(F.array(*(band + d for d in (-1, 0, 1))))).filter(F.col("_band").between(-1, bands))
-    n = columns(F.col("_band"))
-    cell = at(F.col("_x"), n)
-    around = around.withColumn("_col", F.explode(F.array_distinct(F.array(F.pmod(cell - 1, n), cell, F.pmod(cell + 1, n)))))
-    other = around.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_band").alias("_b2"), F.col("_col").alias("_c2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_band") == F.col("_b2"), F.col("_col") == F.col("_c2")])
-    apart = (F.col("_x") != F.col("_x2")) | (F.col("_y") != F.col("_y2"))
-    near = haversine_km(F.col("_y"), F.col("_x"), F.col("_y2"), F.col("_x2")) <= F.lit(radius_km)
-    alone = homes.filter("_n = 1")
-    met = homes.filter("_n > 1").select(*group, "_x", "_y").union(alone.join(other, same & apart & near, "left_semi").select(*group, "_x", "_y")).withColumn(out, F.lit(True))
-    joined = points.join(met.withColumnRenamed("_x", lon).withColumnRenamed("_y", lat), [*group, lon, lat], "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(False)))
+    x, y = F.radians("_x"), F.radians("_y")
+    axes = {"_i": F.cos(y) * F.cos(x), "_j": F.cos(y) * F.sin(x), "_k": F.sin(y)}
+    cubes = lambda side: {n: F.floor(c / F.lit(side)) for n, c in axes.items()}
+    small = cubes(inner) if inner > 0 else {"_i": F.col("_x"), "_j": F.col("_y"), "_k": F.lit(0)}
+    alone = places.withColumns(small).groupBy(*group, *axes).agg(F.sum("_n").alias("_n"), F.min("_x").alias("_x"), F.min("_y").alias("_y")).filter("_n = 1").select(*group, "_x", "_y")
+    asking = alone
+    for n, c in axes.items():
+        asking = asking.withColumn(n, F.explode(F.sequence(*(F.floor((c + F.lit(by)) / F.lit(2.0 * reach)) for by in (-reach, reach)))))
+    asking = asking.withColumnsRenamed({"_x": "_x1", "_y": "_y1"})
+    apart = (F.col("_x") != F.col("_x1")) | (F.col("_y") != F.col("_y1"))
+    near = haversine_km(F.col("_y1"), F.col("_x1"), F.col("_y"), F.col("_x")) <= F.lit(radius_km)
+    # a plan that reckons by the size of files doesn't see that rows are repeated and would send them to all tasks
+    met = places.withColumns(cubes(2.0 * reach)).join(asking.hint("merge"), [*group, *axes]).filter(apart & near).select(*group, F.col("_x1").alias("_x"), F.col("_y1").alias("_y")).distinct()
+    lone = kept(alone.join(met.hint("merge"), [*group, "_x", "_y"], "left_anti").select(*group, F.col("_x").alias(lon), F.col("_y").alias(lat), F.lit(True).alias("_lone")), "lone")
+    lone = F.broadcast(lone) if lone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lone.hint("merge")
+    whole = reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in group), there)
+    return points.join(lone, [*group, lon, lat], "left").withColumn(out, whole & F.col("_lone").isNull()).drop("_lone")
 
 
 def by_ordinal(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumitrack.operators import homography, joins, polygons, tracks
+from lumitrack.plans import shared
 from lumitrack.sources import match_results, snapshots
 from lumitrack.sources.snapshots import Conflict, Log
 
@@ -162,6 +163,50 @@ def test_places_are_counted_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
 
 
+def by_brute_force(rows, radius):
+    """Ids of (group, id, lon, lat) with another row of their group within the radius."""
+    out = set()
+    for g in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == g and None not in r[2:]]
+        ids, (lon, lat) = np.array([r[1] for r in mine]), np.radians(np.array([r[2:] for r in mine], dtype=float).reshape(-1, 2)).T
+        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        near = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) <= radius
+        np.fill_diagonal(near, False)
+        out |= set(ids[near.any(axis=1)].tolist())
+    return out
+
+
+def test_neighbours_anywhere_and_of_any_radius(spark):
+    """Poles, the date line, latitudes that have gone on past a pole, dense spots, one place twice, no place, no group."""
+    rng = np.random.default_rng(11)
+    spots = [(rng.uniform(-180, 180, 120), rng.uniform(-90, 90, 120)), (rng.uniform(-180, 180, 60), rng.uniform(89.0, 90.5, 60)), (rng.choice([-1, 1], 60) * rng.uniform(179.5, 180, 60), rng.uniform(-1, 1, 60))]
+    spots += [(rng.uniform(5, 6, 150), rng.uniform(50, 51, 150)), (rng.uniform(0, 40, 60), rng.uniform(-140, -90, 60)), (rng.uniform(20, 20.0001, 40), rng.uniform(10, 10.0001, 40)), ([7.0, 7.0, None], [7.0, 7.0, 1.0])]
+    places = [(x if x is None else float(x), y if y is None else float(y)) for a, b in spots for x, y in zip(a, b, strict=True)]
+    rows = [(k % 2, k, *p) for k, p in enumerate(places)]
+    p = spark.createDataFrame([*rows, (None, -1, 7.0, 7.0), (None, -2, 7.0, 7.0)], "g int, id int, mapX double, mapY double").repartition(3).cache()
+    for radius in (0.003, 2.0, 80.0, 3000.0, 30_000.0):
+        df = joins.has_neighbour(p, radius, ["g"], "id").cache()
+        found = {r.id for r in df.filter("has_neighbour").collect()}
+        assert found == by_brute_force(rows, radius) and df.count() == p.count() and df.filter("has_neighbour is null").count() == 0
+        assert len(found) < len(rows) - 1 or radius > 3000
+
+
+def test_no_place_is_sent_to_all_tasks(spark, monkeypatch):
+    """More places without a neighbour than may be sent, and their table as a file is smaller than what Spark sends unasked."""
+    plans = []
+    def stored(df, name):  # noqa: E306
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.kept(df, name)
+
+    monkeypatch.setattr(joins, "kept", stored)
+    n = shared.SMALL_ROWS + 10_000
+    p = spark.range(n + 1).select("id", F.lit(0).alias("g"), (F.col("id") % 300 * 1.0 - 150.0).alias("mapX"), (F.floor(F.col("id") / 300) * 1.0 - 50.0 - F.when(F.col("id") == n, 0.99).otherwise(0.0)).alias("mapY"))
+    found = joins.has_neighbour(p, 5.0, ["g"], "id")
+    assert sorted(r.id for r in found.filter("has_neighbour").collect()) == [n - 300, n]
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_status_of_points_by_one_grouping(spark):
     at = lambda *them: spark.createDataFrame([(f, k) for f, k in them], "frame_index int, track_key string")
     s = tracks.point_status(at((0, "a"), (0, "a"), (0, "b")), at((0, "b"), (0, "c")), at((0, "a"), (0, "d"), (0, "d"), (1, "a")))
